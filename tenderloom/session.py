@@ -25,6 +25,7 @@ def get_session(app: str = "tenderloom", master: str | None = None, cores: int =
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .config("spark.ui.enabled", "false")
+        .config("spark.ui.showConsoleProgress", "false")
     )
     if master:
         builder = (builder.master(master)
