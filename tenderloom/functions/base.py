@@ -112,3 +112,8 @@ def first_rows(df, keys: Sequence[ColumnLike], order: Sequence[Column], n: int =
 def with_scalars(df, one_row):
     """Add the columns of a one-row aggregate to every row."""
     return df.join(F.broadcast(one_row))
+
+
+def lookup_map(mapping, key: Column) -> Column:
+    """The value of `key` in a fixed dictionary, or null."""
+    return F.create_map(*[F.lit(x) for pair in mapping.items() for x in pair])[key]

@@ -149,7 +149,7 @@ _CAT_LIST = ", ".join(
     for c in _CATS)
 
 
-@query("classify", f"""WITH f AS (SELECT doc_id, regexp_replace(title || chr(10) || lead, '[^\\x00-\\x7F]', 'x', 'g') AS b FROM docs),
+@query("classify", f"""WITH f AS (SELECT doc_id, regexp_replace(lead || chr(10) || scope, '[^\\x00-\\x7F]', 'x', 'g') AS b FROM docs),
     h AS (SELECT doc_id, list_filter([{_CAT_LIST}], lambda x: x IS NOT NULL)[1:8] AS hits FROM f),
     d AS (SELECT doc_id, hits, list_transform(hits, lambda x: x.slug) AS det,
       list_filter(list_transform(hits, lambda x: x.umbrella), lambda u: u IS NOT NULL) AS ups FROM h),
@@ -163,7 +163,7 @@ _CAT_LIST = ", ".join(
         WHEN list_contains(votes, 'services') THEN 'services' ELSE votes[1] END AS offer_type,
       array_to_string(list_transform(hits, lambda x: trim(x.kw)), ',') AS keywords FROM g""", "docs")
 def classify_docs(t: Tables) -> DataFrame:
-    return classify.classify(t.docs, F.concat_ws("\n", "title", "lead")).select(
+    return classify.classify(t.docs, text.joined_text(*LEAD_AND_SCOPE)).select(
         "doc_id", F.array_join("categories", ",").alias("categories"), "offer_type", F.array_join("keywords", ",").alias("keywords"))
 
 

@@ -223,6 +223,8 @@ def with_views(sql: str, views: tuple[str, ...]) -> str:
     if not views:
         return body
     ctes = ",\n".join(f"{v} AS ({view_sql(v, DuckDialect)})" for v in views)
+    if body.upper().startswith("WITH RECURSIVE "):
+        return f"WITH RECURSIVE {ctes},\n{body[15:]}"
     if body[:5].upper() == "WITH ":
         return f"WITH {ctes},\n{body[5:]}"
     return f"WITH {ctes}\n{body}"

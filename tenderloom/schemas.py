@@ -1,4 +1,4 @@
-"""Record schemas, written once. Reads are permissive and columns are only ever added."""
+"""Record schemas as DDL, written once. Reads are permissive and columns are only ever added."""
 
 from __future__ import annotations
 
@@ -7,13 +7,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
-def struct(ddl: str) -> T.StructType:
-    return T.StructType.fromDDL(ddl)
-
-
 DOCUMENT = "struct<name:string,url:string,kind:string>"
 
-OPPORTUNITY = struct(f"""
+OPPORTUNITY = f"""
     ordinal long, opportunity_id string, source_id string, source_name string, external_id string, title string, url string,
     county string, agency string, department string, tier string,
     solicitation_type string, offer_type string, categories array<string>, keywords array<string>,
@@ -24,27 +20,34 @@ OPPORTUNITY = struct(f"""
     requirements array<string>, documents array<{DOCUMENT}>, submittal_info string, pre_bid_meeting string,
     questions_due timestamp_ntz, contact_email string, contact_phone string, bid_opening string, detail_fetched boolean,
     project_location string, duration_days int, liquidated_damages string, licenses string, package_parsed boolean,
-    prior_cycles int, last_cycle_closed date, personalized boolean, raw string, fetched_at timestamp_ntz""")
+    prior_cycles int, last_cycle_closed date, personalized boolean, raw string, fetched_at timestamp_ntz"""
 
 COVERAGE = ("struct<records:long,with_category:long,with_documents:long,with_due_date:long,with_budget:long,"
             "awards:long,with_award_amount:long,with_award_vendor:long>")
 
-SOURCE_HEALTH = struct(f"""source_id string, name string, ok boolean, count long, error string, elapsed_ms long,
-    status string, note string, coverage {COVERAGE}""")
+SOURCE_HEALTH = f"""source_id string, name string, ok boolean, count long, error string, elapsed_ms long,
+    status string, note string, coverage {COVERAGE}"""
+
+
+def snapshot() -> T.StructType:
+    """One snapshot document: when, how many, health rows and opportunity rows."""
+    def rows(ddl: str) -> T.ArrayType:
+        return T.ArrayType(T.StructType.fromDDL(ddl))
+
+    return T.StructType([
+        T.StructField("fetched_at", T.StringType()), T.StructField("count", T.LongType()),
+        T.StructField("health", rows(SOURCE_HEALTH)), T.StructField("opportunities", rows(OPPORTUNITY))])
 
-SNAPSHOT = T.StructType([
-    T.StructField("fetched_at", T.StringType()), T.StructField("count", T.LongType()),
-    T.StructField("health", T.ArrayType(SOURCE_HEALTH)), T.StructField("opportunities", T.ArrayType(OPPORTUNITY))])
 
-CONTRACT = struct("""contract_id string, agency string, name string, source_id string, vendor string, vendor_id string,
+CONTRACT = """contract_id string, agency string, name string, source_id string, vendor string, vendor_id string,
     status_id string, start_date date, end_date date, url string, amount double, method string, extendable boolean,
-    commodity string, executed date, justification string, state_term_id string, agency_ref string""")
+    commodity string, executed date, justification string, state_term_id string, agency_ref string"""
 
-FINGERPRINT = struct("""entity_id string, name string, website string, platform string, portal_url string,
-    checked_url string, note string, also array<string>, confidence string""")
+FINGERPRINT = """entity_id string, name string, website string, platform string, portal_url string,
+    checked_url string, note string, also array<string>, confidence string"""
 
-ROSTER = struct("""entity_id string, name string, tier string, county string, website string, email string, phone string,
-    notes string""")
+ROSTER = """entity_id string, name string, tier string, county string, website string, email string, phone string,
+    notes string"""
 
 # Enumerations.
 SOLICITATION_TYPES = ("ITB", "IFB", "RFP", "RFQ", "RFI", "ITN", "RPQ", "ITQ", "RLI", "CCNA", "OTHER", "UNKNOWN")
@@ -52,7 +55,7 @@ OFFER_TYPES = ("goods", "services", "construction", "professional_services", "mi
 STATUSES = ("open", "closed", "cancelled", "upcoming", "catalog", "award")
 
 
-def align(df: DataFrame, schema: T.StructType) -> DataFrame:
+def align(df: DataFrame, ddl: str) -> DataFrame:
     """Add columns the schema has and the data lacks; keep and never retype the rest."""
-    missing = [F.lit(None).cast(f.dataType).alias(f.name) for f in schema.fields if f.name not in df.columns]
+    missing = [F.lit(None).cast(f.dataType).alias(f.name) for f in T.StructType.fromDDL(ddl).fields if f.name not in df.columns]
     return df.select("*", *missing)

@@ -56,7 +56,7 @@ def read_snapshot(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]
     tasks; a lone document is one JSON value and is read by one task.
     """
     if path.endswith(".json"):
-        whole = spark.read.schema(schemas.SNAPSHOT).json(path, multiLine=True)
+        whole = spark.read.schema(schemas.snapshot()).json(path, multiLine=True)
         return (whole.select(F.explode("opportunities").alias("o")).select("o.*"),
                 whole.select(F.explode("health").alias("h")).select("h.*"))
     return (spark.read.schema(schemas.OPPORTUNITY).json(f"{path}/opportunities"),
