@@ -38,8 +38,7 @@ def or_blank(c: ColumnLike) -> Column:
 
 
 def none_if_blank(c: ColumnLike) -> Column:
-    c = col(c)
-    return F.when(c != "", c)
+    return F.nullif(col(c), F.lit(""))
 
 
 def first_filled(*cs: ColumnLike) -> Column:
@@ -81,6 +80,11 @@ def captures(c: ColumnLike, pattern: str, group: int = 0) -> Column:
     return F.regexp_extract_all(col(c), F.lit("(?i)" + pattern), F.lit(group))
 
 
+def let(value: ColumnLike, body) -> Column:
+    """`body(value)` with `value` evaluated once, however often the body uses it."""
+    return F.get(F.transform(F.array(col(value)), body), F.lit(0))
+
+
 def labels_where(pairs: Sequence[tuple[str, Column]]) -> Column:
     """The labels whose condition holds, in the order given."""
     return F.array_compact(F.array(*[F.when(cond, F.lit(label)) for label, cond in pairs]))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from tenderloom.functions.base import ColumnLike, col, none_if_blank
+from tenderloom.functions.base import ColumnLike, col, let, none_if_blank
 
 # Zone names and their hours from UTC. Eastern is taken as UTC-5 all year.
 ZONE_HOURS = {
@@ -25,31 +25,40 @@ LAYOUTS = [
     "d MMMM yyyy", "d MMM yyyy",
 ]
 BARE_DATE = r"^\s*\d{1,2}[/-]\d{1,2}[/-]\d{2,4}\s*$"
-OFFSET = r"([+-]\d{2}):?(\d{2})$"
 
 
-def parse_timestamp(text: ColumnLike) -> Column:
-    """A date string as naive Eastern time, or null when it cannot be read."""
-    raw = F.trim(col(text))
+def _strip(raw: Column) -> Column:
+    """The string without zone, weekday and filler words, its meridiem as a spaced AM or PM."""
+    out = F.regexp_replace(raw, r"(?i)\s*\(?\b(?:EST|EDT|ET|CST|CDT|MST|MDT|PST|PDT|UTC|GMT)\)?$", "")
+    out = F.regexp_replace(out, r"(:\d{2}(?:\.\d+)?)(?:Z|[+-]\d{2}:?\d{2})$", "$1")
+    out = F.regexp_replace(out, r"(?i)\b(?:mon|tues|wednes|thurs|fri|satur|sun)day,?\s*", "")
+    out = F.regexp_replace(out, r"(?i)\s+at\s+", " ")
+    out = F.regexp_replace(out, r"(?i)\s*\ba\.?m\.?$|(?i)(?<=\d)\s*a\.?m\.?$", " AM")
+    out = F.regexp_replace(out, r"(?i)\s*\bp\.?m\.?$|(?i)(?<=\d)\s*p\.?m\.?$", " PM")
+    out = F.regexp_replace(out, r"([A-Za-z])\.?\s+(\d{1,2}),\s*", "$1 $2 ")
+    return F.trim(F.regexp_replace(out, r"\s+", " "))
+
+
+def _minutes_east(raw: Column) -> Column:
+    """The stated offset from UTC in minutes, or null for a bare local time."""
     zone = F.upper(none_if_blank(F.regexp_extract(raw, r"(?i)[\s\d]\(?(EST|EDT|ET|CST|CDT|MST|MDT|PST|PDT|UTC|GMT|Z)\)?$", 1)))
-    offset_sign_hours = F.regexp_extract(raw, r":\d{2}(?:\.\d+)?" + OFFSET, 1).try_cast("int")
-    offset_minutes = F.regexp_extract(raw, r":\d{2}(?:\.\d+)?" + OFFSET, 2).try_cast("int")
     named = F.create_map(*[F.lit(x) for pair in ZONE_HOURS.items() for x in pair])
-    minutes_east = F.coalesce(
-        named[zone] * 60,
-        offset_sign_hours * 60 + F.when(offset_sign_hours < 0, -offset_minutes).otherwise(offset_minutes))
-    bare = F.regexp_replace(raw, r"(?i)\s*\(?\b(?:EST|EDT|ET|CST|CDT|MST|MDT|PST|PDT|UTC|GMT)\)?$", "")
-    bare = F.regexp_replace(bare, r"(:\d{2}(?:\.\d+)?)(?:Z|[+-]\d{2}:?\d{2})$", "$1")
-    bare = F.regexp_replace(bare, r"(?i)\b(?:mon|tues|wednes|thurs|fri|satur|sun)day,?\s*", "")
-    bare = F.regexp_replace(bare, r"(?i)\s+at\s+", " ")
-    bare = F.regexp_replace(bare, r"(?i)\s*\b([ap])\.?m\.?(?=\W|$)", " $1M")
-    bare = F.regexp_replace(bare, r"(?i)(\d)\s*([ap])\.?m\.?$", "$1 $2M")
-    bare = F.regexp_replace(bare, r"([A-Za-z])\.?\s+(\d{1,2}),\s*", "$1 $2 ")
-    bare = F.regexp_replace(F.regexp_replace(bare, r"(?i) ([ap])m\b", " $1M"), r"\s+", " ")
-    bare = F.concat(F.regexp_replace(bare, r" [apAP]M$", ""), F.upper(F.regexp_extract(bare, r"( [apAP]M)$", 1)))
-    seen = F.coalesce(*[F.try_to_timestamp(bare, F.lit(layout)) for layout in LAYOUTS]).cast("timestamp_ntz")
-    shift = F.when(minutes_east.isNull(), 0).otherwise(EASTERN_HOURS * 60 - minutes_east)
-    return seen + F.make_dt_interval(F.lit(0), F.lit(0), shift.cast("int"))
+    stated = none_if_blank(F.regexp_extract(raw, r":\d{2}(?:\.\d+)?([+-]\d{2}:?\d{2})$", 1))
+    digits = F.replace(stated, F.lit(":"), F.lit(""))
+    size = F.substring(digits, 2, 2).cast("int") * 60 + F.substring(digits, 4, 2).cast("int")
+    return F.coalesce(named[zone] * 60, F.when(digits.startswith("-"), -size).otherwise(size))
+
+
+def parse_timestamp(text: ColumnLike) -> Column:
+    """A date string as naive Eastern time, or null when it cannot be read."""
+    def read(bare: Column) -> Column:
+        return F.coalesce(*[F.try_to_timestamp(bare, F.lit(layout)) for layout in LAYOUTS]).cast("timestamp_ntz")
+
+    def local(raw: Column) -> Column:
+        shift = F.coalesce(EASTERN_HOURS * 60 - _minutes_east(raw), F.lit(0))
+        return let(_strip(raw), read) + F.make_dt_interval(F.lit(0), F.lit(0), shift.cast("int"))
+
+    return let(none_if_blank(F.trim(col(text))), lambda raw: F.when(raw.isNotNull(), local(raw)))
 
 
 def parse_day(text: ColumnLike) -> Column:

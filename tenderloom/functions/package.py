@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from tenderloom.functions.base import ColumnLike, col, none_if_blank, or_blank
+from tenderloom.functions.base import ColumnLike, let, none_if_blank, or_blank
 
 # Labels, money, yes-answers, flags and the section banner.
 LABEL = (r"(?<![A-Za-z0-9])(?!(?:YES|NO|N/A|TBD)\b)([A-Z][A-Za-z0-9]*"
@@ -32,29 +32,32 @@ VALUE_CHARS, SCOPE_CHARS, SCOPE_FLOOR = 400, 6000, 60
 _START, _END = "\u0001", "\u0002"
 
 
-def labelled_fields(text: ColumnLike) -> Column:
-    """`Label: value` pairs line by line; a value ends where the next label starts, first label wins."""
-    lines = F.split(or_blank(text), r"\r?\n")
-
-    def pairs(line: Column) -> Column:
-        pieces = F.split(F.regexp_replace(line, LABEL, _START + "$0" + _END), _START)
-
+def _line_pairs(line: Column) -> Column:
+    """struct(key, value) of each label on one line, in order."""
+    def shaped(pieces: Column) -> Column:
         def pair(piece: Column, i: Column) -> Column:
             label = F.lower(F.trim(F.regexp_replace(F.regexp_replace(F.substring_index(piece, _END, 1), r"\s*:$", ""), r"\s+", " ")))
             value = F.trim(F.substring_index(piece, _END, -1))
             # A label with nothing before the next one takes the rest of its line.
             rest = F.trim(F.replace(F.array_join(F.slice(pieces, i + 2, F.size(pieces)), ""), F.lit(_END), F.lit("")))
-            return F.struct(label.alias("key"), F.substring(F.when(value != "", value).otherwise(rest), 1, VALUE_CHARS).alias("value"))
+            return F.struct(label.alias("key"), F.substring(F.coalesce(none_if_blank(value), rest), 1, VALUE_CHARS).alias("value"))
 
-        marked = F.transform(pieces, pair)
-        return F.filter(F.slice(marked, 2, F.size(pieces)), lambda p: (p["key"] != "") & (p["value"] != ""))
+        return F.filter(F.slice(F.transform(pieces, pair), 2, F.size(pieces)), lambda p: (p["key"] != "") & (p["value"] != ""))
+
+    return let(F.split(F.regexp_replace(line, LABEL, _START + "$0" + _END), _START), shaped)
+
+
+def labelled_fields(text: ColumnLike) -> Column:
+    """`Label: value` pairs line by line; a value ends where the next label starts, first label wins."""
+    def first_of_each(entries: Column) -> Column:
+        return let(F.transform(entries, lambda e: e["key"]), lambda names: F.map_from_entries(
+            F.filter(entries, lambda e, i: F.array_position(names, e["key"]) == i + 1)))
 
-    entries = F.flatten(F.transform(lines, pairs))
-    names = F.transform(entries, lambda e: e["key"])
-    return F.map_from_entries(F.filter(entries, lambda e, i: F.array_position(names, e["key"]) == i + 1))
+    return let(F.flatten(F.transform(F.split(or_blank(text), r"\r?\n"), _line_pairs)), first_of_each)
 
 
 def _tidy(value: Column) -> Column:
+    """Collapsed and stripped of edge punctuation; null when nothing is left."""
     return none_if_blank(F.trim(F.regexp_replace(value, r"\s+", " "), F.lit(" .;:")))
 
 
@@ -65,17 +68,15 @@ def _money(value: Column) -> Column:
 def scope_of_work(text: ColumnLike) -> Column:
     """The narrative after a scope heading, up to the next capital banner."""
     after = F.split(or_blank(text), SCOPE_HEAD, 2)
-    body = F.trim(F.substring(F.get(after, F.lit(1)), 1, SCOPE_CHARS))
-    head = F.split(body, BANNER, 2)[0]
-    cut = F.when(F.length(head) > SCOPE_FLOOR, head).otherwise(body)
-    return none_if_blank(F.trim(F.regexp_replace(cut, r"[ \t]+", " ")))
 
+    def cut(body: Column) -> Column:
+        head = F.split(body, BANNER, 2)[0]
+        return F.trim(F.regexp_replace(F.when(F.length(head) > SCOPE_FLOOR, head).otherwise(body), r"[ \t]+", " "))
+
+    return none_if_blank(let(F.trim(F.substring(F.get(after, F.lit(1)), 1, SCOPE_CHARS)), cut))
 
-def package_facts(text: ColumnLike) -> Column:
-    """struct of estimated value, location, licences, days, damages, requirement flags and scope."""
-    text = col(text)
-    fields = labelled_fields(text)
 
+def _facts_from(fields: Column, text: Column) -> Column:
     def says_yes(label: str) -> Column:
         return F.coalesce(fields[label].rlike(YES), F.lit(False))
 
@@ -86,9 +87,15 @@ def package_facts(text: ColumnLike) -> Column:
     flags.append(F.substring(F.concat(F.lit("Licence: "), licence), 1, 140))
     flags.append(F.when(share.try_cast("double") > 0, F.concat(
         F.upper(F.regexp_extract(text, SET_ASIDE, 1)), F.lit(" set-aside "), share, F.lit("%"))))
+    days = F.regexp_extract(or_blank(fields["calendar days for project completion"]), r"\d{1,5}", 0)
     return F.struct(
         _money(fields["estimated value"]).alias("estimated_value"),
         _tidy(fields["project location"]).alias("project_location"), licence.alias("licenses"),
-        none_if_blank(F.regexp_extract(or_blank(fields["calendar days for project completion"]), r"\d{1,5}", 0)).cast("int").alias("duration_days"),
+        none_if_blank(days).cast("int").alias("duration_days"),
         F.when(says_yes("liquidated damages"), F.coalesce(F.concat(damages, F.lit(" per day")), F.lit("Yes"))).alias("liquidated_damages"),
         F.array_compact(F.array(*flags)).alias("requirements"), scope_of_work(text).alias("scope"))
+
+
+def package_facts(text: ColumnLike) -> Column:
+    """struct of estimated value, location, licences, days, damages, requirement flags and scope."""
+    return let(text, lambda t: let(labelled_fields(t), lambda fields: _facts_from(fields, t)))

@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from tenderloom.functions import dates
-from tenderloom.functions.base import (ColumnLike, capture, captures, col, ladder, labels_where, matches,
+from tenderloom.functions.base import (ColumnLike, capture, captures, col, ladder, labels_where, let, matches,
                                        none_if_blank, or_blank)
 
 # Solicitation-type patterns, tried in this order.
@@ -118,13 +118,18 @@ def money_number(text: ColumnLike) -> Column:
     return number * scale
 
 
+def _largest_bare(figures: Column) -> Column:
+    numbers = F.transform(figures, money_number)
+    ranked = F.arrays_zip(numbers.alias("n"), figures.alias("f"))
+    # The first of the largest figures.
+    return let(F.array_max(numbers), lambda top: F.when(top >= MIN_BARE_VALUE, F.get(
+        F.filter(ranked, lambda p: p["n"] == top), F.lit(0))["f"]))
+
+
 def estimated_value(text: ColumnLike) -> Column:
     """The figure phrased as the value, else the largest bare figure worth a contract."""
-    bare = captures(text, MONEY)
-    figures = F.transform(bare, money_number)
-    top = F.array_max(figures)
-    largest = F.when(top >= MIN_BARE_VALUE, F.get(bare, F.array_position(figures, top).cast("int") - 1))
-    return tidy_money(F.coalesce(*[capture(text, p) for p in VALUE_PATTERNS], largest))
+    bare = let(captures(text, MONEY), _largest_bare)
+    return tidy_money(F.coalesce(*[capture(text, p) for p in VALUE_PATTERNS], bare))
 
 
 def pre_bid_meeting(text: ColumnLike) -> Column:

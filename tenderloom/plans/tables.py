@@ -180,6 +180,28 @@ def doc_columns(d) -> dict[str, str]:
     }
 
 
+# Pages as fetched, each ending in one of ten known procurement snippets.
+PAGE_SNIPPETS = [
+    '<p><a href="https://acme.bonfirehub.com/portal/?tab=open">Bid Opportunities</a></p>',
+    '<a class="x" href="/Bids.aspx">Current Bids</a> <a href="/vendors">Vendor list</a><link href="/Common/Modules/Bids/RWDBids.css"> DemandStar',
+    'RFP#2026-01 due 01/15/2026 and ITB 26-014 due March 3, 2026',
+    '<a href="docs/n.pdf">Public Notice - RFP No. 2026-023 Roof Revised [PDF]</a><a href="/docs/b.pdf">RFP No. 2026-023 Roof repairs at City Hall</a>'
+    '<a href="x.pdf">Award ITB 2026-001 results</a>',
+    '<a href="/DocumentCenter/View/1">Addendum 1</a><a href="spec.docx">Specifications</a><a href="/DocumentCenter/View/1">Addendum again</a>'
+    '<a href="p/plan.pdf">Site plan</a>',
+    '<p>Awarded To: Crown USA, Inc.; term</p>',
+    '<a href="https://procurement.opengov.com/portal/embed/davie/project-list">procurement</a> periscope holdings',
+    '<table><tr><th>Bid/Solicitation</th><th>Posted</th></tr><tr><td>RFP 1 Paving</td><td>1/2/2026</td></tr><tr><td>ITB 2 Roof</td><td>2/3/2026</td></tr></table>',
+    '<div><label>Status:</label><span>Open</span><b>Closing Date:</b> 3/4/2026</div>',
+    '&lt;b&gt;Fees &amp;amp; taxes&lt;br/&gt;apply&lt;/b&gt;',
+]
+
+
+def page_columns(d) -> dict[str, str]:
+    cases = " ".join(f"WHEN {i} THEN '{snippet}'" for i, snippet in enumerate(PAGE_SNIPPETS))
+    return {"page_id": "page_id", "url": "url", "html": f"html || CASE page_id % 10 {cases} END"}
+
+
 FROM_BIDS = """orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey
     JOIN region ON n_regionkey = r_regionkey JOIN part ON p_partkey = o_custkey"""
 FROM_CONTRACTS = """lineitem JOIN supplier ON l_suppkey = s_suppkey JOIN nation ON s_nationkey = n_nationkey
@@ -212,6 +234,8 @@ def view_sql(name: str, dialect) -> str:
         return _select(bid_columns(dialect), FROM_BIDS)
     if name == "contracts":
         return _select(contract_columns(dialect), FROM_CONTRACTS)
+    if name == "pg":
+        return _select(page_columns(dialect), "pages")
     if name == "docs":
         return _select(doc_columns(dialect), "documents")
     return {"runs": RUNS_SQL, "log": LOG_SQL, "messages": MESSAGES_SQL}[name]
@@ -266,6 +290,10 @@ class Tables:
     def docs(self) -> DataFrame:
         return self._view("docs", "documents")
 
+    @cached_property
+    def pg(self) -> DataFrame:
+        return self._view("pg", "pages")
+
     @cached_property
     def runs(self) -> DataFrame:
         return self._view("runs", "events")

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tenderloom.functions import dates
-from tenderloom.functions.base import ColumnLike, capture, captures, col, first_filled, first_rows, matches, none_if_blank, or_blank
+from tenderloom.functions.base import ColumnLike, any_of, capture, captures, col, first_filled, first_rows, matches, none_if_blank, or_blank
 from tenderloom.operators.resolve import host_of
 
 # What a notice's subject, links, deadline and reference look like.
@@ -29,9 +29,7 @@ def notice_title(subject: ColumnLike) -> Column:
 def notice_link(body: ColumnLike) -> Column:
     """The first link that is not part of the mail's footer."""
     urls = F.transform(captures(or_blank(body), LINK), lambda u: F.rtrim(u, F.lit(".,);")))
-    wanted = urls
-    for skip in SKIPPED_LINKS:
-        wanted = F.filter(wanted, lambda u, skip=skip: ~F.contains(F.lower(u), F.lit(skip)))
+    wanted = F.filter(urls, lambda u: ~any_of([F.contains(F.lower(u), F.lit(skip)) for skip in SKIPPED_LINKS]))
     return F.get(wanted, F.lit(0))
 
 

@@ -20,7 +20,7 @@ MAPPED = {
 }
 
 
-def read_register(spark: SparkSession, path: str, multi_line: bool = False) -> DataFrame:
+def read_register(spark: SparkSession, path: str, multi_line: bool = False, header: bool = True) -> DataFrame:
     """Register rows as text; rows with fields beyond the header are dropped, short ones kept.
 
     One spare column after the header catches what an over-long row spills, so
@@ -30,7 +30,7 @@ def read_register(spark: SparkSession, path: str, multi_line: bool = False) -> D
     spare = "__beyond"
     ddl = ", ".join(f"`{c}` string" for c in [*REGISTER_COLUMNS, spare])
     # A short row is padded with nulls; only what lies past the header marks a shifted one.
-    rows = spark.read.schema(ddl).csv(path, header=True, enforceSchema=True, multiLine=multi_line, quote='"', escape='"', mode="PERMISSIVE")
+    rows = spark.read.schema(ddl).csv(path, header=header, enforceSchema=True, multiLine=multi_line, quote='"', escape='"', mode="PERMISSIVE")
     kept = rows.filter(F.col(spare).isNull())
     return kept.select(*[F.col(f"`{name}`").alias(short) for name, short in MAPPED.items()])
 
