@@ -12,7 +12,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tenderloom.functions.base import (ColumnLike, any_of, col, first_rows, ladder, matches, or_blank)
+from tenderloom.functions.base import (ColumnLike, any_of, col, ladder, matches, or_blank)
 
 # Region -> county slugs.
 REGIONS: dict[str, list[str]] = {
@@ -57,7 +57,6 @@ TIER_SPECIAL = (r"\b(authority|special district|water control|drainage|inlet|mos
 TIER_MUNICIPAL = r"^(?:the\s+)?(city|town|village)\s+of\b"
 CITY_TAIL = (r"\s+(purchasing|procurement|finance|utilities|police|fire|water|public works|department|dept|division|"
              r"office|florida|fl)\b.*$")
-MAX_NAME_WORDS = 5
 
 
 def normalise(text: ColumnLike) -> Column:
@@ -108,43 +107,33 @@ def is_statewide_body(name: Column, markers: Sequence[str] = STATEWIDE_MARKERS)
     return any_of([name.contains(m) for m in markers]) | matches(name, STATE_BODY)
 
 
-def _word_grams(name: Column) -> Column:
-    """Runs of one to five consecutive words, for equi-joining against known names."""
-    words = F.regexp_extract_all(name, F.lit(r"[\p{L}\p{N}_]+"), F.lit(0))
+_WORD = r"[\p{L}\p{N}_]+"
 
-    def runs(n: int) -> Column:
-        starts = F.sequence(F.lit(1), F.greatest(F.size(words) - (n - 1), F.lit(1)))
-        return F.transform(starts, lambda i: F.array_join(F.slice(words, i, n), " "))
 
-    return F.array_distinct(F.flatten(F.array(*[runs(n) for n in range(1, MAX_NAME_WORDS + 1)])))
+def longest_names_inside(names: DataFrame, known: DataFrame) -> DataFrame:
+    """For each `name`, the longest known needle of every kind standing in it as whole words.
 
-
-def _gram_form(needle: Column) -> Column:
-    return F.array_join(F.regexp_extract_all(needle, F.lit(r"[\p{L}\p{N}_]+"), F.lit(0)), " ")
-
-
-def longest_name_inside(names: DataFrame, known: DataFrame) -> DataFrame:
-    """For each `name`, the slug of the longest known needle standing in it as whole words.
-
-    Candidates come from an equi-join on word runs; the exact spelling is then
-    checked with word boundaries.
+    `known` has kind, needle and slug. Candidates come from an equi-join on the
+    needle's first word; the exact spelling is then checked with word
+    boundaries. Returns name and a map kind -> slug.
     """
-    candidates = names.select("name", F.explode(_word_grams(F.col("name"))).alias("gram")) \
-        .join(known.withColumn("gram", _gram_form(F.col("needle"))), "gram")
+    words = F.array_distinct(F.regexp_extract_all("name", F.lit(_WORD), F.lit(0)))
+    keyed = known.withColumn("word", F.regexp_extract("needle", f"({_WORD})", 1))
+    candidates = names.select("name", F.explode(words).alias("word")).join(keyed, "word")
     exact = F.expr(r"rlike(name, concat('\\b\\Q', needle, '\\E\\b'))")
-    return first_rows(candidates.filter(exact), ["name"],
-                      [F.length("needle").desc(), F.col("needle")]).select("name", "slug")
+    best = candidates.filter(exact).groupBy("name", "kind").agg(
+        F.max_by("slug", F.struct(F.length("needle"), F.col("needle"))).alias("slug"))
+    return best.groupBy("name").agg(F.map_from_entries(F.collect_list(F.struct("kind", "slug"))).alias("found"))
 
 
 def infer_counties(df: DataFrame, gazetteer: Gazetteer, agency: str = "agency", hint: str | None = None,
                    out: str = "county_slug") -> DataFrame:
     """Add the county each agency name points at, `statewide`, or `unknown`."""
-    spark = df.sparkSession
     spellings = county_spellings()
     names = df.select(normalise(or_blank(agency)).alias("name")).distinct()
-    counties = spark.createDataFrame(list(spellings.items()), "needle string, slug string")
-    city_hits = longest_name_inside(names, gazetteer.cities).withColumnRenamed("slug", "city_slug")
-    county_hits = longest_name_inside(names, counties).withColumnRenamed("slug", "bare_slug")
+    counties = df.sparkSession.createDataFrame(list(spellings.items()), "needle string, slug string")
+    known = gazetteer.cities.select(F.lit("city").alias("kind"), "needle", "slug").unionByName(
+        counties.withColumn("kind", F.lit("county")))
     city_of = F.regexp_replace(
         normalise(F.regexp_extract("name", r"\b(?:city|town|village) of ([a-z' .-]+)", 1)), CITY_TAIL, "")
     cities = gazetteer.cities.select(F.col("needle").alias("city_of"), F.col("slug").alias("named_city_slug"))
@@ -152,11 +141,12 @@ def infer_counties(df: DataFrame, gazetteer: Gazetteer, agency: str = "agency",
     institution = ladder([(F.col("name").contains(needle), F.lit(slug))
                           for needle, slug in gazetteer.institutions.items()], F.lit(None).cast("string"))
     placed = (names.withColumn("city_of", F.trim(city_of))
-              .join(cities, "city_of", "left").join(city_hits, "name", "left").join(county_hits, "name", "left")
+              .join(cities, "city_of", "left").join(longest_names_inside(names, known), "name", "left")
               .select("name", F.when(F.col("name") == "", F.lit("unknown")).otherwise(F.coalesce(
                   explicit,
                   F.when(is_statewide_body(F.col("name"), gazetteer.markers), F.lit("statewide")),
-                  institution, "named_city_slug", "city_slug", "bare_slug", F.lit("unknown"))).alias("__slug")))
+                  institution, "named_city_slug", F.col("found")["city"], F.col("found")["county"],
+                  F.lit("unknown"))).alias("__slug")))
     joined = df.withColumn("name__", normalise(or_blank(agency))).join(
         placed.withColumnRenamed("name", "name__"), "name__", "left").drop("name__")
     if hint is None:
@@ -170,7 +160,7 @@ def infer_tiers(df: DataFrame, cities: DataFrame, agency: str = "agency", county
                 out: str = "tier_guess") -> DataFrame:
     """Add the government tier an agency name points at; `unknown` when unclear."""
     names = df.select(normalise(or_blank(agency)).alias("name")).distinct()
-    hits = longest_name_inside(names, cities).withColumnRenamed("slug", "city_slug")
+    hits = longest_names_inside(names, cities.withColumn("kind", F.lit("city")))
     name = F.col("name")
     tiers = names.join(hits, "name", "left").select("name", ladder([
         (name == "", F.lit("unknown")),
@@ -180,7 +170,7 @@ def infer_tiers(df: DataFrame, cities: DataFrame, agency: str = "agency", county
         (matches(name, TIER_SPECIAL), F.lit("special_district")),
         (matches(name, TIER_MUNICIPAL), F.lit("municipal")),
         (matches(name, r"\bcounty\b"), F.lit("county")),
-        (F.col("city_slug").isNotNull(), F.lit("municipal")),
+        (F.col("found").isNotNull(), F.lit("municipal")),
     ], F.lit("unknown")).alias("__tier"))
     return (df.withColumn("name__", normalise(or_blank(agency)))
             .join(tiers.withColumnRenamed("name", "name__"), "name__", "left")

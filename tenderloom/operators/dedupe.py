@@ -64,10 +64,9 @@ def keep_last_by(df: DataFrame, by: Sequence[str], ordinal: str = "ordinal") ->
 
 def collapse_by_reference(df: DataFrame) -> DataFrame:
     """Keep the richest record of every county-scoped reference; rows without one stay."""
-    keyed = df.withColumn("ref_key", keys.ref_key("county", "external_id"))
-    alone = keyed.filter(F.col("ref_key").isNull())
-    return first_rows(keyed.filter(F.col("ref_key").isNotNull()), ["ref_key"], richness_order()) \
-        .unionByName(alone).drop("ref_key")
+    # Rows without a reference get a key of their own, so one pass serves both.
+    key = F.coalesce(keys.ref_key("county", "external_id"), F.concat(F.lit("#"), F.col("ordinal").cast("string")))
+    return first_rows(df.withColumn("ref_key", key), ["ref_key"], richness_order()).drop("ref_key")
 
 
 def collapse_by_title(df: DataFrame) -> DataFrame:
@@ -111,10 +110,11 @@ def _follow(links: DataFrame) -> DataFrame:
 
 def survivor_map(df: DataFrame) -> DataFrame:
     """For every record, the ordinal of the record it merges into (itself if it survives)."""
-    keyed = df.select(
+    # Four branches read these narrow keys, so they are written once.
+    keyed = cut_lineage(df.select(
         "ordinal", keys.ref_key("county", "external_id").alias("ref_key"),
         keys.title_key("county", "agency", "title").alias("title_key"),
-        richness_rank().alias("rank"))
+        richness_rank().alias("rank")))
     title_heads = keyed.groupBy("title_key").agg(F.min(F.struct("rank", "ref_key")).alias("head")).select(
         "title_key", F.col("head.rank.ordinal").alias("head_ordinal"), F.col("head.ref_key").alias("head_ref"))
     ref_heads = keyed.filter(F.col("ref_key").isNotNull()).groupBy("ref_key").agg(
@@ -142,7 +142,8 @@ def collapse(df: DataFrame) -> DataFrame:
     Missing due date, posted date, contact and budget come from the richest
     duplicate that has one; categories are unioned in merge order.
     """
-    members = df.join(survivor_map(df), "ordinal").withColumn("rank", richness_rank())
+    mapped = df.select("ordinal", "due_date", "posted_date", "contact", "budget", "categories", richness_rank().alias("rank"))
+    members = cut_lineage(mapped.join(survivor_map(df), "ordinal"))
     is_self = F.col("ordinal") == F.col("survivor")
 
     def donated(name: str, present: Column) -> Column:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tenderloom.functions import text
 from tenderloom.functions.base import filled, filled_number, first_rows, matches, with_scalars
 from tenderloom.operators.filters import has_bond
+from tenderloom.session import cut_lineage
 
 COMPLIANCE = r"prevailing wage|davis[- ]bacon|sbe|mbe|dbe|local preference"  # fixed value
 WINDOW_DAYS = 14
@@ -77,26 +78,28 @@ def nearby_committed(df: DataFrame, committed: DataFrame, days: int = WINDOW_DAY
     total of earlier days, and each bid subtracts two such counts.
     """
     span = F.expr(f"INTERVAL {days} DAYS")
+    none = F.lit(None).cast("timestamp_ntz")
     load = committed.filter(F.col("due_date").isNotNull()).groupBy(F.col("due_date").alias("at")) \
-        .agg(F.count(F.lit(1)).alias("n"))
-    moments = df.filter(F.col("due_date").isNotNull()).select("due_date").distinct()
-    probes = moments.select((F.col("due_date") + span).alias("at")).unionByName(
-        moments.select((F.col("due_date") - span).alias("at"))).distinct()
-    points = (load.unionByName(probes.withColumn("n", F.lit(0).cast("long")))
-              .groupBy("at").agg(F.sum("n").alias("n")).withColumn("day", F.col("at").cast("date")))
-    per_day = points.groupBy("day").agg(F.sum("n").alias("day_n"))
-    # One row per calendar day.
-    earlier = per_day.withColumn("before", F.coalesce(F.sum("day_n").over(
+        .agg(F.count(F.lit(1)).alias("n")).select("at", "n", none.alias("due_date"), F.lit("load").alias("end"))
+    due = F.col("due_date")
+    probes = (df.filter(due.isNotNull()).select("due_date").distinct()
+              .select("due_date", F.explode(F.array(F.struct((due + span).alias("at"), F.lit("last").alias("end")),
+                                                    F.struct((due - span).alias("at"), F.lit("first").alias("end")))).alias("p"))
+              .select("p.at", F.lit(0).cast("long").alias("n"), "due_date", "p.end"))
+    # Distinct moments only, so far smaller than the bids; read twice below.
+    points = cut_lineage(load.unionByName(probes).withColumn("day", F.col("at").cast("date"))
+                         .withColumn("micros", F.unix_micros(F.col("at").cast("timestamp"))))
+    by_time = Window.partitionBy("day").orderBy("micros")
+    inside = points.withColumn("through", F.sum("n").over(by_time.rangeBetween(Window.unboundedPreceding, 0))) \
+        .withColumn("under", F.coalesce(F.sum("n").over(by_time.rangeBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    # One row per calendar day, so one running sum over all of them is small.
+    before = points.groupBy("day").agg(F.sum("n").alias("day_n")).withColumn("before", F.coalesce(F.sum("day_n").over(
         Window.orderBy("day").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("day_n")
-    inside = Window.partitionBy("day").orderBy("at").rowsBetween(Window.unboundedPreceding, 0)
-    running = (points.withColumn("within", F.sum("n").over(inside)).join(earlier, "day")
-               .select("at", (F.col("before") + F.col("within")).alias("through"),
-                       (F.col("before") + F.col("within") - F.col("n")).alias("under")))
-    ends = running.select((F.col("at") - span).alias("due_date"), "through")
-    begins = running.select((F.col("at") + span).alias("due_date"), "under")
+    ends = inside.filter("end <> 'load'").join(before, "day").groupBy("due_date").agg(
+        F.max(F.when(F.col("end") == "last", F.col("before") + F.col("through"))).alias("through"),
+        F.max(F.when(F.col("end") == "first", F.col("before") + F.col("under"))).alias("under"))
     own = committed.filter(F.col("due_date").isNotNull()).select("opportunity_id", F.lit(1).alias("__own"))
-    return (df.join(moments.join(ends, "due_date").join(begins, "due_date"), "due_date", "left")
-            .join(own, "opportunity_id", "left")
+    return (df.join(ends, "due_date", "left").join(own, "opportunity_id", "left")
             .withColumn("near", F.coalesce(F.col("through") - F.col("under") - F.coalesce("__own", F.lit(0)), F.lit(0)))
             .drop("through", "under", "__own"))
 

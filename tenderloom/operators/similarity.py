@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 
 from tenderloom.functions import keys
 from tenderloom.functions.base import first_rows
+from tenderloom.session import cut_lineage
 
 # The 0.7 rule in integers, so no float comparison decides a match.
 NUMERATOR, DENOMINATOR = 7, 10
@@ -42,20 +43,21 @@ def _prefix_length(size: Column) -> Column:
     return (size - needed + 1).cast("int")
 
 
-def _word_counts(*sides: DataFrame) -> DataFrame:
-    words = None
-    for side in sides:
-        exploded = side.select("scope", F.explode("tokens").alias("word"))
-        words = exploded if words is None else words.unionByName(exploded)
-    return words.groupBy("scope", "word").agg(F.count(F.lit(1)).alias("seen"))
+def _ranked_sets(left: DataFrame, right: DataFrame) -> DataFrame:
+    """Distinct word sets of both sides: which side holds them, and their words rarest first.
 
-
-def _ordered(sets: DataFrame, counts: DataFrame) -> DataFrame:
-    """Each set's words rarest first, with each word's count alongside."""
-    return (sets.select("scope", "set_key", F.explode("tokens").alias("word"))
-            .join(counts, ["scope", "word"])
-            .groupBy("scope", "set_key")
-            .agg(F.array_sort(F.collect_list(F.struct("seen", "word"))).alias("ranked")))
+    Each word carries how many sets of its agency hold it. The table is far
+    smaller than its input and feeds both passes, so it is written once.
+    """
+    both = (left.select("scope", "set_key", F.lit(1).alias("on_left"), F.lit(0).alias("on_right"))
+            .unionByName(right.select("scope", "set_key", F.lit(0).alias("on_left"), F.lit(1).alias("on_right"))))
+    sets = both.filter(F.col("set_key") != "").groupBy("scope", "set_key").agg(
+        F.max("on_left").alias("on_left"), F.max("on_right").alias("on_right"))
+    words = cut_lineage(sets).withColumn("word", F.explode(F.split("set_key", " ")))
+    counts = words.groupBy("scope", "word").agg(F.count(F.lit(1)).alias("seen"))
+    ranked = words.join(counts, ["scope", "word"]).groupBy("scope", "set_key", "on_left", "on_right").agg(
+        F.array_sort(F.collect_list(F.struct("seen", "word"))).alias("ranked"))
+    return cut_lineage(ranked)
 
 
 def _pass(small: DataFrame, large: DataFrame, strict: bool) -> DataFrame:
@@ -86,16 +88,11 @@ def _pass(small: DataFrame, large: DataFrame, strict: bool) -> DataFrame:
 def similar_sets(left: DataFrame, right: DataFrame) -> DataFrame:
     """All (scope, left_key, right_key, score) of distinct word sets that match.
 
-    Both inputs carry scope, tokens and set_key (see `with_tokens`); empty sets
-    match nothing.
+    Both inputs carry scope and set_key (see `with_tokens`); empty sets match
+    nothing.
     """
-    def distinct_sets(df: DataFrame) -> DataFrame:
-        return (df.filter(F.col("set_key") != "").select("scope", "set_key").distinct()
-                .withColumn("tokens", F.split("set_key", " ")))
-
-    lefts, rights = distinct_sets(left), distinct_sets(right)
-    counts = _word_counts(lefts, rights)
-    lefts, rights = _ordered(lefts, counts), _ordered(rights, counts)
+    ranked = _ranked_sets(left, right)
+    lefts, rights = ranked.filter("on_left = 1"), ranked.filter("on_right = 1")
     forward = _pass(lefts, rights, strict=False).select(
         "scope", F.col("small_key").alias("left_key"), F.col("large_key").alias("right_key"), "score")
     backward = _pass(rights, lefts, strict=True).select(
@@ -126,7 +123,7 @@ def recurrence(bids: DataFrame, archive: DataFrame) -> DataFrame:
     """
     current, past = with_tokens(bids), with_tokens(archive)
     past = past.filter(F.col("set_key") != "")
-    pairs = similar_sets(current, past)
+    pairs = cut_lineage(similar_sets(current, past))
     totals = past.groupBy("scope", "set_key").agg(F.count(F.lit(1)).alias("n"))
     # Two latest dated records per set are enough: at most one of them is the bid itself.
     latest = first_rows(

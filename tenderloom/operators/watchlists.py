@@ -20,16 +20,26 @@ RULE_SCHEMA = ("watchlist_id string, counties array<string>, offers array<string
                "include_statewide boolean")
 
 
-def with_named_counties(df: DataFrame, gazetteer: geo.Gazetteer) -> DataFrame:
-    """Add named_counties: counties a bid names in its keywords or prose, besides its own field."""
+def with_named_counties(df: DataFrame, gazetteer: geo.Gazetteer, only: Column | None = None) -> DataFrame:
+    """Add named_counties: counties a bid names in its keywords or prose, besides its own field.
+
+    Where `only` is given, prose is read for those rows alone.
+    """
     slugs = F.array(*[F.lit(s) for s in geo.COUNTY_NAMES])
     prose = F.concat_ws(" ", *[F.when(F.col(c) != "", F.col(c)) for c in ("title", "description", "department")])
+    if only is not None:
+        prose = F.when(only, prose)
     guessed = geo.infer_counties(df.withColumn("__prose", prose), gazetteer, agency="__prose", out="__guess")
     found = F.array_union(F.array_intersect("keywords", slugs),
                           F.filter(F.array("__guess"), lambda c: F.array_contains(slugs, c)))
     return guessed.withColumn("named_counties", found).drop("__prose", "__guess")
 
 
+def needs_prose() -> Column:
+    """Rows whose named counties can decide a match: live bids of statewide sources."""
+    return (F.col("county") == "statewide") & F.col("status").isin(*LIVE)
+
+
 def county_allows(wanted: Column, include_statewide: Column) -> Column:
     """Own county; else a statewide bid that names a wanted county; else the opt-in."""
     named = F.col("named_counties")

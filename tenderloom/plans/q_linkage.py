@@ -422,7 +422,7 @@ def rules(t: Tables) -> DataFrame:
 
 
 def matched(t: Tables) -> DataFrame:
-    return watchlists.matches(watchlists.with_named_counties(t.bids, gazetteer(t)), rules(t))
+    return watchlists.matches(watchlists.with_named_counties(t.bids, gazetteer(t), watchlists.needs_prose()), rules(t))
 
 
 @query("watchlist_matches", f"WITH {MATCHED} SELECT watchlist_id, ordinal, coalesce({DAYS}, 9999) AS days FROM mt", "bids")

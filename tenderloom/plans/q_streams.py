@@ -68,7 +68,7 @@ def match_alert_stream(t: Tables) -> DataFrame:
         .dropDuplicatesWithinWatermark(["opportunity_id"])
 
     def alert(batch: DataFrame, number: int) -> None:
-        named = watchlists.with_named_counties(batch.drop("at"), gazetteer(t))
+        named = watchlists.with_named_counties(batch.drop("at"), gazetteer(t), watchlists.needs_prose())
         found = watchlists.alerts(watchlists.matches(named, rules(t)), AS_OF)
         found.write.mode("overwrite").parquet(f"{out}/batch={number}")
 

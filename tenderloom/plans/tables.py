@@ -258,6 +258,19 @@ BASE_TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "li
                "events", "documents", "labels", "pages", "conversations")
 
 
+FACT_TABLES = ("orders", "lineitem", "events", "documents", "pages", "conversations")
+
+
+def widened(df: DataFrame) -> DataFrame:
+    """Spread an input with fewer splits than cores; larger inputs are left as they are read.
+
+    The test tables are single files of one row group, which one task would
+    otherwise read, project and mine alone.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 class Tables:
     """Lazy DataFrames over one scale-factor folder."""
 
@@ -266,7 +279,8 @@ class Tables:
         self.sf_dir = sf_dir
 
     def base(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.sf_dir.rstrip('/')}/{name}.parquet")
+        df = self.spark.read.parquet(f"{self.sf_dir.rstrip('/')}/{name}.parquet")
+        return widened(df) if name in FACT_TABLES else df
 
     def __getattr__(self, name: str) -> DataFrame:
         if name in BASE_TABLES:
