@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tenderloom.functions import keys
 from tenderloom.functions.base import filled, first_rows
+from tenderloom.session import cut_lineage
 
 MIN_SAMPLES = 3  # fixed value: thinner groups give no price
 SLICE_DOLLARS = 4096
@@ -79,10 +80,13 @@ def price_hints(bids: DataFrame, overall: DataFrame, county: DataFrame) -> DataF
             .select("ordinal", "hint.slug", "hint.scope", "hint.count", "hint.median", "hint.low", "hint.high"))
 
 
-def _most_common(rows: DataFrame, key: str, value: str, n: int, out: str) -> DataFrame:
-    """Each key's `n` most frequent values, earliest first on ties, as one array."""
-    counted = rows.groupBy(key, value).agg(F.count(F.lit(1)).alias("uses"), F.min("at").alias("first_at"))
-    top = first_rows(counted, [key], [F.col("uses").desc(), F.col("first_at").asc()], n=n, keep_rank="rank")
+def _most_common(counted: DataFrame, key: str, value: str, n: int, out: str) -> DataFrame:
+    """Each key's `n` most frequent values, earliest first on ties, as one array.
+
+    `counted` has uses and first_at per finer group.
+    """
+    summed = counted.groupBy(key, value).agg(F.sum("uses").alias("uses"), F.min("first_at").alias("first_at"))
+    top = first_rows(summed, [key], [F.col("uses").desc(), F.col("first_at").asc()], n=n, keep_rank="rank")
     return top.groupBy(key).agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", value))),
                                             lambda s: s[value]).alias(out))
 
@@ -92,25 +96,31 @@ def vendor_profiles(awards: DataFrame, contracts: DataFrame) -> DataFrame:
 
     `awards` has ordinal, awarded_vendor, award_amount, award_date, posted_date,
     agency and categories; `contracts` has ordinal, vendor and agency. Awards
-    come before contracts wherever first-seen order decides.
+    come before contracts wherever first-seen order decides. Rows are first
+    added up per spelling and agency, and ids computed on those sums.
     """
-    won = awards.filter((F.col("status") == "award") & filled("awarded_vendor")).select(
-        F.col("awarded_vendor").alias("name"), "agency", F.struct(F.lit(0).alias("kind"), F.col("ordinal").alias("o")).alias("at"),
-        F.lit(1).alias("award"), F.lit(0).alias("contract"),
-        F.coalesce("award_amount", F.lit(0)).alias("dollars"), F.coalesce("award_date", "posted_date").alias("decided"),
-        F.filter("categories", lambda c: c != "general").alias("tags"))
-    held = contracts.filter(filled("vendor")).select(
-        F.col("vendor").alias("name"), "agency", F.struct(F.lit(1).alias("kind"), F.col("ordinal").alias("o")).alias("at"),
-        F.lit(0).alias("award"), F.lit(1).alias("contract"), F.lit(0).cast("long").alias("dollars"),
-        F.lit(None).cast("date").alias("decided"), F.array().cast("array<string>").alias("tags"))
-    rows = won.unionByName(held).withColumn("vendor_id", keys.vendor_id("name")).withColumn("name", F.trim("name"))
-    totals = rows.groupBy("vendor_id").agg(
-        F.sum("award").alias("awards"), F.nullif(F.sum("dollars"), F.lit(0)).alias("awarded_total"),
-        F.sum("contract").alias("contracts"), F.max("decided").alias("last_award"))
-    names = _most_common(rows, "vendor_id", "name", 1, "names")
-    agencies = _most_common(rows, "vendor_id", "agency", 3, "agencies")
-    tagged = rows.select("vendor_id", F.posexplode("tags").alias("p", "tag"), "at") \
-        .withColumn("at", F.struct("at", "p"))
+    won = awards.filter((F.col("status") == "award") & filled("awarded_vendor"))
+    held = contracts.filter(filled("vendor"))
+
+    def seen(kind: int) -> Column:
+        return F.min(F.struct(F.lit(kind).alias("kind"), F.col("ordinal").alias("o"))).alias("first_at")
+
+    rows_won = won.groupBy(F.col("awarded_vendor").alias("name"), "agency").agg(
+        seen(0), F.count(F.lit(1)).alias("awards"), F.lit(0).cast("long").alias("contracts"),
+        F.sum(F.coalesce("award_amount", F.lit(0))).alias("dollars"), F.max(F.coalesce("award_date", "posted_date")).alias("last_award"))
+    rows_held = held.groupBy(F.col("vendor").alias("name"), "agency").agg(
+        seen(1), F.lit(0).cast("long").alias("awards"), F.count(F.lit(1)).alias("contracts"),
+        F.lit(0).cast("long").alias("dollars"), F.lit(None).cast("date").alias("last_award"))
+    sums = cut_lineage(rows_won.unionByName(rows_held).withColumn("vendor_id", keys.vendor_id("name"))
+                       .withColumn("name", F.trim("name")).withColumn("uses", F.col("awards") + F.col("contracts")))
+    totals = sums.groupBy("vendor_id").agg(
+        F.sum("awards").alias("awards"), F.nullif(F.sum("dollars"), F.lit(0)).alias("awarded_total"),
+        F.sum("contracts").alias("contracts"), F.max("last_award").alias("last_award"))
+    names = _most_common(sums, "vendor_id", "name", 1, "names")
+    agencies = _most_common(sums, "vendor_id", "agency", 3, "agencies")
+    tagged = (won.select("awarded_vendor", "ordinal", F.posexplode(F.filter("categories", lambda c: c != "general")).alias("p", "tag"))
+              .groupBy("awarded_vendor", "tag").agg(F.count(F.lit(1)).alias("uses"), F.min(F.struct("ordinal", "p")).alias("first_at"))
+              .withColumn("vendor_id", keys.vendor_id("awarded_vendor")))
     tags = _most_common(tagged, "vendor_id", "tag", 3, "categories")
     return (totals.join(names, "vendor_id").join(agencies, "vendor_id").join(tags, "vendor_id", "left")
             .withColumn("name", F.get("names", F.lit(0))).drop("names")
