@@ -9,7 +9,7 @@ group in one task:
   order) decides where the key points, so each key's decision is one `min`.
 * A reference whose first record is not the first of its title defers to that
   title; the chain of such deferrals is followed by pointer doubling over one
-  row per reference, with a checkpoint per round.
+  row per reference, written to a table per round.
 * A chain that ends at a title first seen without a reference merges into that
   record; any other chain leaves each reference its own survivor.
 

@@ -53,13 +53,14 @@ def scratch_path(spark: SparkSession, label: str) -> str:
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Write `df` to the reliable checkpoint folder and read it back lazily planned.
+    """Write `df` as a table in the shared folder and read it back.
 
     Used between rounds of iterative programs and where several branches fan
-    out of one costly result; survives executor loss, unlike a local checkpoint.
+    out of one costly result. The table outlives lost executors, and unlike a
+    checkpointed RDD it keeps column pruning and real sizes, so the planner can
+    still choose a broadcast by measured size.
     """
     spark = df.sparkSession
-    folder = shared_dir(spark)
-    if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
-        spark.sparkContext.setCheckpointDir(folder)
-    return df.checkpoint(eager=True)
+    path = scratch_path(spark, "stage")
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
