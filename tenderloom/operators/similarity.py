@@ -5,12 +5,13 @@ smaller title's words. The join is exact and never pairs a whole agency with
 itself:
 
 1. Equal word sets are collapsed first, so copies cost one row.
-2. Words are ranked by how rare they are in the agency; a match must share one
-   of the smaller set's `m - ceil(0.7 m) + 1` rarest words, so only that prefix
-   is joined to the other side's words (two passes: which side is smaller).
-3. Words that stay frequent are salted by their measured frequency.
-4. Candidates are verified with `array_intersect`, and each pair is emitted
-   only at its first shared prefix word, so no distinct pass is needed.
+2. Words are ranked by how rare they are in the agency. A match shares at least
+   `c = ceil(0.7 m)` of the smaller set's m words, so two of its `m - c + 2`
+   rarest (for one-word sets, the word itself). Only those word pairs are joined
+   to the other side's pairs, in two passes: which side is smaller.
+3. Pairs of frequent words are salted by their words' measured frequency.
+4. Candidates are verified with `array_intersect`, and each match is emitted
+   only at its first shared pair, so no distinct pass is needed.
 """
 
 from __future__ import annotations
@@ -38,9 +39,24 @@ def enough_overlap(shared: Column, smaller: Column) -> Column:
     return DENOMINATOR * shared >= NUMERATOR * smaller
 
 
-def _prefix_length(size: Column) -> Column:
+def _probe_length(size: Column) -> Column:
+    """How many of a set's rarest words must hold two of the shared ones (one, for one-word sets)."""
     needed = F.floor((NUMERATOR * size + (DENOMINATOR - 1)) / DENOMINATOR)
-    return (size - needed + 1).cast("int")
+    return F.least(size - needed + 2, size).cast("int")
+
+
+def _word_pairs(ranked: Column) -> Column:
+    """struct(key, seen) of every two words, rarer word first; seen bounds how many sets hold both."""
+    def with_later(a: Column, i: Column) -> Column:
+        later = F.slice(ranked, i + 2, F.size(ranked))
+        return F.transform(later, lambda b: F.struct(
+            F.concat_ws(" ", a["word"], b["word"]).alias("key"), F.least(a["seen"], b["seen"]).alias("seen")))
+
+    return F.flatten(F.transform(ranked, with_later))
+
+
+def _single_words(ranked: Column) -> Column:
+    return F.transform(ranked, lambda a: F.struct(a["word"].alias("key"), a["seen"].alias("seen")))
 
 
 def _ranked_sets(left: DataFrame, right: DataFrame) -> DataFrame:
@@ -62,24 +78,26 @@ def _ranked_sets(left: DataFrame, right: DataFrame) -> DataFrame:
 
 def _pass(small: DataFrame, large: DataFrame, strict: bool) -> DataFrame:
     """Pairs whose `small` side has no more (or, if strict, fewer) words than `large`."""
-    probe = (small.withColumn("prefix", F.slice("ranked", F.lit(1), _prefix_length(F.size("ranked"))))
-             .withColumn("entry", F.explode("prefix"))
+    size = F.size("ranked")
+    probe = (small.withColumn("prefix", F.slice("ranked", F.lit(1), _probe_length(size)))
+             .withColumn("entry", F.explode(F.when(size == 1, _single_words(F.col("prefix")))
+                                            .otherwise(_word_pairs(F.col("prefix")))))
              .select("scope", F.col("set_key").alias("small_key"), F.col("ranked.word").alias("small_words"),
-                     F.col("prefix.word").alias("prefix_words"), F.col("entry.word").alias("word"),
+                     F.col("prefix.word").alias("prefix_words"), F.col("entry.key").alias("key"),
                      F.ceil(F.col("entry.seen") / ROWS_PER_SALT).cast("int").alias("salts"))
              .withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1))))
-    build = (large.withColumn("entry", F.explode("ranked"))
+    build = (large.withColumn("entry", F.explode(F.concat(_single_words(F.col("ranked")), _word_pairs(F.col("ranked")))))
              .select("scope", F.col("set_key").alias("large_key"), F.col("ranked.word").alias("large_words"),
-                     F.col("entry.word").alias("word"),
+                     F.col("entry.key").alias("key"),
                      F.ceil(F.col("entry.seen") / ROWS_PER_SALT).cast("int").alias("large_salts"))
              .withColumn("salt", F.pmod(F.xxhash64("large_key"), F.col("large_salts")).cast("int"))
              .drop("large_salts"))
     smaller, larger = F.size("small_words"), F.size("large_words")
     shared = F.size(F.array_intersect("small_words", "large_words"))
-    first_shared = F.get(F.array_intersect("prefix_words", "large_words"), F.lit(0))
-    return (probe.join(build, ["scope", "word", "salt"])
+    first_shared = F.array_join(F.slice(F.array_intersect("prefix_words", "large_words"), 1, 2), " ")
+    return (probe.join(build, ["scope", "key", "salt"])
             .filter((smaller < larger) if strict else (smaller <= larger))
-            .filter(first_shared == F.col("word"))
+            .filter(first_shared == F.col("key"))
             .withColumn("shared", shared)
             .filter(enough_overlap(F.col("shared"), smaller))
             .select("scope", "small_key", "large_key", (F.col("shared") / smaller).alias("score")))
