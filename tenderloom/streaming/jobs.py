@@ -58,15 +58,17 @@ def monitor_sources(stream: DataFrame) -> DataFrame:
     `stream` has source_id, run_no and row_count; a source has one row per run
     and its runs arrive in order across batches.
     """
+    lookback = health.LOOKBACK_RUNS
+
     def judge(key: tuple, batches: Iterator[pd.DataFrame], held: GroupState) -> Iterator[pd.DataFrame]:
         past = list(zip(*held.get)) if held.exists else []
         for batch in batches:
             rows = []
             for run, count in batch.sort_values("run_no")[["run_no", "row_count"]].itertuples(index=False):
-                window = sorted(c for r, c in past if run - health.LOOKBACK_RUNS <= r < run)
+                window = sorted(c for r, c in past if run - lookback <= r < run)
                 norm = window[len(window) // 2] if window else None
                 rows.append((key[0], int(run), int(count), norm))
-                past = [p for p in past if p[0] > run - health.LOOKBACK_RUNS] + [(int(run), int(count))]
+                past = [p for p in past if p[0] > run - lookback] + [(int(run), int(count))]
             yield pd.DataFrame(rows, columns=["source_id", "run_no", "row_count", "norm"]).astype({"norm": "Int64"})
         held.update(([r for r, _c in past], [c for _r, c in past]))
 
