@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import math
 import sys
 import types
 import uuid
@@ -191,22 +190,111 @@ def words_of(data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return at, np.minimum(to, ends[row + 1]), row
 
 
+# ---------------------------------------------------------------- sorted arrays in files
+
+def sorted_files(df: DataFrame, key: str, values: list[str], label: str) -> str:
+    """Write `df` (whole numbers) as arrays sorted by `key` into files of the shared folder; returns the folder.
+
+    Range partitions give files whose keys do not overlap; equal keys share a
+    file. A file takes its name only when whole, and a second attempt of a task
+    writes the same content. Workers map the files into memory (`Sorted`).
+    """
+    spark = df.sparkSession
+    folder = new_path(spark, label)
+    path, dtypes = local_folder(folder), {f.name: f.dataType.simpleString() for f in df.schema.fields}
+
+    def save(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import os
+
+        from pyspark import TaskContext
+
+        held = [b for b in batches if b.num_rows]
+        if held:
+            table, part = pa.Table.from_batches(held), TaskContext.get().partitionId()
+            for c in [*values, key]:  # the keys' file comes last: where it stands, the others do
+                os.makedirs(path, exist_ok=True)
+                kind = np.int32 if dtypes[c] == "int" else np.int64
+                with open(f"{path}/.{part}.{c}.{uuid.uuid4().hex}", "wb") as f:
+                    np.save(f, table[c].combine_chunks().to_numpy(zero_copy_only=False).astype(kind))
+                os.replace(f.name, f"{path}/{part:06d}.{c}.npy")
+            yield pa.record_batch([pa.array([table.num_rows], pa.int64())], ["n"])
+
+    ordered = df.select(key, *values).repartitionByRange(width(spark), key).sortWithinPartitions(key, *values)
+    ordered.mapInArrow(save, "n long").agg(F.sum("n")).collect()
+    return folder
+
+
+class Sorted:
+    """Look-ups in the files of `sorted_files`, mapped into memory once per worker."""
+
+    def __init__(self, folder: str, values: list[str], key: str):
+        import glob
+        import os
+
+        path = local_folder(folder)
+        names = sorted(glob.glob(f"{path}/*.{key}.npy"))
+        self.keys = [np.load(n, mmap_mode="r") for n in names]
+        self.values = {v: [np.load(f"{os.path.dirname(n)}/{os.path.basename(n).split('.')[0]}.{v}.npy", mmap_mode="r") for n in names] for v in values}
+        self.firsts = np.array([k[0] for k in self.keys], np.int64)
+
+    @staticmethod
+    def of(folder: str, values: list[str], key: str) -> Sorted:
+        state = worker_state()
+        name = ("sorted", folder)
+        if name not in state:
+            for old in [k for k in state if isinstance(k, tuple) and k[0] == "sorted"][:-7]:
+                del state[old]
+            state[name] = Sorted(folder, values, key)
+        return state[name]
+
+    def find(self, probes: np.ndarray) -> tuple[np.ndarray, dict[str, np.ndarray]]:
+        """Index of the probe and the values, for every row whose key equals a probe."""
+        wanted, back = np.unique(probes.astype(np.int64, copy=False), return_inverse=True)
+        n, parts = np.zeros(len(wanted), np.int64), {v: [] for v in self.values}
+        cuts = np.append(np.searchsorted(wanted, self.firsts), len(wanted))
+        for f, keys in enumerate(self.keys):
+            own = wanted[cuts[f]: cuts[f + 1]]
+            if not len(own):
+                continue
+            lo, hi = np.searchsorted(keys, own, "left"), np.searchsorted(keys, own, "right")
+            n[cuts[f]: cuts[f + 1]] = hi - lo
+            at = spread(lo, hi - lo)
+            for v in self.values:
+                parts[v].append(self.values[v][f][at])
+        begin = np.cumsum(n) - n
+        which = np.repeat(np.arange(len(probes)), n[back])
+        at = spread(begin[back], n[back])
+        return which, {v: (np.concatenate(x) if x else np.zeros(0, np.int64))[at] for v, x in parts.items()}
+
+
+def spread(start: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """start, start + 1, ... n of them, one after the other for each pair."""
+    begin = np.cumsum(n) - n
+    return np.arange(int(n.sum())) - np.repeat(begin, n) + np.repeat(start, n)
+
+
 # ---------------------------------------------------------------- block pairs
 
-def block_pairs(members: DataFrame, key: str, node: str, count: str, size: int) -> DataFrame:
-    """Deal the members of each bucket into blocks of about `size`, and give every pair of blocks a task of its own.
+def block_rows(node: np.ndarray, count: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Deal members of buckets into blocks of about `size`, and give every pair of blocks a part of its own.
 
-    A bucket of m members takes b = ceil(m / size) blocks; a member goes to the
-    b pairs that hold its block. A bucket of one block is one group. Adds
-    `part` (the pair) and `side` (0 or 1; all members of a pair (i, i) are 0).
+    A bucket of m members has b = ceil(m / size) blocks; a member goes to the b
+    parts that hold its block. Returns for each resulting row the member's
+    index, the part, and the side (0 or 1; in a part of one block all are 0).
     """
-    blocks = F.ceil(F.col(count) / F.lit(size)).cast("int")
-    own = F.pmod(F.xxhash64(F.lit(17), F.col(node)), blocks).cast("int")
-    dealt = members.withColumn("_b", blocks).withColumn("_i", own)
-    return (dealt.withColumn("_j", F.explode(F.sequence(F.lit(0), F.col("_b") - 1)))
-            .withColumn("part", F.least("_i", "_j").cast("long") * F.col("_b") + F.greatest("_i", "_j"))
-            .withColumn("side", (F.col("_i") > F.col("_j")).cast("int"))
-            .drop("_b", "_i", "_j"))
+    blocks = -(-count // size)
+    own = (mix(node.astype(np.uint64)) % blocks.astype(np.uint64)).astype(np.int64)
+    which = np.repeat(np.arange(len(node)), blocks)
+    other = spread(np.zeros(len(node), np.int64), blocks)
+    i, b = own[which], blocks[which]
+    return which, np.minimum(i, other) * b + np.maximum(i, other), (i > other).astype(np.int8)
+
+
+def pair_mask(side: np.ndarray) -> np.ndarray:
+    """Which (i, j) of a part's members are its pairs, each once: within one block, or across its two."""
+    if side.any():
+        return (side[:, None] == 0) & (side[None, :] == 1)
+    return np.triu(np.ones((len(side), len(side)), bool), 1)
 
 
 def local_roots(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -276,7 +364,3 @@ def running_totals(df: DataFrame, group: list[str], order: list[str], weight: st
     counted = cut.withColumn("_in", F.coalesce(F.sum(weight).over(inside), F.lit(0)))
     return (counted.join(offset, on).withColumn("before", F.col("_in") + F.col("_ahead"))
             .drop("_slice", "_s", "_in", "_ahead", *[f"_g{i}" for i in range(len(group))]))
-
-
-def log10_sum(xs: list[float]) -> float:
-    return math.fsum(xs)
