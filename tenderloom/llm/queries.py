@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, jaccard, mixing, quality
+from . import chat, jaccard, mixing, quality, repeats
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -138,3 +138,9 @@ FROM f GROUP BY conv_id"""
 def op2_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Whole `documents`: each row's class and its number of links at five-word shingles and similarity 0.8."""
     return jaccard.similar(table(spark, sf_dir, "documents"))
+
+
+@query
+def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole `documents` without the bytes of strings of 400 bytes that start elsewhere too."""
+    return repeats.removals(table(spark, sf_dir, "documents")).drop("kept")
