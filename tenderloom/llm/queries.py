@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, jaccard, mixing, quality, repeats
+from . import chat, jaccard, mixing, quality, repeats, vectors
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -144,3 +144,9 @@ def op2_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Whole `documents` without the bytes of strings of 400 bytes that start elsewhere too."""
     return repeats.removals(table(spark, sf_dir, "documents")).drop("kept")
+
+
+@query
+def op8_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole `embeddings`: links at cosine 0.95, components and the kept vectors."""
+    return vectors.near_duplicates(table(spark, sf_dir, "embeddings"))
