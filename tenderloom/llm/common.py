@@ -341,7 +341,7 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
 # ---------------------------------------------------------------- order and running totals
 
 def running_totals(df: DataFrame, group: list[str], order: list[str], weight: str, rows: str, label: str,
-                   per_slice: int = 50_000) -> DataFrame:
+                   per_slice: int = 2_000) -> DataFrame:
     """`df` with `before`: the sum of `weight` over the rows of the same group that come earlier in `order`.
 
     order[0] must be a string of evenly spread hex digits. A group of many rows
