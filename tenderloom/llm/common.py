@@ -280,20 +280,20 @@ def block_rows(node: np.ndarray, count: np.ndarray, size: int) -> tuple[np.ndarr
 
     A bucket of m members has b = ceil(m / size) blocks; a member goes to the b
     parts that hold its block. Returns for each resulting row the member's
-    index, the part, and the side (0 or 1; in a part of one block all are 0).
+    index, the part, and the side (1 or 2; 0 in a part of one block).
     """
     blocks = -(-count // size)
     own = (mix(node.astype(np.uint64)) % blocks.astype(np.uint64)).astype(np.int64)
     which = np.repeat(np.arange(len(node)), blocks)
     other = spread(np.zeros(len(node), np.int64), blocks)
     i, b = own[which], blocks[which]
-    return which, np.minimum(i, other) * b + np.maximum(i, other), (i > other).astype(np.int8)
+    return which, np.minimum(i, other) * b + np.maximum(i, other), np.where(i == other, 0, 1 + (i > other)).astype(np.int8)
 
 
 def pair_mask(side: np.ndarray) -> np.ndarray:
     """Which (i, j) of a part's members are its pairs, each once: within one block, or across its two."""
     if side.any():
-        return (side[:, None] == 0) & (side[None, :] == 1)
+        return (side[:, None] == 1) & (side[None, :] == 2)
     return np.triu(np.ones((len(side), len(side)), bool), 1)
 
 
