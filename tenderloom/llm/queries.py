@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, jaccard, mixing, quality, repeats, vectors
+from . import chat, common, jaccard, mixing, ngram, packing, planes, quality, repeats, vectors
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -150,3 +150,22 @@ def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Whole `embeddings`: links at cosine 0.95, components and the kept vectors."""
     return vectors.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
+@query
+def op4_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole `documents` scored by a model learnt from nine tenths of them."""
+    return ngram.cross_scored(table(spark, sf_dir, "documents"))
+
+
+@query
+def op6_bit_planes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole `documents` written as files of id planes in the shared folder and read back."""
+    folder = common.new_path(spark, "id-planes")
+    return planes.read(spark, folder, planes.write(table(spark, sf_dir, "documents"), folder))
+
+
+@query
+def op7_pack_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole `documents` packed into sequences of 2,048 ids."""
+    return packing.packed(table(spark, sf_dir, "documents")).drop("ids", "fill")
