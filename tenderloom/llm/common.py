@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 CHECKPOINT_KEY = "spark.checkpoint.dir"
 #: Bytes of text handled by one vector step; a longer text is one step of its own.
-STEP_BYTES = 2 << 20
+STEP_BYTES = 1 << 20
 
 
 # ---------------------------------------------------------------- written tables
