@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, common, jaccard, mixing, ngram, packing, planes, quality, repeats, vectors
+from . import chat, common, jaccard, mixing, ngram, packing, pages, planes, quality, repeats, vectors
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -169,3 +169,9 @@ def op6_bit_planes(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_pack_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Whole `documents` packed into sequences of 2,048 ids."""
     return packing.packed(table(spark, sf_dir, "documents")).drop("ids", "fill")
+
+
+@query
+def op1_page_differencing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The main text of every row of `pages`."""
+    return pages.main_texts(table(spark, sf_dir, "pages"))
