@@ -239,9 +239,8 @@ def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.record_batch([pa.array(node[used]), pa.array(node[root[used]]), pa.array(links[used])], ["node", "root", "links"])
 
 
-def similar(docs: DataFrame, text: str = "text") -> DataFrame:
-    """(doc_id, class_id, n_links) for every row: the smallest doc_id reachable by links, and the documents linked directly."""
-    source = docs.select("doc_id", F.col(text).alias("text"))
+def _classes(source: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, node, sig) of every row, and (node, first_id, same, links, component) of every node."""
     sketch = c.written(source.mapInArrow(_sketch, "doc_id long, node long, sig binary"), "jaccard-sketch")
     nodes = c.written(sketch.where("node is not null").groupBy("node").agg(
         F.min("doc_id").alias("first_id"), F.count("*").alias("same"), F.first("sig").alias("sig")), "jaccard-nodes")
@@ -252,7 +251,7 @@ def similar(docs: DataFrame, text: str = "text") -> DataFrame:
             .select("x.bucket", "x.band", "members"))
     folder = c.sorted_files(once, "bucket", ["band", "members"], "jaccard-buckets")
     dealt = nodes.select("node", "sig").mapInArrow(_dealt(folder), "bucket long, part long, band int, side int, node long, sig binary")
-    n = c.width(docs.sparkSession)
+    n = c.width(source.sparkSession)
     left = c.written(dealt.repartition(n, "bucket", "part").sortWithinPartitions("bucket", "part", "node")
                      .mapInArrow(_pruned, "task long, node long, place int, mates binary"), "jaccard-left")
     firsts = left.select("task", "node", "place").join(nodes.select("node", "first_id", "same"), "node")
@@ -263,11 +262,51 @@ def similar(docs: DataFrame, text: str = "text") -> DataFrame:
     links = c.written(parts.repartition(n, "task").sortWithinPartitions("task", "place")
                       .mapInArrow(_verified, "node long, root long, links long"), "jaccard-links")
     reach = c.components(links, "node", "root")
-    known = nodes.select("node", "first_id", "same")
     counted = links.groupBy("node").agg(F.sum("links").alias("links"))
-    tied = known.join(reach, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    tied = nodes.select("node", "first_id", "same").join(reach, "node", "left").join(counted, "node", "left")
+    return sketch, tied.select("node", "first_id", "same", F.coalesce("links", F.lit(0)).alias("links"), F.coalesce("component", "node").alias("component"))
+
+
+def similar(docs: DataFrame, text: str = "text") -> DataFrame:
+    """(doc_id, class_id, n_links) for every row: the smallest doc_id reachable by links, and the documents linked directly."""
+    sketch, tied = _classes(docs.select("doc_id", F.col(text).alias("text")))
     least = tied.groupBy("component").agg(F.min("first_id").alias("class_id"))
-    placed = (tied.join(least, "component").join(counted, "node", "left")
-              .select("node", "class_id", (F.col("same") - 1 + F.coalesce("links", F.lit(0))).alias("n_links")))
+    placed = tied.join(least, "component").select("node", "class_id", (F.col("same") - 1 + F.col("links")).alias("n_links"))
     out = sketch.select("doc_id", "node").join(placed, "node", "left")
     return out.select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
+
+
+def _chosen(folder: str):
+    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        stay = c.Sorted.of(folder, ["first_id", "rows"], "node")
+        for batch in batches:
+            ends, data = c.as_bytes(batch.column("text"))
+            ids = batch.column("doc_id").fill_null(-1).to_numpy()
+            for a, b in c.steps(ends):
+                _, offsets, node = shingles(ends[a: b + 1] - ends[a], data[ends[a]: ends[b]])
+                rows = np.where(np.diff(offsets) == 0, 1, 0)
+                which, found = stay.find(node[0].view(np.int64))
+                own = (ids[a:b][which] == found["first_id"]) & (rows[which] == 0)
+                rows[which[own]] = found["rows"][own]
+                keep = np.flatnonzero(rows)
+                part = batch.slice(a, b - a).take(pa.array(keep))
+                yield pa.record_batch([*part.columns, pa.array(node[0].view(np.int64)[keep]), pa.array(rows[keep])], [*part.schema.names, "_node", "_rows"])
+    return emit
+
+
+def one_of_each(docs: DataFrame) -> DataFrame:
+    """The rows of `docs` (doc_id, text, ...) without all but the first document of each class; texts without words stay."""
+    others = [f for f in docs.schema.fields if f.name not in ("doc_id", "text")]
+    source = docs.select("doc_id", "text", F.struct(*[f.name for f in others] or [F.lit(0).alias("_")]).alias("_row"))
+    sketch, tied = _classes(source.select("doc_id", "text"))
+    first = tied.groupBy("component").agg(F.min(F.struct("first_id", "node")).alias("x")).select("x.*")
+    held = sketch.where("node is not null").select("node", "doc_id").join(first, "node").where(F.col("doc_id").eqNullSafe(F.col("first_id")))
+    stay = c.written(held.groupBy("node", F.coalesce("first_id", F.lit(-1)).alias("first_id")).agg(F.count("*").alias("rows")), "jaccard-chosen")
+    folder = c.sorted_files(stay, "node", ["first_id", "rows"], "jaccard-stay")
+    kept = source.mapInArrow(_chosen(folder), f"doc_id long, text string, _row {source.schema['_row'].dataType.simpleString()}, _node long, _rows long")
+    columns = [F.col("_row")[n].alias(n) if n not in ("doc_id", "text") else F.col(n) for n in docs.columns]
+    if stay.where("rows > 1").isEmpty():
+        return kept.select(*columns)
+    # rows repeated with their id: the smallest text of each
+    again = kept.where("_rows > 1").groupBy("_node", "doc_id").agg(F.min_by(F.struct("text", "_row"), F.struct("text", F.to_json("_row"))).alias("x")).select("doc_id", "x.*")
+    return kept.where("_rows = 1").select(*columns).union(again.select(*columns))

@@ -105,7 +105,7 @@ def thresholds(scored: DataFrame, labels: DataFrame, stratum: str = "lang", ladd
     """(stratum, rule, cutoff, n_good, n_rejected): the strictest certified cutoff of each rule; rules without one are absent."""
     good = (labels.where(F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.min(F.coalesce(F.col("quality"), F.lit(0))).alias("_q"))
             .where("_q = 1").select("doc_id"))
-    held = scored.where(~base_failed()).join(good, "doc_id", "left_semi")
+    held = scored.drop("row").where(~base_failed()).join(good, "doc_id", "left_semi")
     ladder = [(rule, i, c) for rule, cuts in ladders.items() for i, c in enumerate(cuts)]
     counted = held.groupBy(F.col(stratum).alias("stratum")).agg(
         F.count("*").alias("n_good"), *[F.count_if(F.col(r) > c).alias(f"{r}:{i}") for r, i, c in ladder])
@@ -122,9 +122,13 @@ def thresholds(scored: DataFrame, labels: DataFrame, stratum: str = "lang", ladd
 
 
 def judged(docs: DataFrame, labels: DataFrame, text: str = "text", stratum: str = "lang", ladders: dict[str, tuple[float, ...]] = LADDERS,
-           risk: float = RISK, delta: float = DELTA) -> DataFrame:
-    """One row per document: the counts, base_failed, and kept (false if base_failed or above a certified cutoff)."""
-    scored = written(features(docs.select("doc_id", F.col(stratum), F.col(text).alias("text"))), "quality-features")
+           risk: float = RISK, delta: float = DELTA, with_rows: bool = False) -> DataFrame:
+    """One row per document: the counts, base_failed, and kept (false if base_failed or above a certified cutoff).
+
+    `with_rows` adds `row`, the whole row of `docs`.
+    """
+    row = [F.struct("*").alias("row")] if with_rows else []
+    scored = written(features(docs.select("doc_id", F.col(stratum), F.col(text).alias("text"), *row)), "quality-features")
     cut = thresholds(scored, labels, stratum, ladders, risk, delta).groupBy("stratum").agg(
         *[F.min(F.when(F.col("rule") == r, F.col("cutoff"))).alias(f"_{r}") for r in ladders])
     cut = written(cut, "quality-cutoffs")  # one row per stratum; its measured size decides how it is joined
@@ -133,4 +137,9 @@ def judged(docs: DataFrame, labels: DataFrame, text: str = "text", stratum: str
     for r in ladders:
         over = over | F.coalesce(F.col(r) > F.col(f"_{r}"), F.lit(False))
     return both.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
-                       base_failed().alias("base_failed"), (~base_failed() & ~over).alias("kept"))
+                       base_failed().alias("base_failed"), (~base_failed() & ~over).alias("kept"), *(["row"] if with_rows else []))
+
+
+def passing(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """The rows of `docs` that the rules keep."""
+    return judged(docs, labels, with_rows=True).where("kept").select("row.*")

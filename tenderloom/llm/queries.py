@@ -34,20 +34,20 @@ def _ladder_sql() -> str:
 
 SQL["op3_quality_rules"] = f"""
 WITH base AS (
-  SELECT doc_id, lang, coalesce(text, '') AS t,
+  SELECT row_number() OVER () AS rid, doc_id, lang, coalesce(text, '') AS t,
          list_filter(string_split_regex(coalesce(text, ''), '[ \\t\\n\\x0B\\f\\r]+'), lambda x: x <> '') AS w,
          list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^ \\t\\n\\x0B\\f\\r]')) AS ln
   FROM documents),
 win AS (
-  SELECT doc_id, i, w[i] || chr(32) || w[i + 1] || chr(32) || w[i + 2] AS g
+  SELECT rid, i, w[i] || chr(32) || w[i + 1] || chr(32) || w[i + 2] AS g
   FROM base, (SELECT unnest(range(1, (SELECT max(len(w)) FROM base) - 1)) AS i) WHERE i <= len(w) - 2),
-dup AS (SELECT doc_id, i FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, g) AS c FROM win) WHERE c >= 2),
-rep AS (SELECT doc_id, count(DISTINCT i + d)::BIGINT AS n FROM dup, (SELECT unnest([0, 1, 2]) AS d) GROUP BY doc_id),
+dup AS (SELECT rid, i FROM (SELECT rid, i, count(*) OVER (PARTITION BY rid, g) AS c FROM win) WHERE c >= 2),
+rep AS (SELECT rid, count(DISTINCT i + d)::BIGINT AS n FROM dup, (SELECT unnest([0, 1, 2]) AS d) GROUP BY rid),
 f AS (
   SELECT b.doc_id, b.lang, len(w)::BIGINT AS n_words, coalesce(list_sum(list_transform(w, lambda x: length(x))), 0)::BIGINT AS word_chars,
          len(regexp_extract_all(t, '[#*$%&|<>]'))::BIGINT AS n_symbols, (len(ln) - len(list_distinct(ln)))::BIGINT AS n_dup_lines,
          coalesce(r.n, 0) AS n_repeat_words, len(ln) AS n_lines, len(regexp_extract_all(t, '[!?]')) AS shouts
-  FROM base b LEFT JOIN rep r USING (doc_id)),
+  FROM base b LEFT JOIN rep r USING (rid)),
 s AS (
   SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
          n_symbols / greatest(word_chars, 1) AS symbol_share, n_dup_lines / greatest(n_lines, 1) AS dup_line_share,

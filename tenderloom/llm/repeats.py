@@ -271,9 +271,11 @@ def _cut(folder: str):
                 out["n_spans"].append(len(runs))
                 out["kept_sha256"].append(hashlib.sha256(kept).hexdigest())
                 out["kept"].append(kept.decode("utf-8", "ignore"))
+            carried = [n for n in batch.schema.names if n not in ("doc_id", "text")]
             yield pa.record_batch([batch.column("doc_id").slice(rows.start, len(ids)), pa.array(np.diff(ends)), pa.array(out["n_removed"], pa.int64()),
-                                   pa.array(out["n_spans"], pa.int64()), pa.array(out["kept_sha256"]), pa.array(out["kept"], pa.string())],
-                                  ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"])
+                                   pa.array(out["n_spans"], pa.int64()), pa.array(out["kept_sha256"]), pa.array(out["kept"], pa.string()),
+                                   *[batch.column(n).slice(rows.start, len(ids)) for n in carried]],
+                                  ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept", *carried])
     return emit
 
 
@@ -291,4 +293,17 @@ def repeated_spans(source: DataFrame, least: int = LEAST) -> str:
 def removals(docs: DataFrame, text: str = "text", least: int = LEAST) -> DataFrame:
     """One row per row of `docs`: doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept (the remaining text)."""
     source = docs.select("doc_id", F.col(text).alias("text"))
-    return source.mapInArrow(_cut(repeated_spans(source, least)), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept string")
+    return source.mapInArrow(_cut(repeated_spans(source, least)), _RESULT)
+
+
+_RESULT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept string"
+
+
+def without_repeats(docs: DataFrame, least: int = LEAST) -> DataFrame:
+    """`docs` (doc_id, text, ...) with the remaining texts; a null text stays null and `n_chars`, if there, is counted anew."""
+    others = [n for n in docs.columns if n not in ("doc_id", "text")]
+    source = docs.select("doc_id", "text", F.struct(*others or [F.lit(0).alias("_")], F.col("text").isNull().alias("_null")).alias("_row"))
+    cut = source.mapInArrow(_cut(repeated_spans(source.select("doc_id", "text"), least)), f"{_RESULT}, _row {source.schema['_row'].dataType.simpleString()}")
+    values = {"doc_id": F.col("doc_id"), "text": F.when(~F.col("_row._null"), F.col("kept")),
+              "n_chars": F.when(~F.col("_row._null"), F.length("kept")).cast(dict(docs.dtypes).get("n_chars", "long"))}
+    return cut.select(*[(values[n] if n in values else F.col("_row")[n]).alias(n) for n in docs.columns])
