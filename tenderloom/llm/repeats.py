@@ -15,8 +15,9 @@ whose anchor occurs again. All occurrences of one anchor form a shard:
 
 Texts that occur more than once as a whole are removed as a whole and one of
 each takes part in the rest. Anchors are counted first and looked up in sorted
-arrays (see `common.Sorted`), so no text is shuffled; a shard of many
-occurrences is dealt into blocks, and every pair of blocks is a task.
+arrays (see `common.Sorted`), so no text is shuffled. Equal contexts of an
+anchor are one suffix with a count; a shard of very many different ones is
+dealt into blocks, and every pair of blocks is a task.
 
 Nulls and edges: null and short texts lose nothing; matches never cross
 documents; repeated rows are copies; extra columns pass through `without_repeats`;
@@ -37,7 +38,7 @@ from pyspark.sql import functions as F
 from . import common as c
 
 LEAST, ANCHOR = 400, 64
-#: Occurrences in a block of a shard; a task holds two blocks.
+#: Different contexts in a block of a shard; a task holds two blocks.
 BLOCK = 12_000
 _TEXT = np.uint64(0x5851F42D4C957F2D)
 
@@ -109,7 +110,6 @@ def _contexts(folder: str, least: int):
             which, found = known.find(whole)
             copies[which], first[which] = found["n"], found["first"]
             copied = np.flatnonzero(copies > 1)
-            sure = [(keys[copied], np.zeros(len(copied), np.int64), np.diff(ends)[copied])]
             place, h = anchors(ends, prefix, least)
             which, found = known.find(h)
             place, h, n = place[which], h[which], found["n"]
@@ -122,34 +122,42 @@ def _contexts(folder: str, least: int):
             more |= (times[back.ravel()] > 1) & (copies[row] == 1) if len(row) else False
             place, h, n, row = place[more], h[more], n[more], row[more]
             lo, hi = np.maximum(place - reach, ends[row]), np.minimum(place + least, ends[row + 1])
-            # equal contexts within one text: repeated there, and one of them goes on
-            same = c.mix(c.span_hash(prefix, lo, hi) + (place - lo).astype(np.uint64) + row.astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F))
-            _, lead, group, times = np.unique(same, return_index=True, return_inverse=True, return_counts=True)
-            twice = (times[group] > 1) & (hi - lo >= least)
-            sure.append((keys[row[twice]], (lo - ends[row])[twice], (hi - ends[row])[twice]))
-            k, a, b = (np.concatenate(x) for x in zip(*sure, strict=True))
-            if len(k):
-                yield _rows(k, a, b)
+            ctx = c.mix(c.span_hash(prefix, lo, hi) + (place - lo).astype(np.uint64)).view(np.int64)
+            # equal contexts of one text: their bytes go once
+            _, lead = np.unique(np.stack([row, ctx]), axis=1, return_index=True) if len(row) else (None, np.zeros(0, np.int64))
+            with_bytes = np.zeros(len(row), bool)
+            with_bytes[lead] = True
+            if len(copied):
+                n = len(copied)
+                yield pa.record_batch([pa.array(keys[copied]), pa.array(np.zeros(n, np.int64)), pa.array(np.diff(ends)[copied]),
+                                       *[pa.nulls(n, t) for t in (pa.int64(), pa.int64(), pa.binary(), pa.binary())]], _COLUMNS)
             raw = data.tobytes()
-            for s in range(0, len(lead), 4096):
-                i = lead[s: s + 4096]
-                which, part, side = c.block_rows(keys[row[i]] ^ place[i], n[i], BLOCK)
-                i = i[which]
+            for s in range(0, len(row), 4096):
+                i = np.arange(s, min(s + 4096, len(row)))
                 yield pa.record_batch([
-                    pa.array(keys[row[i]]), pa.array(place[i] - ends[row[i]]), pa.array(np.zeros(len(i), np.int64)), pa.array(h[i]), pa.array(part),
-                    pa.array(side.astype(np.int32)), pa.array([raw[x:y] for x, y in zip(lo[i], place[i], strict=True)], pa.binary()),
-                    pa.array([raw[x:y] for x, y in zip(place[i], hi[i], strict=True)], pa.binary())], _COLUMNS)
+                    pa.array(keys[row[i]]), pa.array(place[i] - ends[row[i]]), pa.nulls(len(i), pa.int64()), pa.array(h[i]), pa.array(ctx[i]),
+                    pa.array([raw[x:y] if w else None for x, y, w in zip(lo[i], place[i], with_bytes[i], strict=True)], pa.binary()),
+                    pa.array([raw[x:y] if w else None for x, y, w in zip(place[i], hi[i], with_bytes[i], strict=True)], pa.binary())], _COLUMNS)
     return emit
 
 
-_COLUMNS = ["key", "lo", "hi", "h", "part", "side", "before", "after"]
-_SCHEMA = "key long, lo long, hi long, h long, part long, side int, before binary, after binary"
+_COLUMNS = ["key", "lo", "hi", "h", "ctx", "before", "after"]
+_SCHEMA = "key long, lo long, hi long, h long, ctx long, before binary, after binary"
 
 
-def _rows(key: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> pa.RecordBatch:
-    n = len(key)
-    return pa.record_batch([pa.array(key), pa.array(lo), pa.array(hi), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64()),
-                            pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary()), pa.nulls(n, pa.binary())], _COLUMNS)
+def _dealt(folder: str):
+    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        large = c.Sorted.of(folder, ["n"], "h")
+        for batch in batches:
+            for s in range(0, batch.num_rows, 2048):
+                rows = batch.slice(s, 2048)
+                n = np.ones(rows.num_rows, np.int64)
+                which, found = large.find(rows.column("h").to_numpy())
+                n[which] = found["n"]
+                again, part, side = c.block_rows(rows.column("ctx").to_numpy(), n, BLOCK)
+                rows = rows.take(pa.array(again))
+                yield pa.record_batch([*rows.columns, pa.array(part), pa.array(side.astype(np.int32))], [*rows.schema.names, "part", "side"])
+    return emit
 
 
 def sorted_with_prefixes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -229,23 +237,18 @@ def maximal_repeats(befores: list[bytes], afters: list[bytes], least: int) -> It
 def _repeated(least: int):
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for group in c.groups(batches, ["h", "part"]):
-            key, place, side = group["key"].to_numpy(), group["lo"].to_numpy(), group["side"].to_numpy()
-            before, after = group["before"].to_pylist(), group["after"].to_pylist()
-            # equal contexts stand for one another
-            lead: dict[tuple[bytes, bytes], int] = {}
-            kind = np.array([lead.setdefault(x, len(lead)) for x in zip(before, after, strict=True)])
-            befores, afters = [x[0] for x in lead], [x[1] for x in lead]
-            l_most, r_most = np.zeros(len(lead), np.int64), np.zeros(len(lead), np.int64)
-            for l, r, members in maximal_repeats(befores, afters, least):
+            before, after, times = (group[n].to_pylist() for n in ("before", "after", "times"))
+            l_most, r_most = np.zeros(len(before), np.int64), np.zeros(len(before), np.int64)
+            for l, r, members in maximal_repeats(before, after, least):
                 l_most[members] = np.maximum(l_most[members], l)
                 r_most[members] = np.maximum(r_most[members], r)
-            size = np.array([[len(a), len(b)] for a, b in lead])
-            twice = (np.bincount(kind) > 1) & (size.sum(1) >= least)
-            l_most[twice], r_most[twice] = size[twice, 0], size[twice, 1]
-            hit = (l_most + r_most)[kind] > 0
-            if hit.any():
-                k = kind[hit]
-                yield pa.record_batch([pa.array(key[hit]), pa.array(place[hit] - l_most[k]), pa.array(place[hit] + r_most[k])], ["key", "lo", "hi"])
+            for i, n in enumerate(times):
+                if n > 1 and len(before[i]) + len(after[i]) >= least:
+                    l_most[i], r_most[i] = len(before[i]), len(after[i])
+            hit = np.flatnonzero(l_most + r_most)
+            if len(hit):
+                yield pa.record_batch([group["h"].combine_chunks().take(pa.array(hit)), group["ctx"].combine_chunks().take(pa.array(hit)),
+                                       pa.array(l_most[hit]), pa.array(r_most[hit])], ["h", "ctx", "l", "r"])
     return emit
 
 
@@ -284,9 +287,16 @@ def repeated_spans(source: DataFrame, least: int = LEAST) -> str:
     counts = (source.mapInArrow(_counted(least), "h long, n long, first long").groupBy("h").agg(F.sum("n").alias("n"), F.min("first").alias("first")).where("n > 1"))
     folder = c.sorted_files(counts, "h", ["n", "first"], "repeat-anchors")
     found = c.written(source.mapInArrow(_contexts(folder, least), _SCHEMA), "repeat-contexts")
-    shards = (found.where("h is not null").select("h", "part", "key", "lo", "side", "before", "after")
-              .repartition(c.width(source.sparkSession), "h", "part").sortWithinPartitions("h", "part"))
-    spans = found.where("h is null").select("key", "lo", "hi").union(shards.mapInArrow(_repeated(least), "key long, lo long, hi long"))
+    near = found.where("h is not null")
+    # equal contexts stand for one another; shards of very many different ones are dealt into blocks
+    kinds = near.groupBy("h", "ctx").agg(F.count("*").alias("times"), F.first("before", True).alias("before"), F.first("after", True).alias("after"))
+    large = near.select("h", "ctx").distinct().groupBy("h").agg(F.count("*").alias("n")).where(F.col("n") > BLOCK)
+    dealt = kinds.mapInArrow(_dealt(c.sorted_files(large, "h", ["n"], "repeat-shards")), "h long, ctx long, times long, before binary, after binary, part long, side int")
+    shards = dealt.repartition(c.width(source.sparkSession), "h", "part").sortWithinPartitions("h", "part", "ctx")
+    reach = c.written(shards.mapInArrow(_repeated(least), "h long, ctx long, l long, r long"), "repeat-reach")
+    most = reach.groupBy("h", "ctx").agg(F.max("l").alias("l"), F.max("r").alias("r"))
+    spans = found.where("h is null").select("key", "lo", "hi").union(
+        near.select("key", "lo", "h", "ctx").join(most, ["h", "ctx"]).select("key", F.col("lo") - F.col("l"), F.col("lo") + F.col("r")))
     return c.sorted_files(spans.distinct(), "key", ["lo", "hi"], "repeat-spans")
 
 
