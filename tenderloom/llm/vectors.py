@@ -37,8 +37,8 @@ BLOCK = 512
 
 
 def plan(rows: int, threshold: float = THRESHOLD, miss: float = MISS) -> tuple[int, int]:
-    """(bits, tables): buckets of unlike vectors hold about four rows; `miss` bounds the loss at the threshold."""
-    bits = min(40, max(6, math.ceil(math.log2(max(rows, 1))) - 2))
+    """(bits, tables): buckets of unlike vectors hold about 64 rows; `miss` bounds the loss at the threshold."""
+    bits = min(40, max(4, math.ceil(math.log2(max(rows, 1))) - 6))
     hit = (1 - math.acos(threshold) / math.pi) ** bits
     return bits, math.ceil(math.log(miss) / math.log1p(-hit))
 
