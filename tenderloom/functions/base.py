@@ -113,6 +113,28 @@ def first_rows(df, keys: Sequence[ColumnLike], order: Sequence[Column], n: int =
     return out if keep_rank else out.drop(rank)
 
 
+def numbered(df, order: Sequence[Column], place: str, by: Sequence[str] = ()):
+    """`df` with `place`: 1, 2, ... in the given order, within each value of `by`.
+
+    Rows are range-partitioned by the whole order, numbered inside each slice
+    and moved on by the rows of the slices before, so neither one list nor one
+    large group is sorted by a single task. The slices are a written table: a
+    second reading cannot cut them elsewhere.
+    """
+    from pyspark.sql import Window
+
+    from tenderloom.session import cut_lineage
+
+    slices = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    cut = cut_lineage(df.repartitionByRange(slices, *by, *order).withColumn("__slice", F.spark_partition_id()))
+    before = Window.partitionBy(*by).orderBy("__slice").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = cut.groupBy(*by, "__slice").agg(F.count(F.lit(1)).alias("__rows")).select(
+        *by, "__slice", F.coalesce(F.sum("__rows").over(before), F.lit(0)).alias("__before"))
+    inside = Window.partitionBy(*by, "__slice").orderBy(*order)
+    return (cut.withColumn("__in", F.row_number().over(inside)).join(offsets, [*by, "__slice"])
+            .withColumn(place, (F.col("__before") + F.col("__in")).cast("int")).drop("__slice", "__in", "__before"))
+
+
 def with_scalars(df, one_row):
     """Add the columns of a one-row aggregate to every row."""
     return df.join(F.broadcast(one_row))

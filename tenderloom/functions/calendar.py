@@ -1,19 +1,19 @@
 """State holidays, business days and the two clocks that run on them.
 
 The calendar is a generated table with one row per day and running counts of
-business and non-business days, so clocks are two lookups instead of loops. Its
-size is fixed by the year range (about 37,000 rows a century), which is why it
-may be broadcast.
+business and non-business days, so clocks are two lookups instead of loops. It
+spans the days of the data it serves. All days that a date can hold are 3.7
+million rows, which is why it may be broadcast.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 PROTEST_BUSINESS_DAYS = 3  # fixed value: 72 hours
 RECORDS_RIPE_DAYS = 31     # fixed value
-FIRST_YEAR, LAST_YEAR = 1990, 2060
+MARGIN_DAYS = 40  # beyond any run of idle days plus the days a protest has
 
 
 def _weekday(day: Column) -> Column:
@@ -46,10 +46,11 @@ def is_holiday(day: Column) -> Column:
             | day_after_thanksgiving)
 
 
-def calendar(spark: SparkSession, first_year: int = FIRST_YEAR, last_year: int = LAST_YEAR) -> DataFrame:
-    """day, is_business, business_index and idle_index (running counts through the day)."""
-    days = spark.range(1).select(F.explode(F.sequence(
-        F.lit(f"{first_year}-01-01").cast("date"), F.lit(f"{last_year}-12-31").cast("date"))).alias("day"))
+def calendar(df: DataFrame, *days: Column) -> DataFrame:
+    """day, is_business, business_index and idle_index (running counts through the day) around all `days` of `df`."""
+    first, last = F.least(*days) if len(days) > 1 else days[0], F.greatest(*days) if len(days) > 1 else days[0]
+    span = df.agg(F.date_sub(F.min(first), MARGIN_DAYS).alias("first"), F.date_add(F.max(last), MARGIN_DAYS).alias("last"))
+    days = span.filter("first IS NOT NULL").select(F.explode(F.sequence("first", "last")).alias("day"))
     flagged = days.withColumn("is_business", (_weekday(F.col("day")) < 5) & ~is_holiday(F.col("day")))
     running = Window.orderBy("day").rowsBetween(Window.unboundedPreceding, 0)
     return (flagged
@@ -66,7 +67,7 @@ def protest_deadline(df: DataFrame, posted: str, out: str, days: int = PROTEST_B
 
     A posting on a non-business day starts from the next business day.
     """
-    cal = calendar(df.sparkSession)
+    cal = calendar(df, F.col(posted).cast("date"))
     start = F.broadcast(cal.select(
         F.col("day").alias("__start"),
         (F.col("business_index") + F.when(F.col("is_business"), 0).otherwise(1) + days).alias("__due_index")))
@@ -84,7 +85,7 @@ def business_hours_left(df: DataFrame, deadline: str, now: str, out: str) -> Dat
 
     Negative once the deadline has passed.
     """
-    cal = F.broadcast(calendar(df.sparkSession).select("day", "idle_index"))
+    cal = F.broadcast(calendar(df, F.col(deadline).cast("date"), F.lit(now).cast("date")).select("day", "idle_index"))
     at, present = F.col(deadline).cast("timestamp_ntz"), F.lit(now).cast("timestamp_ntz")
     early, late = F.least(at, present), F.greatest(at, present)
     first = cal.select(F.col("day").alias("__from"), F.col("idle_index").alias("__idle_from"))

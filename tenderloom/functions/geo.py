@@ -1,7 +1,7 @@
 """Counties, regions and government tiers read from agency names.
 
 Inference runs once per distinct name and is joined back. City names come as a
-parameter table (needle, slug), since a state's list runs to hundreds.
+parameter table (needle, slug, position), since a state's list runs to hundreds.
 """
 
 from __future__ import annotations
@@ -79,7 +79,7 @@ def county_spellings() -> dict[str, str]:
 class Gazetteer:
     """Names that place an agency: an ordered institution list and a city table.
 
-    `cities` has columns needle and slug, in normal form.
+    `cities` has columns needle and slug, in normal form, and position: the list's order.
     """
 
     cities: DataFrame
@@ -113,7 +113,8 @@ _WORD = r"[\p{L}\p{N}_]+"
 def longest_names_inside(names: DataFrame, known: DataFrame) -> DataFrame:
     """For each `name`, the longest known needle of every kind standing in it as whole words.
 
-    `known` has kind, needle and slug. Candidates come from an equi-join on the
+    `known` has kind, needle, slug and position; the earlier of equally long names
+    wins. Candidates come from an equi-join on the
     needle's first word; the exact spelling is then checked with word
     boundaries. Returns name and a map kind -> slug.
     """
@@ -122,7 +123,7 @@ def longest_names_inside(names: DataFrame, known: DataFrame) -> DataFrame:
     candidates = names.select("name", F.explode(words).alias("word")).join(keyed, "word")
     exact = F.expr(r"rlike(name, concat('\\b\\Q', needle, '\\E\\b'))")
     best = candidates.filter(exact).groupBy("name", "kind").agg(
-        F.max_by("slug", F.struct(F.length("needle"), F.col("needle"))).alias("slug"))
+        F.max_by("slug", F.struct(F.length("needle"), -F.col("position"))).alias("slug"))
     return best.groupBy("name").agg(F.map_from_entries(F.collect_list(F.struct("kind", "slug"))).alias("found"))
 
 
@@ -131,8 +132,9 @@ def infer_counties(df: DataFrame, gazetteer: Gazetteer, agency: str = "agency",
     """Add the county each agency name points at, `statewide`, or `unknown`."""
     spellings = county_spellings()
     names = df.select(normalise(or_blank(agency)).alias("name")).distinct()
-    counties = df.sparkSession.createDataFrame(list(spellings.items()), "needle string, slug string")
-    known = gazetteer.cities.select(F.lit("city").alias("kind"), "needle", "slug").unionByName(
+    counties = df.sparkSession.createDataFrame(
+        [(*pair, i) for i, pair in enumerate(spellings.items())], "needle string, slug string, position int")
+    known = gazetteer.cities.select(F.lit("city").alias("kind"), "needle", "slug", "position").unionByName(
         counties.withColumn("kind", F.lit("county")))
     city_of = F.regexp_replace(
         normalise(F.regexp_extract("name", r"\b(?:city|town|village) of ([a-z' .-]+)", 1)), CITY_TAIL, "")

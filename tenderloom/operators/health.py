@@ -47,14 +47,25 @@ def drop_verdict(status: Column, note: Column, count: Column, norm: Column) -> C
             .otherwise(F.struct(status.alias("status"), note.alias("note"))))
 
 
-def source_drops(runs: DataFrame) -> DataFrame:
-    """Judge every (source, run) against that source's counts in the eight runs before.
+TREND_RUNS = 30  # fixed value: runs on the trend line
 
-    `runs` has source_id, run_no, row_count, status and note. A source has one
-    row per run, so its window holds at most eight values.
+
+def source_drops(runs: DataFrame, done_runs: DataFrame) -> DataFrame:
+    """Judge every (source, run) against that source's counts in the eight done runs before.
+
+    `runs` has source_id, run_no, row_count, status and note; `done_runs` the
+    run_no of each run that was done. A failed run neither counts nor shortens
+    the window. A source has one row per run, so its window holds at most eight
+    values.
     """
-    past = Window.partitionBy("source_id").orderBy("run_no").rangeBetween(-LOOKBACK_RUNS, -1)
-    judged = runs.withColumn("norm", upper_median(F.collect_list("row_count").over(past)))
+    # one row per run: how many done runs came before it
+    ordered = runs.select("run_no").distinct().join(done_runs.select("run_no", F.lit(True).alias("done")), "run_no", "left")
+    before = Window.orderBy("run_no").rowsBetween(Window.unboundedPreceding, -1)
+    placed = ordered.withColumn("done_before", F.coalesce(F.sum(F.col("done").cast("int")).over(before), F.lit(0)))
+    past = Window.partitionBy("source_id").orderBy("done_before").rangeBetween(-LOOKBACK_RUNS, -1)
+    judged = (runs.join(placed, "run_no")
+              .withColumn("norm", upper_median(F.collect_list(F.when(F.col("done"), F.col("row_count"))).over(past)))
+              .drop("done", "done_before"))
     verdict = drop_verdict(F.col("status"), F.col("note"), F.col("row_count"), F.col("norm"))
     return (judged.withColumn("verdict", verdict)
             .withColumn("status", F.col("verdict.status")).withColumn("note", F.col("verdict.note")).drop("verdict"))

@@ -175,14 +175,13 @@ def unawarded(t: Tables) -> DataFrame:
         .select("ordinal")
 
 
-# Ripeness is judged on bids whose awards are thinned, so that enough stay unawarded.
 RIPE = f"""{TOKENED}, ripe AS (SELECT *, CAST(due_date AS DATE) + 31 AS ripe_on, CAST(date_diff('day', CAST(due_date AS DATE) + 31, DATE '{AS_OF}') AS INTEGER) AS ripe_for_days
     FROM tk o WHERE status IN ('closed', 'cancelled') AND due_date IS NOT NULL AND date_diff('day', CAST(due_date AS DATE) + 31, DATE '{AS_OF}') BETWEEN 0 AND 365
-      AND NOT EXISTS (SELECT 1 FROM tk a WHERE a.status = 'award' AND a.ordinal % 5 = 0 AND lower(a.agency) = lower(o.agency) AND {similar('o.toks', 'a.toks')}))"""
+      AND NOT EXISTS (SELECT 1 FROM tk a WHERE a.status = 'award' AND lower(a.agency) = lower(o.agency) AND {similar('o.toks', 'a.toks')}))"""
 
 
 def _ripe(t: Tables) -> DataFrame:
-    return records.ripe_for_request(t.bids.filter("status <> 'award' OR ordinal % 5 = 0"), AS_OF)
+    return records.ripe_for_request(t.bids, AS_OF)
 
 
 @query("ripe_records", f"WITH {RIPE} SELECT ordinal, ripe_on, ripe_for_days FROM ripe", "bids")

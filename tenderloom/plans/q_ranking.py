@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tenderloom.functions import text
-from tenderloom.functions.base import first_rows
+from tenderloom.functions.base import first_rows, numbered, with_scalars
 from tenderloom.operators import filters, health, marts, ranking
 from tenderloom.plans.q_market import WORKFLOW, workflow
 from tenderloom.plans.registry import query
@@ -47,8 +47,26 @@ def run_rows(t: Tables) -> DataFrame:
         F.expr("CASE WHEN events % 3 = 0 THEN 'slow portal' END").alias("note"))
 
 
-@query("source_drops", f"""WITH {RUN_ROWS}, n AS (SELECT *, list_sort(list(row_count) OVER (PARTITION BY source_id ORDER BY run_no
-      RANGE BETWEEN 8 PRECEDING AND 1 PRECEDING)) AS past FROM runs_n),
+def newest_run(t: Tables) -> DataFrame:
+    rows = run_rows(t)
+    return with_scalars(rows, rows.agg(F.max("run_no").alias("newest"))).filter("run_no = newest").drop("newest")
+
+
+RUN_LOG = f"""{RUN_ROWS}, run_log AS (SELECT run_no, CAST(sum(row_count) AS BIGINT) AS opp_count,
+    CAST(sum(had_error) AS BIGINT) AS errors, CASE WHEN run_no % 7 = 3 THEN 'running' WHEN run_no % 7 = 5 THEN 'error'
+    ELSE 'done' END AS status FROM runs_n GROUP BY run_no)"""
+
+
+def run_log(t: Tables) -> DataFrame:
+    return run_rows(t).groupBy("run_no").agg(F.sum("row_count").alias("opp_count"),
+                                             F.sum("had_error").alias("errors")) \
+        .withColumn("status", F.expr("CASE WHEN run_no % 7 = 3 THEN 'running' WHEN run_no % 7 = 5 THEN 'error' ELSE 'done' END"))
+
+
+@query("source_drops", f"""WITH {RUN_LOG}, dr AS (SELECT run_no, count(*) FILTER (status = 'done') OVER (ORDER BY run_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS seq,
+      status = 'done' AS done FROM run_log),
+    n AS (SELECT r.*, list_sort(list(row_count) FILTER (done) OVER (PARTITION BY source_id ORDER BY seq
+      RANGE BETWEEN 8 PRECEDING AND 1 PRECEDING)) AS past FROM runs_n r JOIN dr USING (run_no)),
     m AS (SELECT *, past[len(past) // 2 + 1] AS norm FROM n)
     SELECT source_id, run_no, norm,
       CASE WHEN norm >= 3 AND row_count = 0 AND status IN ('ok', 'empty') THEN 'degraded' ELSE status END AS status,
@@ -57,14 +75,14 @@ def run_rows(t: Tables) -> DataFrame:
         WHEN row_count < norm * 0.3 AND norm >= 10 THEN CASE WHEN coalesce(note, '') = '' THEN '' ELSE note || '; ' END
           || 'sharp drop: ' || row_count || ' rows vs recent norm ' || norm ELSE note END AS note FROM m""", "runs")
 def source_drops(t: Tables) -> DataFrame:
-    return health.source_drops(run_rows(t)).select("source_id", "run_no", "norm", "status", "note")
+    return health.source_drops(run_rows(t), run_log(t).filter("status = 'done'").select("run_no")).select("source_id", "run_no", "norm", "status", "note")
 
 
 @query("never_verified", f"""WITH {RUN_ROWS}, q AS (SELECT *, CASE WHEN hash_mod = 0 THEN 0 ELSE row_count END AS rc FROM
       (SELECT *, CAST(substr(source_id, 4) AS INTEGER) % 5 AS hash_mod FROM runs_n)),
     h AS (SELECT source_id, count(*) AS seen, max(rc) AS best, min(run_at) AS since FROM q
-      WHERE run_no < 29 AND run_no > (SELECT max(run_no) FROM q WHERE run_no < 29) - 120 GROUP BY source_id),
-    c AS (SELECT source_id, rc, CASE WHEN rc = 0 THEN 'empty' ELSE 'ok' END AS status, note FROM q WHERE run_no = 29),
+      WHERE run_no < (SELECT max(run_no) FROM q) AND run_no > (SELECT max(run_no) FROM q WHERE run_no < (SELECT max(run_no) FROM q)) - 120 GROUP BY source_id),
+    c AS (SELECT source_id, rc, CASE WHEN rc = 0 THEN 'empty' ELSE 'ok' END AS status, note FROM q WHERE run_no = (SELECT max(run_no) FROM q)),
     f AS (SELECT c.*, seen, date_diff('second', since, TIMESTAMP '{EVENTS_AS_OF} 00:00:00') // 86400 AS days, coalesce(best, 0) AS best
       FROM c LEFT JOIN h USING (source_id))
     SELECT source_id, CASE WHEN rc = 0 AND best = 0 AND seen + 1 >= 6 AND days >= 7 THEN 'unverified' ELSE status END AS status,
@@ -73,34 +91,24 @@ def source_drops(t: Tables) -> DataFrame:
 def never_verified(t: Tables) -> DataFrame:
     rows = run_rows(t).withColumn("row_count", F.when(F.substring("source_id", 4, 20).cast("int") % 5 == 0, F.lit(0))
                                   .otherwise(F.col("row_count")))
-    current = rows.filter("run_no = 29").select(
+    rows = with_scalars(rows, rows.agg(F.max("run_no").alias("newest")))
+    current = rows.filter("run_no = newest").select(
         "source_id", "row_count", F.when(F.col("row_count") == 0, "empty").otherwise("ok").alias("status"), "note")
-    return health.never_verified(rows.filter("run_no < 29").select("source_id", "run_no", "run_at", "row_count"),
+    return health.never_verified(rows.filter("run_no < newest").select("source_id", "run_no", "run_at", "row_count"),
                                  current, f"{EVENTS_AS_OF} 00:00:00").select("source_id", "status", "note")
 
 
 @query("source_productivity", f"""WITH {RUN_ROWS} SELECT source_id, row_count, status FROM runs_n
-    WHERE run_no = 29 ORDER BY row_count DESC, source_id LIMIT 10""", "runs")
+    WHERE run_no = (SELECT max(run_no) FROM runs_n) ORDER BY row_count DESC, source_id LIMIT 10""", "runs")
 def source_productivity(t: Tables) -> DataFrame:
-    return run_rows(t).filter("run_no = 29").orderBy(F.desc("row_count"), "source_id").limit(10) \
+    return newest_run(t).orderBy(F.desc("row_count"), "source_id").limit(10) \
         .select("source_id", "row_count", "status")
 
 
-RUN_LOG = f"""{RUN_ROWS}, run_log AS (SELECT run_no, CAST(sum(row_count) AS BIGINT) AS opp_count,
-    CAST(sum(had_error) AS BIGINT) AS errors, CASE WHEN run_no % 7 = 3 THEN 'running' WHEN run_no % 7 = 5 THEN 'error'
-    ELSE 'done' END AS status FROM runs_n GROUP BY run_no)"""
-
-
-def run_log(t: Tables) -> DataFrame:
-    return run_rows(t).groupBy("run_no").agg(F.sum("row_count").alias("opp_count"),
-                                             F.sum("had_error").alias("errors")) \
-        .withColumn("status", F.expr("CASE WHEN run_no % 7 = 3 THEN 'running' WHEN run_no % 7 = 5 THEN 'error' ELSE 'done' END"))
-
-
-@query("run_trend", f"""WITH {RUN_LOG} SELECT run_no, opp_count FROM (SELECT * FROM run_log ORDER BY run_no DESC LIMIT 20)
+@query("run_trend", f"""WITH {RUN_LOG} SELECT run_no, opp_count FROM (SELECT * FROM run_log ORDER BY run_no DESC LIMIT 30)
     WHERE status = 'done'""", "runs")
 def run_trend(t: Tables) -> DataFrame:
-    recent = run_log(t).orderBy(F.desc("run_no")).limit(20)
+    recent = run_log(t).orderBy(F.desc("run_no")).limit(health.TREND_RUNS)
     return recent.filter("status = 'done'").orderBy("run_no").select("run_no", "opp_count")
 
 
@@ -118,36 +126,33 @@ def latest_health(t: Tables) -> DataFrame:
 
 
 @query("health_counts", f"""WITH {RUN_ROWS}, s AS (SELECT DISTINCT source_id FROM runs_n),
-    h AS (SELECT source_id, status FROM runs_n WHERE run_no = 29)
+    h AS (SELECT source_id, status FROM runs_n WHERE run_no = (SELECT max(run_no) FROM runs_n))
     SELECT coalesce(h.status, 'silent') AS status, count(*) AS count FROM s LEFT JOIN h USING (source_id) GROUP BY 1""", "runs")
 def health_counts(t: Tables) -> DataFrame:
     rows = run_rows(t)
-    sources, last = rows.select("source_id").distinct(), rows.filter("run_no = 29").select("source_id", "status")
+    sources, last = rows.select("source_id").distinct(), newest_run(t).select("source_id", "status")
     return marts.tally(sources.join(last, "source_id", "left"), F.coalesce("status", F.lit("silent")), "status")
 
 
 @query("source_status", f"""WITH {RUN_ROWS}, s AS (SELECT DISTINCT source_id FROM runs_n),
-    h AS (SELECT source_id, status, row_count FROM runs_n WHERE run_no = 29), l AS (SELECT max(run_no) AS last_run,
-      (SELECT CAST(sum(row_count) AS BIGINT) FROM runs_n WHERE run_no = 29) AS last_count FROM runs_n)
+    h AS (SELECT source_id, status, row_count FROM runs_n WHERE run_no = (SELECT max(run_no) FROM runs_n)), l AS (SELECT max(run_no) AS last_run,
+      (SELECT CAST(sum(row_count) AS BIGINT) FROM runs_n WHERE run_no = (SELECT max(run_no) FROM runs_n)) AS last_count FROM runs_n)
     SELECT s.source_id, h.status, h.row_count, l.last_run, l.last_count FROM s LEFT JOIN h USING (source_id) CROSS JOIN l""", "runs")
 def source_status(t: Tables) -> DataFrame:
-    from tenderloom.functions.base import with_scalars
     rows = run_rows(t)
-    last = rows.filter("run_no = 29").select("source_id", "status", "row_count")
-    summary = rows.agg(F.max("run_no").alias("last_run"),
-                       F.sum(F.when(F.col("run_no") == 29, F.col("row_count"))).alias("last_count"))
+    last = newest_run(t).select("source_id", "status", "row_count")
+    summary = newest_run(t).agg(F.max("run_no").alias("last_run"), F.sum("row_count").alias("last_count"))
     return with_scalars(rows.select("source_id").distinct().join(last, "source_id", "left"), summary)
 
 
 @query("user_sort", f"""SELECT * FROM (SELECT 'value' AS sort_key, CAST(row_number() OVER (ORDER BY {BUDGET} DESC NULLS LAST, title, ordinal)
       AS INTEGER) AS place, ordinal FROM bids UNION ALL SELECT 'due', CAST(row_number() OVER (ORDER BY due_date ASC NULLS LAST,
-      title, ordinal) AS INTEGER), ordinal FROM bids) WHERE place <= 200""", "bids")
+      title, ordinal) AS INTEGER), ordinal FROM bids)""", "bids")
 def user_sort(t: Tables) -> DataFrame:
-    """First pages of two sort orders; each is a bounded top-n, not a global sort."""
+    """Two sort orders over every row, each with its places."""
     def page(name: str, key, descending: bool) -> DataFrame:
         order = [*filters.user_sort(key, descending), F.col("ordinal").asc()]
-        return (t.bids.orderBy(*order).limit(200).withColumn("place", F.row_number().over(Window.orderBy(*order)))
-                .select(F.lit(name).alias("sort_key"), "place", "ordinal"))
+        return numbered(t.bids, order, "place").select(F.lit(name).alias("sort_key"), "place", "ordinal")
 
     return page("value", text.budget_amount("budget"), True).unionByName(page("due", F.col("due_date"), False))
 
@@ -212,14 +217,13 @@ def recent_per_group(t: Tables) -> DataFrame:
 @query("pipeline_board", f"""WITH {WORKFLOW} SELECT wf.stage, wf.opportunity_id,
     CAST(row_number() OVER (PARTITION BY wf.stage ORDER BY {DAYS} ASC NULLS LAST, b.title, b.ordinal) AS INTEGER) AS place,
     CAST(len(list_filter(range(len(b.requirements)), lambda i: NOT list_contains(wf.ticked, CAST(i AS VARCHAR)))) AS INTEGER) AS unmet
-    FROM wf JOIN bids b USING (opportunity_id) WHERE wf.stage IN ('watching', 'preparing', 'submitted', 'result') AND NOT wf.archived
-    QUALIFY place <= 100""", "bids")
+    FROM wf JOIN bids b USING (opportunity_id) WHERE wf.stage IN ('watching', 'preparing', 'submitted', 'result') AND NOT wf.archived""", "bids")
 def pipeline_board(t: Tables) -> DataFrame:
-    """The first hundred cards of each stage, soonest due first, with unmet requirements."""
+    """Every card of each stage, soonest due first, with unmet requirements."""
     tracked = workflow(t.bids).filter(F.col("stage").isin(*marts.STAGES) & ~F.col("archived")).drop("ordinal")
     cards = tracked.join(t.bids, "opportunity_id")
     order = [*filters.user_sort(text.days_until_due("due_date", AS_OF), False), F.col("ordinal").asc()]
-    return first_rows(cards, ["stage"], order, n=100, keep_rank="place").select(
+    return numbered(cards, order, "place", by=["stage"]).select(
         "stage", "opportunity_id", "place", ranking.unmet_requirements().alias("unmet"))
 
 
@@ -237,10 +241,10 @@ def attention(t: Tables) -> DataFrame:
 
 
 @query("snapshot_csv_order", f"""SELECT ordinal, place FROM (SELECT ordinal, CAST(row_number() OVER (ORDER BY {RANK}, due_date ASC NULLS LAST,
-    county, agency, ordinal) AS INTEGER) AS place FROM bids) WHERE place <= 500""", "bids")
+    county, agency, ordinal) AS INTEGER) AS place FROM bids)""", "bids")
 def snapshot_csv_order(t: Tables) -> DataFrame:
     order = [*filters.listing_order()[:4], F.col("ordinal").asc()]
-    return t.bids.orderBy(*order).limit(500).select("ordinal", F.row_number().over(Window.orderBy(*order)).alias("place"))
+    return numbered(t.bids, order, "place").select("ordinal", "place")
 
 
 @query("sweep_todo", """WITH l AS (SELECT entity_id, platform FROM log QUALIFY row_number() OVER (PARTITION BY entity_id ORDER BY event_id DESC) = 1),
@@ -276,7 +280,6 @@ def directory_filter(t: Tables) -> DataFrame:
     UNION ALL SELECT * FROM (SELECT 'reason', 'reason ' || why, count(*), NULL FROM l WHERE platform = 'unknown' GROUP BY why ORDER BY 3 DESC, 2 LIMIT 10)""", "log")
 def sweep_report(t: Tables) -> DataFrame:
     """Platform histogram with shares, and the ten commonest reasons for an unknown."""
-    from tenderloom.functions.base import with_scalars
     from tenderloom.operators.dedupe import keep_last_by
     latest = keep_last_by(t.log, ["entity_id"], "event_id").withColumn("why", F.col("event_id") % 13)
     total = latest.agg(F.count(F.lit(1)).alias("entities"))

@@ -198,7 +198,7 @@ _TAIL = geo.CITY_TAIL
 
 
 def gazetteer(t: Tables) -> geo.Gazetteer:
-    return geo.Gazetteer(t.spark.createDataFrame(CITIES, "needle string, slug string"), INSTITUTIONS)
+    return geo.Gazetteer(t.spark.createDataFrame([(*c, i) for i, c in enumerate(CITIES)], "needle string, slug string, position int"), INSTITUTIONS)
 
 
 @query("infer_county", rf"""WITH a AS (SELECT ordinal, {AGENCY_SQL} AS name, CASE ordinal % 40 WHEN 14 THEN 'St. Lucie' WHEN 15 THEN 'federal' END AS hint FROM bids),

@@ -211,12 +211,12 @@ def apply_facts(t: Tables) -> DataFrame:
 
 
 @query("document_bundle", """WITH d AS (SELECT conv_id, turn, role, text, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS n FROM conversations WHERE text <> '')
-    SELECT conv_id, substr('LISTING ' || conv_id || coalesce(string_agg(chr(10) || '== ' || n || ': ' || role || chr(10) || substr(text, 1, 400), '' ORDER BY n), ''), 1, 1500) AS bundle
-    FROM d WHERE n <= 6 GROUP BY conv_id""")
+    SELECT conv_id, substr('LISTING ' || conv_id || coalesce(string_agg(chr(10) || '== ' || n || ': ' || role || chr(10) || substr(text, 1, 60000), '' ORDER BY n), ''), 1, 160000) AS bundle
+    FROM d WHERE n <= 8 GROUP BY conv_id""")
 def document_bundle(t: Tables) -> DataFrame:
     from tenderloom.operators.facts import bundle
     parts = t.conversations.filter("text <> ''").select(F.col("conv_id"), F.col("turn").alias("place"), F.col("role").alias("name"), "text")
-    return bundle(parts, "conv_id", F.concat(F.lit("LISTING "), F.col("conv_id").cast("string")), parts_kept=6, part_chars=400, total_chars=1500)
+    return bundle(parts, "conv_id", F.concat(F.lit("LISTING "), F.col("conv_id").cast("string")), parts_kept=8, part_chars=60_000, total_chars=160_000)
 
 
 @query("demo_row_counts", "SELECT source_id = '5-LOW' AS demo, count(*) AS count FROM bids GROUP BY 1", "bids")

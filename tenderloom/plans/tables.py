@@ -159,7 +159,6 @@ def doc_columns(d) -> dict[str, str]:
         "ordinal": "doc_id",
         "agency": "source",
         "county": "lang",
-        "title": "substr(text, 1, 160)",
         "lead": f"""CASE doc_id % 12
             WHEN 0 THEN 'A bid bond and a performance bond are required; not to exceed $1,250,000.'
             WHEN 1 THEN 'RFP No. 2024-118 request for proposals. Estimated cost is $2.5 million.'
@@ -219,9 +218,8 @@ LOG_SQL = """SELECT event_id, ts, 'ent' || CAST(user_id AS STRING) AS entity_id,
       WHEN 'signup' THEN 'selfhosted' ELSE 'unknown' END AS platform, event_type, value, props
     FROM events"""
 
-MESSAGES_SQL = """SELECT conv_id, min(CASE WHEN turn = 0 THEN text END) AS opening,
-    max(CASE WHEN turn = 1 THEN text END) AS reply, CAST(count(*) AS BIGINT) AS turns
-    FROM conversations GROUP BY conv_id"""
+# One message per turn of a conversation.
+MESSAGES_SQL = """SELECT conv_id * 1000 + turn AS conv_id, text AS opening FROM conversations"""
 
 
 def _select(columns: dict[str, str], source: str) -> str:
@@ -261,18 +259,16 @@ BASE_TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "li
 FACT_TABLES = ("orders", "lineitem", "events", "documents", "pages", "conversations")
 
 
-def widened(df: DataFrame) -> DataFrame:
-    """Spread an input with fewer splits than cores; larger inputs are left as they are read.
-
-    The test tables are single files of one row group, which one task would
-    otherwise read, project and mine alone.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+SPREAD_KEY = "spark.tenderloom.spread"
 
 
 class Tables:
-    """Lazy DataFrames over one scale-factor folder."""
+    """Lazy DataFrames over one scale-factor folder.
+
+    The test tables are single files of one row group, which one task reads
+    alone. A session may set `spark.tenderloom.spread` to a number of partitions to
+    deal the fact tables to; unset, as on a cluster, they stay as they are read.
+    """
 
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark = spark
@@ -280,7 +276,8 @@ class Tables:
 
     def base(self, name: str) -> DataFrame:
         df = self.spark.read.parquet(f"{self.sf_dir.rstrip('/')}/{name}.parquet")
-        return widened(df) if name in FACT_TABLES else df
+        spread = self.spark.conf.get(SPREAD_KEY, None)
+        return df.repartition(int(spread)) if spread and name in FACT_TABLES else df
 
     def __getattr__(self, name: str) -> DataFrame:
         if name in BASE_TABLES:

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -28,28 +26,30 @@ def get_session(app: str = "tenderloom", master: str | None = None, cores: int =
         .config("spark.ui.showConsoleProgress", "false")
     )
     if master:
-        builder = (builder.master(master)
-                   .config("spark.sql.shuffle.partitions", str(cores)))
+        builder = (builder.master(master).config("spark.sql.shuffle.partitions", str(cores))
+                   .config("spark.tenderloom.spread", str(cores)))
     for key, value in conf.items():
         builder = builder.config(key, value)
     return builder.getOrCreate()
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared checkpoint folder; a fresh local one only on local masters."""
-    named = spark.conf.get(CHECKPOINT_KEY, None)
-    if named:
-        return named
-    if not spark.sparkContext.master.startswith("local"):
-        raise RuntimeError(f"set {CHECKPOINT_KEY} to a folder every executor can reach")
-    made = tempfile.mkdtemp(prefix="tenderloom-")
-    spark.conf.set(CHECKPOINT_KEY, made)
-    return made
+    """The run's own folder below spark.checkpoint.dir, else below the warehouse; removed when the session ends.
+
+    Both are shared by a cluster's machines, and the rule is the same on every
+    master. Removal is left to the file system's own list of temporary paths.
+    """
+    root = spark.conf.get(CHECKPOINT_KEY, None) or f"{spark.conf.get('spark.sql.warehouse.dir')}/_scratch"
+    folder = f"{root.rstrip('/')}/{spark.sparkContext.applicationId}"
+    jvm = spark.sparkContext._jvm
+    path = jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(path)
+    return folder
 
 
 def scratch_path(spark: SparkSession, label: str) -> str:
-    """A new path under the shared folder for one run's intermediate table."""
-    return os.path.join(shared_dir(spark), f"{label}-{uuid.uuid4().hex[:12]}")
+    """A new path under the run's shared folder for one intermediate table."""
+    return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex[:12]}"
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:

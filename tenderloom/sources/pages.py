@@ -8,25 +8,40 @@ with the standard library, one page at a time.
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
+from html.entities import name2codepoint
 from html.parser import HTMLParser
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tenderloom.functions.base import (ColumnLike, any_of, capture, captures, col, first_rows, ladder, matches,
+from tenderloom.functions.base import (ColumnLike, any_of, capture, captures, col, first_rows, ladder, let, matches,
                                        none_if_blank, or_blank)
 
-# The entities portals actually emit; numeric ones follow as a rule.
-ENTITIES = [("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&apos;", "'"), ("&#58;", ":"),
-            ("&amp;", "&")]
+# Named references by the standard library's list; a hard blank is a blank here, as every reader of these pages takes it.
+NAMED = {**{name: chr(point) for name, point in name2codepoint.items()}, "apos": "'", "nbsp": " "}
+REFERENCE = r"^(#[xX][0-9a-fA-F]{1,6}|#[0-9]{1,7}|[A-Za-z][A-Za-z0-9]{1,30});"
 
 
 def unescape(text: ColumnLike) -> Column:
-    out = col(text)
-    for entity, char in ENTITIES:
-        out = F.replace(out, F.lit(entity), F.lit(char))
-    return out
+    """Character references decoded once: numeric ones by rule, named ones by list; others stay as they are."""
+    def decoded(piece: Column) -> Column:
+        def known(name: Column) -> Column:
+            point = F.when(F.lower(F.substring(name, 1, 2)) == "#x", F.conv(F.substr(name, F.lit(3)), 16, 10)) \
+                .when(name.startswith("#"), F.substr(name, F.lit(2))).cast("bigint")
+            valid = point.between(1, 0x10FFFF) & ~point.between(0xD800, 0xDFFF)
+            char = F.when(point == 160, F.lit(" ")).when(valid, F.decode(F.unhex(F.lpad(F.hex(point), 8, "0")), "UTF-32"))
+            return F.when(name == "", None).when(name.startswith("#"), char).otherwise(F.try_element_at(NAMED_MAP(), name))
+
+        name = F.regexp_extract(piece, REFERENCE, 1)
+        return let(name, lambda n: F.coalesce(F.concat(known(n), F.substr(piece, F.length(n) + 2)), F.concat(F.lit("&"), piece)))
+
+    parts = F.split(col(text), "&")
+    return let(parts, lambda p: F.concat(F.get(p, F.lit(0)), F.array_join(F.transform(F.slice(p, F.lit(2), F.size(p)), decoded), "")))
+
+
+def NAMED_MAP() -> Column:
+    return F.create_map(*[F.lit(x) for pair in NAMED.items() for x in pair])
 
 
 def html_to_text(html: ColumnLike, separator: str = " · ") -> Column:
@@ -37,6 +52,13 @@ def html_to_text(html: ColumnLike, separator: str = " · ") -> Column:
     return F.trim(F.regexp_replace(out, r"\s+", " "), F.lit(" ·"))
 
 
+def rich_text(html: ColumnLike) -> Column:
+    """The text pieces of an editor field joined by blanks; drawings are left out, references decoded once."""
+    out = F.regexp_replace(or_blank(html), r"(?is)<svg\b.*?(?:</svg\s*>|$)", " ")
+    out = unescape(F.regexp_replace(out, r"(?s)<!--.*?-->|<[^>]+>", " "))
+    return F.trim(F.regexp_replace(out, r"\s+", " "))
+
+
 ANCHOR = r"""(?is)<a\b[^>]*href=["']([^"']+)["'][^>]*>(.*?)</a>"""
 
 
@@ -173,17 +195,16 @@ def points_offsite(html: ColumnLike, platform: str) -> Column:
 NOTICE_REF = (r"\b(ITB|IFB|RFP|RFQ|RFI|ITN|RPQ|ITQ|RLI)\s*(?:No\.?\s*)?[-–]?\s*"
               r"(\d{2,4}[-–]\d{2,4}(?:[-–]\d{1,4})?)")
 NOTICE_NOT = r"\b(award|tabulation|intent to award|results|minutes|agenda|archive)\b"
-NOTICE_WRAP = r"^\s*(?:public\s+notice|notice|addendum|advertisement)\s*[-–:]*\s*|\s*\[?\s*(?:pdf|docx?|revised|\d+(?:st|nd|rd|th)\s+revised)\s*\]?\s*$"
+NOTICE_HEAD = r"^[\s–:|-]*(?:(?:public\s+notice|notice|addendum|advertisement)[\s–:|-]*)+"
+NOTICE_TAIL = r"(?:[\s–:|-]*\[?\s*(?:pdf|docx?|\d+(?:st|nd|rd|th)\s+revised|revised)\s*\]?)+[\s–:|-]*$"
 DOCUMENT_LINK = r"(documentcenter|showdocument|\.pdf|\.docx?|\.xlsx?|\.zip)"
 MAX_DOCUMENTS = 40
 
 
-def peel(text: ColumnLike, rounds: int = 4) -> Column:
-    """A notice's text without stacked wrappers such as `... Revised [PDF]`."""
-    out = F.trim(col(text), F.lit(" -–:|"))
-    for _ in range(rounds):
-        out = F.trim(F.regexp_replace(out, "(?i)" + NOTICE_WRAP, ""), F.lit(" -–:|"))
-    return out
+def peel(text: ColumnLike) -> Column:
+    """A notice's text without wrappers such as `... Revised [PDF]`, however many are stacked."""
+    inner = F.regexp_replace(F.regexp_replace(col(text), "(?i)" + NOTICE_HEAD, ""), "(?i)" + NOTICE_TAIL, "")
+    return F.trim(inner, F.lit(" -–:|"))
 
 
 def notice_links(pages: DataFrame) -> DataFrame:

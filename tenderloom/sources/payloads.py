@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from tenderloom.functions import calendar, dates, text
 from tenderloom.functions.base import (ColumnLike, capture, col, filled, first_filled, first_rows, lookup_map,
                                        matches, none_if_blank, or_blank)
-from tenderloom.sources.pages import html_to_text
+from tenderloom.sources.pages import html_to_text, rich_text
 
 PAYLOAD_OPTIONS = {"mode": "PERMISSIVE"}
 
@@ -97,7 +97,7 @@ def normalise_projects(payloads: DataFrame, open_statuses: Sequence[str] = ("ope
         dates.parse_timestamp("r.proposalDeadline").alias("due_date"),
         F.when(is_open, F.lit("open")).otherwise(ended["status"]).alias("status"),
         F.when(~is_open, ended["award_date"]).alias("award_date"),
-        none_if_blank(F.substring(html_to_text("r.summary"), 1, 600)).alias("description"))
+        none_if_blank(F.substring(rich_text("r.summary"), 1, 600)).alias("description"))
 
 
 PROJECT_DETAIL = """project_id long, summary string, description string, contactFullName string, contactTitle string,
@@ -143,7 +143,7 @@ def normalise_project_details(payloads: DataFrame) -> DataFrame:
     codes = F.filter("p.categories", lambda c: filled(c["code"]))
     return p.select(
         "source_id", F.col("p.project_id").alias("project_id"),
-        first_filled(html_to_text("p.summary"), html_to_text("p.description")).alias("scope"),
+        first_filled(rich_text("p.summary"), rich_text("p.description")).alias("scope"),
         F.coalesce(_named(F.col("p.contactFullName"), F.col("p.contactTitle")),
                    _named(F.col("p.procurementContactFullName"), F.col("p.procurementContactTitle")),
                    none_if_blank(F.trim("p.contact"))).alias("contact"),

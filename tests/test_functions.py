@@ -110,3 +110,52 @@ def test_package_facts(spark):
 def test_short_money(spark):
     df = spark.createDataFrame([(1_400_000,), (2_000_000,), (250_400,), (900,), (None,)], "n long")
     assert [r[0] for r in df.select(render.short_money("n")).collect()] == ["$1.4M", "$2M", "$250k", "$900", None]
+
+
+def test_rich_text_and_references(spark):
+    from tenderloom.sources import pages
+    rows = [("Work<br>to do &#8217;x&mdash;y",), ("<p>a<svg><text>no</text></svg>b</p>",), ("&amp;lt; &bogus; &#x1F600; &#0; AT&T &nbsp;z",), (None,)]
+    got = [r.t for r in spark.createDataFrame(rows, "h string").select(pages.rich_text("h").alias("t")).collect()]
+    assert got == ["Work to do ’x—y", "a b", "&lt; &bogus; 😀 &#0; AT&T z", ""]
+
+
+def test_wrappers_go_however_many(spark):
+    from tenderloom.sources import pages
+    text = "Public Notice - NOTICE: Addendum - notice - RFP roof repairs 2nd Revised [PDF] Revised [DOC] pdf [Revised] docx"
+    got = spark.createDataFrame([(text,), ("notice",), ("plain roof",)], "t string").select(pages.peel("t").alias("p")).collect()
+    assert [r.p for r in got] == ["RFP roof repairs", "", "plain roof"]
+
+
+def test_clocks_reach_any_year(spark):
+    from datetime import datetime as at
+    df = spark.createDataFrame([(at(1989, 6, 12, 9),), (at(2061, 6, 13, 9),), (None,)], "p timestamp_ntz")
+    got = [r.d for r in calendar.protest_deadline(df, "p", "d").orderBy("p").collect()]
+    assert got[0] is None and got[1:] == [at(1989, 6, 15, 9), at(2061, 6, 16, 9)]
+
+
+def test_numbered_lists(spark):
+    from pyspark.sql import functions as F
+
+    from tenderloom.functions.base import numbered
+    rows = [("a" if i % 5 else "b", i * 7 % 100, i) for i in range(100)]
+    df = spark.createDataFrame(rows, "g string, v int, id int")
+    got = {r.id: r.place for r in numbered(df, [F.col("v").desc(), F.col("id")], "place", by=["g"]).collect()}
+    for g in "ab":
+        ordered = sorted((r for r in rows if r[0] == g), key=lambda r: (-r[1], r[2]))
+        assert [got[r[2]] for r in ordered] == list(range(1, len(ordered) + 1))
+    assert sorted(r.place for r in numbered(df, [F.col("id")], "place").collect()) == list(range(1, 101))
+
+
+def test_failed_runs_do_not_shorten_the_window(spark):
+    from tenderloom.operators import health
+    runs = spark.createDataFrame([("s", n, 50 if n < 9 else 1, "ok", None) for n in range(12)], "source_id string, run_no int, row_count int, status string, note string")
+    done = spark.createDataFrame([(n,) for n in range(8)], "run_no int")
+    got = {r.run_no: r.norm for r in health.source_drops(runs, done).collect()}
+    assert got[0] is None and got[8] == 50 and got[11] == 50
+
+
+def test_equal_place_names_keep_list_order(spark):
+    from tenderloom.functions import geo
+    cities = spark.createDataFrame([("davie", "broward", 0), ("tampa", "hillsborough", 1)], "needle string, slug string, position int")
+    df = spark.createDataFrame([("Davie Tampa Board",)], "agency string")
+    assert geo.infer_counties(df, geo.Gazetteer(cities)).first().county_slug == "broward"
