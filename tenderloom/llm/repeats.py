@@ -294,7 +294,8 @@ def repeated_spans(source: DataFrame, least: int = LEAST) -> str:
     dealt = kinds.mapInArrow(_dealt(c.sorted_files(large, "h", ["n"], "repeat-shards")), "h long, ctx long, times long, before binary, after binary, part long, side int")
     shards = dealt.repartition(c.width(source.sparkSession), "h", "part").sortWithinPartitions("h", "part", "ctx")
     reach = c.written(shards.mapInArrow(_repeated(least), "h long, ctx long, l long, r long"), "repeat-reach")
-    most = reach.groupBy("h", "ctx").agg(F.max("l").alias("l"), F.max("r").alias("r"))
+    # a written table: the join's exchange then stands alone, and a very common context can be split
+    most = c.written(reach.groupBy("h", "ctx").agg(F.max("l").alias("l"), F.max("r").alias("r")), "repeat-most")
     spans = found.where("h is null").select("key", "lo", "hi").union(
         near.select("key", "lo", "h", "ctx").join(most, ["h", "ctx"]).select("key", F.col("lo") - F.col("l"), F.col("lo") + F.col("r")))
     return c.sorted_files(spans.distinct(), "key", ["lo", "hi"], "repeat-spans")
