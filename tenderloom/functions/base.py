@@ -140,6 +140,15 @@ def with_scalars(df, one_row):
     return df.join(F.broadcast(one_row))
 
 
+#: Rows up to which a small side is sent to every executor; larger ones are joined by a shuffle.
+BROUGHT_ROWS = 100_000
+
+
+def brought(df, most: int = BROUGHT_ROWS):
+    """`df` with a broadcast hint if its counted rows are at most `most`; a list's size is unknown to the planner."""
+    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
+
+
 def lookup_map(mapping, key: Column) -> Column:
     """The value of `key` in a fixed dictionary, or null."""
     return F.create_map(*[F.lit(x) for pair in mapping.items() for x in pair])[key]

@@ -12,7 +12,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tenderloom.functions.base import (ColumnLike, any_of, col, ladder, matches, or_blank)
+from tenderloom.functions.base import (ColumnLike, any_of, brought, col, ladder, matches, or_blank)
 
 # Region -> county slugs.
 REGIONS: dict[str, list[str]] = {
@@ -110,28 +110,33 @@ def is_statewide_body(name: Column, markers: Sequence[str] = STATEWIDE_MARKERS)
 _WORD = r"[\p{L}\p{N}_]+"
 
 
-def longest_names_inside(names: DataFrame, known: DataFrame) -> DataFrame:
-    """For each `name`, the longest known needle of every kind standing in it as whole words.
+def longest_names_inside(names: DataFrame, known: DataFrame, key: str = "name") -> DataFrame:
+    """For each `name` (told apart by `key`), the longest known needle of every kind standing in it as whole words.
 
     `known` has kind, needle, slug and position; the earlier of equally long names
     wins. Candidates come from an equi-join on the
     needle's first word; the exact spelling is then checked with word
-    boundaries. Returns name and a map kind -> slug.
+    boundaries. Returns key and a map kind -> slug.
     """
     words = F.array_distinct(F.regexp_extract_all("name", F.lit(_WORD), F.lit(0)))
     keyed = known.withColumn("word", F.regexp_extract("needle", f"({_WORD})", 1))
-    candidates = names.select("name", F.explode(words).alias("word")).join(keyed, "word")
+    candidates = names.select(*dict.fromkeys([key, "name"]), F.explode(words).alias("word")).join(brought(keyed), "word")
     exact = F.expr(r"rlike(name, concat('\\b\\Q', needle, '\\E\\b'))")
-    best = candidates.filter(exact).groupBy("name", "kind").agg(
+    best = candidates.filter(exact).groupBy(key, "kind").agg(
         F.max_by("slug", F.struct(F.length("needle"), -F.col("position"))).alias("slug"))
-    return best.groupBy("name").agg(F.map_from_entries(F.collect_list(F.struct("kind", "slug"))).alias("found"))
+    return best.groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct("kind", "slug"))).alias("found"))
 
 
 def infer_counties(df: DataFrame, gazetteer: Gazetteer, agency: str = "agency", hint: str | None = None,
-                   out: str = "county_slug") -> DataFrame:
-    """Add the county each agency name points at, `statewide`, or `unknown`."""
+                   out: str = "county_slug", key: str | None = None) -> DataFrame:
+    """Add the county each agency name points at, `statewide`, or `unknown`.
+
+    Names recur, so each is judged once. Long texts do not: with a unique `key`
+    each row is judged by itself and no text becomes a join key.
+    """
     spellings = county_spellings()
-    names = df.select(normalise(or_blank(agency)).alias("name")).distinct()
+    on, text = key or "name", normalise(or_blank(agency))
+    names = df.select(key, text.alias("name")) if key else df.select(text.alias("name")).distinct()
     counties = df.sparkSession.createDataFrame(
         [(*pair, i) for i, pair in enumerate(spellings.items())], "needle string, slug string, position int")
     known = gazetteer.cities.select(F.lit("city").alias("kind"), "needle", "slug", "position").unionByName(
@@ -143,14 +148,16 @@ def infer_counties(df: DataFrame, gazetteer: Gazetteer, agency: str = "agency",
     institution = ladder([(F.col("name").contains(needle), F.lit(slug))
                           for needle, slug in gazetteer.institutions.items()], F.lit(None).cast("string"))
     placed = (names.withColumn("city_of", F.trim(city_of))
-              .join(cities, "city_of", "left").join(longest_names_inside(names, known), "name", "left")
-              .select("name", F.when(F.col("name") == "", F.lit("unknown")).otherwise(F.coalesce(
+              .join(brought(cities), "city_of", "left").join(longest_names_inside(names, known, on), on, "left")
+              .select(on, F.when(F.col("name") == "", F.lit("unknown")).otherwise(F.coalesce(
                   explicit,
                   F.when(is_statewide_body(F.col("name"), gazetteer.markers), F.lit("statewide")),
                   institution, "named_city_slug", F.col("found")["city"], F.col("found")["county"],
                   F.lit("unknown"))).alias("__slug")))
-    joined = df.withColumn("name__", normalise(or_blank(agency))).join(
-        placed.withColumnRenamed("name", "name__"), "name__", "left").drop("name__")
+    if key:
+        joined = df.join(placed, key, "left")
+    else:
+        joined = df.withColumn("name__", text).join(placed.withColumnRenamed("name", "name__"), "name__", "left").drop("name__")
     if hint is None:
         return joined.withColumnRenamed("__slug", out)
     given = F.coalesce(lookup(spellings, normalise(hint)),

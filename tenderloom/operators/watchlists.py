@@ -1,9 +1,9 @@
 """Saved rules against live bids.
 
 A rule pairs with bids through one equi-key: its counties if it names any, else
-its offers, else its categories, else `*`. Rules are small and meet the bids as
-the build side of a hash join; a rule table too big to broadcast becomes an
-ordinary shuffled join whose hot keys AQE splits.
+its offers, else its categories, else `*`. Rules are counted: up to 100,000 of
+their keys are brought to the bids, which then are not shuffled at all; more
+make an ordinary shuffled join whose hot keys AQE splits.
 """
 
 from __future__ import annotations
@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tenderloom.functions import geo, text
-from tenderloom.functions.base import filled_array, filled_number, first_rows, or_blank
+from tenderloom.functions.base import brought, filled_array, filled_number, first_rows, or_blank
 from tenderloom.operators.filters import LIVE, has_bond
 
 RULE_SCHEMA = ("watchlist_id string, counties array<string>, offers array<string>, categories array<string>, "
@@ -23,16 +23,19 @@ RULE_SCHEMA = ("watchlist_id string, counties array<string>, offers array<string
 def with_named_counties(df: DataFrame, gazetteer: geo.Gazetteer, only: Column | None = None) -> DataFrame:
     """Add named_counties: counties a bid names in its keywords or prose, besides its own field.
 
-    Where `only` is given, prose is read for those rows alone.
+    Where `only` is given, prose is read for those rows alone; the others do
+    not enter the search. Rows are told apart by `ordinal`.
     """
     slugs = F.array(*[F.lit(s) for s in geo.COUNTY_NAMES])
     prose = F.concat_ws(" ", *[F.when(F.col(c) != "", F.col(c)) for c in ("title", "description", "department")])
-    if only is not None:
-        prose = F.when(only, prose)
-    guessed = geo.infer_counties(df.withColumn("__prose", prose), gazetteer, agency="__prose", out="__guess")
-    found = F.array_union(F.array_intersect("keywords", slugs),
-                          F.filter(F.array("__guess"), lambda c: F.array_contains(slugs, c)))
-    return guessed.withColumn("named_counties", found).drop("__prose", "__guess")
+    own = F.array_intersect("keywords", slugs)
+    read = df if only is None else df.filter(only)
+    guessed = geo.infer_counties(read.withColumn("__prose", prose), gazetteer, agency="__prose", out="__guess", key="ordinal")
+    found = F.array_union(own, F.filter(F.array("__guess"), lambda c: F.array_contains(slugs, c)))
+    told = guessed.withColumn("named_counties", found).drop("__prose", "__guess").select(*df.columns, "named_counties")
+    if only is None:
+        return told
+    return told.unionByName(df.filter(~F.coalesce(only, F.lit(False))).withColumn("named_counties", own))
 
 
 def needs_prose() -> Column:
@@ -87,7 +90,7 @@ def matches(df: DataFrame, rules: DataFrame) -> DataFrame:
         & (~filled_array("rule.keywords") | F.exists("rule.keywords", lambda w: F.contains(words, F.lower(w))))
         # A bid sharing several categories with a rule is kept at the first only.
         & (~F.startswith("key", F.lit("category:")) | (F.col("key") == F.concat(F.lit("category:"), shared_tag))))
-    return (live.join(keyed_rules, "key").filter(accepted)
+    return (live.join(brought(keyed_rules), "key").filter(accepted)
             .withColumn("watchlist_id", F.col("rule.watchlist_id")).drop("key", "rule"))
 
 
