@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tenderloom.functions import text
 from tenderloom.functions.base import first_filled, first_rows, with_scalars
 
 
@@ -135,6 +136,20 @@ def unread_notifications(log: DataFrame) -> DataFrame:
     return latest.join(raised, ["kind", "key"])
 
 
+def deadline_scan(bids: DataFrame, workflow: DataFrame, as_of: str, window: int = 5) -> DataFrame:
+    """Alarms for tracked bids due within `window` days: opportunity_id, kind, title and body.
+
+    Archived bids and those with a result raise none.
+    """
+    days = text.days_until_due("due_date", as_of)
+    tracked = workflow.filter(~F.col("archived") & (F.col("stage") != "result")).select("opportunity_id", "stage")
+    due = bids.withColumn("__days", days).filter(F.col("__days").between(0, window)).join(tracked, "opportunity_id")
+    return due.select(
+        "opportunity_id", F.lit("deadline_soon").alias("kind"),
+        F.concat(F.lit("Due in "), F.col("__days").cast("string"), F.when(F.col("__days") == 1, " day: ").otherwise(" days: "), F.col("title")).alias("title"),
+        F.concat(F.col("agency"), F.lit(" · stage: "), F.col("stage")).alias("body"))
+
+
 def first_wins(parts: Sequence[DataFrame], key: str) -> DataFrame:
     """Union config tables in precedence order; the first definition of a key wins."""
     stacked = None

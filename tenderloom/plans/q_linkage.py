@@ -109,6 +109,18 @@ def notification_dedupe(t: Tables) -> DataFrame:
     return state.unread_notifications(unread).select("kind", "key", "event_id", "raised")
 
 
+# A day inside the test data, so that bids are due in the days after it.
+SCAN_DAY = "1998-06-01"
+SCAN_DAYS = DAYS.replace(AS_OF, SCAN_DAY)
+
+
+@query("deadline_scan", f"""WITH {WORKFLOW} SELECT b.opportunity_id, 'deadline_soon' AS kind, 'Due in ' || {SCAN_DAYS} || CASE {SCAN_DAYS} WHEN 1 THEN ' day: ' ELSE ' days: ' END || b.title AS title,
+    b.agency || ' · stage: ' || wf.stage AS body FROM wf JOIN bids b USING (opportunity_id)
+    WHERE NOT wf.archived AND wf.stage <> 'result' AND {SCAN_DAYS} BETWEEN 0 AND 5""", "bids")
+def deadline_scan(t: Tables) -> DataFrame:
+    return state.deadline_scan(t.bids, workflow(t.bids), SCAN_DAY)
+
+
 # ---- award linkage and recurrence -----------------------------------------
 
 TOKENED = f"tk AS (SELECT *, {tokens('title')} AS toks FROM bids)"

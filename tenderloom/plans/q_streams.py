@@ -20,42 +20,40 @@ def event_stream(t: Tables) -> DataFrame:
     return t.spark.readStream.schema(t.events.schema).option("pathGlobFilter", "events.parquet").parquet(t.sf_dir)
 
 
-def as_stream(df: DataFrame, label: str) -> DataFrame:
-    """Write rows to a table and read it as a file stream."""
+def as_stream(df: DataFrame, label: str, *slices: str) -> DataFrame:
+    """Write rows to a table, one file for each slice in turn, and read it as a stream of one file a batch."""
     path = scratch_path(df.sparkSession, label)
-    df.write.parquet(path)
-    return df.sparkSession.readStream.schema(df.schema).parquet(path)
+    for part in slices or ("true",):
+        df.filter(part).coalesce(1).write.mode("append").parquet(path)
+    return df.sparkSession.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(path)
 
 
 @query("deadline_load_stream", """SELECT CAST(date_trunc('week', ts) AS DATE) AS week, count(*) AS count, CAST(sum(CAST(round(value * 100) AS BIGINT)) AS BIGINT) AS value
     FROM events WHERE event_type <> 'error' GROUP BY 1""")
 def deadline_load_stream(t: Tables) -> DataFrame:
     valued = event_stream(t).filter("event_type <> 'error'").withColumn("cents", F.round(F.col("value") * 100).cast("long"))
-    out = scratch_path(t.spark, "weekly-load")
-    weekly = jobs.weekly_load(valued, "ts", "cents")
-    jobs.drain(weekly, "weekly-load", lambda batch, _n: batch.write.mode("overwrite").parquet(out), mode="complete")
-    return t.spark.read.schema(weekly.schema).parquet(out)
+    return jobs.drain_updates(jobs.weekly_load(valued, "ts", "cents"), scratch_path(t.spark, "weekly-load"), ["week"])
 
 
 @query("notification_stream", "SELECT DISTINCT event_type AS kind, entity_id AS key FROM log", "log")
 def notification_stream(t: Tables) -> DataFrame:
     alarms = event_stream(t).select(F.col("event_type").alias("kind"), F.expr("concat('ent', user_id)").alias("key"), "ts")
-    return jobs.drain_to_table(jobs.unread_alarms(alarms, "ts", "60 days").select("kind", "key"), "alarms")
+    return jobs.drain_to_table(jobs.unread_alarms(alarms, "ts", "60 days").select("kind", "key"), scratch_path(t.spark, "alarms"))
 
 
 @query("stream_source_drops", f"""WITH {RUN_ROWS}, n AS (SELECT *, list_sort(list(row_count) OVER (PARTITION BY source_id ORDER BY run_no RANGE BETWEEN 8 PRECEDING AND 1 PRECEDING)) AS past FROM runs_n)
     SELECT source_id, run_no, row_count, past[len(past) // 2 + 1] AS norm FROM n""", "runs")
 def stream_source_drops(t: Tables) -> DataFrame:
-    runs = as_stream(run_rows(t).select("source_id", "run_no", "row_count"), "runs")
-    return jobs.drain_to_table(jobs.monitor_sources(runs), "source-drops")
+    runs = as_stream(run_rows(t).select("source_id", "run_no", "row_count"), "runs", "run_no < 10", "run_no BETWEEN 10 AND 19", "run_no > 19")
+    return jobs.drain_to_table(jobs.monitor_sources(runs), scratch_path(t.spark, "source-drops"))
 
 
 @query("snapshot_merge_stream", MERGE_SQL, "bids")
 def snapshot_merge_stream(t: Tables) -> DataFrame:
     tracked = t.bids.filter("ordinal % 15 = 0").select("opportunity_id")
-    merger = jobs.SnapshotMerger(t.spark, _old(t), tracked, NOW)
-    jobs.drain(as_stream(_new(t), "fetches"), "snapshot-merge", merger)
-    return merger.read(t.spark).drop("ordinal")
+    merger = jobs.SnapshotMerger(_old(t), tracked, NOW, scratch_path(t.spark, "snapshots"))
+    jobs.drain(as_stream(_new(t), "fetches"), scratch_path(t.spark, "snapshot-merge"), merger)
+    return merger.read().drop("ordinal")
 
 
 @query("match_alert_stream", f"""WITH {MATCHED}, fr AS (SELECT * FROM mt WHERE ordinal % 10 = 1) SELECT watchlist_id, arg_min(opportunity_id, coalesce({DAYS}, 9999) * 10000000000::HUGEINT
@@ -72,6 +70,6 @@ def match_alert_stream(t: Tables) -> DataFrame:
         found = watchlists.alerts(watchlists.matches(named, rules(t)), AS_OF)
         found.write.mode("overwrite").parquet(f"{out}/batch={number}")
 
-    jobs.drain(once, "alerts", alert)
+    jobs.drain(once, f"{out}-checkpoint", alert)
     return t.spark.read.schema("watchlist_id string, opportunity_id string, found long, body string").parquet(out) \
         .select("watchlist_id", "opportunity_id", "found")

@@ -1,8 +1,8 @@
 """The recurring programs as Structured Streaming jobs.
 
-Each equals its batch operator on the same input. Event times are cast to
-TIMESTAMP, since watermarks do not take TIMESTAMP_NTZ. Results and checkpoints
-live in the shared folder the session names.
+Event times are cast to TIMESTAMP, since watermarks do not take TIMESTAMP_NTZ.
+Outputs and checkpoints are folders that the caller names: a job started again
+with the same folders goes on where it stopped.
 """
 
 from __future__ import annotations
@@ -10,36 +10,46 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from tenderloom.operators import health, state
-from tenderloom.session import scratch_path
 
 
-def drain(stream: DataFrame, label: str, each: Callable[[DataFrame, int], None], mode: str = "append") -> None:
+def drain(stream: DataFrame, checkpoint: str, each: Callable[[DataFrame, int], None], mode: str = "append") -> None:
     """Run a query over everything available now, handing each micro-batch to `each`."""
-    spark = stream.sparkSession
-    query = (stream.writeStream.outputMode(mode).foreachBatch(each)
-             .option("checkpointLocation", scratch_path(spark, f"{label}-checkpoint"))
+    query = (stream.writeStream.outputMode(mode).foreachBatch(each).option("checkpointLocation", checkpoint)
              .trigger(availableNow=True).start())
     query.awaitTermination()
 
 
-def drain_to_table(stream: DataFrame, label: str) -> DataFrame:
-    """Append a stream's rows to a Parquet table until nothing is left, and read it."""
-    spark = stream.sparkSession
-    out = scratch_path(spark, label)
+def drain_to_table(stream: DataFrame, out: str) -> DataFrame:
+    """Append a stream's rows to the Parquet table `out` until nothing is left, and read it."""
     query = (stream.writeStream.outputMode("append").format("parquet").option("path", out)
-             .option("checkpointLocation", scratch_path(spark, f"{label}-checkpoint"))
-             .trigger(availableNow=True).start())
+             .option("checkpointLocation", f"{out}-checkpoint").trigger(availableNow=True).start())
     query.awaitTermination()
-    return spark.read.schema(stream.schema).parquet(out)
+    return stream.sparkSession.read.schema(stream.schema).parquet(out)
+
+
+def drain_updates(stream: DataFrame, out: str, by: list[str]) -> DataFrame:
+    """Keep the newest row of every `by` from a query in update mode, and read them.
+
+    Each micro-batch writes its changed rows under its own number, so a batch
+    that is run again replaces itself.
+    """
+    drain(stream, f"{out}-checkpoint", lambda batch, n: batch.write.mode("overwrite").parquet(f"{out}/batch={n}"), "update")
+    values = [c for c in stream.columns if c not in by]
+    rows = stream.sparkSession.read.schema(stream.schema.add("batch", "long")).parquet(out)
+    return rows.groupBy(*by).agg(F.max_by(F.struct(*values), "batch").alias("v")).select(*by, "v.*")
 
 
 def weekly_load(stream: DataFrame, ts: str, value: str, late: str = "7 days") -> DataFrame:
-    """Count and value per Monday-based week of an event-time column."""
+    """Count and value per Monday-based week of an event-time column.
+
+    Run it in update mode: a week changes until the watermark is past it, then
+    its state goes, and rows later than `late` are left out.
+    """
     timed = stream.withColumn("at", F.col(ts).cast("timestamp")).withWatermark("at", late)
     weeks = timed.groupBy(F.window("at", "7 days", "7 days", "4 days")).agg(
         F.count(F.lit(1)).alias("count"), F.sum(value).alias("value"))
@@ -47,7 +57,11 @@ def weekly_load(stream: DataFrame, ts: str, value: str, late: str = "7 days") ->
 
 
 def unread_alarms(stream: DataFrame, ts: str, keep: str) -> DataFrame:
-    """One alarm per (kind, key) within the retention interval."""
+    """One alarm per (kind, key) within the retention interval: the first one raised.
+
+    An alarm has gone out before a later wording is known; the batch form,
+    `state.unread_notifications`, lists the newest wording instead.
+    """
     return (stream.withColumn("at", F.col(ts).cast("timestamp")).withWatermark("at", keep)
             .dropDuplicatesWithinWatermark(["kind", "key"]))
 
@@ -61,44 +75,55 @@ def monitor_sources(stream: DataFrame) -> DataFrame:
     lookback = health.LOOKBACK_RUNS
 
     def judge(key: tuple, batches: Iterator[pd.DataFrame], held: GroupState) -> Iterator[pd.DataFrame]:
-        past = list(zip(*held.get)) if held.exists else []
-        for batch in batches:
-            rows = []
-            for run, count in batch.sort_values("run_no")[["run_no", "row_count"]].itertuples(index=False):
-                window = sorted(c for r, c in past if run - lookback <= r < run)
-                norm = window[len(window) // 2] if window else None
-                rows.append((key[0], int(run), int(count), norm))
-                past = [p for p in past if p[0] > run - lookback] + [(int(run), int(count))]
-            yield pd.DataFrame(rows, columns=["source_id", "run_no", "row_count", "norm"]).astype({"norm": "Int64"})
+        past, rows = list(zip(*held.get)) if held.exists else [], []
+        # A source's new runs may come in several Arrow batches; they are few, and sorted together.
+        new = sorted((int(r), int(c)) for batch in batches for r, c in batch[["run_no", "row_count"]].itertuples(index=False))
+        for run, count in new:
+            window = sorted(c for r, c in past if run - lookback <= r < run)
+            rows.append((key[0], run, count, window[len(window) // 2] if window else None))
+            past = [p for p in past if p[0] > run - lookback] + [(run, count)]
         held.update(([r for r, _c in past], [c for _r, c in past]))
+        yield pd.DataFrame(rows, columns=["source_id", "run_no", "row_count", "norm"]).astype({"norm": "Int64"})
 
-    # Sorting inside the function needs a source's batch whole, which is its new runs only.
     return stream.groupBy("source_id").applyInPandasWithState(
         judge, "source_id string, run_no int, row_count long, norm long", "runs array<int>, counts array<long>",
         "append", GroupStateTimeout.NoTimeout)
 
 
 class SnapshotMerger:
-    """Folds fetches into versioned snapshots: batch n reads version n-1 and writes version n.
+    """Folds fetches into versioned snapshots: batch n reads the version before it and writes version n.
 
-    Rerunning a batch after a failure overwrites its own version from the same
-    input, so each fetch counts once.
+    Versions live under `root`; the newest is found there, so a new process
+    goes on from it. A batch that is run again replaces its own version from
+    the same input, so each fetch counts once. The last two versions stay.
     """
 
-    def __init__(self, spark: SparkSession, initial: DataFrame, tracked: DataFrame, now: str):
-        self.root = scratch_path(spark, "snapshots")
-        self.tracked, self.now = tracked, now
-        initial.write.parquet(self.path(-1))
-        self.latest = -1
+    def __init__(self, initial: DataFrame, tracked: DataFrame, now: str, root: str):
+        self.spark, self.root, self.tracked, self.now = initial.sparkSession, root, tracked, now
+        if not self.versions():
+            initial.write.mode("overwrite").parquet(self.path(-1))
 
     def path(self, version: int) -> str:
         return f"{self.root}/v{version + 1:08d}"
 
+    def _files(self):
+        path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(self.root)
+        return path, path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
+
+    def versions(self) -> list[int]:
+        """Numbers of the versions that were written whole."""
+        path, files = self._files()
+        found = files.globStatus(self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path, "v*/_SUCCESS"))
+        return sorted(int(f.getPath().getParent().getName()[1:]) - 1 for f in found or [])
+
     def __call__(self, batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
-        current = spark.read.parquet(self.path(number - 1))
+        before = max(v for v in self.versions() if v < number)
+        current = batch.sparkSession.read.parquet(self.path(before))
         state.merge_snapshot(current, batch, self.tracked, self.now).write.mode("overwrite").parquet(self.path(number))
-        self.latest = number
+        _, files = self._files()
+        for old in self.versions():
+            if old < before:
+                files.delete(self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(self.path(old)), True)
 
-    def read(self, spark: SparkSession) -> DataFrame:
-        return spark.read.parquet(self.path(self.latest))
+    def read(self) -> DataFrame:
+        return self.spark.read.parquet(self.path(self.versions()[-1]))
