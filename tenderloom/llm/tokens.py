@@ -18,7 +18,7 @@ from . import common as c
 
 FILE = "byte_bpe_50k.json"
 #: Units that a worker remembers; past it the most recent ones go, the early and frequent ones stay.
-ROOM, STAY = 600_000, 150_000
+ROOM, STAY = 1_500_000, 700_000
 _UNSAFE = re.compile(r"\s (?:\s|\Z)")
 
 
