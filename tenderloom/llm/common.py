@@ -20,9 +20,16 @@ STEP_BYTES = 1 << 20
 # ---------------------------------------------------------------- written tables
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir; where it is unset, one under the warehouse, which is always set."""
+    """The run's folder below spark.checkpoint.dir; where that is unset, below the warehouse, which is always set.
+
+    The file system removes it when the session's process ends.
+    """
     named = spark.conf.get(CHECKPOINT_KEY, None) or spark.sparkContext.getConf().get(CHECKPOINT_KEY)
-    return (named or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_scratch").rstrip("/")
+    root = named or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_scratch"
+    folder = f"{root.rstrip('/')}/llm-{spark.sparkContext.applicationId}"
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(path)
+    return folder
 
 
 def new_path(spark: SparkSession, label: str) -> str:
