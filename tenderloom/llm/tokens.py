@@ -19,6 +19,7 @@ from . import common as c
 FILE = "byte_bpe_50k.json"
 #: Units that a worker remembers; past it the most recent ones go, the early and frequent ones stay.
 ROOM, STAY = 1_500_000, 700_000
+_MARKS = frozenset(".,;:!?")
 _UNSAFE = re.compile(r"\s (?:\s|\Z)")
 
 
@@ -52,10 +53,40 @@ class Coder:
         return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def _learn(self, units: set[str], known: dict[str, bytes], lead: str) -> None:
-        new = list(units - known.keys())
-        for s in range(0, len(new), 20_000):
-            some = new[s: s + 20_000]
-            known.update(zip(some, self._whole([lead + u for u in some]), strict=True))
+        """Ids of new units: from those of their lines' words and the marks after them where these are cuts too, else encoded."""
+        composed, need = {}, (set(), set())  # words without and with the space before them
+        for u in units - known.keys():
+            parts = self._parts(u, lead != "")
+            if parts:
+                composed[u] = parts
+                for spaced, x in parts:
+                    need[spaced].add(x)
+            else:
+                need[lead != ""].add(u)
+        for spaced, table in ((False, self.first), (True, self.rest)):
+            new = list(need[spaced] - table.keys())
+            for s in range(0, len(new), 20_000):
+                some = new[s: s + 20_000]
+                table.update(zip(some, self._whole([" " + x for x in some] if spaced else some), strict=True))
+        for u, parts in composed.items():
+            known[u] = b"".join([(self.rest if spaced else self.first)[x] for spaced, x in parts])
+
+    @staticmethod
+    def _parts(unit: str, spaced: bool) -> list[tuple[bool, str]] | None:
+        """Cut at single line breaks, and before a mark that ends a word of letters; None where there is no such cut."""
+        if "\n" not in unit and not (unit[-1:] in _MARKS and unit[:-1].isalpha()):
+            return None
+        out: list[tuple[bool, str]] = []
+        for k, line in enumerate(unit.split("\n")):
+            if line.split() != [line]:
+                return None
+            if k:
+                out.append((False, "\n"))
+            cut = line[-1] in _MARKS and line[:-1].isalpha()
+            out.append((spaced and not k, line[:-1] if cut else line))
+            if cut:
+                out.append((False, line[-1]))
+        return out
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Little-endian 32-bit ids of each text, without special tokens."""
