@@ -1,24 +1,24 @@
-"""Interpolated modified Kneser-Ney model of word pairs, counted in Spark and kept in sorted hash arrays.
+"""Interpolated modified Kneser-Ney model of any order, counted in Spark and kept in sorted hash arrays.
 
-Order 2: each token is predicted from the one before it (the first from a
-start mark), lower order from continuation counts, that from a uniform share
-for unknown words::
+Order n: each token is predicted from the n - 1 before it (a text begins with
+n - 1 start marks). The highest order takes counts, every lower one the number
+of different words before a gram, the lowest a uniform share for unknown words::
 
-    P(w | u) = max(c(uw) - D(c(uw)), 0) / c(u) + g(u) P1(w)
-    P1(w)    = max(N(.w) - D'(N(.w)), 0) / N(..) + g' / (V + 1)
+    P(w | u..) = max(c(u..w) - D(c(u..w)), 0) / c(u..) + g(u..) P(w | ..)
+    P1(w)      = max(N(.w) - D'(N(.w)), 0) / N(..) + g' / (V + 1)
 
 Fit, over every training row: words are counted by hash and stored as arrays
-sorted by hash; a word's place there is its id. Pairs are (id, id) keys in one
-64-bit number. A task counts its pairs, packs them by part and shuffles the
-packs; a part is dealt by the first word, that of a very frequent first word by
-both, so no word fills a part. Each part merges its packs into a sorted array
-file and gives sums of its words. Parts grow in number with the corpus, not in
-size. Workers map the files into memory and look up each stretch's distinct
-pairs in order. Files are written under a temporary name and renamed, so a
-repeated task changes nothing.
-
-Trigrams were left out: their arrays alone would take about three times the
-input on disk (see README).
+sorted by hash; a word's place there is its id. A task counts its grams, packs
+them by part and shuffles the packs; a part is dealt by the gram's context (all
+words but the last), that of very frequent words only by the whole gram, so no
+context fills a part. Each part merges its packs into sorted array files with
+the sums of its contexts, and packs the grams without their first word, each
+counted once, for the order below; sums of contexts that lie in many parts are
+packed likewise. Pairs give sums of their words. Parts grow in number with the
+corpus, not in size. Workers map the files into memory and look up each
+stretch's distinct grams in order. Files are written under a temporary name and
+renamed, so a repeated task changes nothing. Pairs have exact keys; longer grams
+go by 64-bit hashes, as words do.
 
 Nulls and edges: null text is empty and has the end token alone; a null doc_id
 counts as an empty one; with nothing to learn from all tokens are unknown;
@@ -41,9 +41,11 @@ from pyspark.sql import functions as F
 from . import common as c
 
 END = np.int64(0x45D9F3B3335B369)
-#: Tokens for each part of the pair files.
+#: Order of the model that the query learns.
+ORDER = 3
+#: Tokens for each part of the gram files.
 PART_TOKENS = 2_000_000
-#: Distinct pairs or words a task holds before it passes them on.
+#: Distinct grams or words a task holds before it passes them on.
 HOLD = 3_000_000
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
@@ -52,13 +54,14 @@ _LOWER[65:91] += 32
 @dataclass(frozen=True)
 class Model:
     words: str  # sorted files h -> n
-    facts: str  # sorted files id -> cc, n1, n2, n3
-    pairs: str  # folder of pair files
+    facts: str  # sorted files id -> cc, total, n1, n2, n3
+    grams: str  # folder of gram files
+    order: int
     parts: int
-    hot: tuple[int, ...]  # hashes of first words dealt by both words
+    hot: tuple[int, ...]  # hashes of very frequent words
     tokens: int
     types: int
-    pair_discounts: tuple[float, float, float]
+    gram_discounts: dict[int, tuple[float, float, float]]  # by order, from 2
     discounts: tuple[float, float, float]
     pair_types: int
     spare: float  # g': what continuation counts leave to the uniform share
@@ -125,10 +128,25 @@ def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield pa.record_batch([pa.array(x.astype(np.int64)) for x in tally.take()], ["h", "n"])
 
 
-def part_of(keys: np.ndarray, parts: int, hot: np.ndarray) -> np.ndarray:
-    first = keys >> np.uint64(32)
-    both = np.isin(first, hot)
-    return (c.mix(np.where(both, keys, first)) % np.uint64(parts)).astype(np.int32)
+def key_of(cols: np.ndarray) -> np.ndarray:
+    """64-bit keys of grams, a column of ids for each word; exact up to two words."""
+    key = cols[0].astype(np.uint64)
+    if len(cols) == 2:
+        return (key << np.uint64(32)) | cols[1].astype(np.uint64)
+    for x in cols[1:]:
+        key = c.mix((key + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)) ^ c.mix(x.astype(np.uint64) + np.uint64(0xD6E8FEB86659FD93))
+    return key
+
+
+def part_of(cols: np.ndarray, parts: int, hot: np.ndarray) -> np.ndarray:
+    return (c.mix(np.where(only_hot(cols[:-1], hot), key_of(cols), key_of(cols[:-1]))) % np.uint64(parts)).astype(np.int32)
+
+
+def only_hot(cols: np.ndarray, hot: np.ndarray) -> np.ndarray:
+    out = np.isin(cols[0], hot)
+    for x in cols[1:]:
+        out[out] = np.isin(x[out], hot)
+    return out
 
 
 def places(words: c.Sorted, hashes: np.ndarray) -> np.ndarray:
@@ -146,66 +164,164 @@ def places(words: c.Sorted, hashes: np.ndarray) -> np.ndarray:
     return out[back]
 
 
-def pair_keys(ids: np.ndarray, offsets: np.ndarray, start: int) -> np.ndarray:
-    before = np.empty_like(ids)
-    before[1:] = ids[:-1]
-    before[offsets[:-1]] = start
-    return (before.astype(np.uint64) << np.uint64(32)) | ids.astype(np.uint64)
+def often_of(known: c.Sorted, hot: tuple[int, ...], types: int) -> np.ndarray:
+    """Ids of very frequent words; the start mark is as frequent as the end."""
+    out = places(known, np.array(hot, np.int64))
+    return (np.append(out, types) if END in hot else out).astype(np.uint32)
 
 
-def _pair_packs(words: str, types: int, parts: int, hot: tuple[int, ...]):
-    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, tally = c.Sorted.of(words, ["n"], "h"), _Tally()
-        often = places(known, np.array(hot, np.int64)).astype(np.uint64)
-        pack = zstandard.ZstdCompressor(level=1)
-
-        def packs() -> pa.RecordBatch:
-            keys, n = tally.take()
-            part = part_of(keys, parts, often)
-            order = np.argsort(part, kind="stable")
-            keys, n, part = keys[order], n[order], part[order]
-            first = np.flatnonzero(np.append(True, part[1:] != part[:-1])) if len(part) else np.zeros(0, np.int64)
-            blobs = []
-            for a, b in zip(first, np.append(first, len(part))[1:], strict=True):
-                u = (keys[a:b] >> np.uint64(32)).astype(np.uint32)
-                blobs.append(pack.compress(np.diff(u, prepend=np.uint32(0)).tobytes() + keys[a:b].astype(np.uint32).tobytes() + n[a:b].astype(np.uint32).tobytes()))
-            return pa.record_batch([pa.array(part[first], pa.int32()), pa.array(blobs, pa.binary())], ["part", "pack"])
+def contexts(back: np.ndarray, offsets: np.ndarray, start: int, order: int) -> list[np.ndarray]:
+    """The words before each place: the nearest first, order - 1 of them."""
+    out = []
+    for _ in range(order - 1):
+        last, before = out[-1] if out else back, np.empty_like(back)
+        before[1:] = last[:-1]
+        before[offsets[:-1]] = start
+        out.append(before)
+    return out
+
+
+def merged(cols: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Keys of distinct grams in order, their columns, and the sums of n."""
+    keys = key_of(cols)
+    order = np.argsort(keys)
+    keys = keys[order]
+    first = starts(keys)
+    return keys[first], cols[:, order[first]], np.add.reduceat(n[order].astype(np.int64), first) if len(first) else np.zeros(0, np.int64)
+
+
+def starts(x: np.ndarray) -> np.ndarray:
+    """Where runs of equal values begin."""
+    return np.flatnonzero(np.append(True, x[1:] != x[:-1])) if len(x) else np.zeros(0, np.int64)
+
+
+class _Grams:
+    """Counts of grams of one order, merged when many are held, and their packs by part."""
+
+    def __init__(self, order: int, parts: int, hot: np.ndarray):
+        self.order, self.parts, self.hot = order, parts, hot
+        self.cols, self.n, self.size = [], [], 0
+
+    def add(self, cols: np.ndarray) -> bool:
+        _, cols, n = merged(cols, np.ones(cols.shape[1], np.uint32))
+        self.cols.append(cols)
+        self.n.append(n.astype(np.uint32))
+        self.size += len(n)
+        return self.size > HOLD
+
+    def packs(self) -> pa.RecordBatch:
+        cols, n = np.zeros((self.order, 0), np.uint32), np.zeros(0, np.uint32)
+        if self.cols:
+            cols, n = np.concatenate(self.cols, axis=1), np.concatenate(self.n)
+        self.cols, self.n, self.size = [], [], 0
+        _, cols, n = merged(cols, n)
+        order = np.lexsort(cols[1::-1])
+        part = part_of(cols, self.parts, self.hot)[order]
+        again = np.argsort(part, kind="stable")
+        order, part = order[again], part[again]
+        cols, n = cols[:, order], n[order].astype(np.uint32)
+        first, blobs, press = starts(part), [], zstandard.ZstdCompressor(level=1)
+        for a, b in zip(first, np.append(first, len(part))[1:], strict=True):
+            blobs.append(press.compress(np.diff(cols[0, a:b], prepend=np.uint32(0)).tobytes() + cols[1:, a:b].tobytes() + n[a:b].tobytes()))
+        return packed(part[first], blobs)
+
 
+def packed(part: np.ndarray | list[int], blobs: list[bytes]) -> pa.RecordBatch:
+    return pa.record_batch([pa.array(part, pa.int32()), pa.array(blobs, pa.binary())], ["part", "pack"])
+
+
+def _text_packs(words: str, types: int, parts: int, hot: tuple[int, ...], order: int):
+    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = c.Sorted.of(words, ["n"], "h")
+        tally = _Grams(order, parts, often_of(known, hot, types))
         for *_, tokens, offsets in _stretches(batches):
-            if tally.add(pair_keys(places(known, tokens), offsets, types)):
-                yield packs()
-        yield packs()
+            ids = places(known, tokens).astype(np.uint32)
+            if tally.add(np.stack([*contexts(ids, offsets, types, order)[::-1], ids])):
+                yield tally.packs()
+        yield tally.packs()
     return emit
 
 
-def _pair_files(path: str):
+def _save(path: str, name: str, **arrays: np.ndarray) -> None:
+    for kind, x in arrays.items():
+        with open(f"{path}/.{name}.{kind}.{uuid.uuid4().hex}", "wb") as f:
+            np.save(f, x)
+        os.replace(f.name, f"{path}/{name}.{kind}.npy")
+
+
+def narrow(x: np.ndarray) -> np.ndarray:
+    """In the smallest type that holds every value."""
+    return x.astype(np.min_scalar_type(int(x.max(initial=0))))
+
+
+def _sums(key: np.ndarray, facts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    order = np.argsort(key)
+    first = starts(key[order])
+    return key[order][first], np.add.reduceat(facts[:, order], first, axis=1) if len(first) else facts[:, :0]
+
+
+def _gram_files(path: str, words: str, types: int, parts: int, hot: tuple[int, ...], order: int):
+    """Merge the packs of one order to files; what the order below needs goes on.
+
+    Part numbers from `parts` on hold sums of contexts of the order above that
+    lie in many parts, negative ones its numbers of grams seen 1 to 4 times.
+    """
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         os.makedirs(path, exist_ok=True)
+        often = often_of(c.Sorted.of(words, ["n"], "h"), hot, types)
+        below, totals, raw = _Grams(order - 1, parts, often), np.zeros(4, np.int64), zstandard.ZstdDecompressor().decompress
         for group in c.groups(batches, ["part"]):
-            u, w, n = [], [], []
-            for blob in group["pack"].to_pylist():
-                raw = np.frombuffer(zstandard.ZstdDecompressor().decompress(blob), np.uint32).reshape(3, -1)
-                u.append(np.cumsum(raw[0], dtype=np.uint32))
-                w.append(raw[1])
-                n.append(raw[2])
-            keys, n = summed((np.concatenate(u).astype(np.uint64) << np.uint64(32)) | np.concatenate(w), np.concatenate(n).astype(np.int64))
-            part = group["part"][0].as_py()
-            for name, x in (("n", n.astype(np.uint32)), ("keys", keys)):
-                with open(f"{path}/.{part}.{name}.{uuid.uuid4().hex}", "wb") as f:
-                    np.save(f, x)
-                os.replace(f.name, f"{path}/{part}.{name}.npy")
-            first, at = np.unique(keys >> np.uint64(32), return_index=True)
-            by = [np.add.reduceat(x.astype(np.int64), at) for x in (n == 1, n == 2, n > 2)]
-            second, times = np.unique(keys & np.uint64(0xFFFFFFFF), return_counts=True)
-            totals = np.array([(n == k).sum() for k in (1, 2, 3, 4)], np.int64)
-            zero = [np.zeros(len(x), np.int64) for x in (first, second, totals)]
-            yield pa.record_batch([
-                pa.array(np.concatenate([first.astype(np.int64), second.astype(np.int64), [-1, -2, -3, -4]])),
-                pa.array(np.concatenate([zero[0], times, totals])),
-                *[pa.array(np.concatenate([x, zero[1], zero[2]])) for x in by]], ["id", "cc", "n1", "n2", "n3"])
+            part, blobs = group["part"][0].as_py(), group["pack"].to_pylist()
+            if part < 0:
+                if order > 2:
+                    yield packed([part] * len(blobs), blobs)
+                else:
+                    yield _rows(np.arange(10 * part, 10 * part - 4, -1), cc=np.sum([np.frombuffer(x, np.int64) for x in blobs], axis=0))
+                continue
+            if part >= parts:
+                sums = np.concatenate([np.frombuffer(raw(x), np.int64).reshape(5, -1) for x in blobs], axis=1)
+                key, facts = _sums(sums[0].view(np.uint64), sums[1:])
+                _save(path, f"{order + 1}.{part}", facts=facts, keys=key)
+                continue
+            cols = [np.frombuffer(raw(x), np.uint32).reshape(order + 1, -1) for x in blobs]
+            cols = [np.concatenate([np.cumsum(x[:1], axis=1, dtype=np.uint32), x[1:]]) for x in cols]
+            cols = np.concatenate(cols, axis=1)
+            keys, cols, n = merged(cols[:-1], cols[-1])
+            _save(path, f"{order}.{part}", n=narrow(n), keys=keys)
+            totals += [(n == k).sum() for k in (1, 2, 3, 4)]
+            facts = np.stack([n, n == 1, n == 2, n > 2]).astype(np.int64)
+            if order == 2:
+                yield _rows(*_sums(cols[0].astype(np.int64), facts))
+                second, times = np.unique(cols[1], return_counts=True)
+                yield _rows(second.astype(np.int64), cc=times)
+                continue
+            wide = only_hot(cols[:-1], often)
+            key, own = _sums(key_of(cols[:-1, ~wide]), facts[:, ~wide])
+            once = own[0] == 1  # most contexts; their sums are known
+            _save(path, f"{order}.{part}.of", facts=narrow(own[:, ~once]), keys=key[~once])
+            _save(path, f"{order}.{part}.once", keys=key[once])
+            key, own = _sums(key_of(cols[:-1, wide]), facts[:, wide])
+            to = (c.mix(key) % np.uint64(parts)).astype(np.int64) + parts
+            at = np.argsort(to, kind="stable")
+            sums, to = np.concatenate([key.view(np.int64)[None], own])[:, at], to[at]
+            first, press = starts(to), zstandard.ZstdCompressor(level=1)
+            yield packed(to[first], [press.compress(sums[:, a:b].tobytes()) for a, b in zip(first, np.append(first, len(to))[1:], strict=True)])
+            if below.add(cols[1:]):
+                yield below.packs()
+        if order > 2:
+            yield below.packs()
+            yield packed([-order], [totals.tobytes()])
+        else:
+            yield _rows(np.arange(-20, -24, -1), cc=totals)
     return emit
 
 
+def _rows(key: np.ndarray, facts: np.ndarray | None = None, cc: np.ndarray | None = None) -> pa.RecordBatch:
+    zero = np.zeros(len(key), np.int64)
+    return pa.record_batch([pa.array(x) for x in (key, zero if cc is None else cc, *([zero] * 4 if facts is None else facts))],
+                           ["id", "cc", "total", "n1", "n2", "n3"])
+
+
 def discounts(n: list[int]) -> tuple[float, float, float]:
     """Modified Kneser-Ney discounts from the numbers of types seen once, twice, three and four times."""
     y = n[0] / (n[0] + 2 * n[1]) if n[0] else 0.5
@@ -217,8 +333,10 @@ def discount_of(n: np.ndarray, d: tuple[float, float, float]) -> np.ndarray:
     return np.array([0.0, *d])[np.minimum(n, 3)]
 
 
-def fit(docs: DataFrame) -> Model:
+def fit(docs: DataFrame, order: int = ORDER) -> Model:
     """Learn from all rows of (text)."""
+    if order < 2:
+        raise ValueError(f"order {order}: a token is predicted from one before it at least")
     spark = docs.sparkSession
     source = docs.select("text")
     counts = c.written(source.mapInArrow(_word_counts, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")), "lm-words")
@@ -226,84 +344,105 @@ def fit(docs: DataFrame) -> Model:
     words = c.sorted_files(counts, "h", ["n"], "lm-word-arrays")
     parts = max(4, -(-tokens // PART_TOKENS))
     hot = tuple(r[0] for r in counts.where(F.col("n") > 2 * tokens / parts).select("h").collect())  # fewer than parts / 2
-    pairs = c.new_path(spark, "lm-pairs")
-    packs = source.mapInArrow(_pair_packs(words, types, parts, hot), "part int, pack binary")
-    sums = packs.repartition(c.width(spark), "part").sortWithinPartitions("part").mapInArrow(
-        _pair_files(c.local_folder(pairs)), "id long, cc long, n1 long, n2 long, n3 long")
-    facts = c.written(sums.groupBy("id").agg(*[F.sum(x).alias(x) for x in ("cc", "n1", "n2", "n3")]), "lm-facts")
+    grams = c.new_path(spark, "lm-grams")
+    packs = source.mapInArrow(_text_packs(words, types, parts, hot, order), "part int, pack binary")
+    names = ("cc", "total", "n1", "n2", "n3")
+    for k in range(order, 1, -1):
+        packs = packs.repartition(c.width(spark), "part").sortWithinPartitions("part").mapInArrow(
+            _gram_files(c.local_folder(grams), words, types, parts, hot, k),
+            "part int, pack binary" if k > 2 else "id long, " + ", ".join(f"{x} long" for x in names))
+    facts = c.written(packs.groupBy("id").agg(*[F.sum(x).alias(x) for x in names]), "lm-facts")
     seen = dict(facts.where("id < 0").select("id", "cc").collect())
     s = facts.where("id >= 0").agg(F.coalesce(F.sum("cc"), F.lit(0)), *[F.count_if(F.col("cc") == k) for k in (1, 2, 3, 4)], F.count_if(F.col("cc") > 2)).first()
     lower = discounts(list(s[1:5]))
     spare = (lower[0] * s[1] + lower[1] * s[2] + lower[2] * s[5]) / s[0] if s[0] else 1.0
-    arrays = c.sorted_files(facts.where("id >= 0"), "id", ["cc", "n1", "n2", "n3"], "lm-fact-arrays")
-    return Model(words, arrays, pairs, parts, hot, tokens, types, discounts([seen.get(-k, 0) for k in (1, 2, 3, 4)]), lower, s[0], spare)
+    arrays = c.sorted_files(facts.where("id >= 0"), "id", list(names), "lm-fact-arrays")
+    by_order = {k: discounts([seen.get(-10 * k - i, 0) for i in range(4)]) for k in range(2, order + 1)}
+    return Model(words, arrays, grams, order, parts, hot, tokens, types, by_order, lower, s[0], spare)
 
 
-class _Pairs:
-    """Counts of pairs from the part files, mapped into memory."""
+class _Files:
+    """Counts of grams and sums of contexts from the part files, mapped into memory."""
 
     def __init__(self, model: Model, known: c.Sorted):
-        self.path, self.parts, self.files = c.local_folder(model.pairs), model.parts, {}
-        self.hot = places(known, np.array(model.hot, np.int64)).astype(np.uint64)
-
-    def counts(self, keys: np.ndarray) -> np.ndarray:
-        """For keys in order; 0 where a pair is new."""
-        out = np.zeros(len(keys), np.int64)
-        part = part_of(keys, self.parts, self.hot)
-        order = np.argsort(part, kind="stable")
-        first = np.flatnonzero(np.append(True, part[order][1:] != part[order][:-1])) if len(keys) else np.zeros(0, np.int64)
+        self.path, self.parts, self.files = c.local_folder(model.grams), model.parts, {}
+        self.hot = often_of(known, model.hot, model.types)
+
+    def _found(self, part: np.ndarray, keys: np.ndarray, name: str, kind: str, rows: int) -> np.ndarray:
+        """Values of keys, looked up in order; 0 where a key is new."""
+        out = np.zeros((rows, len(keys)), np.int64)
+        order = np.lexsort((keys, part))
+        first = starts(part[order])
         for a, b in zip(first, np.append(first, len(order))[1:], strict=True):
-            p, own = int(part[order[a]]), order[a:b]
-            if p not in self.files:
-                have = os.path.exists(f"{self.path}/{p}.keys.npy")
-                self.files[p] = [np.load(f"{self.path}/{p}.{x}.npy", mmap_mode="r") for x in ("keys", "n")] if have else None
-            if self.files[p]:
-                known, n = self.files[p]
+            own = order[a:b]
+            file = f"{self.path}/{name.format(int(part[own[0]]))}"
+            if file not in self.files:
+                have = os.path.exists(f"{file}.keys.npy")
+                self.files[file] = [np.load(f"{file}.{x}.npy", mmap_mode="r") for x in ("keys", kind)] if have else None
+            if self.files[file]:
+                known, values = self.files[file]
                 at = np.searchsorted(known, keys[own])
                 hit = at < len(known)
                 hit[hit] = known[at[hit]] == keys[own[hit]]
-                out[own[hit]] = n[at[hit]]
+                out[:, own[hit]] = values[..., at[hit]]
+        return out
+
+    def counts(self, cols: np.ndarray) -> np.ndarray:
+        return self._found(part_of(cols, self.parts, self.hot), key_of(cols), f"{len(cols)}.{{}}", "n", 1)[0]
+
+    def sums(self, cols: np.ndarray) -> np.ndarray:
+        """total, n1, n2, n3 of contexts of two words or more."""
+        key, wide = key_of(cols), only_hot(cols, self.hot)
+        part = (c.mix(key) % np.uint64(self.parts)).astype(np.int64)
+        out = np.zeros((4, len(key)), np.int64)
+        out[:, ~wide] = self._found(part[~wide], key[~wide], f"{len(cols) + 1}.{{}}.of", "facts", 4)
+        rest = np.flatnonzero(~wide & (out[0] == 0))
+        once = self._found(part[rest], key[rest], f"{len(cols) + 1}.{{}}.once", "keys", 1)[0] != 0
+        out[:2, rest[once]] = 1
+        out[:, wide] = self._found(part[wide] + self.parts, key[wide], f"{len(cols) + 1}.{{}}", "facts", 4)
         return out
 
 
 def _scored(model: Model):
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, facts = c.Sorted.of(model.words, ["n"], "h"), c.Sorted.of(model.facts, ["cc", "n1", "n2", "n3"], "id")
+        names = ["cc", "total", "n1", "n2", "n3"]
+        known, facts = c.Sorted.of(model.words, ["n"], "h"), c.Sorted.of(model.facts, names, "id")
         state = c.worker_state()
-        if ("pairs", model.pairs) not in state:
-            state["pairs", model.pairs] = _Pairs(model, known)
-        pairs = state["pairs", model.pairs]
-        d2, d1, v = model.pair_discounts, model.discounts, model.types
+        if ("grams", model.grams) not in state:
+            state["grams", model.grams] = _Files(model, known)
+        files = state["grams", model.grams]
+        d1, v = model.discounts, model.types
         for batch, a, b, tokens, offsets in _stretches(batches):
             own, back = np.unique(tokens, return_inverse=True)
             n = np.zeros(len(own) + 1, np.int64)  # the last one is the start mark
             which, found = known.find(own)
             n[which] = found["n"]
             ids = np.append(places(known, own), v)
-            fact = np.zeros((4, len(own) + 1), np.int64)
+            fact = np.zeros((5, len(own) + 1), np.int64)
             which, found = facts.find(ids)
-            for k, x in enumerate(("cc", "n1", "n2", "n3")):
+            for k, x in enumerate(names):
                 fact[k, which] = found[x]
             fact[:, ids < 0] = 0
-            cc, n1, n2, n3 = fact
-            low = np.maximum(cc - discount_of(cc, d1), 0) / max(model.pair_types, 1) + model.spare / (v + 1)
-            # a context's own count: as a token, or the number of training texts for the start mark
-            ends = n[np.searchsorted(own, END)]
-            of_context = np.append(n[:-1], ends)
-            before = np.empty(len(back), np.int64)
-            before[1:] = back[:-1]
-            before[offsets[:-1]] = len(own)
-            key = (before.astype(np.uint64) << np.uint64(32)) | back.astype(np.uint64)
-            pair, where = np.unique(key, return_inverse=True)
-            u, w = (pair >> np.uint64(32)).astype(np.int64), (pair & np.uint64(0xFFFFFFFF)).astype(np.int64)
-            c2 = np.zeros(len(pair), np.int64)
-            both = np.flatnonzero((ids[u] >= 0) & (ids[w] >= 0))
-            look = (ids[u[both]].astype(np.uint64) << np.uint64(32)) | ids[w[both]].astype(np.uint64)
-            order = np.argsort(look)
-            c2[both[order]] = pairs.counts(look[order])
-            total, seen = np.maximum(of_context[u], 1), n1[u] + n2[u] + n3[u] > 0
-            gamma = (d2[0] * n1[u] + d2[1] * n2[u] + d2[2] * n3[u]) / total
-            p = np.where(seen, np.maximum(c2 - discount_of(c2, d2), 0) / total + gamma * low[w], low[w])
+            p = np.maximum(fact[0] - discount_of(fact[0], d1), 0) / max(model.pair_types, 1) + model.spare / (v + 1)
+            cols, where = np.arange(len(own) + 1)[None], back  # distinct grams by their words, and each place's gram
+            for before in contexts(back, offsets, len(own), model.order):
+                gram, where = np.unique((before.astype(np.uint64) << np.uint64(32)) | where.astype(np.uint64), return_inverse=True)
+                shorter = (gram & np.uint64(0xFFFFFFFF)).astype(np.int64)
+                cols = np.concatenate([(gram >> np.uint64(32)).astype(np.int64)[None], cols[:, shorter]])
+                of, d = ids[cols], model.gram_discounts[len(cols)]
+                sums, count = np.zeros((4, len(gram)), np.int64), np.zeros(len(gram), np.int64)
+                if len(cols) == 2:
+                    sums = fact[1:, cols[0]]
+                else:
+                    ctx, back_ = np.unique(key_of(cols[:-1]), return_index=True, return_inverse=True)[1:]
+                    sound = np.flatnonzero((of[:-1, ctx] >= 0).all(0))
+                    each = np.zeros((4, len(ctx)), np.int64)
+                    each[:, sound] = files.sums(of[:-1, ctx[sound]].astype(np.uint32))
+                    sums = each[:, back_]
+                full = np.flatnonzero((of >= 0).all(0) & (sums[0] > 0))
+                count[full] = files.counts(of[:, full].astype(np.uint32))
+                total, gamma = np.maximum(sums[0], 1), np.array(d) @ sums[1:]
+                p = np.where(sums[0] > 0, (np.maximum(count - discount_of(count, d), 0) + gamma * p[shorter]) / total, p[shorter])
             base = np.log10((n[:-1] + 0.1) / (model.tokens + 0.1 * (v + 1)))
             first = offsets[:-1]
             size = np.diff(offsets)
@@ -321,7 +460,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
         _scored(model), "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
 
 
-def cross_scored(docs: DataFrame, text: str = "text") -> DataFrame:
+def cross_scored(docs: DataFrame, text: str = "text", order: int = 2) -> DataFrame:
     """Learn from the rows that are not held out and score them all."""
     source = docs.select("doc_id", held_out().alias("held_out"), F.col(text).alias("text"))
-    return score(source, fit(source.where(~F.col("held_out"))))
+    return score(source, fit(source.where(~F.col("held_out")), order))

@@ -154,8 +154,8 @@ def op8_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def op4_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Whole `documents` scored by a model learnt from nine tenths of them."""
-    return ngram.cross_scored(table(spark, sf_dir, "documents"))
+    """Whole `documents` scored by a model of word triples learnt from nine tenths of them."""
+    return ngram.cross_scored(table(spark, sf_dir, "documents"), order=ngram.ORDER)
 
 
 @query

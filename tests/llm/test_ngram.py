@@ -75,3 +75,57 @@ def test_nothing_to_learn_from(spark):
     df = spark.createDataFrame([(d, t, "x") for d, t in rows], SCHEMA)
     same(ngram.cross_scored(df).collect(), brute(rows))
     assert ngram.cross_scored(df.limit(0)).collect() == []
+
+
+def brute_of(rows, order):
+    """Interpolated modified Kneser-Ney of any order over plain dictionaries."""
+    held = {d: zlib.crc32(b"" if d is None else str(d).encode()) % 10 == 0 for d, _ in rows}
+    train = [tokens(t) for d, t in rows if not held[d]]
+    uni = Counter(w for t in train for w in t)
+    n, v = sum(uni.values()), len(uni)
+
+    def grams(t):
+        full = ["<s>"] * (order - 1) + t
+        return [tuple(full[i: i + order]) for i in range(len(t))]
+
+    counts = {order: Counter(g for t in train for g in grams(t))}
+    for k in range(order - 1, 0, -1):
+        counts[k] = Counter(g[1:] for g in counts[k + 1])
+    d = {k: ngram.discounts([sum(x == i for x in m.values()) for i in (1, 2, 3, 4)]) for k, m in counts.items()}
+    total, held_back = {}, {}
+    for k, m in counts.items():
+        for g, x in m.items():
+            total[k, g[:-1]] = total.get((k, g[:-1]), 0) + x
+            held_back[k, g[:-1]] = held_back.get((k, g[:-1]), 0) + d[k][min(x, 3) - 1]
+
+    def p(g):
+        k = len(g)
+        lower = p(g[1:]) if k > 1 else 1 / (v + 1)
+        if (k, g[:-1]) not in total:
+            return lower
+        x = counts[k].get(g, 0)
+        return (max(x - (d[k][min(x, 3) - 1] if x else 0), 0) + held_back[k, g[:-1]] * lower) / total[k, g[:-1]]
+
+    some = next(iter(counts[order]))
+    assert math.isclose(sum(p((*some[:-1], w)) for w in [*uni, "unknown"]), 1)
+    return sorted([(i, held[i], len(ts := tokens(t)), sum(w in uni for w in ts), n, sum(math.log10((uni.get(w, 0) + 0.1) / (n + 0.1 * (v + 1))) for w in ts),
+             sum(math.log10(p(g)) for g in grams(ts))) for i, t in rows], key=str)
+
+
+@pytest.mark.parametrize("order", [3, 4])
+@pytest.mark.parametrize("part_tokens", [500, 2_000_000])
+def test_longer_contexts_equal_the_formulas(spark, monkeypatch, order, part_tokens):
+    monkeypatch.setattr(ngram, "PART_TOKENS", part_tokens)
+    monkeypatch.setattr(ngram, "HOLD", 300)
+    rows = fixture()
+    df = spark.createDataFrame([(d, t, "x") for d, t in rows], SCHEMA).repartition(3)
+    same(ngram.cross_scored(df, order=order).collect(), brute_of(rows, order))
+
+
+def test_the_query_learns_triples(spark, monkeypatch):
+    from tenderloom.llm import queries
+
+    rows = fixture()
+    df = spark.createDataFrame([(d, t, "x") for d, t in rows], SCHEMA)
+    monkeypatch.setattr(queries, "table", lambda *_: df)
+    same(queries.op4_kneser_ney(spark, "").collect(), brute_of(rows, 3))
