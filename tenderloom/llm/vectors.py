@@ -54,7 +54,7 @@ def keys_of(unit: np.ndarray, bits: int, tables: int) -> np.ndarray:
     weight = np.uint64(1) << np.arange(bits, dtype=np.uint64)
     for t in range(tables):
         side = (unit @ planes(t, bits, width)) >= 0
-        out[:, t] = c.mix((side * weight).sum(1, dtype=np.uint64) + np.uint64((t << 48) + (width << 56))).view(np.int64)
+        out[:, t] = c.mix((side * weight).sum(1, dtype=np.uint64) ^ c.mix(np.array([t, width], np.uint64) + np.array([1, 1 << 32], np.uint64)).sum(dtype=np.uint64)).view(np.int64)
     return out
 
 

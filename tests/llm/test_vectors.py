@@ -63,3 +63,14 @@ def test_plan_bounds_the_loss():
     for rows in (10, 10_000, 10_000_000):
         bits, tables = vectors.plan(rows)
         assert (1 - (1 - np.arccos(0.95) / np.pi) ** bits) ** tables <= 1e-5
+
+
+def test_long_vectors(spark):
+    rng = np.random.default_rng(5)
+    rows = []
+    for _ in range(12):
+        base = rng.standard_normal(384)
+        rows += [(base + rng.standard_normal(384) * s).tolist() for s in (0.0, 0.1)]
+    rows = [(i, v) for i, v in enumerate(rows + [rng.standard_normal(768).tolist()])]
+    df = spark.createDataFrame([(i, v, 1) for i, v in rows], SCHEMA)
+    assert sorted(map(tuple, vectors.near_duplicates(df).collect())) == brute(rows)
