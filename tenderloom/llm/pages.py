@@ -44,11 +44,13 @@ COPY_SHARE = 0.9
 TABLE_BITS = 1 << 28
 
 _MARKUP = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']++|"[^"]*"|'[^']*')*+|[^>]*)>""", re.S)
-_ATTRIBUTE = re.compile(r"""([a-zA-Z-]+)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""")
+_ATTRIBUTE = re.compile(r"""([^\s=>"'/]+)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""")
 _RAW = {"script", "style", "textarea", "title", "noscript", "iframe", "template", "svg", "math", "object", "canvas", "audio", "video"}
 _VOID = set("area base br col embed hr img input link meta param source track wbr".split())
 _INLINE = set("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr".split())
 _OWN = {"article", "main"}
+_SLUGGED = set("h1 h2 h3 h4 h5 h6 p".split())
+_PROSE = _SLUGGED | set("blockquote pre li dt dd td th caption figcaption".split())
 _DROPPED = set("head nav footer aside form button select menu dialog fieldset option".split())
 _ROLES = set("navigation banner complementary contentinfo search form alert alertdialog dialog menu menubar toolbar".split())
 _CLASSES = set(
@@ -66,11 +68,15 @@ def _unwanted(tag: str, attributes: str, inside_own: bool) -> bool:
     if not attributes or tag in ("html", "body", "main"):
         return False
     found = {m[1].lower(): next((x for x in m.groups()[1:] if x is not None), "").lower() for m in _ATTRIBUTE.finditer(attributes)}
-    names = set(re.split(r"[^a-z0-9]+", f"{found.get('class', '')} {found.get('id', '')}"))
+    names = set(found.get("class", "").split())
+    if tag not in _SLUGGED:
+        names.add(found.get("id", "").strip())
+    if tag == "article" or not inside_own:
+        names = {x for name in names for x in re.split(r"[^a-z0-9]+", name)}
     if tag == "article":
         return bool(names & {"comment", "comments"})
-    return (bool(names & _CLASSES) or found.get("role") in _ROLES or found.get("aria-hidden") == "true"
-            or bool(re.search(r"(?:^|\s)hidden(?:\s|=|$)", attributes, re.I)) or "display:none" in found.get("style", "").replace(" ", ""))
+    return (bool(names & _CLASSES) or found.get("role") in _ROLES or found.get("aria-hidden") == "true" or "hidden" in found
+            or bool(re.search(r"(?:^|\s)hidden(?:[\s/]|$)", _ATTRIBUTE.sub(" ", attributes), re.I)) or "display:none" in found.get("style", "").replace(" ", ""))
 
 
 def blocks(page: str | None) -> list[tuple[str, bool, bool]]:

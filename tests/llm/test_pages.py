@@ -92,3 +92,13 @@ def test_copies_keep_their_text_and_empty_table(spark):
     df = spark.createDataFrame([(1, "http://h/a", copy, "", 0), (2, "http://h/a?x", copy, "", 0), (2, "http://h/a?x", copy, "", 0)], SCHEMA)
     assert [r.text for r in pages.main_texts(df).collect()] == ["one two three"] * 3
     assert pages.main_texts(df.limit(0)).collect() == []
+
+
+def cut(page, partner=None):
+    return pages.main_text(pages.blocks(page), pages.blocks(partner) if partner else None)
+
+
+def test_article_parts_are_not_dropped_by_pieces_of_names():
+    page = """<article><h2 id=related-work>Related work</h2><section id=social-impact>Impact.</section><div class="search-results-discussion">Talk.</div>
+        <p id="notice">Note.</p><span title='a hidden gem'>Gem.</span> <span data-1="x hidden y">Data.</span><p hidden>no</p><div class="post share">no</div></article>"""
+    assert cut(page)[0] == "Related work Impact. Talk. Note. Gem. Data."
