@@ -134,7 +134,11 @@ def blocks(page: str | None) -> list[tuple[str, bool, bool]]:
         drop = _unwanted(tag, m[3], own)
         if tag in _INLINE and drop:
             flush()
-        stack.append((tag, own or tag in _OWN and not drop, drop or bad and not (tag in _OWN)))
+        if drop:
+            bad = max(bad, 1 if tag == "form" else 2)
+        elif tag == "main" or tag == "article" and bad == 1:
+            bad = 0
+        stack.append((tag, own or tag in _OWN and not drop, bad))
     words.append(html.unescape(page[at:]))
     flush()
     return out

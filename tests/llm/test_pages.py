@@ -102,3 +102,9 @@ def test_article_parts_are_not_dropped_by_pieces_of_names():
     page = """<article><h2 id=related-work>Related work</h2><section id=social-impact>Impact.</section><div class="search-results-discussion">Talk.</div>
         <p id="notice">Note.</p><span title='a hidden gem'>Gem.</span> <span data-1="x hidden y">Data.</span><p hidden>no</p><div class="post share">no</div></article>"""
     assert cut(page)[0] == "Related work Impact. Talk. Note. Gem. Data."
+
+
+def test_nested_articles_stay_unwanted():
+    assert cut("<article><p>Text.</p><section class=comments><article id=c1>me too</article></section></article>")[0] == "Text."
+    assert cut("<div class=post>Real text.</div><aside><article>teaser</article></aside>")[0] == "Real text."
+    assert cut("<nav><article>menu</article></nav><footer><article>foot</article></footer><form><article>kept</article></form>")[0] == "kept"
