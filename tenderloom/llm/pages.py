@@ -6,13 +6,14 @@ one that shares more leading path segments (then letters) is its partner. The
 blocks of both are aligned by longest common subsequence and shared ones are
 taken out: they are the site's, not the page's.
 
-Two things that differencing alone gets wrong are settled by the markup.
-Blocks inside `article` or `main` are the page's own words even where a
-neighbour has the same sentence, and where there is such an element nothing
-outside it counts; elements that are menus, headers, footers, sidebars,
-notices, adverts, forms or comments by tag, role or class never count. Pages
-that share nine tenths of their letters both ways are copies of one article,
-so nothing is deleted between them.
+The markup settles what differencing alone gets wrong. Paragraphs, headings and
+items inside `article` or `main` that are not links alone are the page's own
+words even where a neighbour has the same sentence; elements that are menus,
+headers, footers, sidebars, notices, adverts, forms or comments by tag, role or
+class never count. Inside `article` or `main` only whole class and id names say
+so, elsewhere their parts do too. A page without a partner is its `article` or
+`main` where it has one. Pages that share nine tenths of their letters both ways
+are copies of one article.
 
 Scale: host and path are range-partitioned from the narrow columns, a few ids
 at the borders of ranges reach the driver (two for each range), and the HTML is
@@ -79,27 +80,36 @@ def _unwanted(tag: str, attributes: str, inside_own: bool) -> bool:
             or bool(re.search(r"(?:^|\s)hidden(?:[\s/]|$)", _ATTRIBUTE.sub(" ", attributes), re.I)) or "display:none" in found.get("style", "").replace(" ", ""))
 
 
-def blocks(page: str | None) -> list[tuple[str, bool, bool]]:
-    """(text, within article or main, within an unwanted element) of each block in page order."""
-    page, out, words, at = page or "", [], [], 0
-    stack: list[tuple[str, bool, bool]] = []  # tag, own, unwanted
+def blocks(page: str | None) -> list[tuple[str, int, bool]]:
+    """(text, 1 within article or main and 2 in prose there, within an unwanted element) of each block in page order."""
+    page, out, words, at, plain = page or "", [], [], 0, False
+    top = (None, False, 0, False, False)
+    stack: list[tuple[str, bool, int, bool, bool]] = []  # tag, own, unwanted (1 for a form alone), prose, link
+
+    def add(raw: str) -> None:
+        nonlocal plain
+        words.append(html.unescape(raw))
+        plain = plain or not (stack and stack[-1][4]) and not raw.isspace() and bool(raw)
 
     def flush() -> None:
+        nonlocal plain
         text = " ".join("".join(words).split())
         words.clear()
         if text:
-            out.append((text, stack[-1][1], stack[-1][2]) if stack else (text, False, False))
+            _, own, bad, prose, _ = stack[-1] if stack else top
+            out.append((text, own + (own and prose and plain), bad > 0))
+        plain = False
 
     while m := _MARKUP.search(page, at):
         if m.start() > at:
-            words.append(html.unescape(page[at: m.start()]))
+            add(page[at: m.start()])
         at = m.end()
         if m[2] is None:
             continue
         tag = m[2].lower()
         if tag in _INLINE and not m[3]:
             if not m[1]:
-                stack.append((tag, *(stack[-1][1:] if stack else (False, False))))
+                stack.append((tag, *(stack[-1] if stack else top)[1:]))
             elif stack and stack[-1][0] == tag:
                 stack.pop()
             continue
@@ -130,7 +140,7 @@ def blocks(page: str | None) -> list[tuple[str, bool, bool]]:
                     break
                 if stack[i][0] in _FENCE:
                     break
-        own, bad = (stack[-1][1], stack[-1][2]) if stack else (False, False)
+        _, own, bad, prose, link = stack[-1] if stack else top
         drop = _unwanted(tag, m[3], own)
         if tag in _INLINE and drop:
             flush()
@@ -138,8 +148,8 @@ def blocks(page: str | None) -> list[tuple[str, bool, bool]]:
             bad = max(bad, 1 if tag == "form" else 2)
         elif tag == "main" or tag == "article" and bad == 1:
             bad = 0
-        stack.append((tag, own or tag in _OWN and not drop, bad))
-    words.append(html.unescape(page[at:]))
+        stack.append((tag, own or tag in _OWN and not drop, bad, tag in _PROSE or tag in _INLINE and prose, link or tag == "a"))
+    add(page[at:])
     flush()
     return out
 
@@ -202,20 +212,27 @@ def shared_lines(a: list, b: list) -> list[bool]:
     return out
 
 
-def main_text(page: list[tuple[str, bool, bool]], partner: list[tuple[str, bool, bool]] | None) -> tuple[str, int]:
+def are_copies(a: list[tuple[str, int, bool]], b: list[tuple[str, int, bool]]) -> bool:
+    """Whether two pages share nine tenths of their wanted letters both ways."""
+    x, y = ([t for t, _, bad in p if not bad] for p in (a, b))
+    if x == y:
+        return True
+    least, there = COPY_SHARE * max(sum(map(len, x)), sum(map(len, y))), set(y)
+    if min(sum(map(len, x)), sum(map(len, y))) < least or sum(len(t) for t in x if t in there) < least:
+        return False
+    return sum(len(t) for t, s in zip(x, shared_lines(x, y), strict=True) if s) >= least
+
+
+def main_text(page: list[tuple[str, int, bool]], partner: list[tuple[str, int, bool]] | None) -> tuple[str, int]:
     """The page's main text, and the number of blocks deleted as shared with its partner."""
     wanted = [not bad for _, _, bad in page]
-    if any(own and not bad for _, own, bad in page):
-        return " ".join(t for t, own, bad in page if own and not bad), 0
-    deleted = 0
-    if partner:
-        shared = shared_lines([t for t, _, _ in page], [t for t, _, _ in partner])
-        again = [s and w for s, w in zip(shared, wanted, strict=True)]
-        mine, other = (sum(len(t) for t, _, bad in p if not bad) for p in (page, partner))
-        if sum(len(t) for (t, _, _), x in zip(page, again, strict=True) if x) < COPY_SHARE * max(mine, other):
-            wanted = [w and not s for w, s in zip(wanted, shared, strict=True)]
-            deleted = sum(again)
-    return " ".join(t for (t, _, _), w in zip(page, wanted, strict=True) if w), deleted
+    if not partner or are_copies(page, partner):
+        if any(own and w for (_, own, _), w in zip(page, wanted, strict=True)):
+            wanted = [w and own > 0 for (_, own, _), w in zip(page, wanted, strict=True)]
+        return " ".join(t for (t, _, _), w in zip(page, wanted, strict=True) if w), 0
+    shared = shared_lines([t for t, _, _ in page], [t for t, _, _ in partner])
+    gone = [s and w and own < 2 for s, w, (_, own, _) in zip(shared, wanted, page, strict=True)]
+    return " ".join(t for (t, _, _), w, g in zip(page, wanted, gone, strict=True) if w and not g), sum(gone)
 
 
 def _nearness(a: str, b: str) -> tuple[int, int]:

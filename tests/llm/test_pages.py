@@ -108,3 +108,9 @@ def test_nested_articles_stay_unwanted():
     assert cut("<article><p>Text.</p><section class=comments><article id=c1>me too</article></section></article>")[0] == "Text."
     assert cut("<div class=post>Real text.</div><aside><article>teaser</article></aside>")[0] == "Real text."
     assert cut("<nav><article>menu</article></nav><footer><article>foot</article></footer><form><article>kept</article></form>")[0] == "kept"
+
+
+def test_differencing_runs_inside_main():
+    menu = "<div>Teaser one</div><ul><li><a href=x>Menu</a></li></ul>"
+    page, other = (f"<body><div>Frame</div><main>{menu}<p>Same opening.</p><p>Own text {k} of this page.</p></main><div>Only {k}</div></body>" for k in "ab")
+    assert cut(page, other) == ("Same opening. Own text a of this page. Only a", 3)
