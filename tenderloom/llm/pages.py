@@ -1,9 +1,9 @@
 """Main text of web pages by nearest-URL page differencing.
 
 A page is cut into blocks of text in page order. Pages are sorted by host and
-path, so a page's nearest neighbour by path is the one before or after it; the
-one that shares more leading path segments (then letters) is its partner. The
-blocks of both are aligned by longest common subsequence and shared ones are
+path. A page's partner is the nearest page of the host, before or after it, that
+is not a copy: the one that shares more leading path segments (then letters).
+The blocks of both are aligned by longest common subsequence and shared ones are
 taken out: they are the site's, not the page's.
 
 The markup settles what differencing alone gets wrong. Paragraphs, headings and
@@ -15,10 +15,13 @@ so, elsewhere their parts do too. A page without a partner is its `article` or
 `main` where it has one. Pages that share nine tenths of their letters both ways
 are copies of one article.
 
-Scale: host and path are range-partitioned from the narrow columns, a few ids
-at the borders of ranges reach the driver (two for each range), and the HTML is
-shuffled once to its range; a border page goes to both sides, so the partner
-does not hang on the ranges. A host may span any number of ranges.
+Scale: host, path and a hash of the text are range-partitioned, a few ids at the
+borders of ranges reach the driver (six rows for each range at most), and the HTML is
+shuffled once to its range. The last page before a range goes to it too, with
+the last ones before that with another text, and with another path and text, and
+likewise after it, so the partner does not hang on the ranges, but for copies
+that differ a little in text and in path and fill a whole range. A host may span
+any number of ranges. A worker holds the copies next to each other, no more.
 
 Nulls and edges: null HTML is an empty page, a null or relative URL has no
 partner, equal URLs are ordered by page_id, repeated rows are rows, a missing
@@ -30,7 +33,7 @@ from __future__ import annotations
 
 import html
 import re
-from bisect import bisect_right
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 
 import numpy as np
@@ -240,49 +243,125 @@ def _nearness(a: str, b: str) -> tuple[int, int]:
     return tuple(next((i for i, (p, q) in enumerate(zip(m, n)) if p != q), min(len(m), len(n))) for m, n in ((x, y), (a, b)))  # noqa: B905
 
 
-def _dealt(firsts: list[tuple], lasts: list[tuple]):
-    first_of, last_of = {k: i for i, k in enumerate(firsts)}, {k: i for i, k in enumerate(lasts)}
+def _borders(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A sorted range's first and last row, and from both ends the next one with another text, and with another path and text."""
+    first, last = [], []  # rows by how they differ: not at all, in text, in path and text
+
+    def differ(a: tuple, b: tuple) -> list[bool]:
+        return [True, a[3] != b[3], a[3] != b[3] and a[1] != b[1]]
+
+    now, text, other = None, None, None  # the last row, the last one with another text, with another path and text
+    by_path = [None, None]  # of the path before this one: its last row, and its last row with another text than that
+    for batch in batches:
+        for row in zip(*(batch[x].to_pylist() for x in ("host", "path", "id", "sign")), strict=True):
+            if not first:
+                first = [row, None, None]
+            for k, d in enumerate(differ(row, first[0])):
+                if d and first[k] is None:
+                    first[k] = row
+            if now and now[:2] != row[:2]:
+                by_path = [now, text]
+            if now and now[3] != row[3]:
+                text = now
+            now = row
+            other = next((x for x in by_path if x and x[3] != row[3]), other if other and other[3] != row[3] else None)
+    if now:
+        last = [now, text, other]
+        rows = [x for x in (*first, *last) if x]
+        yield pa.record_batch([pa.array([x[k] for x in rows], t) for k, t in enumerate((pa.string(), pa.string(), pa.int64(), pa.int64()))], ["host", "path", "id", "sign"])
+
+
+def _guests(firsts: list[tuple], marks: list[tuple]) -> dict[tuple, list[int]]:
+    """Rows (host, path, id, sign) at borders that other ranges need too: (host, path, id) -> ranges."""
+    out: dict[tuple, list[int]] = {}
+    at = [bisect_right(firsts, m[:3]) - 1 for m in marks]
+    for part in range(len(firsts)):
+        before, after = range(bisect_left(at, part) - 1, -1, -1), range(bisect_right(at, part), len(marks))
+        for ks in (before, after):
+            near, kinds = marks[ks[0]] if ks else None, set()
+            for m in (marks[k] for k in ks):
+                if m[0] != near[0] or len(kinds) == 3:
+                    break
+                mine = {0} | ({1} if m[3] != near[3] else set()) | ({2} if m[3] != near[3] and m[1] != near[1] else set())
+                if mine - kinds:
+                    kinds |= mine
+                    if part not in out.setdefault(m[:3], []):
+                        out[m[:3]].append(part)
+    return out
 
+
+def _dealt(firsts: list[tuple], guests: dict[tuple, list[int]]):
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows, to, guest = [], [], []
             for i, key in enumerate(zip(batch["host"].to_pylist(), batch["path"].to_pylist(), (x if x is not None else -1 for x in batch["page_id"].to_pylist()), strict=True)):
                 own = max(0, bisect_right(firsts, key) - 1)
-                for part, is_guest in ((own, False), (last_of.get(key, -2) + 1, True), (first_of.get(key, 0) - 1, True)):
-                    if 0 <= part < len(firsts) and (part != own or not is_guest):
-                        rows.append(i)
-                        to.append(part)
-                        guest.append(is_guest)
+                for part, is_guest in ((own, False), *((x, True) for x in guests.get(key, ()) if x != own)):
+                    rows.append(i)
+                    to.append(part)
+                    guest.append(is_guest)
             for s in range(0, len(rows), 2000):
                 part = batch.take(pa.array(rows[s: s + 2000]))
                 yield pa.record_batch([*part.columns, pa.array(to[s: s + 2000], pa.int32()), pa.array(guest[s: s + 2000])], [*part.schema.names, "range", "guest"])
     return emit
 
 
+def _partnered(pages: Iterator[dict]) -> Iterator[tuple[dict, dict | None]]:
+    """Each page with the nearest one of its host, before or after it, that is not a copy."""
+    last, waiting = None, []
+
+    def settled(p: dict, after: dict | None) -> tuple[dict, dict | None]:
+        sides = [x for x in (p["before"], after) if x]
+        return p, max(sides, key=lambda x: _nearness(x["path"], p["path"])) if sides else None  # the earlier of equals
+
+    for now in pages:
+        same = last is not None and last["range"] == now["range"] and last["host"] == now["host"] and bool(now["host"])
+        if not same:
+            yield from (settled(p, None) for p in waiting)
+            waiting, now["before"] = [], None
+        else:
+            before = last
+            while before and are_copies(now["blocks"], before["blocks"]):
+                if now["blocks"] == before["blocks"]:
+                    now["blocks"] = before["blocks"]
+                before = before["before"]
+            now["before"] = before
+            if before and before["before"] and before["before"]["before"]:
+                before["before"]["before"]["before"] = None  # no chain through the whole host
+            if before is last:
+                still = [are_copies(p["blocks"], now["blocks"]) for p in waiting]
+                yield from (settled(p, now) for p, s in zip(waiting, still, strict=True) if not s)
+                waiting = [p for p, s in zip(waiting, still, strict=True) if s]
+        waiting.append(now)
+        last = now
+    yield from (settled(p, None) for p in waiting)
+
+
 def _extracted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     def pages():
         for batch in batches:
             for s in range(0, batch.num_rows, 64):
                 for r in batch.slice(s, 64).to_pylist():
                     yield r | {"blocks": blocks(r.pop("html"))}
-        yield None
-
-    out, before, now = [], None, None
-
-    def near(a, b):
-        return a is not None and b is not None and a["host"] and a["range"] == b["range"] and a["host"] == b["host"]
-
-    for after in pages():
-        if now and not now["guest"]:
-            sides = [p for p in (before, after) if near(p, now)]
-            partner = max(sides, key=lambda p: _nearness(p["path"], now["path"])) if sides else None  # the earlier of equals
-            text, deleted = main_text(now["blocks"], partner["blocks"] if partner else None)
-            out.append((now["page_id"], now["url"], text, len(text), partner["page_id"] if partner else None, deleted))
-        before, now = now, after
-        if len(out) >= 500 or after is None and out:
-            yield pa.record_batch([pa.array([x[k] for x in out], t) for k, t in enumerate((pa.int64(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.int64()))],
-                                  ["page_id", "url", "text", "n_chars", "partner_id", "n_deleted"])
+
+    def batch_of(out: list[tuple]) -> pa.RecordBatch:
+        return pa.record_batch([pa.array([x[k] for x in out], t) for k, t in enumerate((pa.int64(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.int64()))],
+                               ["page_id", "url", "text", "n_chars", "partner_id", "n_deleted"])
+
+    out, same = [], (None, None, None)  # copies next to each other have one result
+    for now, partner in _partnered(pages()):
+        if now["guest"]:
+            continue
+        other = partner["blocks"] if partner else None
+        if now["blocks"] is not same[0] or other is not same[1]:
+            same = (now["blocks"], other, main_text(now["blocks"], other))
+        text, deleted = same[2]
+        out.append((now["page_id"], now["url"], text, len(text), partner["page_id"] if partner else None, deleted))
+        if len(out) >= 500:
+            yield batch_of(out)
             out = []
+    if out:
+        yield batch_of(out)
 
 
 def main_texts(pages: DataFrame) -> DataFrame:
@@ -293,11 +372,15 @@ def main_texts(pages: DataFrame) -> DataFrame:
     source = pages.select("page_id", "url", "html", host.alias("host"), path.alias("path"))
     order = ["host", "path", "page_id"]
     n = 4 * c.width(pages.sparkSession)
-    key = F.struct("host", "path", F.coalesce("page_id", F.lit(-1)).alias("page_id"))
-    slices = (source.select("host", "path", "page_id").repartitionByRange(n, *order).groupBy(F.spark_partition_id())
-              .agg(F.min(key).alias("first"), F.max(key).alias("last")).collect())  # two keys for each range
-    slices = sorted((tuple(r["first"]), tuple(r["last"])) for r in slices)
-    firsts, lasts = [a for a, _ in slices], [b for _, b in slices]
-    dealt = source.mapInArrow(_dealt(firsts, lasts), "page_id long, url string, html string, host string, path string, range int, guest boolean")
+    words = F.regexp_replace(F.coalesce("html", F.lit("")), r"(?is)<(script|style)\b.*?</\1\s*>|<[^>]*>", " ")
+    narrow = source.select("host", "path", F.coalesce("page_id", F.lit(-1)).alias("id"), F.xxhash64(words).alias("sign"))
+    marks = narrow.repartitionByRange(n, "host", "path", "id").sortWithinPartitions("host", "path", "id").mapInArrow(
+        _borders, "host string, path string, id long, sign long").withColumn("range", F.spark_partition_id()).collect()  # six rows for each range at most
+    least: dict[int, tuple] = {}
+    for r in marks:
+        least[r["range"]] = min(least.get(r["range"], tuple(r)[:3]), tuple(r)[:3])
+    firsts = sorted(least.values())
+    dealt = source.mapInArrow(_dealt(firsts, _guests(firsts, sorted({tuple(r)[:4] for r in marks}))),
+                              "page_id long, url string, html string, host string, path string, range int, guest boolean")
     ordered = dealt.repartition(c.width(pages.sparkSession), "range").sortWithinPartitions("range", *order)
     return ordered.mapInArrow(_extracted, "page_id long, url string, text string, n_chars long, partner_id long, n_deleted long")

@@ -98,10 +98,10 @@ def cut(page, partner=None):
     return pages.main_text(pages.blocks(page), pages.blocks(partner) if partner else None)
 
 
-def test_article_parts_are_not_dropped_by_pieces_of_names():
-    page = """<article><h2 id=related-work>Related work</h2><section id=social-impact>Impact.</section><div class="search-results-discussion">Talk.</div>
-        <p id="notice">Note.</p><span title='a hidden gem'>Gem.</span> <span data-1="x hidden y">Data.</span><p hidden>no</p><div class="post share">no</div></article>"""
-    assert cut(page)[0] == "Related work Impact. Talk. Note. Gem. Data."
+def test_differencing_runs_inside_main():
+    menu = "<div>Teaser one</div><ul><li><a href=x>Menu</a></li></ul>"
+    page, other = (f"<body><div>Frame</div><main>{menu}<p>Same opening.</p><p>Own text {k} of this page.</p></main><div>Only {k}</div></body>" for k in "ab")
+    assert cut(page, other) == ("Same opening. Own text a of this page. Only a", 3)
 
 
 def test_nested_articles_stay_unwanted():
@@ -110,7 +110,24 @@ def test_nested_articles_stay_unwanted():
     assert cut("<nav><article>menu</article></nav><footer><article>foot</article></footer><form><article>kept</article></form>")[0] == "kept"
 
 
-def test_differencing_runs_inside_main():
-    menu = "<div>Teaser one</div><ul><li><a href=x>Menu</a></li></ul>"
-    page, other = (f"<body><div>Frame</div><main>{menu}<p>Same opening.</p><p>Own text {k} of this page.</p></main><div>Only {k}</div></body>" for k in "ab")
-    assert cut(page, other) == ("Same opening. Own text a of this page. Only a", 3)
+def test_article_parts_are_not_dropped_by_pieces_of_names():
+    page = """<article><h2 id=related-work>Related work</h2><section id=social-impact>Impact.</section><div class="search-results-discussion">Talk.</div>
+        <p id="notice">Note.</p><span title='a hidden gem'>Gem.</span> <span data-1="x hidden y">Data.</span><p hidden>no</p><div class="post share">no</div></article>"""
+    assert cut(page)[0] == "Related work Impact. Talk. Note. Gem. Data."
+
+
+@pytest.mark.parametrize("copies", [2, 60])
+def test_copies_are_cut_by_another_page(spark, copies):
+    def page(own):
+        return f"<div>menu one</div><div>menu two</div><div>{own}</div><div>all rights reserved</div>"
+
+    rows = [(0, "http://h/news/0", page("the first story of this site, long enough")), (900, "http://h/news/9", page("another story here, also long enough"))]
+    rows += [(i, f"http://h/news/5?utm={i}" if i % 2 else "http://h/news/5", page("a story that was fetched again and again")) for i in range(1, copies + 1)]
+    df = spark.createDataFrame([(*r, "", 0) for r in rows], SCHEMA)
+    for n in ("1", "3", "40"):
+        old = spark.conf.get("spark.sql.shuffle.partitions")
+        spark.conf.set("spark.sql.shuffle.partitions", n)
+        got = {r.page_id: (r.text, r.partner_id, r.n_deleted) for r in pages.main_texts(df).collect()}
+        spark.conf.set("spark.sql.shuffle.partitions", old)
+        assert got[1] == ("a story that was fetched again and again", 0, 3)
+        assert {got[i] for i in range(1, copies + 1)} == {got[1]}
