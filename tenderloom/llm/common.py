@@ -66,6 +66,22 @@ def worker_state() -> dict:
     return sys.modules[name].state
 
 
+#: A key with more than one in so many rows is heavy; there can be no more heavy keys than that.
+HEAVY = 1000
+
+
+def looked_up(rows: DataFrame, facts: DataFrame, on: list[str], n: str) -> DataFrame:
+    """`rows` left joined to `facts`, whose keys are unique and whose column `n` counts the rows of a key.
+
+    Heavy keys, at most `HEAVY` of them by what heavy means, are brought to the
+    rows; the others meet in a shuffle where no key holds more than one row in `HEAVY`.
+    """
+    total = facts.agg(F.coalesce(F.sum(n), F.lit(0))).first()[0]
+    heavy = F.broadcast(facts.where(F.col(n) * HEAVY > total))
+    light = rows.join(heavy.select(*on), on, "left_anti").join(facts.where(F.col(n) * HEAVY <= total), on, "left")
+    return rows.join(heavy, on).unionByName(light)
+
+
 # ---------------------------------------------------------------- words in columns
 
 SPACE = r"[ \t-\r]"

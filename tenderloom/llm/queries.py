@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, common, jaccard, mixing, ngram, packing, pages, planes, quality, repeats, vectors
+from . import chat, common, jaccard, mixing, ngram, packing, pages, planes, quality, repeats, vectors, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -175,3 +175,20 @@ def op7_pack_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op1_page_differencing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The main text of every row of `pages`."""
     return pages.main_texts(table(spark, sf_dir, "pages"))
+
+
+@query
+def op13_zstd_archives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every row of `pages` as a WARC record in zstandard archives of the shared folder, read back."""
+    folder = common.new_path(spark, "archives")
+    files = warc.write(table(spark, sf_dir, "pages"), folder)
+    records = warc.resolved(warc.read(spark, folder, files, payloads=False))
+    return records.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+SQL["op13_zstd_archives"] = f"""
+WITH p AS (SELECT page_id, coalesce(html, '') AS h, row_number() OVER () AS rid FROM pages),
+g AS (SELECT *, strlen(h)::BIGINT AS n, first_value(page_id) OVER w AS original, row_number() OVER w AS place
+      FROM p WINDOW w AS (PARTITION BY h ORDER BY page_id DESC NULLS LAST, rid))
+SELECT page_id, n AS payload_bytes, sha1(h) AS payload_digest, CASE WHEN n >= {warc.LEAST} AND place > 1 THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN n >= {warc.LEAST} AND place > 1 THEN original END AS refers_to FROM g"""
