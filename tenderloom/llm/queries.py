@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, common, jaccard, mixing, ngram, packing, pages, planes, quality, repeats, vectors, warc
+from . import chat, common, jaccard, mixing, ngram, packing, pages, planes, quality, repair, repeats, vectors, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -192,3 +192,65 @@ g AS (SELECT *, strlen(h)::BIGINT AS n, first_value(page_id) OVER w AS original,
       FROM p WINDOW w AS (PARTITION BY h ORDER BY page_id DESC NULLS LAST, rid))
 SELECT page_id, n AS payload_bytes, sha1(h) AS payload_digest, CASE WHEN n >= {warc.LEAST} AND place > 1 THEN 'revisit' ELSE 'response' END AS record_type,
        CASE WHEN n >= {warc.LEAST} AND place > 1 THEN original END AS refers_to FROM g"""
+
+
+@query
+def op11_structure_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole `conversations`, damaged row by row and repaired by the cheapest edits."""
+    rows = table(spark, sf_dir, "conversations")
+    return repair.audits(repair.damaged(rows), rows)
+
+
+#: CRC-32 in SQL: the table of its 256 remainders by rule, and the fold over a decimal text's bytes.
+_CRC_TABLE = """(SELECT list_transform(range(256), lambda i: list_reduce(list_prepend(i, range(8)),
+  lambda r, k: CASE WHEN (r & 1) = 1 THEN xor(r >> 1, 3988292384) ELSE r >> 1 END)) AS tab)"""
+
+
+def _crc_sql(text: str) -> str:
+    return (f"xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split({text}, ''), lambda x: ascii(x)::BIGINT)),"
+            " lambda r, b: xor(r >> 8, tab[((xor(r, b) & 255) + 1)::INTEGER])), 4294967295)")
+
+
+SQL["op11_structure_repair"] = rf"""
+WITH RECURSIVE src AS (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+         {_crc_sql("coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ')")} % 20 AS code FROM conversations, {_CRC_TABLE}),
+dam AS (
+  SELECT conv_id, turn, CASE WHEN code = 4 THEN 'user' ELSE role END AS role,
+         CASE code WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text
+  FROM (SELECT * FROM src UNION ALL SELECT * FROM src WHERE code = 3) WHERE code <> 0),
+ord AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS i FROM dam),
+core AS (SELECT *, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 AS again,
+         regexp_replace(text, '[ 	-]+$', '') AS said, left(role, 1) AS r FROM ord),
+f AS (SELECT *, CASE WHEN said = '' THEN 'b' WHEN again THEN 'd' WHEN regexp_matches(said, '[.!?]$') THEN '' ELSE 't' END AS fault,
+      lag(r) OVER (PARTITION BY conv_id ORDER BY i) AS r0 FROM core),
+way(conv_id, i, q, best) AS (
+  SELECT DISTINCT conv_id, 0::BIGINT, '', {{'cost': 0::BIGINT, 'audit': '', 'out': ''}} FROM f
+  UNION ALL
+  SELECT conv_id, i, q, min(best) FROM (
+    SELECT f.conv_id, f.i, CASE e WHEN 'D' THEN w.p WHEN 'K' THEN f.r ELSE w.nxt END AS q,
+           {{'cost': w.best.cost + 2 * w.k + CASE e WHEN 'D' THEN 3 WHEN 'R' THEN 2 ELSE 0 END + CASE WHEN e <> 'D' AND f.fault = 't' THEN 1 ELSE 0 END,
+            'audit': w.best.audit || repeat('I', w.k::INTEGER) || e,
+            'out': w.best.out || w.ins || CASE e WHEN 'D' THEN '' WHEN 'K' THEN chr(10) || f.role || ':' || f.text
+                   ELSE chr(10) || CASE w.nxt WHEN 'u' THEN 'user' ELSE 'assistant' END || ':' || f.text END}} AS best
+    FROM (SELECT conv_id, i, best, k, ins, p, CASE p WHEN 'u' THEN 'a' ELSE 'u' END AS nxt
+          FROM (SELECT conv_id, i, best, 0::BIGINT AS k, '' AS ins, q AS p FROM way
+                UNION ALL SELECT conv_id, i, best, 1, chr(10) || CASE q WHEN 'u' THEN 'assistant:' ELSE 'user:' END, CASE q WHEN 'u' THEN 'a' ELSE 'u' END FROM way
+                UNION ALL SELECT conv_id, i, best, 2, CASE q WHEN 'u' THEN chr(10) || 'assistant:' || chr(10) || 'user:' ELSE chr(10) || 'user:' || chr(10) || 'assistant:' END,
+                                 CASE q WHEN 'u' THEN 'u' ELSE 'a' END FROM way)) w
+    JOIN f ON f.conv_id IS NOT DISTINCT FROM w.conv_id AND f.i = w.i + 1, (SELECT unnest(['D', 'K', 'R']) AS e)
+    WHERE e = 'D' OR (f.fault NOT IN ('b', 'd') AND (e = 'R' OR (f.r = 's' AND w.p = '') OR (f.r = 'u' AND w.p <> 'u') OR (f.r = 'a' AND w.p = 'u'))))
+  GROUP BY conv_id, i, q),
+sums AS (
+  SELECT conv_id, max(i) AS n, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0)::BIGINT AS gaps, count(*) FILTER (fault = 'b') AS blank,
+         count(*) FILTER (fault = 'd') AS duplicate, count(*) FILTER (fault = 't') AS truncated,
+         count(*) FILTER (i > 1 AND r0 || r NOT IN ('su', 'ua', 'au')) AS illegal FROM f GROUP BY conv_id),
+done AS (
+  SELECT w.conv_id, min({{'cost': best.cost + CASE q WHEN 's' THEN 4 WHEN 'u' THEN 2 ELSE 0 END,
+         'audit': best.audit || CASE q WHEN 's' THEN 'II' WHEN 'u' THEN 'I' ELSE '' END,
+         'out': best.out || CASE q WHEN 's' THEN chr(10) || 'user:' || chr(10) || 'assistant:' WHEN 'u' THEN chr(10) || 'assistant:' ELSE '' END}}) AS best
+  FROM way w JOIN sums s ON s.conv_id IS NOT DISTINCT FROM w.conv_id AND w.i = s.n GROUP BY w.conv_id)
+SELECT c.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated,
+       coalesce(illegal, 0) AS illegal, coalesce(best.cost, 0) AS cost, coalesce(best.audit, '') AS audit, sha256(coalesce(substr(best.out, 2), '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) c LEFT JOIN sums s ON s.conv_id IS NOT DISTINCT FROM c.conv_id
+LEFT JOIN done d ON d.conv_id IS NOT DISTINCT FROM c.conv_id"""
