@@ -78,8 +78,10 @@ def test_known_cases():
         return searched([(r, f"{i}.") for i, r in enumerate(roles)])[:2]
 
     assert go() == (0, "") and go("user", "assistant") == (0, "KK") and go("system", "user", "assistant") == (0, "KKK")
-    assert go("user") == (2, "KI") and go("tool") == (4, "IR")
-    assert go("user", "user") == (2, "KR")  # of KR and the like at equal cost, the least in ASCII order
+    assert go("user") == (2, "KI") and go("tool") == (3, "D")
+    assert go("user", "user") == (2, "KR")
+    assert go("user", "tool", "assistant") == (3, "KDK")
+    assert go("assistant", "user") == (4, "IKKI")
     assert go("system") == (3, "D") and go("assistant") == (2, "IK")
     assert searched([("user", "same."), ("user", "same."), ("assistant", "ok.")])[:2] == (3, "KDK")
     assert searched([("tool", ""), ("superuser", "x.")])[:2] == (6, "DD")
@@ -131,7 +133,7 @@ def test_whole_job_with_nulls_ties_and_repeats(spark):
             rows.append((conv_id, None if rng.random() < 0.1 else turn + (rng.random() < 0.2), None if rng.random() < 0.1 else role, None if rng.random() < 0.1 else text))
     rows += rows[:30]  # repeated rows
     rows += [(500, 0, "user", "x" * 300_000), (500, 1, "assistant", "Ünïcode. "), (501, -(2**40), "user", "a."), (501, 2**40, "assistant", "b.")]
-    rows += [(i, 0, "user", "lost.") for i in range(600, 640)]  # some lose their only row
+    rows += [(i, 0, "user", "lost.") for i in range(600, 2000) if zlib.crc32(f"{i}:0".encode()) % 20 == 0]  # they lose their only row
     rng.shuffle(rows)
     table = spark.createDataFrame(rows, SCHEMA)
     got = sorted(map(tuple, repair.audits(repair.damaged(table), table).collect()), key=repr)
