@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, common, jaccard, mixing, ngram, packing, pages, planes, quality, repair, repeats, vectors, warc
+from . import chat, common, jaccard, mixing, ngram, packing, pages, planes, prefixes, quality, repair, repeats, vectors, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -221,7 +221,8 @@ dam AS (
   FROM (SELECT * FROM src UNION ALL SELECT * FROM src WHERE code = 3) WHERE code <> 0),
 ord AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS i FROM dam),
 core AS (SELECT *, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 AS again,
-         regexp_replace(text, '[ 	-]+$', '') AS said, left(role, 1) AS r FROM ord),
+         regexp_replace(text, '[ 	-
+]+$', '') AS said, left(role, 1) AS r FROM ord),
 f AS (SELECT *, CASE WHEN said = '' THEN 'b' WHEN again THEN 'd' WHEN regexp_matches(said, '[.!?]$') THEN '' ELSE 't' END AS fault,
       lag(r) OVER (PARTITION BY conv_id ORDER BY i) AS r0 FROM core),
 way(conv_id, i, q, best) AS (
@@ -254,3 +255,32 @@ SELECT c.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coales
        coalesce(illegal, 0) AS illegal, coalesce(best.cost, 0) AS cost, coalesce(best.audit, '') AS audit, sha256(coalesce(substr(best.out, 2), '')) AS repaired_sha256
 FROM (SELECT DISTINCT conv_id FROM conversations) c LEFT JOIN sums s ON s.conv_id IS NOT DISTINCT FROM c.conv_id
 LEFT JOIN done d ON d.conv_id IS NOT DISTINCT FROM c.conv_id"""
+
+
+@query
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The prefix tree of whole `conversations`, each rebuilt on the first conversation of its hundred."""
+    rows = table(spark, sf_dir, "conversations")
+    return prefixes.trie(rows, prefixes.head_plan(rows))
+
+
+SQL["op12_prefix_trie"] = f"""
+WITH c AS (
+  SELECT conv_id, list({{'r': coalesce(role, ''), 'x': coalesce(text, '')}} ORDER BY turn NULLS FIRST, role, text) AS own,
+         first({_crc_sql("conv_id::VARCHAR")} % 6) AS h
+  FROM conversations, {_CRC_TABLE} WHERE conv_id IS NOT NULL GROUP BY conv_id),
+b AS (SELECT c.conv_id, list_concat(CASE WHEN p.own IS NULL THEN c.own[1:0] ELSE p.own[1:c.h] END, c.own[c.h + 1:]) AS seq
+      FROM c LEFT JOIN c p ON p.conv_id = c.conv_id - c.conv_id % 100),
+m AS (SELECT conv_id, n, d, seq[1:d] AS p, CASE WHEN d = 0 THEN 0 ELSE length(seq[d].x) END AS chars
+      FROM (SELECT conv_id, seq, len(seq) AS n, unnest(range(0, len(seq) + 1)) AS d FROM b)),
+g AS (SELECT p, d, min(conv_id) AS rep, count(*) AS n_convs, max(chars) AS chars, row_number() OVER () AS id,
+             sha256(coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (d = n), '')) AS ends FROM m GROUP BY p, d),
+mi AS (SELECT m.conv_id, m.d, g.id, g.rep FROM m JOIN g ON g.d = m.d AND g.p = m.p),
+up AS (SELECT g.id, mi.id AS parent, mi.rep AS parent_rep FROM g JOIN mi ON mi.conv_id = g.rep AND mi.d = g.d - 1),
+kids AS (SELECT parent, count(*) AS n FROM up GROUP BY parent),
+sub AS (
+  SELECT mi.id, count(*) FILTER (k.n IS NULL) AS leaves, sum((g.n_convs - 1) * g.chars)::BIGINT AS saved
+  FROM g LEFT JOIN kids k ON k.parent = g.id JOIN mi ON mi.conv_id = g.rep AND mi.d <= g.d GROUP BY mi.id)
+SELECT g.rep AS conv_id, g.d AS depth, parent_rep AS parent_conv_id, n_convs, coalesce(kids.n, 0) AS n_children, leaves AS n_leaves,
+       saved AS saved_tokens, ends AS ends_sha256
+FROM g LEFT JOIN up ON up.id = g.id LEFT JOIN kids ON kids.parent = g.id JOIN sub ON sub.id = g.id"""
