@@ -169,7 +169,7 @@ def members(turns: DataFrame, plan: DataFrame) -> DataFrame:
     base = sizes.select(F.col("conv_id").alias("base"), F.col("n").alias("base_n"), F.col("firsts").alias("base_firsts"))
     known = plan.where("conv_id IS NOT NULL").select("conv_id", "base", F.col("head").cast("long").alias("h"))
     both = known.join(sizes, "conv_id").join(base, "base", "left")
-    both = both.withColumn("head", F.coalesce(F.least("h", "base_n"), F.lit(0)))
+    both = both.withColumn("head", F.least("h", F.coalesce("base_n", F.lit(0))))
     both = both.withColumn("total", F.col("head") + F.greatest(F.col("n") - F.col("h"), F.lit(0)))
 
     def after(array: str, k: str, i: int) -> Column:
