@@ -39,6 +39,57 @@ def test_salted_words_lose_nothing(spark, monkeypatch):
     test_similar_sets_equal_all_pairs(spark)
 
 
+def test_word_pairs_as_keys_lose_nothing(spark, monkeypatch):
+    monkeypatch.setattr(similarity, "RARE", 2)
+    test_similar_sets_equal_all_pairs(spark)
+    monkeypatch.setattr(similarity, "ROWS_PER_SALT", 4)
+    test_similar_sets_equal_all_pairs(spark)
+    test_recurrence_equals_brute_force(spark)
+
+
+def test_one_word_in_all_titles(spark, monkeypatch):
+    monkeypatch.setattr(similarity, "RARE", 20)
+    monkeypatch.setattr(similarity, "ROWS_PER_SALT", 50)
+    rng = random.Random(8)
+    rows = [(i, "Town", "paving " + " ".join(rng.sample(WORDS[:4] + WORDS[5:], rng.randrange(0, 4))) + f" lot{chr(97 + i % 20)}{chr(97 + i % 7)}" * (i % 3 > 0),
+             f"id{i}", datetime(2024, 1, 1) + timedelta(hours=i)) for i in range(300)]
+    df = spark.createDataFrame(rows, "ordinal long, agency string, title string, opportunity_id string, due_date timestamp_ntz")
+    got = {r["ordinal"]: (r["prior_cycles"], r["last_cycle_closed"]) for r in similarity.recurrence(df, df.filter("ordinal % 3 = 0")).collect()}
+    for o in rows:
+        hits = [p[4].date() for p in rows[::3] if p[0] != o[0] and alike(p[2], o[2])]
+        assert got[o[0]] == (len(hits), max(hits, default=None))
+
+
+def test_fifty_thousand_one_word_titles(spark):
+    def word(i):
+        return "".join(chr(97 + (i // 26 ** k) % 26) for k in range(4)) + "x"
+
+    titles = spark.range(50_000).selectExpr("id as ordinal", "'Town' as agency", "cast(id as string) as opportunity_id",
+                                            "timestamp_ntz'2024-01-01 00:00:00' + make_interval(0, 0, 0, 0, cast(id % 1000 as int)) as due_date",
+                                            "concat_ws('', transform(array(1, 26, 676, 17576), k -> char(97 + cast(floor(id / k) as int) % 26)), 'x') as title")
+    asked = spark.createDataFrame([(1, "town", "a", f"{word(77)} roof"), (2, "TOWN", "b", f"{word(1)} {word(2)} {word(3)}"), (3, "Town", "c", "roof"),
+                                   (4, None, "d", word(5)), (5, "Town", "e", "")], "ordinal long, agency string, opportunity_id string, title string")
+    got = {r["ordinal"]: (r["prior_cycles"], str(r["last_cycle_closed"])) for r in similarity.recurrence(asked, titles).collect()}
+    assert got == {1: (1, "2024-01-04"), 2: (3, "2024-01-01"), 3: (0, "None"), 4: (0, "None"), 5: (0, "None")}
+    assert similarity.recurrence(titles, titles).agg(F.max("prior_cycles")).first()[0] == 0
+    same = titles.withColumn("title", F.lit("paving"))
+    counts = similarity.recurrence(same, same).agg(F.min("prior_cycles"), F.max("prior_cycles")).first()
+    assert tuple(counts) == (49_999, 49_999)
+    best = linkage.link_by_title(same.drop("due_date"), titles.unionByName(same.limit(10)))
+    assert best.agg(F.count("*"), F.min("solicitation"), F.max("solicitation"), F.min("score")).first()[0] == 50_000
+
+
+def test_copies_of_a_bid_and_a_changed_archive_title(spark):
+    kind = "ordinal long, agency string, title string, opportunity_id string, due_date timestamp_ntz"
+    day = datetime(2024, 1, 1)
+    past = spark.createDataFrame([(1, "A", "roof pump", "x", day), (2, "A", "roof pump", "y", day - timedelta(days=3)), (3, "A", "roof pump hvac", "z", None)], kind)
+    now = spark.createDataFrame([(1, "A", "roof pump", "x", None), (2, "A", "roof pump", "new", None), (3, "A", "roof pump", "new2", None),
+                                 (4, "A", "roof pump bridge", "y", None), (5, "A", "hvac", "z", None)], kind)
+    got = {r["ordinal"]: (r["prior_cycles"], r["last_cycle_closed"]) for r in similarity.recurrence(now, past).collect()}
+    early = (day - timedelta(days=3)).date()
+    assert got == {1: (2, early), 2: (3, day.date()), 3: (3, day.date()), 4: (1, day.date()), 5: (0, None)}
+
+
 def test_recurrence_equals_brute_force(spark):
     rows, df = titled(spark, 3, 120)
     past_rows, past = rows[:80], df.filter("ordinal < 80")
