@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tenderloom.functions.base import first_rows, none_if_blank, or_blank
+from tenderloom.functions import geo, text
+from tenderloom.functions.base import blank, first_filled, first_rows, none_if_blank, or_blank
+from tenderloom.operators.dedupe import absorb_labels
 
 BLANK_FILLED = ("project_location", "duration_days", "liquidated_damages", "licenses")
 
@@ -33,6 +35,32 @@ def apply_package_facts(df: DataFrame, facts: DataFrame, key: str) -> DataFrame:
     return out.drop(*[f"pkg_{c}" for c in facts.columns if c != key])
 
 
+PROSE = ("title", "description", "scope", "submittal_info", "contact")
+
+
+def derive_fields(df: DataFrame, cities: DataFrame | None = None, prose: tuple[str, ...] = PROSE) -> DataFrame:
+    """Fill blanks from whatever prose a record has; what it already states is kept.
+
+    Value, pre-bid notice, question deadline, e-mail and phone fill blanks;
+    requirement labels are appended and then absorb one another. With `cities`
+    (a gazetteer's rows) a missing tier is read off the agency's name.
+    """
+    blob = F.col("__prose")
+    labels = F.coalesce("requirements", F.array().cast("array<string>"))
+    out = (df.withColumn("__prose", text.joined_text(*[c for c in prose if c in df.columns]))
+           .withColumn("requirements", absorb_labels(F.array_distinct(F.concat(labels, text.requirement_labels(blob)))))
+           .withColumn("budget", first_filled("budget", text.estimated_value(blob)))
+           .withColumn("pre_bid_meeting", first_filled("pre_bid_meeting", text.pre_bid_meeting(blob)))
+           .withColumn("questions_due", F.coalesce("questions_due", text.questions_due(blob)))
+           .withColumn("contact_email", first_filled("contact_email", text.contact_email(blob)))
+           .withColumn("contact_phone", first_filled("contact_phone", text.contact_phone(blob)))
+           .drop("__prose"))
+    if cities is None:
+        return out
+    guessed = geo.infer_tiers(out, cities, out="__guess")
+    return guessed.withColumn("tier", F.when(blank("tier"), F.col("__guess")).otherwise(F.col("tier"))).drop("__guess")
+
+
 def merge_detail(df: DataFrame, detail: DataFrame, key: str, blanks: tuple[str, ...]) -> DataFrame:
     """A second payload per record: fills blanks, replaces a shorter scope, adds documents and labels."""
     other = detail.select(key, *[F.col(c).alias(f"det_{c}") for c in detail.columns if c != key])

@@ -39,11 +39,11 @@ SET = ["scope_id", "set_id"]
 
 
 def with_tokens(df: DataFrame, agency: str = "agency", title: str = "title") -> DataFrame:
-    """Add scope (folded agency), tokens, set_key (the set as one string), and the ids scope_id and set_id."""
-    return (df.withColumn("scope", F.lower(F.col(agency)))
+    """Add agency_key (folded agency), tokens, set_key (the set as one string), and the ids scope_id and set_id."""
+    return (df.withColumn("agency_key", F.lower(F.col(agency)))
             .withColumn("tokens", keys.significant_tokens(title))
             .withColumn("set_key", F.array_join("tokens", " "))
-            .withColumn("scope_id", F.when(F.col("scope").isNotNull(), F.xxhash64("scope"))).withColumn("set_id", F.xxhash64("set_key")))
+            .withColumn("scope_id", F.when(F.col("agency_key").isNotNull(), F.xxhash64("agency_key"))).withColumn("set_id", F.xxhash64("set_key")))
 
 
 def enough_overlap(shared: Column, smaller: Column) -> Column:
@@ -178,7 +178,7 @@ def similar_sets(left: DataFrame, right: DataFrame) -> DataFrame:
     fold their answers instead.
     """
     def sets(df: DataFrame, name: str) -> DataFrame:
-        return df.filter(F.col("set_key") != "").select("scope", *SET, "set_key", F.col("set_key").alias(name)).distinct()
+        return df.filter(F.col("set_key") != "").select(F.col("agency_key").alias("scope"), *SET, "set_key", F.col("set_key").alias(name)).distinct()
 
     pair = F.collect_list(F.struct("hit.right_key", "score")).alias("pairs")
     found = folded(sets(left, "left_key"), sets(right, "right_key"), [pair], ["scope", "left_key"])

@@ -257,16 +257,6 @@ def agency_code_join(t: Tables) -> DataFrame:
     return asked.withColumn("folded", F.upper(F.trim("agency"))).join(codes, "folded", "left").select("c_custkey", "agency_code")
 
 
-@query("package_fanout", """WITH p AS (SELECT ordinal, 'https://docs.example.gov/' || (ordinal % 997) || '.pdf' AS url, title FROM bids),
-    u AS (SELECT url, 'value ' || length(url) AS fact, count(*) AS shared FROM p GROUP BY url) SELECT p.ordinal, u.fact, u.shared FROM p JOIN u USING (url)""", "bids")
-def package_fanout(t: Tables) -> DataFrame:
-    """Each distinct package is read once and its facts return to every bid that shares it."""
-    wanted = t.bids.select("ordinal", F.concat(F.lit("https://docs.example.gov/"), (F.col("ordinal") % 997).cast("string"), F.lit(".pdf")).alias("url"))
-    facts = wanted.groupBy("url").agg(F.count(F.lit(1)).alias("shared")) \
-        .withColumn("fact", F.concat(F.lit("value "), F.length("url").cast("string")))
-    return wanted.join(facts, "url").select("ordinal", "fact", "shared")
-
-
 _MOVES = """old AS (SELECT entity_id, platform FROM log WHERE event_id % 2 = 0 QUALIFY row_number() OVER (PARTITION BY entity_id ORDER BY event_id DESC) = 1),
     new AS (SELECT entity_id, platform FROM log QUALIFY row_number() OVER (PARTITION BY entity_id ORDER BY event_id DESC) = 1),
     mv AS (SELECT entity_id, coalesce(old.platform, 'unknown') AS was, new.platform, CASE WHEN coalesce(old.platform, 'unknown') = new.platform

@@ -262,9 +262,11 @@ def money_display(t: Tables) -> DataFrame:
     return t.bids.select("ordinal", render.short_money(n).alias("shown"))
 
 
-@query("brief_text", f"""WITH b AS (SELECT *, {DAYS} AS days, trim(regexp_replace(coalesce(description, ''), '\\s+', ' ', 'g')) AS d,
+def brief_sql(rows: str) -> str:
+    return f"""WITH b AS (SELECT *, {DAYS} AS days, trim(regexp_replace(coalesce(description, ''), '\\s+', ' ', 'g')) AS d0,
+      CASE WHEN length(d0) > 180 THEN substr(d0, 1, 177) || '...' ELSE d0 END AS d,
       concat_ws('; ', CASE WHEN offer_type <> 'unknown' THEN replace(offer_type, '_', ' ') END,
-        CASE WHEN len(categories) > 0 THEN array_to_string(categories[1:3], '/') END) AS cat FROM bids)
+        CASE WHEN len(categories) > 0 THEN array_to_string(categories[1:3], '/') END) AS cat FROM {rows})
     SELECT ordinal, concat_ws(' ', '[' || CASE WHEN solicitation_type = 'UNKNOWN' THEN 'BID' ELSE upper(solicitation_type) END || '] ' || agency || ': ' || trim(title),
       'Ref ' || NULLIF(external_id, '') || '.',
       CASE WHEN due_date IS NOT NULL THEN 'Closes ' || strftime(due_date, '%b %d, %Y %H:%M') || ' (' || CASE WHEN days < 0 THEN 'CLOSED ' || abs(days) || 'd ago'
@@ -272,7 +274,10 @@ def money_display(t: Tables) -> DataFrame:
         WHEN status = 'upcoming' THEN 'Upcoming / planned solicitation.' WHEN status = 'catalog' THEN 'Portal directory entry — register to see live bids.'
         ELSE 'Due date not published on listing.' END,
       CASE WHEN cat <> '' THEN 'Category: ' || cat || '.' END, 'Budget: ' || NULLIF(budget, '') || '.', 'Dept: ' || NULLIF(department, '') || '.',
-      'Contact: ' || NULLIF(contact, '') || '.', CASE WHEN d <> '' AND NOT contains(lower(title), lower(d)) THEN d END) AS brief FROM b""", "bids")
+      'Contact: ' || NULLIF(contact, '') || '.', CASE WHEN d <> '' AND NOT contains(lower(title), lower(d)) THEN d END) AS brief FROM b"""
+
+
+@query("brief_text", brief_sql("bids"), "bids")
 def brief_text(t: Tables) -> DataFrame:
     return t.bids.select("ordinal", render.brief(AS_OF).alias("brief"))
 
@@ -379,29 +384,6 @@ def list_union(t: Tables) -> DataFrame:
     return t.bids.select("ordinal", F.array_join(dedupe.list_union("categories", "keywords"), ",").alias("merged"))
 
 
-@query("derive_fields", rf"""WITH f AS (SELECT doc_id, {FOLDED} AS b FROM docs),
-    m AS (SELECT doc_id, b, regexp_extract_all(b, '(?i){text.MONEY}') AS bare FROM f),
-    n AS (SELECT *, list_transform(bare, lambda m: {_MONEY_NUMBER}) AS figures FROM m)
-    SELECT doc_id, CASE WHEN doc_id % 4 = 0 THEN '$9' ELSE regexp_replace(regexp_replace(coalesce({_VALUE_CASES},
-        CASE WHEN list_max(figures) >= 25000 THEN bare[list_position(figures, list_max(figures))] END), '\s+', '', 'g'), '(?i)(million|billion)$', ' \1') END AS budget,
-      CASE WHEN doc_id % 3 = 0 THEN 'desk@example.gov' ELSE rtrim(NULLIF(regexp_extract(b, '(?i){text.EMAIL}'), ''), '.') END AS contact_email,
-      CAST(len(list_filter([{_REQ_LIST}], lambda x: x IS NOT NULL)) AS INTEGER) AS labels FROM n""", "docs")
-def derive_fields(t: Tables) -> DataFrame:
-    """Fill blanks from prose; what a record already states is kept."""
-    docs = t.docs.withColumn("budget", F.expr("CASE WHEN doc_id % 4 = 0 THEN '$9' WHEN doc_id % 4 = 1 THEN '' END")) \
-        .withColumn("contact_email", F.expr("CASE WHEN doc_id % 3 = 0 THEN 'desk@example.gov' END"))
-    blob = text.joined_text(*LEAD_AND_SCOPE)
-    return docs.select("doc_id", first_filled("budget", text.estimated_value(blob)).alias("budget"),
-                       first_filled("contact_email", text.contact_email(blob)).alias("contact_email"),
-                       F.size(text.requirement_labels(blob)).alias("labels"))
-
-
-@query("requirement_absorb")
-def requirement_absorb(t: Tables) -> DataFrame:
-    more = F.concat("requirements", F.array(F.lit("Bid bond required"), F.lit("Insurance"), F.lit("Living wage for the site")))
-    return t.bids.select("ordinal", F.array_join(dedupe.absorb_labels(more), "; ").alias("labels"))
-
-
 @query("export_rows", f"""SELECT opportunity_id, title, coalesce(external_id, '') AS external_id, array_to_string(categories, ', ') AS categories,
     coalesce(strftime(due_date, '%Y-%m-%dT%H:%M:%S'), '') AS due_date, coalesce(CAST({DAYS} AS VARCHAR), '') AS days_until_due,
     array_to_string(requirements, '; ') AS requirements, CAST(len(documents) AS INTEGER) AS documents,
