@@ -6,12 +6,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tenderloom.functions import calendar, classify, dates, geo, keys, render, text
-from tenderloom.functions.base import first_filled
 from tenderloom.operators import dedupe, scoring
 from tenderloom.plans.q_market import WORKFLOW, workflow
 from tenderloom.plans.registry import query
 from tenderloom.plans.sqltext import BUDGET, DAYS, tokens
 from tenderloom.plans.tables import AS_OF, Tables
+from tenderloom.session import scratch_path
 
 
 @query("stable_ids", """SELECT ordinal, substr(sha1(source_id || '|' || coalesce(external_id, '') || '|' || title || '|' || url), 1, 16)
@@ -142,31 +142,82 @@ def contact_fields(t: Tables) -> DataFrame:
                          text.contact_email(blob).alias("email"), text.contact_phone(blob).alias("phone"))
 
 
-_CATS = [c for c in classify.STARTER if c.patterns]
-_CAT_LIST = ", ".join(
-    "CASE " + " ".join(f"WHEN {_found(p, 'b')} THEN {{'slug': '{c.slug}', 'offer': '{c.offer}', 'umbrella': "
-                       f"{repr(c.umbrella) if c.umbrella else 'NULL'}, 'kw': lower(regexp_extract(b, '(?i){p}'))}}" for p in c.patterns) + " END"
-    for c in _CATS)
+def _category_case(c: classify.Category, offers: dict[str, str]) -> str:
+    up = f"'{c.umbrella}'" if c.umbrella else "NULL"
+    vote = f"'{offers[c.umbrella]}'" if c.umbrella else "NULL"
+    return "CASE " + " ".join(f"WHEN {_found(p, 'b')} THEN {{'slug': '{c.slug}', 'offer': '{c.offer}', 'umbrella': {up}, 'vote': {vote}, "
+                              f"'kw': lower(regexp_extract(b, '(?i){_sql_quote(p)}'))}}" for p in c.patterns) + " END"
 
 
-@query("classify", f"""WITH f AS (SELECT doc_id, regexp_replace(lead || chr(10) || scope, '[^\\x00-\\x7F]', 'x', 'g') AS b FROM docs),
-    h AS (SELECT doc_id, list_filter([{_CAT_LIST}], lambda x: x IS NOT NULL)[1:8] AS hits FROM f),
-    d AS (SELECT doc_id, hits, list_transform(hits, lambda x: x.slug) AS det,
-      list_filter(list_transform(hits, lambda x: x.umbrella), lambda u: u IS NOT NULL) AS ups FROM h),
-    g AS (SELECT doc_id, hits, det || CASE WHEN len(ups) > 0 AND NOT list_contains(det, 'construction') THEN ['construction'] ELSE CAST([] AS VARCHAR[]) END AS tags,
-      list_transform(hits, lambda x: x.offer) || CASE WHEN len(ups) > 0 AND NOT list_contains(det, 'construction') THEN ['construction']
-        ELSE CAST([] AS VARCHAR[]) END AS votes FROM d)
-    SELECT doc_id, CASE WHEN len(tags) = 0 THEN 'general' ELSE array_to_string(tags, ',') END AS categories,
+def _distinct(names: str) -> str:
+    return f"list_filter({names}, lambda x, i: x IS NOT NULL AND list_position({names}, x) = i)"
+
+
+def classify_sql(taxonomy: tuple[classify.Category, ...], source: str, key: str) -> str:
+    """CTE `g`: key, b, tags, votes and keywords by trying every pattern of every category."""
+    offers = {c.slug: c.offer for c in taxonomy}
+    cases = ", ".join(_category_case(c, offers) for c in taxonomy if c.patterns)
+    return f"""h AS (SELECT *, list_filter([{cases}], lambda x: x IS NOT NULL)[1:8] AS hits FROM {source}),
+    d AS (SELECT *, list_transform(hits, lambda x: x.slug) || list_transform(hits, lambda x: x.umbrella) AS named,
+      list_transform(hits, lambda x: x.offer) || list_transform(hits, lambda x: x.vote) AS voted, list_transform(hits, lambda x: trim(x.kw)) AS kws FROM h),
+    g AS (SELECT *, {_distinct('named')} AS tags, {_distinct('voted')} AS votes, {_distinct('kws')} AS keywords FROM d)"""
+
+
+CLASSIFIED = """CASE WHEN len(tags) = 0 THEN 'general' ELSE array_to_string(tags, ',') END AS categories,
       CASE WHEN len(votes) = 0 THEN 'unknown' WHEN list_contains(votes, 'construction') THEN 'construction'
         WHEN list_contains(votes, 'professional_services') AND NOT list_contains(votes, 'goods') THEN 'professional_services'
         WHEN list_contains(votes, 'goods') AND NOT list_contains(votes, 'services') THEN 'goods'
-        WHEN list_contains(votes, 'services') THEN 'services' ELSE votes[1] END AS offer_type,
-      array_to_string(list_transform(hits, lambda x: trim(x.kw)), ',') AS keywords FROM g""", "docs")
+        WHEN list_contains(votes, 'services') THEN 'services' ELSE votes[1] END AS offer_type, array_to_string(keywords, ',') AS keywords"""
+
+
+@query("classify", f"""WITH f AS (SELECT doc_id, {FOLDED} AS b FROM docs), {classify_sql(classify.STARTER, 'f', 'doc_id')}
+    SELECT doc_id, {CLASSIFIED} FROM g""", "docs")
 def classify_docs(t: Tables) -> DataFrame:
     return classify.classify(t.docs, text.joined_text(*LEAD_AND_SCOPE)).select(
         "doc_id", F.array_join("categories", ",").alias("categories"), "offer_type", F.array_join("keywords", ",").alias("keywords"))
 
 
+# A taxonomy of more than two hundred categories by rule, over sounds of the invented prose: each sound pair is a category,
+# every third one below a pair of its first sound with itself.
+SOUNDS = ("than", "here", "ting", "nth", "onti", "erch", "ich", "sch", "ung", "ein", "eau", "que", "reo", "tion", "ment")
+WIDE = classify.STARTER[:-1] + tuple(
+    classify.Category(f"{a}_{b}", f"Kind {a.upper()}/{b}", a, ("goods", "services", "construction", "professional_services", "mixed")[(i * 4 + j) % 5],
+                      (rf"\b{a}{b}\s+{a}", rf"\b{a}{b}(?:s|en)?\b", rf"{b}{b}{a}|{a}{a}{b}"), f"{a}_{a}" if (i + j) % 3 == 0 and i != j else None)
+    for i, a in enumerate(SOUNDS) for j, b in enumerate(SOUNDS)) + classify.STARTER[-1:]
+
+
+def wide_taxonomy(t: Tables) -> tuple[classify.Category, ...]:
+    """The generated taxonomy, written as JSON rows to the shared folder and loaded as a deployment loads its own."""
+    path = scratch_path(t.spark, "taxonomy")
+    rows = [(i, c.slug, c.label, c.group, c.offer, list(c.patterns), c.umbrella) for i, c in enumerate(WIDE)]
+    kind = "position int, slug string, label string, group string, offer string, patterns array<string>, umbrella string"
+    t.spark.createDataFrame(rows, kind).write.json(path)
+    return classify.read_taxonomy(t.spark, path)
+
+
+_LABELS = "map {" + ", ".join(f"'{c.slug}': '{c.label}'" for c in WIDE) + "}"
+
+
+@query("enrich", f"""WITH e AS (SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN 'Ref-' || doc_id WHEN doc_id % 3 = 1 THEN '' END AS ext,
+      regexp_replace(lead, '[^\\x00-\\x7F]', 'x', 'g') AS title, regexp_replace(scope, '[^\\x00-\\x7F]', 'x', 'g') AS description FROM docs),
+    f AS (SELECT *, coalesce(title, '') || chr(10) || coalesce(description, '') AS b, coalesce(title, '') || ' ' || coalesce(description, '') AS w FROM e),
+    {classify_sql(WIDE, 'f', 'doc_id')}, x AS (SELECT * EXCLUDE (b), coalesce(ext, '') || ' ' || w AS b FROM g),
+    y AS (SELECT *, CASE {_TYPE_CASES} ELSE 'UNKNOWN' END AS solicitation_type FROM x), z AS (SELECT * EXCLUDE (b), w AS b FROM y)
+    SELECT doc_id, solicitation_type, coalesce(NULLIF(ext, ''), trim(regexp_replace(coalesce({_ID_CASES}), '\\s+', ' ', 'g'))) AS external_id, {CLASSIFIED},
+      coalesce(({_LABELS})[coalesce(tags[1], 'general')], '?') AS label,
+      array_to_string(list_transform(tags, lambda s: upper(left(replace(s, '_', ' '), 1)) || substr(replace(s, '_', ' '), 2)), '; ') AS plain_labels FROM z""", "docs")
+def enrich_docs(t: Tables) -> DataFrame:
+    """Type, reference, work categories and their labels, under a taxonomy of more than two hundred categories."""
+    ext = F.expr("CASE WHEN doc_id % 3 = 0 THEN 'Ref-' || CAST(doc_id AS STRING) WHEN doc_id % 3 = 1 THEN '' END")
+    given = t.docs.select("doc_id", F.col("lead").alias("title"), F.col("scope").alias("description"), ext.alias("external_id"))
+    taxonomy = wide_taxonomy(t)
+    rich = classify.enrich(given, taxonomy)
+    tags = F.filter("categories", lambda c: c != "general")
+    return rich.select("doc_id", "solicitation_type", "external_id", F.array_join("categories", ",").alias("categories"), "offer_type",
+                       F.array_join("keywords", ",").alias("keywords"), classify.category_label(F.get("categories", F.lit(0)), taxonomy).alias("label"),
+                       F.array_join(F.transform(tags, lambda c: classify.category_label(c, ())), "; ").alias("plain_labels"))
+
+
 @query("umbrella_expand", """SELECT ordinal, array_to_string(CASE WHEN list_contains(categories, 'building') THEN
       list_filter(['roofing', 'construction'] || categories, lambda x: true) ELSE ['software'] || categories END, ',') AS expanded FROM bids""", "bids")
 def umbrella_expand(t: Tables) -> DataFrame:
