@@ -25,14 +25,53 @@ def texts(n=80, seed=1):
     return [*out, "", " ", "  ", "a  ", "a \n", "a\n ", "\n a", "   a", "x" * 3000, "word " * 5000]
 
 
-def test_units_equal_the_library(plain, monkeypatch):
-    monkeypatch.setattr(tokens, "ROOM", 20)
-    monkeypatch.setattr(tokens, "STAY", 5)
+def encode(coder, some):
+    ends, data = common.as_bytes(pa.array(some, pa.string()))
+    offsets, ids = coder.encode([t or "" for t in some], ends, data)
+    return [ids[x:y].tolist() for x, y in zip(offsets, offsets[1:], strict=False)]
+
+
+@pytest.mark.parametrize("room, ids", [(20, 400), (1000, 60), (4, 8), (1 << 12, 1 << 14)])
+def test_units_equal_the_library(plain, room, ids):
     coder = tokens.Coder(tokens.vocabulary())
+    coder.table = tokens.Table(room, ids)
     for seed in range(12):
         some = texts(seed=seed)
-        got = [np.frombuffer(x, "<u4").tolist() for x in coder.encode(some)]
-        assert got == [plain.encode(t, add_special_tokens=False).ids for t in some]
+        want = [plain.encode(t, add_special_tokens=False).ids for t in some]
+        assert encode(coder, some) == want
+        assert encode(coder, some[::-1]) == want[::-1]
+    assert coder.table.size <= room and len(coder.table.flat) <= ids
+    assert encode(coder, []) == [] and encode(coder, [None, ""]) == [[], []]
+
+
+def test_units_of_many_kinds_of_space(plain):
+    coder = tokens.Coder(tokens.vocabulary())
+    odd = ["\u00a0", "\u2003", "\u3000", "\x1c", "\x85", "\u1680", "é", "«a", "\u2028"]
+    some = [f"a {x} b" for x in odd] + [f"a {x}b c" for x in odd] + [f"{x} {x}" for x in odd] + [" ".join(odd), "w" * 300 + " " + "w" * 300 + " w"]
+    for _ in range(2):
+        assert encode(coder, some) == [plain.encode(t, add_special_tokens=False).ids for t in some]
+
+
+def test_a_tokenizer_that_cuts_elsewhere(plain):
+    coder = tokens.Coder(tokens.vocabulary())
+    coder.spaced[:] = False  # no token tells where a unit begins
+    some = ["one two three", "four"]
+    assert encode(coder, some) == [plain.encode(t, add_special_tokens=False).ids for t in some]
+
+
+def test_table_holds_what_it_was_given():
+    rng = np.random.default_rng(1)
+    table = tokens.Table(2000, 9000)
+    keys = np.unique(rng.integers(1, 1 << 63, 1500).astype(np.uint64) & np.uint64(0xFFF00000000000FF))  # many meet in one slot
+    sizes = rng.integers(0, 6, len(keys))
+    ids = np.arange(sizes.sum(), dtype="<u4")
+    table.add(keys, sizes, ids)
+    at = table.find(keys)
+    assert (at == np.arange(len(keys))).all() and (table.find(np.setdiff1d(np.arange(1, 300, dtype=np.uint64), keys)) == -1).all()
+    table.halve()
+    stay = len(keys) // 2
+    assert (table.find(keys[:stay]) == np.arange(stay)).all() and (table.find(keys[stay:]) == -1).all()
+    assert np.array_equal(table.flat, ids[: sizes[:stay].sum()])
 
 
 @pytest.mark.parametrize("kind", [4, 32])
