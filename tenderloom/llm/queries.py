@@ -142,8 +142,8 @@ def op2_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Whole `documents` without the bytes of strings of 400 bytes that start elsewhere too."""
-    return repeats.removals(table(spark, sf_dir, "documents")).drop("kept")
+    """Whole `documents` without the bytes of strings of 400 bytes that start elsewhere too, and what is left of each text."""
+    return repeats.removals(table(spark, sf_dir, "documents"))
 
 
 @query
