@@ -265,7 +265,7 @@ class Sorted:
         state = worker_state()
         name = ("sorted", folder)
         if name not in state:
-            for old in [k for k in state if isinstance(k, tuple) and k[0] == "sorted"][:-7]:
+            for old in [k for k in state if isinstance(k, tuple) and k[0] == "sorted"][:-1]:
                 del state[old]
             state[name] = Sorted(folder, values, key)
         return state[name]

@@ -42,6 +42,8 @@ HASHES, ROWS, STEP, TOLERANCE = 128, 4, 16, 1e-6
 #: Members of a block; a part holds two blocks.
 BLOCK = 384
 _WEIGHT = c.mix(np.arange(101, 101 + WORDS, dtype=np.uint64)) | np.uint64(1)
+#: Bytes of shingle sets that a batch holds at most, one set at least.
+BATCH_BYTES = 1 << 22
 
 
 def fewest_matches(hashes: int = HASHES, step: int = STEP, threshold: float = THRESHOLD, tolerance: float = TOLERANCE) -> list[int]:
@@ -194,10 +196,11 @@ def _sets(folder: str):
                 own = (ids[which] == found["doc_id"]) & (np.diff(offsets)[which] > 0)
                 which, found = which[own], {k: v[own] for k, v in found.items()}
                 sets = {i: np.unique(h[offsets[i]: offsets[i + 1]]).tobytes() for i in np.unique(which).tolist()}
-                for s in range(0, len(which), 512):
-                    w = which[s: s + 512]
+                until = np.append(0, np.cumsum([len(sets[i]) for i in which.tolist()]))
+                for s, t in c.steps(until, BATCH_BYTES):
+                    w = which[s:t]
                     yield pa.record_batch([
-                        pa.array(found["task"][s: s + 512]), pa.array(found["place"][s: s + 512].astype(np.int32)),
+                        pa.array(found["task"][s:t]), pa.array(found["place"][s:t].astype(np.int32)),
                         pa.array(node[w]), pa.array([sets[i] for i in w.tolist()], pa.binary())], ["task", "place", "node", "words"])
     return emit
 
