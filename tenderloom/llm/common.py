@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+import os
 import sys
 import types
 import uuid
@@ -220,15 +222,15 @@ def sorted_files(df: DataFrame, key: str, values: list[str], label: str) -> str:
 
     Range partitions give files whose keys do not overlap; equal keys share a
     file. A file takes its name only when whole, and a second attempt of a task
-    writes the same content. Workers map the files into memory (`Sorted`).
+    writes the same content. Workers map the files into memory (`Sorted`). A
+    manifest names every file and its rows, so that a reader on a machine that
+    does not see the folder, or lacks a file, raises instead of finding nothing.
     """
     spark = df.sparkSession
     folder = new_path(spark, label)
     path, dtypes = local_folder(folder), {f.name: f.dataType.simpleString() for f in df.schema.fields}
 
     def save(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import os
-
         from pyspark import TaskContext
 
         held = [b for b in batches if b.num_rows]
@@ -240,24 +242,47 @@ def sorted_files(df: DataFrame, key: str, values: list[str], label: str) -> str:
                 with open(f"{path}/.{part}.{c}.{uuid.uuid4().hex}", "wb") as f:
                     np.save(f, table[c].combine_chunks().to_numpy(zero_copy_only=False).astype(kind))
                 os.replace(f.name, f"{path}/{part:06d}.{c}.npy")
-            yield pa.record_batch([pa.array([table.num_rows], pa.int64())], ["n"])
+            yield pa.record_batch([pa.array([f"{part:06d}"]), pa.array([table.num_rows], pa.int64())], ["name", "n"])
 
     ordered = df.select(key, *values).repartitionByRange(width(spark), key).sortWithinPartitions(key, *values)
-    ordered.mapInArrow(save, "n long").agg(F.sum("n")).collect()
+    write_manifest(path, dict(map(tuple, ordered.mapInArrow(save, "name string, n long").collect())))  # one row a file
     return folder
 
 
+MANIFEST = "manifest.json"
+
+
+def write_manifest(path: str, files: dict[str, int]) -> None:
+    os.makedirs(path, exist_ok=True)
+    with open(f"{path}/.{MANIFEST}.{uuid.uuid4().hex}", "w") as f:
+        json.dump(files, f)
+    os.replace(f.name, f"{path}/{MANIFEST}")
+
+
+def read_manifest(path: str) -> dict[str, int]:
+    """What must be in a folder; raises where this machine does not see it."""
+    try:
+        with open(f"{path}/{MANIFEST}") as f:
+            return json.load(f)
+    except FileNotFoundError as e:
+        raise FileNotFoundError(f"{path} has no manifest here; spark.checkpoint.dir must be one folder that every machine mounts") from e
+
+
 class Sorted:
     """Look-ups in the files of `sorted_files`, mapped into memory once per worker."""
 
     def __init__(self, folder: str, values: list[str], key: str):
-        import glob
-        import os
-
         path = local_folder(folder)
-        names = sorted(glob.glob(f"{path}/*.{key}.npy"))
-        self.keys = [np.load(n, mmap_mode="r") for n in names]
-        self.values = {v: [np.load(f"{os.path.dirname(n)}/{os.path.basename(n).split('.')[0]}.{v}.npy", mmap_mode="r") for n in names] for v in values}
+        files = sorted(read_manifest(path).items())
+
+        def column(x: str) -> list[np.ndarray]:
+            arrays = [np.load(f"{path}/{name}.{x}.npy", mmap_mode="r") for name, _ in files]
+            for (name, n), array in zip(files, arrays, strict=True):
+                if len(array) != n:
+                    raise ValueError(f"{path}/{name}.{x}.npy holds {len(array)} rows, {n} were written")
+            return arrays
+
+        self.keys, self.values = column(key), {v: column(v) for v in values}
         self.firsts = np.array([k[0] for k in self.keys], np.int64)
 
     @staticmethod
@@ -266,7 +291,7 @@ class Sorted:
         name = ("sorted", folder)
         if name not in state:
             for old in [k for k in state if isinstance(k, tuple) and k[0] == "sorted"][:-1]:
-                del state[old]
+                del state[old]  # a task reads two folders at most
             state[name] = Sorted(folder, values, key)
         return state[name]
 

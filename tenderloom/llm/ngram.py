@@ -342,6 +342,8 @@ def fit(docs: DataFrame, order: int = ORDER) -> Model:
     counts = c.written(source.mapInArrow(_word_counts, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")), "lm-words")
     tokens, types = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
     words = c.sorted_files(counts, "h", ["n"], "lm-word-arrays")
+    if types >= 2 ** 32 - 1:
+        raise ValueError(f"{types} different words; word ids have 32 bits")
     parts = max(4, -(-tokens // PART_TOKENS))
     hot = tuple(r[0] for r in counts.where(F.col("n") > 2 * tokens / parts).select("h").collect())  # fewer than parts / 2
     grams = c.new_path(spark, "lm-grams")
@@ -352,6 +354,8 @@ def fit(docs: DataFrame, order: int = ORDER) -> Model:
             _gram_files(c.local_folder(grams), words, types, parts, hot, k),
             "part int, pack binary" if k > 2 else "id long, " + ", ".join(f"{x} long" for x in names))
     facts = c.written(packs.groupBy("id").agg(*[F.sum(x).alias(x) for x in names]), "lm-facts")
+    path = c.local_folder(grams)
+    c.write_manifest(path, {x: os.path.getsize(f"{path}/{x}") for x in sorted(os.listdir(path)) if x.endswith(".npy")} if os.path.isdir(path) else {})
     seen = dict(facts.where("id < 0").select("id", "cc").collect())
     s = facts.where("id >= 0").agg(F.coalesce(F.sum("cc"), F.lit(0)), *[F.count_if(F.col("cc") == k) for k in (1, 2, 3, 4)], F.count_if(F.col("cc") > 2)).first()
     lower = discounts(list(s[1:5]))
@@ -362,10 +366,15 @@ def fit(docs: DataFrame, order: int = ORDER) -> Model:
 
 
 class _Files:
-    """Counts of grams and sums of contexts from the part files, mapped into memory."""
+    """Counts of grams and sums of contexts from the part files, mapped into memory, `OPEN` of them at a time."""
+
+    OPEN = 512
 
     def __init__(self, model: Model, known: c.Sorted):
         self.path, self.parts, self.files = c.local_folder(model.grams), model.parts, {}
+        self.there = c.read_manifest(self.path)
+        if model.tokens and not self.there:
+            raise FileNotFoundError(f"{self.path}: the driver saw no part files; spark.checkpoint.dir must be one folder that every machine mounts")
         self.hot = often_of(known, model.hot, model.types)
 
     def _found(self, part: np.ndarray, keys: np.ndarray, name: str, kind: str, rows: int) -> np.ndarray:
@@ -377,7 +386,9 @@ class _Files:
             own = order[a:b]
             file = f"{self.path}/{name.format(int(part[own[0]]))}"
             if file not in self.files:
-                have = os.path.exists(f"{file}.keys.npy")
+                while len(self.files) >= self.OPEN:
+                    del self.files[next(iter(self.files))]
+                have = f"{os.path.basename(file)}.keys.npy" in self.there
                 self.files[file] = [np.load(f"{file}.{x}.npy", mmap_mode="r") for x in ("keys", kind)] if have else None
             if self.files[file]:
                 known, values = self.files[file]
