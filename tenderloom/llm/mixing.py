@@ -78,10 +78,13 @@ def repeated(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, epochs: floa
     """`docs` itself with each row as often as the mix takes it; the document at a source's edge counts if half of it is taken.
 
     A document without words is taken once where its source is taken at all.
+    Other columns go along whatever their names.
     """
     t = or_empty("text")
     order = F.md5(F.concat(F.lit(seed + ":"), F.coalesce(F.col("doc_id").cast("string"), F.lit("-")), F.lit(":"), F.md5(t)))
     times = mixture(docs, weights, epochs, seed).groupBy(F.col("_order").alias("_o")).agg(
         F.max(F.when(F.col("size") > 0, F.round(F.col("taken") / F.col("size"))).otherwise((F.col("target") > 0).cast("int")).cast("int")).alias("_times"))
-    held = docs.withColumn("_k", order).join(times, F.col("_k") == F.col("_o"))
-    return held.withColumn("_n", F.explode(F.expr("sequence(1, _times)"))).where("_times > 0").select(*docs.columns)
+    # the caller's row stands in a struct of its own, so that no name of its meets one of ours
+    held = docs.select(order.alias("_k"), F.struct(*docs.columns).alias("_row")).join(times, F.col("_k") == F.col("_o")).where("_times > 0")
+    copies = held.select("_row", F.explode(F.sequence(F.lit(1), "_times")).alias("_n"))
+    return copies.select(*[F.col("_row")[n].alias(n) for n in docs.columns])

@@ -311,10 +311,12 @@ _RESULT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256
 
 
 def without_repeats(docs: DataFrame, least: int = LEAST) -> DataFrame:
-    """`docs` (doc_id, text, ...) with the remaining texts; a null text stays null and `n_chars`, if there, is counted anew."""
+    """`docs` (doc_id, text, ...) with the remaining texts; a null text stays null, `n_chars`, if there, is
+    counted anew, and other columns go along whatever their names."""
     others = [n for n in docs.columns if n not in ("doc_id", "text")]
-    source = docs.select("doc_id", "text", F.struct(*others or [F.lit(0).alias("_")], F.col("text").isNull().alias("_null")).alias("_row"))
+    row = F.struct(F.struct(*others or [F.lit(0).alias("_")]).alias("given"), F.col("text").isNull().alias("empty"))
+    source = docs.select("doc_id", "text", row.alias("_row"))
     cut = source.mapInArrow(_cut(repeated_spans(source.select("doc_id", "text"), least)), f"{_RESULT}, _row {source.schema['_row'].dataType.simpleString()}")
-    values = {"doc_id": F.col("doc_id"), "text": F.when(~F.col("_row._null"), F.col("kept")),
-              "n_chars": F.when(~F.col("_row._null"), F.length("kept")).cast(dict(docs.dtypes).get("n_chars", "long"))}
-    return cut.select(*[(values[n] if n in values else F.col("_row")[n]).alias(n) for n in docs.columns])
+    values = {"doc_id": F.col("doc_id"), "text": F.when(~F.col("_row.empty"), F.col("kept")),
+              "n_chars": F.when(~F.col("_row.empty"), F.length("kept")).cast(dict(docs.dtypes).get("n_chars", "long"))}
+    return cut.select(*[(values[n] if n in values else F.col("_row.given")[n]).alias(n) for n in docs.columns])
