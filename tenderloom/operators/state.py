@@ -39,6 +39,24 @@ def merge_snapshot(current: DataFrame, incoming: DataFrame, tracked: DataFrame,
         seen.alias("present"), F.col("__old").isNull().alias("is_new"))
 
 
+def merge_changes(current: DataFrame, incoming: DataFrame, now: str) -> DataFrame:
+    """The rows of `merge_snapshot` for a fetch that does not claim to be complete: what it does not mention stays as it is.
+
+    `incoming` must hold one row per opportunity_id.
+    """
+    stamp = F.lit(now).cast("timestamp_ntz")
+    payload = [c for c in incoming.columns if c != "opportunity_id"]
+    told = F.lit(True).alias("__new")
+    joined = (current.select("opportunity_id", F.struct(*current.columns).alias("__old"))
+              .join(incoming.select("opportunity_id", F.struct(*payload).alias("__in"), told), "opportunity_id", "full"))
+    seen, known = F.col("__new").isNotNull(), F.col("__old").isNotNull()
+    kept = [F.when(seen, F.col("__in")[c]).otherwise(F.col("__old")[c]).alias(c) for c in payload]
+    return joined.select("opportunity_id", *kept, F.when(known, F.col("__old.first_seen_at")).otherwise(stamp).alias("first_seen_at"),
+                         F.when(seen, stamp).otherwise(F.col("__old.last_seen_at")).alias("last_seen_at"),
+                         F.when(seen, True).otherwise(F.col("__old.present")).alias("present"),
+                         F.when(known, F.col("__old.is_new") & ~seen).otherwise(F.lit(True)).alias("is_new"))
+
+
 def snapshot_diff(before: DataFrame, after: DataFrame, key: str = "opportunity_id") -> DataFrame:
     """Keys that appeared or vanished between two snapshots."""
     appeared = after.select(key).join(before.select(key), key, "left_anti").withColumn("change", F.lit("new"))

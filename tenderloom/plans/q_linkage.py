@@ -7,10 +7,10 @@ from pyspark.sql import functions as F
 
 from tenderloom.functions import classify, text
 from tenderloom.functions.base import count_if
-from tenderloom.operators import (dedupe, filters, health, linkage, marts, pricing, records, resolve, similarity,
+from tenderloom.operators import (dedupe, filters, health, linkage, marts, matches, pricing, records, resolve, similarity,
                                   state, watchlists)
 from tenderloom.plans.q_market import RESULTS, WORKFLOW, results, workflow
-from tenderloom.plans.q_scalars import gazetteer
+from tenderloom.plans.q_scalars import classify_sql, gazetteer
 from tenderloom.plans.registry import query
 from tenderloom.plans.sqltext import (BUDGET, DAYS, LIVE, REF_KEY, RICH, TITLE_KEY, VALUE, similar, tokens)
 from tenderloom.plans.tables import AS_OF, AS_OF_TS, Tables
@@ -552,27 +552,50 @@ def vendor_profiles(t: Tables) -> DataFrame:
         F.array_join("categories", ", ").alias("categories"))
 
 
-@query("contractor_network", """WITH m AS (SELECT opportunity_id, ordinal, title, unnest([(ordinal % 50), (ordinal + 7) % 50]) AS firm, first_seen_at AS matched_at FROM bids WHERE ordinal % 9 = 4),
-    f AS (SELECT s_suppkey AS firm, s_name AS name, CASE WHEN s_suppkey % 3 = 0 THEN 'pitched' ELSE 'prospect' END AS status FROM supplier)
-    SELECT f.firm, f.name, f.status, count(m.opportunity_id) AS matched, coalesce(string_agg(m.opportunity_id, ',' ORDER BY m.matched_at DESC, m.ordinal DESC), '') AS bids
-    FROM f LEFT JOIN m USING (firm) GROUP BY ALL""", "bids")
+STANDING = """st AS (SELECT user_id AS firm, coalesce(NULLIF(arg_max(CASE WHEN event_id % 13 = 0 THEN '' ELSE CASE event_type WHEN 'purchase' THEN 'committed'
+      WHEN 'click' THEN 'pitched' WHEN 'signup' THEN 'interested' WHEN 'error' THEN 'passed' ELSE 'prospect' END END, event_id), ''), 'prospect') AS status FROM events GROUP BY user_id),
+    f AS (SELECT s_suppkey AS firm, s_name AS name, coalesce(st.status, 'prospect') AS status FROM supplier LEFT JOIN st ON st.firm = s_suppkey)"""
+
+
+def firms(t: Tables) -> DataFrame:
+    return t.supplier.select(F.col("s_suppkey").alias("firm"), F.col("s_name").alias("name"))
+
+
+def relationship(t: Tables) -> DataFrame:
+    """The newest of each firm's status rows, told by the event log."""
+    told = F.expr("""CASE WHEN event_id % 13 = 0 THEN '' ELSE CASE event_type WHEN 'purchase' THEN 'committed' WHEN 'click' THEN 'pitched'
+        WHEN 'signup' THEN 'interested' WHEN 'error' THEN 'passed' ELSE 'prospect' END END""")
+    return matches.latest_status(t.events.select(F.col("user_id").alias("firm"), "event_id", told.alias("status")), "firm", "event_id")
+
+
+@query("contractor_network", f"""WITH {STANDING}, m AS (SELECT DISTINCT l_suppkey AS firm, b.opportunity_id, b.ordinal, b.first_seen_at AS matched_at FROM lineitem JOIN bids b ON l_orderkey = b.ordinal),
+    r AS (SELECT *, count(*) OVER (PARTITION BY firm) AS matched, row_number() OVER (PARTITION BY firm ORDER BY matched_at DESC, ordinal DESC) AS place FROM m)
+    SELECT f.firm, f.name, f.status, coalesce(r.matched, 0) AS matched, CAST(coalesce(r.place, 0) AS INTEGER) AS place, r.opportunity_id
+    FROM f LEFT JOIN r ON r.firm = f.firm AND r.place <= 5""", "bids")
 def contractor_network(t: Tables) -> DataFrame:
-    """Every firm with the bids it was matched to, newest first."""
-    sets = t.bids.filter("ordinal % 9 = 4").select("opportunity_id", "ordinal", F.col("first_seen_at").alias("matched_at"),
-                                                   F.explode(F.expr("array(ordinal % 50, (ordinal + 7) % 50)")).alias("firm"))
-    per_firm = sets.groupBy("firm").agg(F.count(F.lit(1)).alias("matched"), F.array_join(F.transform(
-        F.sort_array(F.collect_list(F.struct("matched_at", "ordinal", "opportunity_id")), asc=False), lambda s: s["opportunity_id"]), ",").alias("bids"))
-    firms = t.supplier.select(F.col("s_suppkey").alias("firm"), F.col("s_name").alias("name"),
-                              F.expr("CASE WHEN s_suppkey % 3 = 0 THEN 'pitched' ELSE 'prospect' END").alias("status"))
-    return firms.join(per_firm, "firm", "left").select("firm", "name", "status", F.coalesce("matched", F.lit(0)).alias("matched"),
-                                                       F.coalesce("bids", F.lit("")).alias("bids"))
-
-
-@query("contract_prices_by_class")
+    """Every firm with its status, its number of matched bids and the five newest, a row each."""
+    found = (t.lineitem.select(F.col("l_suppkey").alias("firm"), F.col("l_orderkey").alias("ordinal")).distinct()
+             .join(t.bids.select("ordinal", "opportunity_id", F.col("first_seen_at").alias("matched_at")), "ordinal"))
+    return matches.firm_network(firms(t), found, relationship(t)).select("firm", "name", "status", "matched", "place", "opportunity_id")
+
+
+@query("contractor_status_counts", f"""WITH {STANDING}, s(status) AS (VALUES ('prospect'), ('pitched'), ('interested'), ('committed'), ('passed'))
+    SELECT s.status, count(f.firm) AS count FROM s LEFT JOIN f USING (status) GROUP BY s.status""")
+def contractor_status_counts(t: Tables) -> DataFrame:
+    return marts.tally(matches.standing(firms(t), relationship(t)), "status", "status", ["prospect", "pitched", "interested", "committed", "passed"])
+
+
+# What contracts buy, told by their names: a class for each noun of the parts list, new and old ones, and sizes above them.
+GOODS = (*(classify.Category(noun, noun.capitalize(), "goods", "goods", (rf"\b{noun}s?\b",), "hardware" if noun in ("bolt", "rod", "ring") else None)
+           for noun in ("anvil", "bolt", "gear", "gizmo", "plate", "ring", "rod", "widget")),
+         classify.Category("replacement", "Replacement", "goods", "mixed", (r"\bnew\s+\w+",)), classify.Category("hardware", "Hardware", "goods", "goods"))
+
+
+@query("contract_prices_by_class", f"""WITH f AS (SELECT amount, name || ' ' || commodity AS b FROM contracts WHERE amount > 0), {classify_sql(GOODS, 'f', 'amount')},
+    smp AS (SELECT unnest(CASE WHEN len(tags) > 0 THEN tags ELSE ['general'] END) AS slug, CAST(round_even(amount, 0) AS BIGINT) AS dollars FROM g), {OVERALL_SQL} SELECT * FROM ov""", "contracts")
 def contract_prices_by_class(t: Tables) -> DataFrame:
-    """Prices of contracts classified from their names."""
-    named = t.contracts.filter(F.col("amount") > 0)
-    tagged = classify.classify(named, F.concat_ws(" ", F.col("name"), F.lit("roofing"), F.col("commodity")))
+    """Price ranges of contracts by what their names say they buy."""
+    tagged = classify.classify(t.contracts.filter(F.col("amount") > 0), F.concat_ws(" ", "name", "commodity"), GOODS)
     tags = F.filter("categories", lambda c: c != "general")
     rows = tagged.withColumn("slug", F.explode(F.when(F.size(tags) > 0, tags).otherwise(F.array(F.lit("general")))))
     return pricing.price_buckets(pricing.contract_samples(rows, F.col("slug")), ["slug"])

@@ -275,16 +275,6 @@ def award_totals(t: Tables) -> DataFrame:
     return with_scalars(paid, revenue)
 
 
-@query("contractor_status_counts", """WITH c AS (SELECT CASE s_suppkey % 5 WHEN 0 THEN 'prospect' WHEN 1 THEN 'pitched'
-      WHEN 2 THEN 'committed' ELSE 'passed' END AS status FROM supplier),
-    s(status) AS (VALUES ('prospect'), ('pitched'), ('interested'), ('committed'), ('passed'))
-    SELECT s.status, count(c.status) AS count FROM s LEFT JOIN c USING (status) GROUP BY s.status""")
-def contractor_status_counts(t: Tables) -> DataFrame:
-    firms = t.supplier.select(F.expr("CASE s_suppkey % 5 WHEN 0 THEN 'prospect' WHEN 1 THEN 'pitched' "
-                                     "WHEN 2 THEN 'committed' ELSE 'passed' END").alias("status"))
-    return marts.tally(firms, "status", "status", ["prospect", "pitched", "interested", "committed", "passed"])
-
-
 @query("union_sources", """SELECT source_id, count(*) AS records, min(ordinal) AS first_ordinal
     FROM (SELECT source_id, ordinal FROM bids UNION ALL SELECT source_id, order_key FROM contracts) GROUP BY source_id""",
        ("bids", "contracts"))

@@ -445,21 +445,21 @@ def package_facts(t: Tables) -> DataFrame:
 
 # ---- messages --------------------------------------------------------------
 
-_SUBJECT = """CASE conv_id % 4 WHEN 0 THEN 'Fwd: Notify Me: Bid for lot ' || conv_id WHEN 1 THEN 'RFP-24-' || (100 + conv_id) || ' Paving' WHEN 2 THEN 'Lunch?' ELSE 'Bids: ' || conv_id END"""
-_BODY = """opening || chr(10) || CASE WHEN conv_id % 4 = 0 THEN 'See https://www.city' || (conv_id % 6) || '.gov/bids/' || (conv_id % 40) || '. Closing date: March 14, 2024 at 3:30 PM' ELSE 'Details http://x.gov/unsubscribe https://sub.city' || (conv_id % 6) || '.gov/b?i=' || conv_id END
+_SUBJECT = """CASE n % 4 WHEN 0 THEN 'Fwd: Notify Me: Bid for lot ' || n WHEN 1 THEN 'RFP-24-' || (100 + n) || ' Paving' WHEN 2 THEN 'Lunch?' ELSE 'Bids: ' || n END"""
+_BODY = """opening || chr(10) || CASE WHEN n % 4 = 0 THEN 'See https://www.city' || (n % 157) || '.gov/bids/' || (n % 40) || '. Closing date: March 14, 2024 at 3:30 PM' ELSE 'Details http://x.gov/unsubscribe https://sub.city' || (n % 157) || '.gov/b?i=' || n END
     || chr(10) || 'You are receiving this mail'"""
 
 
 def mail(t: Tables) -> DataFrame:
     return t.messages.filter("opening IS NOT NULL").select(
-        F.col("conv_id").alias("message_id"), F.expr(_SUBJECT).alias("subject"), F.expr(_BODY).alias("body"),
-        F.expr("concat('Clerk <bids@mail.city', conv_id % 9, '.gov>')").alias("sender"))
+        "message_id", F.expr(_SUBJECT).alias("subject"), F.expr(_BODY).alias("body"),
+        F.expr("concat('Clerk <bids@mail.city', n % 211, '.gov>')").alias("sender"))
 
 
-NOTICES = rf"""nt AS (SELECT conv_id AS message_id, CASE conv_id % 4 WHEN 0 THEN 'Bid for lot ' || conv_id ELSE 'RFP-24-' || (100 + conv_id) || ' Paving' END AS title,
-    CASE WHEN conv_id % 4 = 0 THEN 'https://www.city' || (conv_id % 6) || '.gov/bids/' || (conv_id % 40) ELSE 'https://sub.city' || (conv_id % 6) || '.gov/b?i=' || conv_id END AS url,
-    CASE WHEN conv_id % 4 = 0 THEN TIMESTAMP '2024-03-14 15:30:00' END AS due_date, CASE WHEN conv_id % 4 = 1 THEN 'RFP-24-' || (100 + conv_id) END AS external_id
-    FROM messages WHERE opening IS NOT NULL AND conv_id % 4 IN (0, 1)),
+NOTICES = rf"""nt AS (SELECT message_id, n, CASE n % 4 WHEN 0 THEN 'Bid for lot ' || n ELSE 'RFP-24-' || (100 + n) || ' Paving' END AS title,
+    CASE WHEN n % 4 = 0 THEN 'https://www.city' || (n % 157) || '.gov/bids/' || (n % 40) ELSE 'https://sub.city' || (n % 157) || '.gov/b?i=' || n END AS url,
+    CASE WHEN n % 4 = 0 THEN TIMESTAMP '2024-03-14 15:30:00' END AS due_date, CASE WHEN n % 4 = 1 THEN 'RFP-24-' || (100 + n) END AS external_id
+    FROM messages WHERE opening IS NOT NULL AND n % 4 IN (0, 1)),
     nf AS (SELECT * FROM nt QUALIFY row_number() OVER (PARTITION BY url ORDER BY message_id) = 1)"""
 
 
@@ -468,12 +468,12 @@ def bid_notices(t: Tables) -> DataFrame:
     return messages.bid_notices(mail(t), "https://portal.example.gov").select("message_id", "title", "url", "due_date", "external_id")
 
 
-@query("host_suffix_join", f"""WITH {NOTICES}, src AS (SELECT s_suppkey AS ordinal, 'city' || s_suppkey || '.gov' AS host, s_name AS agency FROM supplier WHERE s_suppkey % 2 = 0),
-    c AS (SELECT message_id, 0 AS turn, 'city' || (message_id % 6) || '.gov' AS h FROM nf UNION ALL SELECT message_id, 1, 'city' || (message_id % 9) || '.gov' FROM nf),
+@query("host_suffix_join", f"""WITH {NOTICES}, src AS (SELECT s_suppkey AS ordinal, 'city' || s_suppkey || '.gov' AS host, s_name AS agency FROM supplier),
+    c AS (SELECT message_id, 0 AS turn, 'city' || (n % 157) || '.gov' AS h FROM nf UNION ALL SELECT message_id, 1, 'city' || (n % 211) || '.gov' FROM nf),
     m AS (SELECT message_id, arg_min(agency, turn) AS agency FROM c JOIN src ON src.host = c.h GROUP BY message_id)
-    SELECT message_id, coalesce(m.agency, 'Email alert (mail.city' || (message_id % 9) || '.gov)') AS agency, CASE WHEN m.agency IS NOT NULL THEN 'broward' ELSE 'unknown' END AS county FROM nf LEFT JOIN m USING (message_id)""", "messages")
+    SELECT message_id, coalesce(m.agency, 'Email alert (mail.city' || (n % 211) || '.gov)') AS agency, CASE WHEN m.agency IS NOT NULL THEN 'broward' ELSE 'unknown' END AS county FROM nf LEFT JOIN m USING (message_id)""", "messages")
 def host_suffix_join(t: Tables) -> DataFrame:
-    sources = t.supplier.filter("s_suppkey % 2 = 0").select(
+    sources = t.supplier.select(
         F.col("s_suppkey").alias("ordinal"), F.expr("concat('https://www.city', s_suppkey, '.gov/')").alias("portal_url"), F.col("s_name").alias("agency"), F.lit("broward").alias("county"))
     notices = messages.bid_notices(mail(t), "https://portal.example.gov")
     return messages.attribute_senders(notices, sources).select("message_id", "agency", "county")

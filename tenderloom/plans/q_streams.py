@@ -56,6 +56,16 @@ def snapshot_merge_stream(t: Tables) -> DataFrame:
     return merger.read().drop("ordinal")
 
 
+@query("snapshot_delta_stream", MERGE_SQL.replace("WHEN old.status IN ('open', 'upcoming') AND old.ordinal % 15 <> 0 THEN 'closed' ELSE old.status", "ELSE old.status")
+       .replace("new.opportunity_id IS NOT NULL AS present", "true AS present"), "bids")
+def snapshot_delta_stream(t: Tables) -> DataFrame:
+    """Fetches of some sources' rows at a time: each rewrites the buckets of its ids, and what none mentions stays as it was."""
+    merger = jobs.SnapshotMerger(_old(t), t.bids.select("opportunity_id").limit(0), NOW, scratch_path(t.spark, "snapshot-buckets"), complete=False)
+    fetches = as_stream(_new(t), "partial-fetches", "ordinal % 5 = 1", "ordinal % 5 IN (2, 3)", "ordinal % 5 = 4")
+    jobs.drain(fetches, scratch_path(t.spark, "snapshot-delta"), merger)
+    return merger.read().drop("ordinal")
+
+
 @query("match_alert_stream", f"""WITH {MATCHED}, fr AS (SELECT * FROM mt WHERE ordinal % 10 = 1) SELECT watchlist_id, arg_min(opportunity_id, coalesce({DAYS}, 9999) * 10000000000::HUGEINT
       + rnk) AS opportunity_id, count(*) AS found FROM (SELECT *, row_number() OVER (ORDER BY coalesce({DAYS}, 9999), lower(title), ordinal) AS rnk FROM fr) GROUP BY watchlist_id""", "bids")
 def match_alert_stream(t: Tables) -> DataFrame:

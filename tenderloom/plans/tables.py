@@ -218,8 +218,8 @@ LOG_SQL = """SELECT event_id, ts, 'ent' || CAST(user_id AS STRING) AS entity_id,
       WHEN 'signup' THEN 'selfhosted' ELSE 'unknown' END AS platform, event_type, value, props
     FROM events"""
 
-# One message per turn of a conversation.
-MESSAGES_SQL = """SELECT conv_id * 1000 + turn AS conv_id, text AS opening FROM conversations"""
+# One message per turn of a conversation; `n` varies what it says.
+MESSAGES_SQL = """SELECT CAST(conv_id AS STRING) || '-' || CAST(turn AS STRING) AS message_id, conv_id * 31 + turn AS n, text AS opening FROM conversations"""
 
 
 def _select(columns: dict[str, str], source: str) -> str:

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from tenderloom.operators import health, state
+from tenderloom.operators import health, state, versions
 
 
 def drain(stream: DataFrame, checkpoint: str, each: Callable[[DataFrame, int], None], mode: str = "append") -> None:
@@ -91,39 +91,34 @@ def monitor_sources(stream: DataFrame) -> DataFrame:
 
 
 class SnapshotMerger:
-    """Folds fetches into versioned snapshots: batch n reads the version before it and writes version n.
-
-    Versions live under `root`; the newest is found there, so a new process
-    goes on from it. A batch that is run again replaces its own version from
-    the same input, so each fetch counts once. The last two versions stay.
+    """Folds fetches into a versioned table of buckets: batch n makes version n + 1 of the one before it.
+
+    A complete fetch flags what it does not mention as absent, which concerns
+    every bucket. A fetch that is not complete (`complete=False`: one source's
+    rows, a page of changes) reads and rewrites only the buckets of the ids it
+    brings. Versions live under `root`; the newest is found there, so a new
+    process goes on from it, and a batch that is run again replaces its own
+    version from the same input. The last two versions stay.
     """
 
-    def __init__(self, initial: DataFrame, tracked: DataFrame, now: str, root: str):
-        self.spark, self.root, self.tracked, self.now = initial.sparkSession, root, tracked, now
+    def __init__(self, initial: DataFrame, tracked: DataFrame, now: str, root: str, complete: bool = True, buckets: int = versions.BUCKETS):
+        flags = [F.lit(True).alias("present"), F.lit(False).alias("is_new")]
+        first = initial.select("*", *[f for f, name in zip(flags, ("present", "is_new"), strict=True) if name not in initial.columns])
+        self.table = versions.BucketTable(initial.sparkSession, root, first.schema, buckets=buckets)
+        self.tracked, self.now, self.complete = tracked, now, complete
         if not self.versions():
-            initial.write.mode("overwrite").parquet(self.path(-1))
-
-    def path(self, version: int) -> str:
-        return f"{self.root}/v{version + 1:08d}"
-
-    def _files(self):
-        path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(self.root)
-        return path, path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
+            self.table.commit(0, first, list(range(self.table.buckets)))
 
     def versions(self) -> list[int]:
-        """Numbers of the versions that were written whole."""
-        path, files = self._files()
-        found = files.globStatus(self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path, "v*/_SUCCESS"))
-        return sorted(int(f.getPath().getParent().getName()[1:]) - 1 for f in found or [])
+        """Numbers of the batches whose versions are there; -1 is the start."""
+        return [v - 1 for v in self.table.versions()]
 
     def __call__(self, batch: DataFrame, number: int) -> None:
-        before = max(v for v in self.versions() if v < number)
-        current = batch.sparkSession.read.parquet(self.path(before))
-        state.merge_snapshot(current, batch, self.tracked, self.now).write.mode("overwrite").parquet(self.path(number))
-        _, files = self._files()
-        for old in self.versions():
-            if old < before:
-                files.delete(self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(self.path(old)), True)
+        before = max(v for v in self.versions() if v < number) + 1
+        touched = list(range(self.table.buckets)) if self.complete else self.table.touched(batch)
+        current = self.table.read(before, touched)
+        merged = state.merge_snapshot(current, batch, self.tracked, self.now) if self.complete else state.merge_changes(current, batch, self.now)
+        self.table.commit(number + 1, merged, touched, before)
 
     def read(self) -> DataFrame:
-        return self.spark.read.parquet(self.path(self.versions()[-1]))
+        return self.table.read()

@@ -72,3 +72,59 @@ def test_deadline_scan(spark):
     got = {r.opportunity_id: (r.title, r.body) for r in state.deadline_scan(opportunities(spark, rows), work, str(NOW.date())).collect()}
     assert set(got) == {"1", "2", "3"}
     assert got["2"] == ("Due in 1 day: Roof Replacement at Fire Station 12", "Broward County · stage: watching")
+
+
+def incremental(spark, folder, start, **how):
+    return jobs.SnapshotMerger(start, spark.createDataFrame([], "opportunity_id string"), str(NOW), f"{folder}/versions", **how)
+
+
+def files_under(folder):
+    return {str(p.relative_to(folder)): p.stat().st_mtime_ns for p in folder.rglob("*.parquet")}
+
+
+def test_a_small_fetch_rewrites_its_buckets_only(spark, tmp_path):
+    rows = spark.range(2000).selectExpr("cast(id as string) as opportunity_id", "'old' as title", "'open' as status",
+                                        "timestamp_ntz'2024-01-01 00:00:00' as first_seen_at", "timestamp_ntz'2024-01-01 00:00:00' as last_seen_at")
+    merger = incremental(spark, tmp_path, rows, complete=False, buckets=32)
+    before = files_under(tmp_path / "versions")
+    assert len({f.rsplit("/", 2)[1] for f in before}) == 32
+    fetch = spark.createDataFrame([("7", "new", "closed"), ("1999", "new", "open"), ("x1", "first", "open")], "opportunity_id string, title string, status string")
+    touched = merger.table.touched(fetch)
+    merger(fetch, 0)
+    fresh = {f.rsplit("/", 2)[1] for f in files_under(tmp_path / "versions") if f not in before}
+    assert fresh == {f"bucket={b}" for b in touched} and len(touched) <= 3
+    got = {r.opportunity_id: r for r in merger.read().collect()}
+    assert len(got) == 2001 and [got[k].title for k in ("7", "1999", "x1", "8")] == ["new", "new", "first", "old"]
+    assert [(got[k].present, got[k].is_new) for k in ("7", "x1", "8")] == [(True, False), (True, True), (True, False)]
+    assert str(got["7"].last_seen_at) == str(NOW) and str(got["7"].first_seen_at) == "2024-01-01 00:00:00" and str(got["x1"].first_seen_at) == str(NOW)
+    assert merger.table.read(0).filter("title <> 'old'").count() == 0  # the version before still reads as it was
+
+
+def test_a_batch_run_again_replaces_its_version(spark, tmp_path):
+    kind = "opportunity_id string, title string, status string"
+    start = spark.createDataFrame([(str(i), "a", "open") for i in range(50)], kind).withColumns({c: F.lit(str(NOW)).cast("timestamp_ntz") for c in ("first_seen_at", "last_seen_at")})
+    merger = incremental(spark, tmp_path, start, complete=False, buckets=4)
+    for number in (0, 1, 1, 2):
+        incremental(spark, tmp_path, start, complete=False)(spark.createDataFrame([(str(number), f"t{number}", "open"), (f"n{number}", "t", "open")], kind), number)
+    assert incremental(spark, tmp_path, start).table.buckets == 4  # fixed by the first manifest
+    got = {r.opportunity_id: r.title for r in merger.read().collect()}
+    assert len(got) == 53 and [got[str(i)] for i in range(4)] == ["t0", "t1", "t2", "a"]
+    assert merger.versions() == [1, 2]
+    used = {(v, b) for k in merger.table.versions() for b, v in merger.table.manifest(k)["at"].items()}
+    left = {(int(p.parent.name[1:]), int(p.name.split("=")[1])) for p in (tmp_path / "versions" / "data").glob("v*/bucket=*")}
+    assert left == used  # nothing that no version names
+
+
+def test_buckets_that_empty_and_an_empty_table(spark, tmp_path):
+    from tenderloom.operators.versions import BucketTable
+    rows = spark.createDataFrame([("a", 1), ("b", 2)], "k string, v int")
+    table = BucketTable(spark, str(tmp_path / "t"), rows.schema, key="k", buckets=8)
+    assert table.read().count() == 0
+    table.commit(0, rows, table.touched(rows))
+    table.commit(1, rows.limit(0), table.touched(rows.filter("k = 'a'")))
+    assert [tuple(r) for r in table.read().collect()] == [("b", 2)]
+    table.commit(2, rows.limit(0), [])
+    assert table.read().count() == 1
+    import pytest
+    with pytest.raises(ValueError, match="not said to be touched"):
+        table.commit(3, rows, table.touched(rows.filter("k = 'a'")))
