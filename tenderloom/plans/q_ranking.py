@@ -63,17 +63,20 @@ def run_log(t: Tables) -> DataFrame:
         .withColumn("status", F.expr("CASE WHEN run_no % 7 = 3 THEN 'running' WHEN run_no % 7 = 5 THEN 'error' ELSE 'done' END"))
 
 
-@query("source_drops", f"""WITH {RUN_LOG}, dr AS (SELECT run_no, count(*) FILTER (status = 'done') OVER (ORDER BY run_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS seq,
+JUDGED = """dr AS (SELECT run_no, count(*) FILTER (status = 'done') OVER (ORDER BY run_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS seq,
       status = 'done' AS done FROM run_log),
     n AS (SELECT r.*, list_sort(list(row_count) FILTER (done) OVER (PARTITION BY source_id ORDER BY seq
       RANGE BETWEEN 8 PRECEDING AND 1 PRECEDING)) AS past FROM runs_n r JOIN dr USING (run_no)),
-    m AS (SELECT *, past[len(past) // 2 + 1] AS norm FROM n)
-    SELECT source_id, run_no, norm,
+    m AS (SELECT *, past[len(past) // 2 + 1] AS norm FROM n),
+    jd AS (SELECT source_id, run_no, row_count, norm,
       CASE WHEN norm >= 3 AND row_count = 0 AND status IN ('ok', 'empty') THEN 'degraded' ELSE status END AS status,
       CASE WHEN norm IS NULL OR norm < 3 THEN note
         WHEN row_count = 0 AND status IN ('ok', 'empty') THEN 'returned 0 rows; this source''s recent norm is ' || norm
         WHEN row_count < norm * 0.3 AND norm >= 10 THEN CASE WHEN coalesce(note, '') = '' THEN '' ELSE note || '; ' END
-          || 'sharp drop: ' || row_count || ' rows vs recent norm ' || norm ELSE note END AS note FROM m""", "runs")
+          || 'sharp drop: ' || row_count || ' rows vs recent norm ' || norm ELSE note END AS note FROM m)"""
+
+
+@query("source_drops", f"WITH {RUN_LOG}, {JUDGED} SELECT source_id, run_no, norm, status, note FROM jd", "runs")
 def source_drops(t: Tables) -> DataFrame:
     return health.source_drops(run_rows(t), run_log(t).filter("status = 'done'").select("run_no")).select("source_id", "run_no", "norm", "status", "note")
 

@@ -2,18 +2,20 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from datetime import timedelta
+
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tenderloom.operators import watchlists
 from tenderloom.plans.q_linkage import MATCHED, gazetteer, rules
-from tenderloom.plans.q_ranking import RUN_ROWS, run_rows
+from tenderloom.plans.q_ranking import JUDGED, RUN_LOG, RUN_ROWS, run_log, run_rows
 from tenderloom.plans.q_state import MERGE_SQL, NOW, _new, _old
 from tenderloom.plans.registry import query
 from tenderloom.plans.sqltext import DAYS
 from tenderloom.plans.tables import AS_OF, Tables
 from tenderloom.session import scratch_path
-from tenderloom.streaming import jobs
+from tenderloom.streaming import jobs, monitor
 
 
 def event_stream(t: Tables) -> DataFrame:
@@ -48,6 +50,23 @@ def stream_source_drops(t: Tables) -> DataFrame:
     return jobs.drain_to_table(jobs.monitor_sources(runs), scratch_path(t.spark, "source-drops"))
 
 
+@query("source_monitor_stream", f"""WITH {RUN_LOG}, {JUDGED},
+    g AS (SELECT source_id, run_no, run_at, lead(run_at) OVER (PARTITION BY source_id ORDER BY run_no) AS after, (SELECT max(run_at) FROM runs_n) AS now FROM runs_n)
+    SELECT source_id, run_no, row_count, norm, false AS silent, status, note FROM jd
+    UNION ALL SELECT source_id, run_no, NULL, NULL, true, 'degraded', 'no run for 4 days; last heard of in run ' || run_no
+    FROM g WHERE coalesce(after, now) > run_at + INTERVAL 4 DAY""", "runs")
+def source_monitor_stream(t: Tables) -> DataFrame:
+    """Verdicts of every run, and the times a source was not heard of for four days, over batches of runs."""
+    rows = run_rows(t)
+    log = run_log(t).select("run_no", (F.col("status") == "done").alias("done"))
+    before = Window.orderBy("run_no").rowsBetween(Window.unboundedPreceding, -1)
+    placed = log.withColumn("place", F.coalesce(F.sum(F.col("done").cast("long")).over(before), F.lit(0)))  # one row a run
+    told = rows.join(placed, "run_no").select("source_id", "run_no", F.col("run_at").cast("timestamp").alias("run_at"), "place", "done", "row_count", "status", "note")
+    runs = as_stream(told, "monitored-runs", "run_no < 9", "run_no BETWEEN 9 AND 17", "run_no > 17")
+    judged = monitor.watch_sources(runs, silence=timedelta(days=4))
+    return jobs.drain_to_table(judged, scratch_path(t.spark, "source-monitor")).drop("run_at")
+
+
 @query("snapshot_merge_stream", MERGE_SQL, "bids")
 def snapshot_merge_stream(t: Tables) -> DataFrame:
     tracked = t.bids.filter("ordinal % 15 = 0").select("opportunity_id")

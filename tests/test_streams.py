@@ -128,3 +128,43 @@ def test_buckets_that_empty_and_an_empty_table(spark, tmp_path):
     import pytest
     with pytest.raises(ValueError, match="not said to be touched"):
         table.commit(3, rows, table.touched(rows.filter("k = 'a'")))
+
+
+MONITORED = "source_id string, run_no int, run_at timestamp, place long, done boolean, row_count long, status string, note string"
+
+
+def monitored(runs, done):
+    place = {n: sum(m in done for m in range(n)) for n in range(100)}
+    return [(s, n, datetime(2024, 1, 1) + timedelta(days=n), place[n], n in done, c, "ok" if c else "empty", note) for s, n, c, note in runs]
+
+
+def silences(runs, days, now):
+    out = set()
+    for source in {r[0] for r in runs}:
+        seen = sorted(r[1] for r in runs if r[0] == source)
+        out |= {(source, a) for a, b in zip(seen, [*seen[1:], now], strict=True) if b - a > days}
+    return out
+
+
+def test_monitor_equals_the_batch_verdicts_and_tells_silences_once(spark, tmp_path):
+    from tenderloom.streaming import monitor
+    done = {n for n in range(40) if n % 7 not in (3, 5)}
+    runs = [("a", n, (n * 37) % 23 * 4, None if n % 3 else "slow") for n in range(40)]
+    runs += [("b", n, 0 if n % 6 == 2 else 30, "") for n in range(40) if n % 12 < 5]
+    runs += [("c", n, 12, None) for n in (0, 1, 2)] + [("d", 20, 9, None)]
+    rows = monitored(runs, done)
+    for lo, hi in ((0, 7), (7, 8), (8, 26), (26, 40)):  # a new process each time
+        part = [r for r in rows if lo <= r[1] < hi]
+        spark.createDataFrame(part[::-1], MONITORED).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+        stream = spark.readStream.schema(MONITORED).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in")
+        got = jobs.drain_to_table(monitor.watch_sources(stream, silence=timedelta(days=6), forget=timedelta(days=10)), f"{tmp_path}/out").collect()
+    batch = spark.createDataFrame(rows, MONITORED)
+    dones = spark.createDataFrame([(n,) for n in sorted(done)], "run_no int")
+    want = health.source_drops(batch.select("source_id", "run_no", "row_count", "status", "note"), dones)
+    key = ["source_id", "run_no", "row_count", "norm", "status", "note"]
+    judged = sorted((tuple(r[c] for c in key) for r in got if not r.silent), key=str)
+    assert judged == sorted(map(tuple, want.select(key).collect()), key=str)
+    told = [(r.source_id, r.run_no) for r in got if r.silent]
+    assert len(told) == len(set(told)) and set(told) == silences(runs, 6, 39)
+    note = next(r for r in got if r.silent and r.source_id == "c")
+    assert (note.status, note.note, str(note.run_at)) == ("degraded", "no run for 6 days; last heard of in run 2", "2024-01-09 00:00:00")
