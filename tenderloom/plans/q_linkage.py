@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
+from tenderloom import schemas
 from tenderloom.functions import classify, text
 from tenderloom.functions.base import count_if
 from tenderloom.operators import (dedupe, filters, health, linkage, marts, matches, pricing, records, resolve, similarity,
@@ -14,6 +16,8 @@ from tenderloom.plans.q_scalars import classify_sql, gazetteer
 from tenderloom.plans.registry import query
 from tenderloom.plans.sqltext import (BUDGET, DAYS, LIVE, REF_KEY, RICH, TITLE_KEY, VALUE, similar, tokens)
 from tenderloom.plans.tables import AS_OF, AS_OF_TS, Tables
+from tenderloom.session import scratch_path
+from tenderloom.sources import registers
 
 # ---- deduplication ---------------------------------------------------------
 
@@ -356,14 +360,17 @@ def coverage_gap(t: Tables) -> DataFrame:
 
 @query("roster_semi", f"""WITH {ROSTER} SELECT entity_id, name FROM ro WHERE ordinal % 6 <> 0 AND entity_id IN (SELECT 'ent-' || user_id FROM events)""")
 def roster_semi(t: Tables) -> DataFrame:
-    """Roster rows of the recorded entities that have a website, in roster order."""
-    roster = t.supplier.select(
-        F.col("s_suppkey").alias("ordinal"), F.concat(F.lit("ent-"), F.col("s_suppkey").cast("string")).alias("entity_id"),
-        F.expr("CASE s_suppkey % 3 WHEN 0 THEN concat('Village of Place ', s_suppkey % 40) WHEN 1 THEN concat('Route ', s_suppkey % 40, ' Authority') "
-               "ELSE concat('Unit ', s_suppkey % 40) END").alias("name"),
-        F.expr("CASE WHEN s_suppkey % 6 = 0 THEN ' ' ELSE 'https://w.example' END").alias("website"))
-    seen = t.events.select(F.concat(F.lit("ent-"), F.col("user_id").cast("string")).alias("entity_id"))
-    return roster.filter(F.trim("website") != "").join(seen, "entity_id", "left_semi").orderBy("ordinal").select("entity_id", "name")
+    """A roster written as CSV and read back: rows of the recorded entities that have a website."""
+    path = scratch_path(t.spark, "roster")
+    given = {"entity_id": F.concat(F.lit("ent-"), F.col("s_suppkey").cast("string")),
+             "name": F.expr("CASE s_suppkey % 3 WHEN 0 THEN concat('Village of Place ', s_suppkey % 40) WHEN 1 THEN concat('Route ', s_suppkey % 40, ' Authority') "
+                            "ELSE concat('Unit ', s_suppkey % 40) END"),
+             "website": F.expr("CASE WHEN s_suppkey % 6 = 0 THEN ' ' ELSE 'https://w.example' END"),
+             "notes": F.expr("'Said \"call first\", then' || chr(10) || 'closed, ' || CAST(s_suppkey AS STRING)")}
+    columns = StructType.fromDDL(schemas.ROSTER).fieldNames()
+    t.supplier.select(*[given.get(c, F.lit(None).cast("string")).alias(c) for c in columns]).write.csv(path, header=True, quote='"', escape='"')
+    seen = t.events.select(F.concat(F.lit("ent-"), F.col("user_id").cast("string")).alias("entity_id")).distinct()
+    return registers.read_roster(t.spark, path, seen).select("entity_id", "name")
 
 
 @query("funnel", """SELECT outcome, count(*) AS count FROM (SELECT CASE WHEN platform = 'unknown' THEN 'unknown platform' WHEN platform = 'selfhosted' THEN 'needs a reader'

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tenderloom.functions import package
+from tenderloom.functions.base import with_scalars
 from tenderloom.operators import facts
 from tenderloom.plans.q_scalars import CALENDAR_SQL
 from tenderloom.plans.registry import query
@@ -502,3 +503,22 @@ def register_scan(t: Tables) -> DataFrame:
     t.lineitem.select(line.alias("value")).write.text(f"{path}/part")
     rows = registers.read_register(t.spark, f"{path}/part", header=False)
     return rows.select(F.col("agency_contract_id").alias("contract_id"), "status")
+
+
+@query("findings_log", """WITH w AS (SELECT * FROM log WHERE event_id % 17 <> 0 AND event_id % 23 <> 1),
+    l AS (SELECT entity_id, platform, event_id FROM w QUALIFY row_number() OVER (PARTITION BY entity_id ORDER BY event_id DESC) = 1)
+    SELECT entity_id, platform, 'note, of ' || event_id AS note, platform <> 'unknown' AS recheck, (SELECT count(*) FROM log WHERE event_id % 17 = 0) AS torn_lines FROM l""", "log")
+def findings_log(t: Tables) -> DataFrame:
+    """An append-only log in several files with torn lines and lines of no entity: the last whole line of every entity."""
+    path = scratch_path(t.spark, "findings")
+    row = F.struct(F.expr("CASE WHEN event_id % 23 = 1 THEN '' ELSE entity_id END").alias("entity_id"), "platform", F.concat(F.lit("note, of "), F.col("event_id").cast("string")).alias("note"),
+                   F.array("platform").alias("also"))
+    line = F.to_json(row)
+    written = t.log.select("event_id", line.alias("line")).select(
+        "event_id", F.when(F.col("event_id") % 17 == 0, F.substring("line", 1, 25)).otherwise(F.col("line")).alias("value"))
+    written.repartitionByRange(4, "event_id").sortWithinPartitions("event_id").select("value").write.text(path)
+    found = registers.finding_lines(t.spark, path, split_bytes=1 << 18)
+    latest = registers.latest_findings(found)
+    marked = latest.join(registers.worth_rechecking(latest).withColumn("recheck", F.lit(True)), "entity_id", "left")
+    return with_scalars(marked, found.agg(F.count_if("torn").alias("torn_lines"))).select(
+        "entity_id", "platform", "note", F.coalesce("recheck", F.lit(False)).alias("recheck"), "torn_lines")

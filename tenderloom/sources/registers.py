@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tenderloom import schemas
-from tenderloom.functions.base import first_rows
+from tenderloom.functions.base import filled, first_rows
+from tenderloom.sources import lines
 
 # The register export's header, in file order.
 REGISTER_COLUMNS = ["Agency Name", "Vendor/Grantor Name", "Type", "Agency Contract ID", "PO Number", "Grant Award ID",
@@ -35,18 +36,27 @@ def read_register(spark: SparkSession, path: str, multi_line: bool = False, head
     return kept.select(*[F.col(f"`{name}`").alias(short) for name, short in MAPPED.items()])
 
 
-def read_findings(spark: SparkSession, path: str, ordinal: str = "seq") -> DataFrame:
-    """Append-only JSON lines; torn lines are skipped and the latest line of an entity wins.
+def finding_lines(spark: SparkSession, path: str, split_bytes: int = lines.SPLIT_BYTES) -> DataFrame:
+    """All lines of a findings log, with their place in it; torn ones are flagged."""
+    return lines.read_json_log(spark, path, schemas.FINGERPRINT, split_bytes)
 
-    Lines carry `seq`, the writer's running number: a file's line order does not
-    survive being split across tasks.
-    """
-    rows = spark.read.schema(f"{ordinal} long, {schemas.FINGERPRINT}, torn string").json(path, mode="PERMISSIVE", columnNameOfCorruptRecord="torn")
-    good = rows.filter(F.col("torn").isNull() & F.col("entity_id").isNotNull()).drop("torn")
-    return first_rows(good, ["entity_id"], [F.col(ordinal).desc()])
+
+def latest_findings(found: DataFrame) -> DataFrame:
+    """The last whole line of every entity: the log is append-only, so a recheck is a later line."""
+    whole = found.filter(~F.col("torn") & filled("entity_id"))
+    return first_rows(whole, ["entity_id"], [F.col("file").desc(), F.col("place").desc()]).drop("torn")
+
+
+def read_findings(spark: SparkSession, path: str) -> DataFrame:
+    return latest_findings(finding_lines(spark, path))
+
+
+def worth_rechecking(latest: DataFrame) -> DataFrame:
+    """Entities that a platform was found for."""
+    return latest.filter(filled("platform") & (F.col("platform") != "unknown")).select("entity_id")
 
 
 def read_roster(spark: SparkSession, path: str, entities: DataFrame) -> DataFrame:
     """Roster rows of the given entities that have a website."""
-    rows = spark.read.schema(schemas.ROSTER).csv(path, header=True)
+    rows = spark.read.schema(schemas.ROSTER).csv(path, header=True, quote='"', escape='"', multiLine=True)
     return rows.filter(F.trim("website") != "").join(entities.select("entity_id"), "entity_id", "left_semi")
