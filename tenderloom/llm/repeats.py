@@ -39,7 +39,7 @@ from . import common as c
 
 LEAST, ANCHOR = 400, 64
 #: Different contexts in a block of a shard; a task holds two blocks.
-BLOCK = 1_500
+BLOCK = 6_000
 _TEXT = np.uint64(0x5851F42D4C957F2D)
 
 
