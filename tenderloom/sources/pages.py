@@ -7,43 +7,71 @@ with the standard library, one page at a time.
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator, Sequence
-from html.entities import name2codepoint
+from html.entities import html5
 from html.parser import HTMLParser
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tenderloom.functions.base import (ColumnLike, any_of, capture, captures, col, first_rows, ladder, let, matches,
-                                       none_if_blank, or_blank)
-
-# Named references by the standard library's list; a hard blank is a blank here, as every reader of these pages takes it.
-NAMED = {**{name: chr(point) for name, point in name2codepoint.items()}, "apos": "'", "nbsp": " "}
-REFERENCE = r"^(#[xX][0-9a-fA-F]{1,6}|#[0-9]{1,7}|[A-Za-z][A-Za-z0-9]{1,30});"
+from tenderloom.functions.base import (ColumnLike, any_of, capture, captures, col, first_rows, ladder, let, lookup_map,
+                                       matches, none_if_blank, or_blank)
+
+#: Named references by the standard library's list, with their semicolon where they must have one; a hard blank is a blank
+#: here, as every reader of these pages takes it.
+NAMED = {name: char.replace("\u00a0", " ") for name, char in html5.items()}
+#: Names that count without a semicolon, longest first: the rest of what follows stays text.
+BARE = sorted((name for name in NAMED if not name.endswith(";")), key=lambda n: (-len(n), n))
+#: References that nearly all pages use, tried before the list.
+COMMON = {name: NAMED[name] for name in ("amp;", "nbsp;", "lt;", "gt;", "quot;", "apos;")}
+#: Numbers that name what an old Windows page meant by them.
+WINDOWS = {0: "\ufffd", 13: "\r", **{n: bytes([n]).decode("cp1252") if n not in (0x81, 0x8D, 0x8F, 0x90, 0x9D) else chr(n) for n in range(0x80, 0xA0)}}
+#: What a reference's name or number may look like.
+REFERENCE = r"^(#[0-9]+;?|#[xX][0-9a-fA-F]+;?|[^\t\n\f <&#;]{1,32};?)"
+
+
+def _character(point: Column) -> Column:
+    """The character of a number: old Windows numbers mean what browsers show, surrogates and numbers beyond are the
+    replacement character, control characters are nothing."""
+    shown = F.from_json(F.lit(json.dumps({str(n): c for n, c in WINDOWS.items()})), "map<string,string>")
+    void = ((point < 9) | point.between(0xB, 0xB) | point.between(0xE, 0x1F) | point.between(0x7F, 0x9F) | point.between(0xFDD0, 0xFDEF)
+            | (F.pmod(point, F.lit(0x10000)) >= 0xFFFE))
+    plain = F.decode(F.unhex(F.lpad(F.hex(point), 8, "0")), "UTF-32")
+    return (F.when(point == 160, " ").when(shown[point.cast("string")].isNotNull(), shown[point.cast("string")])
+            .when(point.between(0xD800, 0xDFFF) | (point > 0x10FFFF), "\ufffd").when(void, "").otherwise(plain))
 
 
 def unescape(text: ColumnLike) -> Column:
-    """Character references decoded once: numeric ones by rule, named ones by list; others stay as they are."""
+    """Character references decoded once, as the standard library's `html.unescape` does, but for hard blanks; others stay as they are."""
+    names = F.from_json(F.lit(json.dumps(NAMED)), "map<string,string>")
+    bare = "^(" + "|".join(BARE) + ")"
+
+    def number(name: Column) -> Column:
+        digits = F.rtrim(F.substr(name, F.lit(2)), F.lit(";"))
+        hexed = F.lower(F.substring(digits, 1, 1)) == "x"
+        value = F.when(hexed, F.lower(F.ltrim(F.substr(digits, F.lit(2)), F.lit("0")))).otherwise(F.ltrim(digits, F.lit("0")))
+        point = F.when(hexed, F.conv(F.when(value == "", "0").otherwise(value), 16, 10)).otherwise(F.when(value == "", "0").otherwise(value))
+        # more digits than any character has
+        return F.when(F.length(value) > 9, F.lit(0x110000).cast("bigint")).otherwise(point.try_cast("bigint"))
+
     def decoded(piece: Column) -> Column:
         def known(name: Column) -> Column:
-            point = F.when(F.lower(F.substring(name, 1, 2)) == "#x", F.conv(F.substr(name, F.lit(3)), 16, 10)) \
-                .when(name.startswith("#"), F.substr(name, F.lit(2))).cast("bigint")
-            valid = point.between(1, 0x10FFFF) & ~point.between(0xD800, 0xDFFF)
-            char = F.when(point == 160, F.lit(" ")).when(valid, F.decode(F.unhex(F.lpad(F.hex(point), 8, "0")), "UTF-32"))
-            return F.when(name == "", None).when(name.startswith("#"), char).otherwise(F.try_element_at(NAMED_MAP(), name))
+            short = F.regexp_extract(name, bare, 1)
+            whole = F.when(name.isin(*COMMON), lookup_map(COMMON, name)).otherwise(names[name])
+            return (F.when(name == "", F.concat(F.lit("&"), piece))
+                    .when(name.startswith("#"), F.concat(let(number(name), _character), F.substr(piece, F.length(name) + 1)))
+                    .when(whole.isNotNull(), F.concat(whole, F.substr(piece, F.length(name) + 1)))
+                    .when(short != "", F.concat(names[short], F.substr(piece, F.length(short) + 1)))
+                    .otherwise(F.concat(F.lit("&"), piece)))
 
-        name = F.regexp_extract(piece, REFERENCE, 1)
-        return let(name, lambda n: F.coalesce(F.concat(known(n), F.substr(piece, F.length(n) + 2)), F.concat(F.lit("&"), piece)))
+        return let(F.regexp_extract(piece, REFERENCE, 1), known)
 
     parts = F.split(col(text), "&")
     return let(parts, lambda p: F.concat(F.get(p, F.lit(0)), F.array_join(F.transform(F.slice(p, F.lit(2), F.size(p)), decoded), "")))
 
 
-def NAMED_MAP() -> Column:
-    return F.create_map(*[F.lit(x) for pair in NAMED.items() for x in pair])
-
-
 def html_to_text(html: ColumnLike, separator: str = " · ") -> Column:
     """Text as a person reads it: entities resolved twice, breaks as separators, tags gone."""
     out = unescape(unescape(or_blank(html)))
