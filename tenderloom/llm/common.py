@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import json
 import os
 import sys
@@ -84,6 +85,33 @@ def looked_up(rows: DataFrame, facts: DataFrame, on: list[str], n: str) -> DataF
     return rows.join(heavy, on).unionByName(light)
 
 
+def task(emit: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """`emit` as a task of a worker that others use too: what another module's tasks left in the worker's state goes at
+    its begin, and free memory goes back to the system at its end, since idle workers live on beside the next stage."""
+    module = emit.__module__
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        state = worker_state()
+        if state.get("module") != module:
+            state.clear()
+            state["module"] = module
+        try:
+            yield from emit(batches)
+        finally:
+            release()
+
+    return run
+
+
+def release() -> None:
+    """Give memory that allocators hold back for reuse to the system."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):
+        pass  # another C library
+
+
 # ---------------------------------------------------------------- words in columns
 
 SPACE = r"[ \t-\r]"
@@ -245,7 +273,7 @@ def sorted_files(df: DataFrame, key: str, values: list[str], label: str) -> str:
             yield pa.record_batch([pa.array([f"{part:06d}"]), pa.array([table.num_rows], pa.int64())], ["name", "n"])
 
     ordered = df.select(key, *values).repartitionByRange(width(spark), key).sortWithinPartitions(key, *values)
-    write_manifest(path, dict(map(tuple, ordered.mapInArrow(save, "name string, n long").collect())))  # one row a file
+    write_manifest(path, dict(map(tuple, ordered.mapInArrow(task(save), "name string, n long").collect())))  # one row a file
     return folder
 
 

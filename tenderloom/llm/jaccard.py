@@ -244,26 +244,26 @@ def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _classes(source: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(doc_id, node, sig) of every row, and (node, first_id, same, links, component) of every node."""
-    sketch = c.written(source.mapInArrow(_sketch, "doc_id long, node long, sig binary"), "jaccard-sketch")
+    sketch = c.written(source.mapInArrow(c.task(_sketch), "doc_id long, node long, sig binary"), "jaccard-sketch")
     nodes = c.written(sketch.where("node is not null").groupBy("node").agg(
         F.min("doc_id").alias("first_id"), F.count("*").alias("same"), F.first("sig").alias("sig")), "jaccard-nodes")
-    buckets = (nodes.mapInArrow(_bands, "bucket long, band int, node long").groupBy("bucket", "band")
+    buckets = (nodes.mapInArrow(c.task(_bands), "bucket long, band int, node long").groupBy("bucket", "band")
                .agg(F.count("*").alias("members"), F.min("node").alias("lo"), F.max("node").alias("hi"), F.bit_xor(F.xxhash64("node")).alias("sum"))
                .where("members > 1"))
     once = (buckets.groupBy("members", "lo", "hi", "sum").agg(F.min(F.struct("band", "bucket")).alias("x"))
             .select("x.bucket", "x.band", "members"))
     folder = c.sorted_files(once, "bucket", ["band", "members"], "jaccard-buckets")
-    dealt = nodes.select("node", "sig").mapInArrow(_dealt(folder), "bucket long, part long, band int, side int, node long, sig binary")
+    dealt = nodes.select("node", "sig").mapInArrow(c.task(_dealt(folder)), "bucket long, part long, band int, side int, node long, sig binary")
     n = c.width(source.sparkSession)
     left = c.written(dealt.repartition(n, "bucket", "part").sortWithinPartitions("bucket", "part", "node")
-                     .mapInArrow(_pruned, "task long, node long, place int, mates binary"), "jaccard-left")
+                     .mapInArrow(c.task(_pruned), "task long, node long, place int, mates binary"), "jaccard-left")
     firsts = left.select("task", "node", "place").join(nodes.select("node", "first_id", "same"), "node")
     wanted = c.sorted_files(firsts.select("node", F.coalesce("first_id", F.lit(-1)).alias("doc_id"), "task", "place"), "node", ["doc_id", "task", "place"], "jaccard-wanted")
-    sets = source.mapInArrow(_sets(wanted), "task long, place int, node long, words binary")
+    sets = source.mapInArrow(c.task(_sets(wanted)), "task long, place int, node long, words binary")
     facts = left.join(nodes.select("node", "same"), "node").select("task", "place", "node", F.lit(None).cast("binary").alias("words"), "mates", "same")
     parts = sets.select("task", "place", "node", "words", F.lit(None).cast("binary").alias("mates"), F.lit(None).cast("long").alias("same")).unionByName(facts)
     links = c.written(parts.repartition(n, "task").sortWithinPartitions("task", "place")
-                      .mapInArrow(_verified, "node long, root long, links long"), "jaccard-links")
+                      .mapInArrow(c.task(_verified), "node long, root long, links long"), "jaccard-links")
     reach = c.components(links, "node", "root")
     counted = links.groupBy("node").agg(F.sum("links").alias("links"))
     tied = nodes.select("node", "first_id", "same").join(reach, "node", "left").join(counted, "node", "left")
@@ -306,7 +306,7 @@ def one_of_each(docs: DataFrame) -> DataFrame:
     held = sketch.where("node is not null").select("node", "doc_id").join(first, "node").where(F.col("doc_id").eqNullSafe(F.col("first_id")))
     stay = c.written(held.groupBy("node", F.coalesce("first_id", F.lit(-1)).alias("first_id")).agg(F.count("*").alias("rows")), "jaccard-chosen")
     folder = c.sorted_files(stay, "node", ["first_id", "rows"], "jaccard-stay")
-    kept = source.mapInArrow(_chosen(folder), f"doc_id long, text string, _row {source.schema['_row'].dataType.simpleString()}, _node long, _rows long")
+    kept = source.mapInArrow(c.task(_chosen(folder)), f"doc_id long, text string, _row {source.schema['_row'].dataType.simpleString()}, _node long, _rows long")
     columns = [F.col("_row")[n].alias(n) if n not in ("doc_id", "text") else F.col(n) for n in docs.columns]
     if stay.where("rows > 1").isEmpty():
         return kept.select(*columns)

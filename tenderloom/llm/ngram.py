@@ -339,7 +339,7 @@ def fit(docs: DataFrame, order: int = ORDER) -> Model:
         raise ValueError(f"order {order}: a token is predicted from one before it at least")
     spark = docs.sparkSession
     source = docs.select("text")
-    counts = c.written(source.mapInArrow(_word_counts, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")), "lm-words")
+    counts = c.written(source.mapInArrow(c.task(_word_counts), "h long, n long").groupBy("h").agg(F.sum("n").alias("n")), "lm-words")
     tokens, types = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
     words = c.sorted_files(counts, "h", ["n"], "lm-word-arrays")
     if types >= 2 ** 32 - 1:
@@ -347,11 +347,11 @@ def fit(docs: DataFrame, order: int = ORDER) -> Model:
     parts = max(4, -(-tokens // PART_TOKENS))
     hot = tuple(r[0] for r in counts.where(F.col("n") > 2 * tokens / parts).select("h").collect())  # fewer than parts / 2
     grams = c.new_path(spark, "lm-grams")
-    packs = source.mapInArrow(_text_packs(words, types, parts, hot, order), "part int, pack binary")
+    packs = source.mapInArrow(c.task(_text_packs(words, types, parts, hot, order)), "part int, pack binary")
     names = ("cc", "total", "n1", "n2", "n3")
     for k in range(order, 1, -1):
         packs = packs.repartition(c.width(spark), "part").sortWithinPartitions("part").mapInArrow(
-            _gram_files(c.local_folder(grams), words, types, parts, hot, k),
+            c.task(_gram_files(c.local_folder(grams), words, types, parts, hot, k)),
             "part int, pack binary" if k > 2 else "id long, " + ", ".join(f"{x} long" for x in names))
     facts = c.written(packs.groupBy("id").agg(*[F.sum(x).alias(x) for x in names]), "lm-facts")
     path = c.local_folder(grams)
@@ -468,7 +468,7 @@ def _scored(model: Model):
 def score(docs: DataFrame, model: Model) -> DataFrame:
     """Rows of (doc_id, held_out, text) with their log10 probabilities; perplexity is 10 ** (-score / n_tokens)."""
     return docs.select("doc_id", "held_out", "text").mapInArrow(
-        _scored(model), "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+        c.task(_scored(model)), "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
 
 
 def cross_scored(docs: DataFrame, text: str = "text", order: int = 2) -> DataFrame:

@@ -132,8 +132,8 @@ def _merged(with_ids: bool):
 def packed(docs: DataFrame, text: str = "text", tokenizer: str | None = None, with_ids: bool = False) -> DataFrame:
     """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, fill (ids in the sequence), ids (or null)."""
     source = docs.select("doc_id", F.col(text).alias("text"))
-    first = c.written(source.mapInArrow(_packed(tokenizer, with_ids), _SCHEMA), "packing")
+    first = c.written(source.mapInArrow(c.task(_packed(tokenizer, with_ids)), _SCHEMA), "packing")
     merge = F.floor(F.shiftright("sequence_id", 32) / F.lit(MERGED)).cast("long")
     left = (first.where("open").withColumn("merge", merge).repartition(c.width(docs.sparkSession), "merge")
             .sortWithinPartitions("merge", F.col("fill").desc(), "sequence_id", "offset"))
-    return first.where("not open").union(left.mapInArrow(_merged(with_ids), _SCHEMA)).drop("open")
+    return first.where("not open").union(left.mapInArrow(c.task(_merged(with_ids)), _SCHEMA)).drop("open")

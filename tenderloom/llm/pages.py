@@ -375,12 +375,12 @@ def main_texts(pages: DataFrame) -> DataFrame:
     words = F.regexp_replace(F.coalesce("html", F.lit("")), r"(?is)<(script|style)\b.*?</\1\s*>|<[^>]*>", " ")
     narrow = source.select("host", "path", F.coalesce("page_id", F.lit(-1)).alias("id"), F.xxhash64(words).alias("sign"))
     marks = narrow.repartitionByRange(n, "host", "path", "id").sortWithinPartitions("host", "path", "id").mapInArrow(
-        _borders, "host string, path string, id long, sign long").withColumn("range", F.spark_partition_id()).collect()  # six rows for each range at most
+        c.task(_borders), "host string, path string, id long, sign long").withColumn("range", F.spark_partition_id()).collect()  # six rows for each range at most
     least: dict[int, tuple] = {}
     for r in marks:
         least[r["range"]] = min(least.get(r["range"], tuple(r)[:3]), tuple(r)[:3])
     firsts = sorted(least.values())
-    dealt = source.mapInArrow(_dealt(firsts, _guests(firsts, sorted({tuple(r)[:4] for r in marks}))),
+    dealt = source.mapInArrow(c.task(_dealt(firsts, _guests(firsts, sorted({tuple(r)[:4] for r in marks})))),
                               "page_id long, url string, html string, host string, path string, range int, guest boolean")
     ordered = dealt.repartition(c.width(pages.sparkSession), "range").sortWithinPartitions("range", *order)
-    return ordered.mapInArrow(_extracted, "page_id long, url string, text string, n_chars long, partner_id long, n_deleted long")
+    return ordered.mapInArrow(c.task(_extracted), "page_id long, url string, text string, n_chars long, partner_id long, n_deleted long")

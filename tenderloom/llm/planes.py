@@ -170,7 +170,7 @@ def write(docs: DataFrame, folder: str, text: str = "text", tokenizer: str | Non
     """Write ids of (doc_id, text) in ascending doc_id order; (part, docs, ids, ids in files before) of each file."""
     source = docs.select("doc_id", F.col(text).alias("text"))
     ordered = source.repartitionByRange(c.width(docs.sparkSession), "doc_id").sortWithinPartitions("doc_id", "text")
-    files = sorted(map(tuple, ordered.mapInArrow(_written(folder, tokenizer, planes), "part long, docs long, ids long").collect()))  # one row a file
+    files = sorted(map(tuple, ordered.mapInArrow(c.task(_written(folder, tokenizer, planes)), "part long, docs long, ids long").collect()))  # one row a file
     before, out = 0, []
     for part, n, ids in files:
         out.append((part, n, ids, before))
@@ -202,4 +202,4 @@ def _rows(out: list[tuple]) -> pa.RecordBatch:
 def read(spark, folder: str, files: list[tuple[int, int, int, int]]) -> DataFrame:
     """(doc_id, start, n_tokens, ids_crc32) of every document, decoded from the files."""
     table = spark.createDataFrame([(f[0], f[3]) for f in files], "part long, before long")
-    return table.repartition(max(1, len(files))).mapInArrow(_read(folder), "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return table.repartition(max(1, len(files))).mapInArrow(c.task(_read(folder)), "doc_id long, start long, n_tokens long, ids_crc32 long")

@@ -125,7 +125,7 @@ def products(rows: DataFrame) -> DataFrame:
     narrow = hashes(rows).select(*order, F.length("text").cast("long").alias("chars"))
     dealt = narrow.repartitionByRange(c.width(rows.sparkSession), *order).sortWithinPartitions(*order)
     lanes = ", ".join(f"{x} int" for x in [*_lanes("s"), *_lanes("q")])
-    local = c.written(dealt.mapInArrow(_scan, f"part int, conv_id long, turn long, a long, b long, chars long, pos long, {lanes}"), "prefix-products")
+    local = c.written(dealt.mapInArrow(c.task(_scan), f"part int, conv_id long, turn long, a long, b long, chars long, pos long, {lanes}"), "prefix-products")
     borders = local.groupBy("part").agg(F.min("conv_id").alias("first"), F.max(F.struct("conv_id", "pos", *_lanes("s"))).alias("last")).collect()  # one row a partition
     carry, fixes = (None, 0, [0] * LANES), []
     for row in sorted(borders, key=lambda r: r["part"]):
@@ -259,7 +259,7 @@ def end_digests(found: DataFrame) -> DataFrame:
             out.append((*key, run.hexdigest()))
         yield done()
 
-    return dealt.mapInArrow(digest, "depth long, ka long, kb long, ends_sha256 string")
+    return dealt.mapInArrow(c.task(digest), "depth long, ka long, kb long, ends_sha256 string")
 
 
 def _chain_sums(chains: DataFrame) -> DataFrame:

@@ -284,16 +284,16 @@ def _cut(folder: str):
 
 def repeated_spans(source: DataFrame, least: int = LEAST) -> str:
     """Sorted files (key, lo, hi) of the repeated stretches of each row of (doc_id, text)."""
-    counts = (source.mapInArrow(_counted(least), "h long, n long, first long").groupBy("h").agg(F.sum("n").alias("n"), F.min("first").alias("first")).where("n > 1"))
+    counts = (source.mapInArrow(c.task(_counted(least)), "h long, n long, first long").groupBy("h").agg(F.sum("n").alias("n"), F.min("first").alias("first")).where("n > 1"))
     folder = c.sorted_files(counts, "h", ["n", "first"], "repeat-anchors")
-    found = c.written(source.mapInArrow(_contexts(folder, least), _SCHEMA), "repeat-contexts")
+    found = c.written(source.mapInArrow(c.task(_contexts(folder, least)), _SCHEMA), "repeat-contexts")
     near = found.where("h is not null")
     # equal contexts stand for one another; shards of very many different ones are dealt into blocks
     kinds = near.groupBy("h", "ctx").agg(F.count("*").alias("times"), F.first("before", True).alias("before"), F.first("after", True).alias("after"))
     large = near.select("h", "ctx").distinct().groupBy("h").agg(F.count("*").alias("n")).where(F.col("n") > BLOCK)
-    dealt = kinds.mapInArrow(_dealt(c.sorted_files(large, "h", ["n"], "repeat-shards")), "h long, ctx long, times long, before binary, after binary, part long, side int")
+    dealt = kinds.mapInArrow(c.task(_dealt(c.sorted_files(large, "h", ["n"], "repeat-shards"))), "h long, ctx long, times long, before binary, after binary, part long, side int")
     shards = dealt.repartition(c.width(source.sparkSession), "h", "part").sortWithinPartitions("h", "part", "ctx")
-    reach = c.written(shards.mapInArrow(_repeated(least), "h long, ctx long, l long, r long"), "repeat-reach")
+    reach = c.written(shards.mapInArrow(c.task(_repeated(least)), "h long, ctx long, l long, r long"), "repeat-reach")
     # a written table: the join's exchange then stands alone, and a very common context can be split
     most = c.written(reach.groupBy("h", "ctx").agg(F.max("l").alias("l"), F.max("r").alias("r")), "repeat-most")
     spans = found.where("h is null").select("key", "lo", "hi").union(
@@ -304,7 +304,7 @@ def repeated_spans(source: DataFrame, least: int = LEAST) -> str:
 def removals(docs: DataFrame, text: str = "text", least: int = LEAST) -> DataFrame:
     """One row per row of `docs`: doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept (the remaining text)."""
     source = docs.select("doc_id", F.col(text).alias("text"))
-    return source.mapInArrow(_cut(repeated_spans(source, least)), _RESULT)
+    return source.mapInArrow(c.task(_cut(repeated_spans(source, least))), _RESULT)
 
 
 _RESULT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept string"
@@ -316,7 +316,7 @@ def without_repeats(docs: DataFrame, least: int = LEAST) -> DataFrame:
     others = [n for n in docs.columns if n not in ("doc_id", "text")]
     row = F.struct(F.struct(*others or [F.lit(0).alias("_")]).alias("given"), F.col("text").isNull().alias("empty"))
     source = docs.select("doc_id", "text", row.alias("_row"))
-    cut = source.mapInArrow(_cut(repeated_spans(source.select("doc_id", "text"), least)), f"{_RESULT}, _row {source.schema['_row'].dataType.simpleString()}")
+    cut = source.mapInArrow(c.task(_cut(repeated_spans(source.select("doc_id", "text"), least))), f"{_RESULT}, _row {source.schema['_row'].dataType.simpleString()}")
     values = {"doc_id": F.col("doc_id"), "text": F.when(~F.col("_row.empty"), F.col("kept")),
               "n_chars": F.when(~F.col("_row.empty"), F.length("kept")).cast(dict(docs.dtypes).get("n_chars", "long"))}
     return cut.select(*[(values[n] if n in values else F.col("_row.given")[n]).alias(n) for n in docs.columns])

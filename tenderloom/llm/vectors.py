@@ -152,19 +152,19 @@ def _linked(bits: int, tables: int, threshold: float):
 def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, miss: float = MISS) -> DataFrame:
     """(vec_id, n_links, component_id, kept) for every row of (vec_id, embedding)."""
     sound = c.written(vectors.select("vec_id", F.col("embedding").cast("array<double>").alias("embedding"))
-                      .mapInArrow(_sound, "vec_id long, node long, unit binary"), "vector-units")
+                      .mapInArrow(c.task(_sound), "vec_id long, node long, unit binary"), "vector-units")
     nodes = c.written(sound.where("node is not null").groupBy("node").agg(
         F.min("vec_id").alias("first_id"), F.count("*").alias("same"), F.first("unit").alias("unit")), "vector-nodes")
     bits, tables = plan(nodes.count(), threshold, miss)
-    counts = (nodes.select("node", "unit").mapInArrow(_buckets(bits, tables), "bucket long, band int, node long").groupBy("bucket", "band")
+    counts = (nodes.select("node", "unit").mapInArrow(c.task(_buckets(bits, tables)), "bucket long, band int, node long").groupBy("bucket", "band")
               .agg(F.count("*").alias("members"), F.min("node").alias("lo"), F.max("node").alias("hi"), F.bit_xor(F.xxhash64("node")).alias("sum"))
               .where("members > 1"))
     once = counts.groupBy("members", "lo", "hi", "sum").agg(F.min(F.struct("band", "bucket")).alias("x")).select("x.bucket", "x.band", "members")
     folder = c.sorted_files(once, "bucket", ["band", "members"], "vector-buckets")
     dealt = nodes.select("node", "same", "unit").mapInArrow(
-        _dealt(folder, bits, tables), "bucket long, part long, band int, side int, node long, same long, unit binary")
+        c.task(_dealt(folder, bits, tables)), "bucket long, part long, band int, side int, node long, same long, unit binary")
     links = c.written(dealt.repartition(c.width(vectors.sparkSession), "bucket", "part").sortWithinPartitions("bucket", "part", "node")
-                      .mapInArrow(_linked(bits, tables, threshold), "node long, root long, links long"), "vector-links")
+                      .mapInArrow(c.task(_linked(bits, tables, threshold)), "node long, root long, links long"), "vector-links")
     reach = c.components(links, "node", "root")
     tied = nodes.select("node", "first_id", "same").join(reach, "node", "left").withColumn("component", F.coalesce("component", "node"))
     least = tied.groupBy("component").agg(F.min("first_id").alias("component_id"))

@@ -375,7 +375,7 @@ def plan(pages: DataFrame, least: int = LEAST) -> DataFrame:
 
 def write(pages: DataFrame, folder: str, least: int = LEAST, file_bytes: int = FILE_BYTES) -> list[tuple[str, int, int]]:
     """Write a record for each row of (page_id, url, html); (file, records, bytes) of each archive."""
-    done = plan(pages, least).mapInArrow(_written(folder, file_bytes), "file string, records long, bytes long")
+    done = plan(pages, least).mapInArrow(c.task(_written(folder, file_bytes)), "file string, records long, bytes long")
     return sorted(map(tuple, done.collect()))  # one row an archive
 
 
@@ -414,7 +414,7 @@ def _read(folder: str, payloads: bool):
 def read(spark: SparkSession, folder: str, files: list[tuple[str, int | None, int]], payloads: bool = True) -> DataFrame:
     """Every record but `warcinfo` of the archives (COLUMNS); `files` as `write` gave them, records null where unknown."""
     table = spark.createDataFrame([(f[0], f[1]) for f in files], "file string, records long")
-    return table.repartition(max(1, len(files))).mapInArrow(_read(folder, payloads), COLUMNS)
+    return table.repartition(max(1, len(files))).mapInArrow(c.task(_read(folder, payloads)), COLUMNS)
 
 
 def resolved(records: DataFrame) -> DataFrame:
