@@ -1,19 +1,23 @@
 """State holidays, business days and the two clocks that run on them.
 
-The calendar is a generated table with one row per day and running counts of
-business and non-business days, so clocks are two lookups instead of loops. It
-spans the days of the data it serves. All days that a date can hold are 3.7
-million rows, which is why it may be broadcast.
+Everything is arithmetic on the row's own days, whatever years they lie in: no
+calendar table, no join. Weekend days through a day follow from whole weeks,
+holidays from whole years and the nine of the day's own year; the next business
+days are found among the few days ahead that can hold them.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tenderloom.functions.base import let
+
 PROTEST_BUSINESS_DAYS = 3  # fixed value: 72 hours
 RECORDS_RIPE_DAYS = 31     # fixed value
-MARGIN_DAYS = 40  # beyond any run of idle days plus the days a protest has
+#: No run of idle days is longer: Thursday to Sunday.
+LONGEST_REST = 4
+HOLIDAYS_A_YEAR = 9
 
 
 def _weekday(day: Column) -> Column:
@@ -46,16 +50,65 @@ def is_holiday(day: Column) -> Column:
             | day_after_thanksgiving)
 
 
-def calendar(df: DataFrame, *days: Column) -> DataFrame:
-    """day, is_business, business_index and idle_index (running counts through the day) around all `days` of `df`."""
-    first, last = F.least(*days) if len(days) > 1 else days[0], F.greatest(*days) if len(days) > 1 else days[0]
-    span = df.agg(F.date_sub(F.min(first), MARGIN_DAYS).alias("first"), F.date_add(F.max(last), MARGIN_DAYS).alias("last"))
-    days = span.filter("first IS NOT NULL").select(F.explode(F.sequence("first", "last")).alias("day"))
-    flagged = days.withColumn("is_business", (_weekday(F.col("day")) < 5) & ~is_holiday(F.col("day")))
-    running = Window.orderBy("day").rowsBetween(Window.unboundedPreceding, 0)
-    return (flagged
-            .withColumn("business_index", F.sum(F.col("is_business").cast("int")).over(running).cast("int"))
-            .withColumn("idle_index", F.sum((~F.col("is_business")).cast("int")).over(running).cast("int")))
+def is_business_day(day: Column) -> Column:
+    return (_weekday(day) < 5) & ~is_holiday(day)
+
+
+def _nth(year: Column, month: int, weekday: int, nth: int) -> Column:
+    """The nth such weekday of a month."""
+    first = F.make_date(year, F.lit(month), F.lit(1))
+    return F.date_add(first, F.pmod(F.lit(weekday) - _weekday(first), F.lit(7)) + 7 * (nth - 1))
+
+
+def _holidays(year: Column) -> list[Column]:
+    """The observed holidays of a year, all of them weekdays; New Year's Day is null when it is observed the year before."""
+    new_year = F.make_date(year, F.lit(1), F.lit(1))
+    fixed = [_observed(F.make_date(year, F.lit(m), F.lit(d))) for m, d in ((7, 4), (11, 11), (12, 25))]
+    thanksgiving = _nth(year, 11, 3, 4)
+    fifth = _nth(year, 5, 0, 5)
+    return [F.when(_weekday(new_year) != 5, _observed(new_year)), *fixed, _nth(year, 1, 0, 3), F.when(F.month(fifth) == 5, fifth).otherwise(_nth(year, 5, 0, 4)),
+            _nth(year, 9, 0, 1), thanksgiving, F.date_add(thanksgiving, 1)]
+
+
+def _holidays_so_far(day: Column) -> Column:
+    """Holidays of the day's year up to and with the day."""
+    out = F.lit(0)
+    for holiday in _holidays(F.year(day)):
+        out = out + F.when(holiday <= day, 1).otherwise(0)
+    return out
+
+
+def _weekend_days(day: Column) -> Column:
+    """Saturdays and Sundays through a day, counted from a Monday; meant for differences."""
+    monday = F.unix_date(day) + 3  # the day numbered 0 is a Thursday
+    return F.floor(monday / 7) * 2 + F.greatest(F.pmod(monday, F.lit(7)) - 4, F.lit(0))
+
+
+def idle_days(after: Column, through: Column) -> Column:
+    """Weekend days and holidays later than `after` and not later than `through`; 0 where there are no days between."""
+    def between(a: Column, t: Column) -> Column:
+        years = F.when(F.year(a) < F.year(t), F.sequence(F.year(a), F.year(t) - 1)).otherwise(F.array().cast("array<int>"))
+        # a New Year's Day on Saturday is no holiday of either year
+        short = F.size(F.filter(years, lambda y: _weekday(F.make_date(y, F.lit(1), F.lit(1))) == 5))
+        holidays = HOLIDAYS_A_YEAR * F.size(years) - short + _holidays_so_far(t) - _holidays_so_far(a)
+        return F.when(t > a, _weekend_days(t) - _weekend_days(a) + holidays).otherwise(F.lit(0))
+
+    return let(after, lambda a: let(through, lambda t: between(a, t)))
+
+
+def business_days_on(day: Column, days: int) -> Column:
+    """The business day `days` business days after `day`; one that is none counts from the next."""
+    # no rest is longer, and none comes after fewer than three business days
+    ahead = days + LONGEST_REST * (1 + -(-days // 3))
+
+    def among(d: Column, holidays: Column) -> Column:
+        return F.get(F.filter(F.sequence(d, F.date_add(d, ahead)), lambda x: (_weekday(x) < 5) & ~F.array_contains(holidays, x)), F.lit(days))
+
+    def of(d: Column) -> Column:
+        both = F.array(*_holidays(F.year(d)), *[F.when(F.year(F.date_add(d, ahead)) > F.year(d), h) for h in _holidays(F.year(d) + 1)])
+        return let(F.array_compact(both), lambda holidays: among(d, holidays))
+
+    return let(day, of)
 
 
 def _midnight_offset(ts: Column) -> Column:
@@ -67,17 +120,8 @@ def protest_deadline(df: DataFrame, posted: str, out: str, days: int = PROTEST_B
 
     A posting on a non-business day starts from the next business day.
     """
-    cal = calendar(df, F.col(posted).cast("date"))
-    start = F.broadcast(cal.select(
-        F.col("day").alias("__start"),
-        (F.col("business_index") + F.when(F.col("is_business"), 0).otherwise(1) + days).alias("__due_index")))
-    due = F.broadcast(cal.filter("is_business").select(
-        F.col("business_index").alias("__due_index"), F.col("day").alias("__due_day")))
     ts = F.col(posted).cast("timestamp_ntz")
-    return (df.withColumn("__start", ts.cast("date"))
-            .join(start, "__start", "left").join(due, "__due_index", "left")
-            .withColumn(out, F.col("__due_day").cast("timestamp_ntz") + _midnight_offset(ts))
-            .drop("__start", "__due_index", "__due_day"))
+    return df.withColumn(out, business_days_on(ts.cast("date"), days).cast("timestamp_ntz") + _midnight_offset(ts))
 
 
 def business_hours_left(df: DataFrame, deadline: str, now: str, out: str) -> DataFrame:
@@ -85,19 +129,15 @@ def business_hours_left(df: DataFrame, deadline: str, now: str, out: str) -> Dat
 
     Negative once the deadline has passed.
     """
-    cal = F.broadcast(calendar(df, F.col(deadline).cast("date"), F.lit(now).cast("date")).select("day", "idle_index"))
-    at, present = F.col(deadline).cast("timestamp_ntz"), F.lit(now).cast("timestamp_ntz")
-    early, late = F.least(at, present), F.greatest(at, present)
-    first = cal.select(F.col("day").alias("__from"), F.col("idle_index").alias("__idle_from"))
-    last = cal.select(F.col("day").alias("__to"), F.col("idle_index").alias("__idle_to"))
-    seconds = (F.unix_micros(late.cast("timestamp")) - F.unix_micros(early.cast("timestamp"))) / F.lit(1_000_000)
-    skipped = F.when(F.col("__to") > F.col("__from"), F.col("__idle_to") - F.col("__idle_from")).otherwise(0)
-    span = seconds / 3600 - skipped * 24
-    return (df.withColumn("__from", early.cast("date"))
-            .withColumn("__to", F.date_sub(late.cast("date"), 1))
-            .join(first, "__from", "left").join(last, "__to", "left")
-            .withColumn(out, F.when(F.col(deadline).isNotNull(), F.when(present >= at, -span).otherwise(span)))
-            .drop("__from", "__to", "__idle_from", "__idle_to"))
+    present = F.lit(now).cast("timestamp_ntz")
+
+    def hours(early: Column, late: Column) -> Column:
+        seconds = (F.unix_micros(late.cast("timestamp")) - F.unix_micros(early.cast("timestamp"))) / F.lit(1_000_000)
+        return seconds / 3600 - idle_days(early.cast("date"), F.date_sub(late.cast("date"), 1)) * 24
+
+    # the deadline may itself be computed: it is named once, however often it is used
+    left = let(F.col(deadline).cast("timestamp_ntz"), lambda at: F.when(at.isNotNull(), F.when(present >= at, -hours(at, present)).otherwise(hours(present, at))))
+    return df.withColumn(out, left)
 
 
 def records_ripe_on(opening: Column) -> Column:

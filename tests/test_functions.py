@@ -159,3 +159,53 @@ def test_equal_place_names_keep_list_order(spark):
     cities = spark.createDataFrame([("davie", "broward", 0), ("tampa", "hillsborough", 1)], "needle string, slug string, position int")
     df = spark.createDataFrame([("Davie Tampa Board",)], "agency string")
     assert geo.infer_counties(df, geo.Gazetteer(cities)).first().county_slug == "broward"
+
+
+def state_holidays(year):
+    """The statute, plainly."""
+    def nth(month, weekday, n):
+        days = [d for d in (date(year, month, 1) + timedelta(days=i) for i in range(31)) if d.month == month and d.weekday() == weekday]
+        return days[n]
+
+    def observed(d):
+        return d - timedelta(days=1) if d.weekday() == 5 else d + timedelta(days=1) if d.weekday() == 6 else d
+
+    thanksgiving = nth(11, 3, 3)
+    return {*(observed(date(year, m, d)) for m, d in ((1, 1), (7, 4), (11, 11), (12, 25))), nth(1, 0, 2), nth(5, 0, -1), nth(9, 0, 0), thanksgiving, thanksgiving + timedelta(days=1)}
+
+
+def test_clocks_equal_the_calendar_day_by_day_over_three_centuries(spark):
+    first, last = date(1900, 1, 1), date(2200, 12, 31)
+    holidays = {y: state_holidays(y) for y in range(1900, 2201)}
+    days = [first + timedelta(days=i) for i in range((last - first).days + 1)]
+    business = [d.weekday() < 5 and d not in holidays[d.year] for d in days]
+    idle, total = [], 0
+    for b in business:
+        total += not b
+        idle.append(total)
+    df = spark.createDataFrame([(i, d) for i, d in enumerate(days)], "i int, d date")
+    since = F.lit("1950-06-15").cast("date")
+    got = df.select("i", calendar.is_business_day(F.col("d")).alias("b"), calendar.business_days_on(F.col("d"), 3).alias("on"),
+                    calendar.idle_days(F.lit(first), F.col("d")).alias("idle"), calendar.idle_days(F.col("d"), since).alias("until")).toPandas().sort_values("i")
+    assert got["b"].tolist() == business
+    assert got["idle"].tolist() == [n - idle[0] for n in idle]
+    mark = days.index(date(1950, 6, 15))
+    assert got["until"].tolist() == [max(0, idle[mark] - n) if i < mark else 0 for i, n in enumerate(idle)]
+    open_days = [d for d, b in zip(days, business, strict=True) if b]
+    at, want = 0, []
+    for d in days[:-30]:
+        while open_days[at] < d:
+            at += 1
+        want.append(open_days[at + 3])
+    assert got["on"].tolist()[:-30] == want
+
+
+def test_clocks_need_no_exchange_and_stand_any_year(spark):
+    rows = [(datetime(9999, 11, 1, 5),), (datetime(1, 3, 1, 7),), (None,)]
+    df = spark.createDataFrame(rows, "d timestamp_ntz")
+    clocked = calendar.business_hours_left(calendar.protest_deadline(df, "d", "due"), "d", "2024-06-14 16:00:00", "h")
+    plan = clocked._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Join" not in plan
+    got = clocked.collect()
+    assert [r["due"] is None for r in got] == [False, False, True] and [r["h"] is None for r in got] == [False, False, True]
+    assert got[0]["due"] == datetime(9999, 11, 4, 5) and got[0]["h"] > 0 > got[1]["h"]
