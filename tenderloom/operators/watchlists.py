@@ -104,11 +104,22 @@ def unseen(matched: DataFrame, seen: DataFrame) -> DataFrame:
     return matched.join(seen, ["watchlist_id", "opportunity_id"], "left_anti")
 
 
+def marked(matched: DataFrame, seen: DataFrame) -> DataFrame:
+    """Matches with was_seen: true where (watchlist_id, opportunity_id) has been marked seen, else null. What is new, what
+    was seen and how much of each are then aggregates of one stream."""
+    known = seen.select("watchlist_id", "opportunity_id").distinct().withColumn("was_seen", F.lit(True))
+    return matched.join(known, ["watchlist_id", "opportunity_id"], "left")
+
+
+def mark_seen(seen: DataFrame, shown: DataFrame) -> DataFrame:
+    """The seen pairs after a list was shown: each once, whoever marked it."""
+    pair = ["watchlist_id", "opportunity_id"]
+    return seen.select(*pair).unionByName(shown.select(*pair)).distinct()
+
+
 def counts(matched: DataFrame, seen: DataFrame, rules: DataFrame) -> DataFrame:
     """match_count and new_count per watchlist, zero for those with none."""
-    marked = matched.select("watchlist_id", "opportunity_id").join(
-        seen.distinct().withColumn("was_seen", F.lit(True)), ["watchlist_id", "opportunity_id"], "left")
-    sums = marked.groupBy("watchlist_id").agg(
+    sums = marked(matched.select("watchlist_id", "opportunity_id"), seen).groupBy("watchlist_id").agg(
         F.count(F.lit(1)).alias("match_count"), F.count(F.when(F.col("was_seen").isNull(), 1)).alias("new_count"))
     return rules.select("watchlist_id").join(sums, "watchlist_id", "left").select(
         "watchlist_id", F.coalesce("match_count", F.lit(0)).alias("match_count"),

@@ -7,12 +7,12 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from tenderloom import schemas
-from tenderloom.functions import classify, text
+from tenderloom.functions import calendar, classify, text
 from tenderloom.functions.base import count_if
-from tenderloom.operators import (dedupe, filters, health, linkage, marts, matches, pricing, records, resolve, similarity,
+from tenderloom.operators import (dedupe, digest, filters, health, linkage, marts, matches, pricing, records, resolve, similarity,
                                   state, watchlists)
 from tenderloom.plans.q_market import RESULTS, WORKFLOW, results, workflow
-from tenderloom.plans.q_scalars import classify_sql, gazetteer
+from tenderloom.plans.q_scalars import _DEADLINE, _HOURS, CALENDAR_SQL, _deadlines, classify_sql, gazetteer
 from tenderloom.plans.registry import query
 from tenderloom.plans.sqltext import (BUDGET, DAYS, LIVE, REF_KEY, RICH, TITLE_KEY, VALUE, similar, tokens)
 from tenderloom.plans.tables import AS_OF, AS_OF_TS, Tables
@@ -422,13 +422,19 @@ MATCHED = f"""{RULES_SQL}, {NAMED}, mt AS (SELECT r.watchlist_id, nb.* FROM nb J
     AND (NOT no_bond OR NOT list_contains(requirements, 'Bid bond')) AND (NOT recurring_only OR prior_cycles > 0)
     AND (len(r.keywords) = 0 OR len(list_filter(r.keywords, lambda w: contains(lower(concat_ws(' ', title, coalesce(scope, ''), coalesce(description, ''),
       array_to_string(nb.categories, ' '))), lower(w)))) > 0))"""
-SEEN = "se AS (SELECT watchlist_id, opportunity_id FROM mt WHERE ordinal % 3 = 0)"
+SEEN = "se AS (SELECT watchlist_id, opportunity_id FROM bids, (SELECT DISTINCT watchlist_id FROM r) WHERE ordinal % 3 = 0)"
 
 
 def rules(t: Tables) -> DataFrame:
     return t.spark.createDataFrame(RULES, watchlists.RULE_SCHEMA)
 
 
+def seen(t: Tables) -> DataFrame:
+    """Stand-in for the table of pairs that were marked seen: a third of the bids, on every list."""
+    lists = F.array(*[F.lit(r[0]) for r in RULES])
+    return t.bids.filter("ordinal % 3 = 0").select(F.explode(lists).alias("watchlist_id"), "opportunity_id")
+
+
 def matched(t: Tables) -> DataFrame:
     return watchlists.matches(watchlists.with_named_counties(t.bids, gazetteer(t), watchlists.needs_prose()), rules(t))
 
@@ -440,10 +446,9 @@ def watchlist_matches(t: Tables) -> DataFrame:
 
 
 @query("watchlist_counts", f"""WITH {MATCHED}, {SEEN} SELECT r.watchlist_id, count(mt.ordinal) AS match_count,
-    count(mt.ordinal) - (SELECT count(*) FROM se WHERE se.watchlist_id = r.watchlist_id) AS new_count FROM r LEFT JOIN mt USING (watchlist_id) GROUP BY r.watchlist_id""", "bids")
+    count(mt.ordinal) - (SELECT count(*) FROM se JOIN mt m2 USING (watchlist_id, opportunity_id) WHERE se.watchlist_id = r.watchlist_id) AS new_count FROM r LEFT JOIN mt USING (watchlist_id) GROUP BY r.watchlist_id""", "bids")
 def watchlist_counts(t: Tables) -> DataFrame:
-    m = matched(t)
-    return watchlists.counts(m, m.filter("ordinal % 3 = 0").select("watchlist_id", "opportunity_id"), rules(t))
+    return watchlists.counts(matched(t), seen(t), rules(t))
 
 
 @query("statewide_county", f"""WITH {NAMED} SELECT county, count(*) AS bids FROM (SELECT unnest(list_distinct(named || CASE WHEN nb.county = 'statewide' THEN
@@ -466,28 +471,31 @@ def new_match_alerts(t: Tables) -> DataFrame:
 @query("seen_union", f"""WITH {MATCHED}, {SEEN} SELECT watchlist_id, count(*) AS seen FROM (SELECT watchlist_id, opportunity_id FROM se UNION
     SELECT watchlist_id, opportunity_id FROM mt WHERE ordinal % 2 = 0) GROUP BY watchlist_id""", "bids")
 def seen_union(t: Tables) -> DataFrame:
-    m = matched(t).select("watchlist_id", "opportunity_id", "ordinal")
-    both = m.filter("ordinal % 3 = 0").unionByName(m.filter("ordinal % 2 = 0")).select("watchlist_id", "opportunity_id").distinct()
-    return both.groupBy("watchlist_id").agg(F.count(F.lit(1)).alias("seen"))
+    """Pairs seen before and pairs just shown, each once."""
+    after = watchlists.mark_seen(seen(t), matched(t).filter("ordinal % 2 = 0"))
+    return after.groupBy("watchlist_id").agg(F.count(F.lit(1)).alias("seen"))
 
 
-@query("digest_sections", f"""WITH {MATCHED}, {SEEN}, {WORKFLOW}, fr AS (SELECT mt.* FROM mt LEFT JOIN se USING (watchlist_id, opportunity_id) WHERE se.opportunity_id IS NULL)
-    SELECT (SELECT count(*) FROM fr) - (SELECT count(DISTINCT opportunity_id) FROM fr WHERE status = 'upcoming') AS new_matches,
+@query("digest_sections", f"""WITH {MATCHED}, {SEEN}, {WORKFLOW}, {CALENDAR_SQL}, {_DEADLINE}, {_HOURS}, {RIPE},
+    fr AS (SELECT mt.* FROM mt LEFT JOIN se USING (watchlist_id, opportunity_id) WHERE se.opportunity_id IS NULL),
+    n AS (SELECT (SELECT count(*) FROM hr JOIN bids b ON b.ordinal = hr.o_orderkey WHERE b.status = 'award' AND hours > 0) AS protests, (SELECT count(*) FROM ripe) AS records,
+      (SELECT count(*) FROM fr) - (SELECT count(DISTINCT opportunity_id) FROM fr WHERE status = 'upcoming') AS new_matches,
       (SELECT count(DISTINCT opportunity_id) FROM fr WHERE status = 'upcoming') AS planned,
       (SELECT count(*) FROM wf JOIN bids USING (opportunity_id) WHERE NOT archived AND stage <> 'result' AND {DAYS} BETWEEN 0 AND 7) AS deadlines,
-      (SELECT count(*) FROM bids WHERE status = 'award' AND coalesce(award_date, posted_date) >= DATE '{AS_OF}' - 7) AS decided""", "bids")
+      (SELECT count(*) FROM bids WHERE status = 'award' AND coalesce(award_date, posted_date) >= DATE '{AS_OF}' - 7) AS decided),
+    w AS (SELECT *, concat_ws(', ', CASE WHEN protests > 0 THEN protests || CASE WHEN protests = 1 THEN ' protest window open' ELSE ' protest windows open' END END,
+      CASE WHEN records > 0 THEN records || CASE WHEN records = 1 THEN ' tabulation requestable' ELSE ' tabulations requestable' END END,
+      CASE WHEN new_matches > 0 THEN new_matches || CASE WHEN new_matches = 1 THEN ' new match' ELSE ' new matches' END END, CASE WHEN planned > 0 THEN planned || ' planned' END,
+      CASE WHEN deadlines > 0 THEN deadlines || CASE WHEN deadlines = 1 THEN ' deadline this week' ELSE ' deadlines this week' END END) AS bits FROM n)
+    SELECT * EXCLUDE (bits), 'Daily digest: ' || CASE WHEN bits <> '' THEN bits ELSE 'source health' END AS subject FROM w""", "bids")
 def digest_sections(t: Tables) -> DataFrame:
-    """The counts a daily digest's subject line is built from."""
-    from tenderloom.functions.base import with_scalars
-    m = matched(t)
-    fresh = watchlists.unseen(m, m.filter("ordinal % 3 = 0").select("watchlist_id", "opportunity_id"))
-    is_planned = F.col("status") == "upcoming"
-    counts = fresh.agg(F.count(F.lit(1)).alias("total"), F.countDistinct(F.when(is_planned, F.col("opportunity_id"))).alias("planned")) \
-        .select((F.col("total") - F.col("planned")).alias("new_matches"), "planned")
-    active = workflow(t.bids).filter("NOT archived AND stage <> 'result'").select("opportunity_id")
-    due = t.bids.filter(text.days_until_due("due_date", AS_OF).between(0, 7)).join(active, "opportunity_id").agg(F.count(F.lit(1)).alias("deadlines"))
+    """The counts a daily digest is built from, and its subject line."""
+    clocked = calendar.business_hours_left(_deadlines(t), "deadline", f"{AS_OF} 10:30:00", "hours").filter("hours > 0")
+    protests = (t.bids.filter("status = 'award'").join(clocked.select(F.col("o_orderkey").alias("ordinal")), "ordinal", "left_semi").agg(F.count(F.lit(1)).alias("protests")))
+    ripe = _ripe(t).agg(F.count(F.lit(1)).alias("records"))
     decided = filters.decided_since(t.bids, AS_OF).agg(F.count(F.lit(1)).alias("decided"))
-    return with_scalars(with_scalars(counts, due), decided)
+    fresh = digest.fresh_counts(watchlists.marked(matched(t), seen(t)))
+    return digest.subject(protests, ripe, fresh, digest.due_soon(t.bids, workflow(t.bids), AS_OF), decided)
 
 
 # ---- prices and vendors ----------------------------------------------------

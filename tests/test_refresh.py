@@ -108,3 +108,20 @@ def test_missing_columns_are_added(spark):
                                 "ordinal long, opportunity_id string, source_id string, title string, county string, agency string, status string")
     row = refresh.refresh(few, refresh.Inputs(AS_OF)).opportunities.select("brief", F.size("requirements").alias("n")).first()
     assert row["brief"] == "[BID] Town: Roof Due date not published on listing." and row["n"] == 0
+
+
+def test_digest_counts_and_subject(spark):
+    from tenderloom.operators import digest, watchlists
+    matched = spark.createDataFrame([("w1", "a", "open"), ("w1", "b", "upcoming"), ("w2", "b", "upcoming"), ("w2", "c", "open"), ("w2", "d", "upcoming")],
+                                    "watchlist_id string, opportunity_id string, status string")
+    seen = spark.createDataFrame([("w2", "c"), ("w2", "c"), ("w1", "zz"), ("w2", "d")], "watchlist_id string, opportunity_id string")
+    fresh = digest.fresh_counts(watchlists.marked(matched, seen))
+    assert tuple(fresh.first()) == (2, 1)  # three fresh rows, of which bid b is planned and counts once
+    assert watchlists.mark_seen(seen, matched).count() == 6
+    bids = opportunities(spark, [record(1, due_date=SOON), record(2, due_date=SOON), record(3, due_date=NOW + timedelta(days=8)), record(4)])
+    tracked = spark.createDataFrame([("1", "watching", False), ("2", "result", False), ("3", "watching", False), ("4", "watching", False)], "opportunity_id string, stage string, archived boolean")
+    due = digest.due_soon(bids, tracked, AS_OF)
+    none = spark.createDataFrame([(0, 1)], "protests long, records long")
+    assert digest.subject(none, fresh, due).first()["subject"] == "Daily digest: 1 tabulation requestable, 2 new matches, 1 planned, 1 deadline this week"
+    quiet = spark.createDataFrame([(0,) * 5], "protests long, records long, new_matches long, planned long, deadlines long")
+    assert digest.subject(quiet).first()["subject"] == "Daily digest: source health"
