@@ -60,6 +60,18 @@ def width(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+#: Bytes of an Arrow batch of texts; a worker holds two or three at a time, and the executor as many for each of its workers.
+ARROW_BYTES = 1 << 24
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    """Lower the session's limit on the bytes of an Arrow batch to ARROW_BYTES: whole texts are long, and rows are counted by default."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = spark.conf.get(key, None)
+    if now is None or not 0 < spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(now) <= ARROW_BYTES:
+        spark.conf.set(key, str(ARROW_BYTES))
+
+
 def worker_state() -> dict:
     """A dict that lives as long as the Python worker, for tokenizers and their caches."""
     name = "_llm_worker_state"

@@ -244,6 +244,7 @@ def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _classes(source: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(doc_id, node, sig) of every row, and (node, first_id, same, links, component) of every node."""
+    c.bounded_batches(source.sparkSession)
     sketch = c.written(source.mapInArrow(c.task(_sketch), "doc_id long, node long, sig binary"), "jaccard-sketch")
     nodes = c.written(sketch.where("node is not null").groupBy("node").agg(
         F.min("doc_id").alias("first_id"), F.count("*").alias("same"), F.first("sig").alias("sig")), "jaccard-nodes")

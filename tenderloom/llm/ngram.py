@@ -338,6 +338,7 @@ def fit(docs: DataFrame, order: int = ORDER) -> Model:
     if order < 2:
         raise ValueError(f"order {order}: a token is predicted from one before it at least")
     spark = docs.sparkSession
+    c.bounded_batches(spark)
     source = docs.select("text")
     counts = c.written(source.mapInArrow(c.task(_word_counts), "h long, n long").groupBy("h").agg(F.sum("n").alias("n")), "lm-words")
     tokens, types = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()

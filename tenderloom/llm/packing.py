@@ -131,6 +131,7 @@ def _merged(with_ids: bool):
 
 def packed(docs: DataFrame, text: str = "text", tokenizer: str | None = None, with_ids: bool = False) -> DataFrame:
     """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, fill (ids in the sequence), ids (or null)."""
+    c.bounded_batches(docs.sparkSession)
     source = docs.select("doc_id", F.col(text).alias("text"))
     first = c.written(source.mapInArrow(c.task(_packed(tokenizer, with_ids)), _SCHEMA), "packing")
     merge = F.floor(F.shiftright("sequence_id", 32) / F.lit(MERGED)).cast("long")

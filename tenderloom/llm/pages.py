@@ -366,6 +366,7 @@ def _extracted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def main_texts(pages: DataFrame) -> DataFrame:
     """One row per row of (page_id, url, html): page_id, url, text, n_chars, partner_id, n_deleted."""
+    c.bounded_batches(pages.sparkSession)
     address = c.or_empty("url")
     host = F.lower(F.regexp_extract(address, r"^[a-zA-Z][a-zA-Z0-9+.-]*://([^/?#]*)", 1))
     path = F.regexp_replace(F.regexp_replace(address, r"[?#].*$", ""), r"^[a-zA-Z][a-zA-Z0-9+.-]*://[^/]*", "")

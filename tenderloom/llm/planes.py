@@ -168,6 +168,7 @@ def _written(folder: str, path: str | None, planes: int):
 
 def write(docs: DataFrame, folder: str, text: str = "text", tokenizer: str | None = None, planes: int = PLANES) -> list[tuple[int, int, int, int]]:
     """Write ids of (doc_id, text) in ascending doc_id order; (part, docs, ids, ids in files before) of each file."""
+    c.bounded_batches(docs.sparkSession)
     source = docs.select("doc_id", F.col(text).alias("text"))
     ordered = source.repartitionByRange(c.width(docs.sparkSession), "doc_id").sortWithinPartitions("doc_id", "text")
     files = sorted(map(tuple, ordered.mapInArrow(c.task(_written(folder, tokenizer, planes)), "part long, docs long, ids long").collect()))  # one row a file

@@ -194,6 +194,7 @@ def _repair(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def repaired(rows: DataFrame) -> DataFrame:
     """Faults, cheapest edits and repaired turns of each conversation of (conv_id, turn, role, text)."""
+    c.bounded_batches(rows.sparkSession)
     tidy = rows.select("conv_id", "turn", F.coalesce("role", F.lit(" ")).alias("role"), F.coalesce("text", F.lit(" ")).alias("text"))
     dealt = tidy.repartition(c.width(rows.sparkSession), "conv_id").sortWithinPartitions("conv_id", "turn", "role", "text")
     return dealt.mapInArrow(c.task(_repair), SCHEMA)

@@ -284,6 +284,7 @@ def _cut(folder: str):
 
 def repeated_spans(source: DataFrame, least: int = LEAST) -> str:
     """Sorted files (key, lo, hi) of the repeated stretches of each row of (doc_id, text)."""
+    c.bounded_batches(source.sparkSession)
     counts = (source.mapInArrow(c.task(_counted(least)), "h long, n long, first long").groupBy("h").agg(F.sum("n").alias("n"), F.min("first").alias("first")).where("n > 1"))
     folder = c.sorted_files(counts, "h", ["n", "first"], "repeat-anchors")
     found = c.written(source.mapInArrow(c.task(_contexts(folder, least)), _SCHEMA), "repeat-contexts")

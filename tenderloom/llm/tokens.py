@@ -21,10 +21,12 @@ import numpy as np
 from . import common as c
 
 FILE = "byte_bpe_50k.json"
-#: Units and ids that a worker remembers, about 50 MB; past either the later half goes, the early and frequent ones stay.
-ROOM, IDS = 1 << 20, 1 << 22
+#: Units and ids that a worker remembers, about 30 MB; past either the later half goes, the early and frequent ones stay.
+ROOM, IDS = 1 << 19, 1 << 21
 #: Bytes of a unit that is remembered at most, and units encoded in one string.
 LONG, JOINED = 256, 4_000
+#: Bytes of text in one array step.
+STEP = 1 << 19
 _UNSAFE = re.compile(r"\s (?:\s|\Z)")
 #: Bytes that a character which may be white space begins with.
 _MAY_BE_SPACE = np.zeros(256, bool)
@@ -219,7 +221,7 @@ def encoded(batch, path: str | None = None):
     """(rows, ids as bytes) of a batch's `text`, a bounded stretch at a time; nulls are empty."""
     column = batch.column("text")
     ends, data = c.as_bytes(column)
-    for a, b in c.steps(ends):
+    for a, b in c.steps(ends, STEP):
         texts = [t or "" for t in column.slice(a, b - a).to_pylist()]
         offsets, ids = Coder.of(path).encode(texts, ends[a: b + 1] - ends[a], data[ends[a]: ends[b]])
         yield slice(a, b), [ids[x:y].tobytes() for x, y in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)]

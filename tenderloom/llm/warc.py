@@ -351,6 +351,7 @@ def plan(pages: DataFrame, least: int = LEAST) -> DataFrame:
     row is the response, and `original` is the response's page_id. Payloads are
     compared by SHA-1, length and a 64-bit hash; only these leave the row for it.
     """
+    c.bounded_batches(pages.sparkSession)
     rows = pages.select("page_id", "url", F.coalesce(F.col("html").cast("binary"), F.lit(b"")).alias("payload"))
     rows = rows.select("page_id", "url", "payload", F.sha1("payload").alias("digest"), F.octet_length("payload").cast("long").alias("size"),
                        F.xxhash64("payload").alias("x"))
