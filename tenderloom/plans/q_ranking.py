@@ -7,11 +7,12 @@ from pyspark.sql import functions as F
 
 from tenderloom.functions import text
 from tenderloom.functions.base import first_rows, numbered, with_scalars
-from tenderloom.operators import filters, health, marts, ranking
+from tenderloom.operators import filters, health, marts, ranking, runs
 from tenderloom.plans.q_market import WORKFLOW, workflow
 from tenderloom.plans.registry import query
 from tenderloom.plans.sqltext import BARE_REF, BUDGET, DAYS, RANK
 from tenderloom.plans.tables import AS_OF, EVENTS_AS_OF, Tables
+from tenderloom.session import cut_lineage
 
 
 @query("fair_share", """SELECT ordinal, source_id, turn FROM (SELECT ordinal, source_id,
@@ -76,6 +77,18 @@ JUDGED = """dr AS (SELECT run_no, count(*) FILTER (status = 'done') OVER (ORDER
           || 'sharp drop: ' || row_count || ' rows vs recent norm ' || norm ELSE note END AS note FROM m)"""
 
 
+def run_table(t: Tables, verdict=None) -> DataFrame:
+    """Runs as they are kept: one row each, the health of its sources inside."""
+    rows = run_rows(t).select("run_no", "source_id", F.concat(F.lit("Portal "), "source_id").alias("name"), (F.col("status") if verdict is None else verdict).alias("status"),
+                              F.col("row_count").alias("count"), F.when(F.col("had_error") == 1, "timeout").alias("error"), "note", (F.col("events") * 10).alias("elapsed_ms"))
+    log = run_log(t).select("run_no", F.lit(None).cast("timestamp_ntz").alias("finished_at"), "status", "opp_count", F.lit(0).cast("long").alias("new_count"))
+    return cut_lineage(runs.embed(rows, log, ["source_id", "name", "status", "count", "error", "note", "elapsed_ms"]))
+
+
+def known_sources(t: Tables) -> DataFrame:
+    return t.runs.select("source_id").distinct()
+
+
 @query("source_drops", f"WITH {RUN_LOG}, {JUDGED} SELECT source_id, run_no, norm, status, note FROM jd", "runs")
 def source_drops(t: Tables) -> DataFrame:
     return health.source_drops(run_rows(t), run_log(t).filter("status = 'done'").select("run_no")).select("source_id", "run_no", "norm", "status", "note")
@@ -104,15 +117,13 @@ def never_verified(t: Tables) -> DataFrame:
 @query("source_productivity", f"""WITH {RUN_ROWS} SELECT source_id, row_count, status FROM runs_n
     WHERE run_no = (SELECT max(run_no) FROM runs_n) ORDER BY row_count DESC, source_id LIMIT 10""", "runs")
 def source_productivity(t: Tables) -> DataFrame:
-    return newest_run(t).orderBy(F.desc("row_count"), "source_id").limit(10) \
-        .select("source_id", "row_count", "status")
+    return runs.productivity(run_table(t)).select("source_id", F.col("count").alias("row_count"), "status")
 
 
 @query("run_trend", f"""WITH {RUN_LOG} SELECT run_no, opp_count FROM (SELECT * FROM run_log ORDER BY run_no DESC LIMIT 30)
     WHERE status = 'done'""", "runs")
 def run_trend(t: Tables) -> DataFrame:
-    recent = run_log(t).orderBy(F.desc("run_no")).limit(health.TREND_RUNS)
-    return recent.filter("status = 'done'").orderBy("run_no").select("run_no", "opp_count")
+    return runs.trend(run_table(t)).select("run_no", "opp_count")
 
 
 @query("latest_health", f"""WITH {RUN_ROWS}, j AS (SELECT *, CASE WHEN had_error = 1 AND row_count = 0 THEN 'error'
@@ -122,19 +133,14 @@ def run_trend(t: Tables) -> DataFrame:
 def latest_health(t: Tables) -> DataFrame:
     """Problem sources of the newest run, read from runs that embed their health rows."""
     verdict = F.expr("CASE WHEN had_error = 1 AND row_count = 0 THEN 'error' WHEN had_error = 1 THEN 'degraded' ELSE status END")
-    rows = run_rows(t).withColumn("verdict", verdict)
-    newest = rows.agg(F.max("run_no").alias("run_no"))
-    return rows.join(F.broadcast(newest), "run_no").filter(F.col("verdict").isin("degraded", "error")) \
-        .orderBy("source_id").limit(6).select("source_id", "verdict", "row_count")
+    return runs.problems(run_table(t, verdict)).select("source_id", F.col("status").alias("verdict"), F.col("count").alias("row_count"))
 
 
 @query("health_counts", f"""WITH {RUN_ROWS}, s AS (SELECT DISTINCT source_id FROM runs_n),
     h AS (SELECT source_id, status FROM runs_n WHERE run_no = (SELECT max(run_no) FROM runs_n))
     SELECT coalesce(h.status, 'silent') AS status, count(*) AS count FROM s LEFT JOIN h USING (source_id) GROUP BY 1""", "runs")
 def health_counts(t: Tables) -> DataFrame:
-    rows = run_rows(t)
-    sources, last = rows.select("source_id").distinct(), newest_run(t).select("source_id", "status")
-    return marts.tally(sources.join(last, "source_id", "left"), F.coalesce("status", F.lit("silent")), "status")
+    return runs.status_counts(known_sources(t), run_table(t))
 
 
 @query("source_status", f"""WITH {RUN_ROWS}, s AS (SELECT DISTINCT source_id FROM runs_n),
@@ -142,10 +148,7 @@ def health_counts(t: Tables) -> DataFrame:
       (SELECT CAST(sum(row_count) AS BIGINT) FROM runs_n WHERE run_no = (SELECT max(run_no) FROM runs_n)) AS last_count FROM runs_n)
     SELECT s.source_id, h.status, h.row_count, l.last_run, l.last_count FROM s LEFT JOIN h USING (source_id) CROSS JOIN l""", "runs")
 def source_status(t: Tables) -> DataFrame:
-    rows = run_rows(t)
-    last = newest_run(t).select("source_id", "status", "row_count")
-    summary = newest_run(t).agg(F.max("run_no").alias("last_run"), F.sum("row_count").alias("last_count"))
-    return with_scalars(rows.select("source_id").distinct().join(last, "source_id", "left"), summary)
+    return runs.source_status(known_sources(t), run_table(t)).withColumnRenamed("count", "row_count")
 
 
 @query("user_sort", f"""SELECT * FROM (SELECT 'value' AS sort_key, CAST(row_number() OVER (ORDER BY {BUDGET} DESC NULLS LAST, title, ordinal)
