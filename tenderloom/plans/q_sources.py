@@ -16,7 +16,7 @@ from tenderloom.plans.q_scalars import CALENDAR_SQL
 from tenderloom.plans.registry import query
 from tenderloom.plans.tables import AS_OF, Tables
 from tenderloom.session import scratch_path
-from tenderloom.sources import messages, pages, payloads, registers, snapshot
+from tenderloom.sources import messages, pages, payloads, registers, reports, snapshot
 
 def key() -> Column:
     return F.col("o_orderkey")
@@ -350,6 +350,57 @@ def platform_signatures(t: Tables) -> DataFrame:
     return t.pg.select("page_id", F.array_join(found["strong"], ",").alias("strong"), F.array_join(found["weak"], ",").alias("weak"))
 
 
+_POINTED = " ".join(f"WHEN '{p}' THEN {' OR '.join(f'contains(l, $q${n.lower()}$q$)' for n in proofs)}" for p, proofs, _n in pages.PLATFORM_SIGNATURES)
+
+
+@query("platform_verdict", f"""WITH s AS (SELECT page_id, lower(html) AS l, list_filter([{_STRONG_LIST}], lambda x: x IS NOT NULL) AS st, list_filter([{_WEAK_LIST}], lambda x: x IS NOT NULL) AS wk,
+      contains(html, 'class="bidTitle"') OR contains(html, 'listItemsRow') AS has_rows FROM (SELECT page_id, html, lower(html) AS l FROM ({{page}}))),
+    e AS (SELECT *, st || list_filter(wk, lambda x: NOT list_contains(st, x)) AS every FROM s),
+    o AS (SELECT *, every[1] = 'civicplus' AND len(every) > 1 AND NOT has_rows AND coalesce(CASE every[2] {_POINTED} END, false) AS pointer FROM e)
+    SELECT page_id, CASE WHEN pointer THEN every[2] ELSE every[1] END AS platform, array_to_string(CASE WHEN pointer THEN [every[1]] || every[3:] ELSE every[2:] END, ',') AS also,
+      CASE WHEN pointer THEN 'pointer' WHEN len(st) > 0 THEN 'strong' WHEN len(wk) > 0 THEN 'weak' END AS confidence FROM o""".replace("{page}", "SELECT page_id, html || CASE page_id % 3 WHEN 0 THEN ' /Bids.aspx /Common/Modules/Bids/RWDBids.css https://www.myvendorlink.com/t' WHEN 1 THEN ' /Common/Modules/Bids/RWDBids.css <div class=\"bidTitle\"> https://www.myvendorlink.com/' ELSE '' END AS html FROM pg"), "pg")
+def platform_verdict(t: Tables) -> DataFrame:
+    """One platform for each page; boards that only point at another one count as that."""
+    page = t.pg.withColumn("html", F.concat("html", F.expr("""CASE page_id % 3 WHEN 0 THEN ' /Bids.aspx /Common/Modules/Bids/RWDBids.css https://www.myvendorlink.com/t'
+        WHEN 1 THEN ' /Common/Modules/Bids/RWDBids.css <div class="bidTitle"> https://www.myvendorlink.com/' ELSE '' END""")))
+    return page.select("page_id", pages.platform_of("html").alias("v")).select("page_id", "v.platform", F.array_join("v.also", ",").alias("also"), "v.confidence")
+
+
+@query("letting_pages", """WITH b AS (SELECT l_orderkey AS k, 'Firm & Sons ' || l_suppkey || '/' || l_partkey AS bidder, l_extendedprice AS amount, l_orderkey % 7 AS kind,
+      row_number() OVER (PARTITION BY l_orderkey ORDER BY l_extendedprice, l_linenumber, l_partkey, l_suppkey) AS place FROM lineitem),
+    g AS (SELECT k, count(*) AS bidders, CAST(round_even(min(amount), 0) AS BIGINT) AS award_amount, arg_min(bidder, place) AS awarded_vendor,
+      string_agg(bidder || ' — $' || format('{:,.2f}', amount), ' · ' ORDER BY place) AS lines FROM b WHERE kind <> 6 GROUP BY k)
+    SELECT 'E' || k AS external_id, 'FDOT letting 03/04/2024: contract E' || k || CASE WHEN k % 7 <> 5 THEN ' — Palm Beach County' ELSE '' END AS title, CASE WHEN k // 20 % 5 = 0 THEN 'FDOT Central Office / Turnpike' ELSE 'FDOT District 4' END AS department,
+      bidders, awarded_vendor, award_amount, CASE WHEN k % 3 = 0 THEN '4' || k END AS linked_ref, left('Preliminary letting results (apparent low bid first; official Intent to Award posts on FDOT Contracts Administration). '
+      || bidders || ' bid(s): ' || lines, 600) AS description FROM g""")
+def letting_pages(t: Tables) -> DataFrame:
+    """Whole letting reports, twenty contracts a page, read as tables joined to their pages."""
+    k = F.col("l_orderkey")
+    place = F.struct("l_extendedprice", "l_linenumber", "l_partkey", "l_suppkey")
+    row = F.concat(F.lit('<div class="textLeft"><div class="vendorName">Firm &amp; Sons<br> '), F.col("l_suppkey").cast("string"), F.lit("/"), F.col("l_partkey").cast("string"),
+                   F.lit('</div><div class="bidTotal x"> $ '), F.format_number("l_extendedprice", 2), F.lit("</div></div>"))
+    each = t.lineitem.groupBy("l_orderkey").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(place.alias("at"), row.alias("row")))), lambda x: x["row"]), "\n").alias("rows"))
+    label = lambda name, value: F.concat(F.lit(f'<div class="ContractHeader"><span>{name}:</span> '), value, F.lit("</div>"))
+    head = F.concat(F.lit('<div id="contractHeader">'), label("Contract No", F.when(k % 7 == 6, "").otherwise(F.concat(F.lit("E"), k.cast("string")))),
+                    label("County", F.when(k % 7 == 5, "").otherwise("PALM BEACH")), label("Fin Prj No", F.when(k % 3 == 0, F.concat(F.lit("4"), k.cast("string"))).otherwise("")),
+                    F.lit('</div><div class="textLeft"><div class="vendorName">Contractor\'s Name</div><div class="bidTotal">$0</div></div><div class="textLeft"><div class="vendorName">No price</div></div>'))
+    page = F.floor(k / 20)
+    htmls = (each.select(page.alias("page"), F.struct(k.alias("k"), F.concat(head, "rows").alias("h")).alias("c")).groupBy("page")
+             .agg(F.array_join(F.transform(F.array_sort(F.collect_list("c")), lambda c: c["h"]), "<hr>").alias("html")))
+    raw = htmls.select(F.lit("lettings").alias("source_id"), F.when(F.col("page") % 5 == 0, "99").otherwise("4").alias("district"), F.lit("2024-03-04").cast("date").alias("letting_date"),
+                       F.concat(F.lit("https://l/"), F.col("page").cast("string")).alias("url"), F.concat(F.lit("<html><body>"), "html", F.lit("</body></html>")).alias("html"))
+    return reports.letting_awards(raw).select("external_id", "title", "department", "bidders", "awarded_vendor", "award_amount", "linked_ref", "description")
+
+
+@query("award_documents", """SELECT o_orderkey, CASE WHEN o_orderkey % 4 = 0 THEN NULL ELSE 'Firm No ' || o_custkey END AS vendor, CASE WHEN o_orderkey % 5 = 0 THEN NULL ELSE greatest(CAST(round_even(o_totalprice, 0) AS BIGINT), 1500) END AS amount FROM orders""")
+def award_documents(t: Tables) -> DataFrame:
+    """Award documents as text: the firm awarded to, and the largest sum named."""
+    price = F.format_number("o_totalprice", 2)
+    said = F.concat(F.lit("Committee memo\nThe staff recommends an "), F.when(key() % 4 == 0, "award.").otherwise(F.concat(F.lit("INTENT TO AWARD this contract to: Firm No "), F.col("o_custkey").cast("string"), F.lit(", low bidder"))),
+                    F.when(key() % 5 == 0, "\nno sums").otherwise(F.concat(F.lit("\nDeposit $1,500 and total $ "), price, F.lit(" (was $12)"))))
+    return t.orders.select("o_orderkey", reports.text_award_facts(said).alias("f")).select("o_orderkey", "f.vendor", "f.amount")
+
+
 @query("bid_board_pages", rf"""WITH x AS (SELECT page_id, regexp_replace(regexp_replace(html, '<[^>]+>', ' ', 'g'), '[^\x00-\x7F]', 'x', 'g') AS b FROM pg),
     c AS (SELECT page_id, len(list_distinct(list_transform(regexp_extract_all(b, '(?i){pages.BOARD_REF}'), lambda r: regexp_replace(upper(r), '[^A-Z0-9]', '', 'g')))) AS refs,
       len(list_distinct(regexp_extract_all(b, '(?i){pages.BOARD_DATE}'))) AS dates FROM x)

@@ -212,11 +212,33 @@ def tenant(url: ColumnLike, platform: ColumnLike) -> Column:
     return ladder([(p == name, capture(url, pattern)) for name, pattern in TENANT_PATTERNS.items()], F.lit(None).cast("string"))
 
 
-def points_offsite(html: ColumnLike, platform: str) -> Column:
-    """A bid page without rows of its own that links another platform."""
+def points_offsite(html: ColumnLike, platform: ColumnLike) -> Column:
+    """A bid page without rows of its own that links the other platform."""
     has_rows = col(html).contains('class="bidTitle"') | col(html).contains("listItemsRow")
-    proofs = next(proofs for p, proofs, _n in PLATFORM_SIGNATURES if p == platform)
-    return _contains_any(F.lower(col(html)), proofs) & ~has_rows
+    lowered = F.lower(col(html))
+    linked = ladder([(col(platform) == p, _contains_any(lowered, proofs)) for p, proofs, _n in PLATFORM_SIGNATURES], F.lit(False))
+    return linked & ~has_rows
+
+
+POINTING = "civicplus"  # fixed value: boards of this platform may only point at another
+
+
+def platform_of(html: ColumnLike) -> Column:
+    """struct(platform, also, confidence) of a page: the first platform it proves, else the first it names; a board that
+    lists nothing and links another platform counts as that one."""
+    def decided(found: Column) -> Column:
+        proved, named = found["strong"], found["weak"]
+        every = F.array_distinct(F.concat(proved, named))
+        head = F.get(every, F.lit(0))
+        also = F.filter(every, lambda p: p != head)
+        offsite = F.get(also, F.lit(0))
+        pointer = F.coalesce((head == POINTING) & offsite.isNotNull() & points_offsite(html, offsite), F.lit(False))
+        confidence = F.when(F.size(proved) > 0, "strong").when(F.size(named) > 0, "weak")
+        return F.struct(F.when(pointer, offsite).otherwise(head).alias("platform"),
+                        F.when(pointer, F.concat(F.array(head), F.slice(also, F.lit(2), F.greatest(F.size(also) - 1, F.lit(0))))).otherwise(also).alias("also"),
+                        F.when(pointer, "pointer").otherwise(confidence).alias("confidence"))
+
+    return let(identify_platforms(html), decided)
 
 
 # Notice links and package files.
