@@ -9,7 +9,7 @@ from pyspark.sql.types import StructType
 from tenderloom import schemas
 from tenderloom.functions import calendar, classify, text
 from tenderloom.functions.base import count_if
-from tenderloom.operators import (dedupe, digest, filters, health, linkage, marts, matches, pricing, records, resolve, similarity,
+from tenderloom.operators import (boards, dedupe, digest, filters, health, linkage, marts, matches, pricing, records, resolve, similarity,
                                   state, watchlists)
 from tenderloom.plans.q_market import RESULTS, WORKFLOW, results, workflow
 from tenderloom.plans.q_scalars import _DEADLINE, _HOURS, CALENDAR_SQL, _deadlines, classify_sql, gazetteer
@@ -215,6 +215,11 @@ def _letter_sql() -> str:
                        for p in re.split(r"(\{\w+\})", render.LETTER) if p)
 
 
+@query("ripe_summary", f"""WITH {RIPE} SELECT count(*) AS ripe, count(*) FILTER (ripe_for_days < 7) AS newly_ripe FROM ripe""", "bids")
+def ripe_summary(t: Tables) -> DataFrame:
+    return boards.ripe_summary(_ripe(t))
+
+
 @query("request_letters", f"WITH {RIPE} SELECT ordinal, {_letter_sql()} AS letter FROM ripe", "bids")
 def request_letters(t: Tables) -> DataFrame:
     return records.with_letters(_ripe(t), AS_OF).select("ordinal", "letter")
@@ -232,14 +237,9 @@ def records_mint(t: Tables) -> DataFrame:
     wf.tracked_on, coalesce(res.outcome, '') AS outcome, b.ordinal % 4 = 1 AS has_summary
     FROM bids b LEFT JOIN wf USING (opportunity_id) LEFT JOIN res USING (opportunity_id)""", "bids")
 def workflow_overlay(t: Tables) -> DataFrame:
-    marks = workflow(t.bids).drop("ordinal", "checks").withColumn("tracked", F.lit(True))
-    briefs = t.bids.filter("ordinal % 4 = 1").select("opportunity_id", F.lit(True).alias("has_summary"))
-    return (t.bids.select("ordinal", "opportunity_id").join(marks, "opportunity_id", "left")
-            .join(results(t.bids).select("opportunity_id", "outcome"), "opportunity_id", "left")
-            .join(briefs, "opportunity_id", "left")
-            .select("ordinal", F.coalesce("tracked", F.lit(False)).alias("tracked"), "stage",
-                    F.coalesce("archived", F.lit(False)).alias("archived"), "tracked_on",
-                    F.coalesce("outcome", F.lit("")).alias("outcome"), F.coalesce("has_summary", F.lit(False)).alias("has_summary")))
+    briefs = t.bids.filter("ordinal % 4 = 1").select("opportunity_id")
+    known = boards.overlay(t.bids.select("ordinal", "opportunity_id"), workflow(t.bids), results(t.bids), briefs)
+    return known.select("ordinal", "tracked", "stage", "archived", "tracked_on", "outcome", "has_summary")
 
 
 @query("contract_vendor_join", """SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, CASE WHEN s_suppkey % 4 <> 0 THEN s_name END AS vendor
@@ -542,9 +542,7 @@ def price_hint(t: Tables) -> DataFrame:
     SELECT opportunity_id, award_amount FROM bids WHERE ordinal % 3 = 0 AND ordinal % 2 <> 0 AND status = 'award'""", "bids")
 def pricing_pool(t: Tables) -> DataFrame:
     """Current awards plus archived ones not already current."""
-    current, archive = t.bids.filter("ordinal % 2 = 0"), t.bids.filter("ordinal % 3 = 0")
-    pool = current.unionByName(archive.join(current.select("opportunity_id"), "opportunity_id", "left_anti"))
-    return pool.filter("status = 'award'").select("opportunity_id", "award_amount")
+    return boards.pricing_pool(t.bids.filter("ordinal % 2 = 0"), t.bids.filter("ordinal % 3 = 0")).select("opportunity_id", "award_amount")
 
 
 _VID = "substr(sha1(regexp_replace(regexp_replace(lower({0}), '\\b(llc|l\\.l\\.c|inc|incorporated|corp|corporation|co|company|ltd|llp|pa|pllc)\\b\\.?', '', 'g'), '[^a-z0-9]+', '', 'g')), 1, 16)"

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tenderloom.functions import geo, text
 from tenderloom.functions.base import count_if, sum_if
-from tenderloom.operators import filters, marts, ranking
+from tenderloom.operators import boards, filters, marts, ranking
 from tenderloom.plans.registry import query
 from tenderloom.plans.sqltext import BUDGET, DAYS, HAS_CATEGORY, LIVE, RANK, VALUE
 from tenderloom.plans.tables import AS_OF, AS_OF_TS, Tables
@@ -102,17 +102,13 @@ def expiring_contracts(t: Tables) -> DataFrame:
       CAST(count(CASE WHEN d BETWEEN 0 AND 90 THEN 1 END) AS BIGINT) AS imminent
     FROM (SELECT date_diff('day', DATE '{AS_OF}', end_date) AS d FROM contracts)""", "contracts")
 def expiry_summary(t: Tables) -> DataFrame:
-    return filters.expiring(t.contracts, AS_OF).agg(
-        F.count(F.lit(1)).alias("expiring"), count_if(F.col("days_left") <= 90).alias("imminent"))
+    return boards.expiry_summary(t.contracts, AS_OF)
 
 
 @query("contracts_by_vendor", """SELECT vendor, count(*) AS contracts, CAST(sum(CAST(round(amount * 100) AS BIGINT)) AS BIGINT) AS cents,
       max(end_date) AS last_end FROM contracts WHERE coalesce(vendor, '') <> '' GROUP BY vendor""", "contracts")
 def contracts_by_vendor(t: Tables) -> DataFrame:
-    held = t.contracts.filter(F.coalesce("vendor", F.lit("")) != "")
-    return held.groupBy("vendor").agg(F.count(F.lit(1)).alias("contracts"),
-                                      F.sum(F.round(F.col("amount") * 100).cast("long")).alias("cents"),
-                                      F.max("end_date").alias("last_end"))
+    return boards.by_vendor(t.contracts)
 
 
 @query("contract_rank", f"""SELECT order_key, line, part_key, supplier_key, amount, end_date FROM contracts
@@ -268,17 +264,18 @@ def county_coverage(t: Tables) -> DataFrame:
     (SELECT CAST(sum(award_amount) AS BIGINT) FROM bids WHERE status = 'award') AS total_awarded,
     (SELECT CAST(coalesce(sum(amount_cents), 0) AS BIGINT) FROM res WHERE outcome = 'won') AS pipeline_revenue""", "bids")
 def award_totals(t: Tables) -> DataFrame:
-    from tenderloom.functions.base import with_scalars
-    paid = t.bids.filter("status = 'award'").agg(
-        count_if(F.col("award_amount").isNotNull()).alias("with_amount"), F.sum("award_amount").alias("total_awarded"))
-    revenue = results(t.bids).agg(sum_if(F.col("outcome") == "won", F.coalesce("amount_cents", F.lit(0))).alias("pipeline_revenue"))
-    return with_scalars(paid, revenue)
+    return boards.award_totals(t.bids, results(t.bids))
 
 
-@query("union_sources", """SELECT source_id, count(*) AS records, min(ordinal) AS first_ordinal
-    FROM (SELECT source_id, ordinal FROM bids UNION ALL SELECT source_id, order_key FROM contracts) GROUP BY source_id""",
+@query("union_sources", """WITH u AS (SELECT 0 AS feed_no, source_id, opportunity_id AS id, title, agency, award_amount AS dollars, due_date, awarded_vendor AS vendor FROM bids
+    UNION ALL SELECT 1, source_id, contract_id, name, agency, NULL, NULL, vendor FROM contracts
+    UNION ALL SELECT 2, 'archive', opportunity_id, title, agency, NULL, due_date, NULL FROM bids WHERE ordinal % 7 = 0)
+    SELECT feed_no, source_id, count(*) AS records, count(due_date) AS dated, count(vendor) AS with_vendor, CAST(sum(dollars) AS BIGINT) AS dollars, min(title) AS first_title FROM u GROUP BY feed_no, source_id""",
        ("bids", "contracts"))
 def union_sources(t: Tables) -> DataFrame:
-    rows = t.bids.select("source_id", "ordinal").unionByName(
-        t.contracts.select("source_id", F.col("order_key").alias("ordinal")))
-    return rows.groupBy("source_id").agg(F.count(F.lit(1)).alias("records"), F.min("ordinal").alias("first_ordinal"))
+    """Three feeds of different columns under one schema."""
+    live = t.bids.select("source_id", F.col("opportunity_id").alias("id"), "title", "agency", F.col("award_amount").alias("dollars"), "due_date", F.col("awarded_vendor").alias("vendor"))
+    held = t.contracts.select("source_id", F.col("contract_id").alias("id"), F.col("name").alias("title"), "agency", "vendor")
+    old = t.bids.filter("ordinal % 7 = 0").select(F.lit("archive").alias("source_id"), F.col("opportunity_id").alias("id"), "title", "agency", "due_date")
+    return boards.union_feeds([live, held, old]).groupBy("feed_no", "source_id").agg(
+        F.count(F.lit(1)).alias("records"), F.count("due_date").alias("dated"), F.count("vendor").alias("with_vendor"), F.sum("dollars").alias("dollars"), F.min("title").alias("first_title"))
\ No newline at end of file

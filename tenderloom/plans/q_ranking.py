@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from tenderloom.functions import text
 from tenderloom.functions.base import first_rows, numbered, with_scalars
-from tenderloom.operators import filters, health, marts, ranking, runs
+from tenderloom.operators import boards, filters, health, ranking, runs
+from tenderloom.operators.dedupe import keep_last_by
 from tenderloom.plans.q_market import WORKFLOW, workflow
 from tenderloom.plans.registry import query
 from tenderloom.plans.sqltext import BARE_REF, BUDGET, DAYS, RANK
@@ -163,12 +164,20 @@ def user_sort(t: Tables) -> DataFrame:
     return page("value", text.budget_amount("budget"), True).unionByName(page("due", F.col("due_date"), False))
 
 
+@query("source_order", f"""WITH {RUN_ROWS}, s AS (SELECT DISTINCT source_id FROM runs_n), h AS (SELECT source_id, status, row_count FROM runs_n WHERE run_no = (SELECT max(run_no) FROM runs_n))
+    SELECT source_id, CAST(row_number() OVER (ORDER BY CASE status WHEN 'error' THEN 1 WHEN 'degraded' THEN 2 WHEN 'empty' THEN 3 WHEN 'ok' THEN 4 ELSE 6 END, source_id) AS INTEGER) AS place
+    FROM s LEFT JOIN h USING (source_id)""", "runs")
+def source_order(t: Tables) -> DataFrame:
+    """Sources as their page lists them: what needs attention first, silent ones last."""
+    rows = runs.source_status(known_sources(t), run_table(t))
+    order = [boards.status_order(F.col("status"), ["error", "degraded", "empty", "ok"]).asc(), F.col("source_id").asc()]
+    return numbered(rows, order, "place").select("source_id", "place")
+
+
 @query("awards_recent", """SELECT ordinal, coalesce(award_date, posted_date) AS decided_on FROM bids WHERE status = 'award'
     ORDER BY coalesce(award_date, posted_date) DESC NULLS LAST, ordinal LIMIT 300""", "bids")
 def awards_recent(t: Tables) -> DataFrame:
-    decided = F.coalesce("award_date", "posted_date")
-    return (t.bids.filter("status = 'award'").withColumn("decided_on", decided)
-            .orderBy(F.col("decided_on").desc_nulls_last(), "ordinal").limit(300).select("ordinal", "decided_on"))
+    return boards.recent_awards(t.bids).select("ordinal", "decided_on")
 
 
 @query("capped_sections", f"""SELECT county, position, ordinal, section_size, greatest(section_size - 10, 0) AS more FROM (
@@ -195,7 +204,6 @@ def named_few(t: Tables) -> DataFrame:
 @query("latest_per_key", """SELECT entity_id, platform, event_id FROM log WHERE event_type <> 'error'
     QUALIFY row_number() OVER (PARTITION BY entity_id ORDER BY event_id DESC) = 1""", "log")
 def latest_per_key(t: Tables) -> DataFrame:
-    from tenderloom.operators.dedupe import keep_last_by
     return keep_last_by(t.log.filter("event_type <> 'error'"), ["entity_id"], "event_id") \
         .select("entity_id", "platform", "event_id")
 
@@ -226,11 +234,7 @@ def recent_per_group(t: Tables) -> DataFrame:
     FROM wf JOIN bids b USING (opportunity_id) WHERE wf.stage IN ('watching', 'preparing', 'submitted', 'result') AND NOT wf.archived""", "bids")
 def pipeline_board(t: Tables) -> DataFrame:
     """Every card of each stage, soonest due first, with unmet requirements."""
-    tracked = workflow(t.bids).filter(F.col("stage").isin(*marts.STAGES) & ~F.col("archived")).drop("ordinal")
-    cards = tracked.join(t.bids, "opportunity_id")
-    order = [*filters.user_sort(text.days_until_due("due_date", AS_OF), False), F.col("ordinal").asc()]
-    return numbered(cards, order, "place", by=["stage"]).select(
-        "stage", "opportunity_id", "place", ranking.unmet_requirements().alias("unmet"))
+    return boards.pipeline_board(t.bids, workflow(t.bids), AS_OF).select("stage", "opportunity_id", "place", "unmet")
 
 
 @query("attention", f"""WITH {WORKFLOW}, a AS (SELECT wf.opportunity_id, wf.stage, {DAYS} AS days, b.ordinal,
@@ -239,11 +243,7 @@ def pipeline_board(t: Tables) -> DataFrame:
     SELECT opportunity_id, stage, days, unmet FROM a WHERE days >= 0 AND (days <= 7 OR (unmet > 0 AND days <= 14))
     ORDER BY days, ordinal LIMIT 8""", "bids")
 def attention(t: Tables) -> DataFrame:
-    active = workflow(t.bids).filter(~F.col("archived") & (F.col("stage") != "result")).drop("ordinal")
-    due = t.bids.withColumn("days", text.days_until_due("due_date", AS_OF)).filter(F.col("days").between(0, 14))
-    judged = active.join(due, "opportunity_id").withColumn("unmet", ranking.unmet_requirements())
-    return (judged.filter((F.col("days") <= 7) | (F.col("unmet") > 0)).orderBy("days", "ordinal").limit(8)
-            .select("opportunity_id", "stage", "days", "unmet"))
+    return boards.attention(t.bids, workflow(t.bids), AS_OF).select("opportunity_id", "stage", "days", "unmet")
 
 
 @query("snapshot_csv_order", f"""SELECT ordinal, place FROM (SELECT ordinal, CAST(row_number() OVER (ORDER BY {RANK}, due_date ASC NULLS LAST,
@@ -259,13 +259,9 @@ def snapshot_csv_order(t: Tables) -> DataFrame:
     SELECT entity_id, tier FROM roster WHERE tier IN ('building', 'machinery')
       AND entity_id NOT IN (SELECT entity_id FROM l WHERE platform <> 'unknown') AND entity_id NOT IN (SELECT entity_id FROM mapped)""", "log")
 def sweep_todo(t: Tables) -> DataFrame:
-    from tenderloom.operators.dedupe import keep_last_by
-    latest = keep_last_by(t.log, ["entity_id"], "event_id")
-    roster = t.customer.select(F.concat(F.lit("ent"), F.col("c_custkey").cast("string")).alias("entity_id"),
-                               F.lower("c_mktsegment").alias("tier"))
+    roster = t.customer.select(F.concat(F.lit("ent"), F.col("c_custkey").cast("string")).alias("entity_id"), F.lower("c_mktsegment").alias("tier"))
     mapped = t.supplier.filter("s_suppkey % 3 = 0").select(F.concat(F.lit("ent"), F.col("s_suppkey").cast("string")).alias("entity_id"))
-    return (roster.filter(F.col("tier").isin("building", "machinery"))
-            .join(latest.filter("platform <> 'unknown'"), "entity_id", "left_anti").join(mapped, "entity_id", "left_anti"))
+    return boards.sweep_todo(roster, keep_last_by(t.log, ["entity_id"], "event_id"), mapped, ["building", "machinery"])
 
 
 @query("directory_filter", """SELECT s_suppkey AS entity, s_name AS name, CASE WHEN s_suppkey % 4 <> 0 THEN 'T' || s_suppkey END AS code
@@ -273,11 +269,9 @@ def sweep_todo(t: Tables) -> DataFrame:
 def directory_filter(t: Tables) -> DataFrame:
     """Active directory entries of one state that carry a nested tenant code, by name."""
     rows = t.supplier.join(t.nation, F.col("s_nationkey") == F.col("n_nationkey")).select(
-        F.col("s_suppkey").alias("entity"), F.col("s_name").alias("name"), F.col("n_regionkey").alias("state"),
-        (F.col("s_acctbal") > 0).alias("active"),
+        F.col("s_suppkey").alias("entity"), F.col("s_name").alias("name"), F.col("n_regionkey").alias("state"), (F.col("s_acctbal") > 0).alias("active"),
         F.struct(F.expr("CASE WHEN s_suppkey % 4 <> 0 THEN concat('T', s_suppkey) END").alias("code")).alias("tenant"))
-    return rows.filter((F.col("state") == 1) & F.col("active") & F.col("tenant.code").isNotNull()) \
-        .orderBy(F.lower("name")).select("entity", "name", F.col("tenant.code").alias("code"))
+    return boards.directory(rows, F.col("state") == 1, F.col("active"), F.col("tenant.code")).select("entity", "name", "code")
 
 
 @query("sweep_report", """WITH l AS (SELECT entity_id, platform, event_id % 13 AS why FROM log
@@ -286,12 +280,5 @@ def directory_filter(t: Tables) -> DataFrame:
     UNION ALL SELECT * FROM (SELECT 'reason', 'reason ' || why, count(*), NULL FROM l WHERE platform = 'unknown' GROUP BY why ORDER BY 3 DESC, 2 LIMIT 10)""", "log")
 def sweep_report(t: Tables) -> DataFrame:
     """Platform histogram with shares, and the ten commonest reasons for an unknown."""
-    from tenderloom.operators.dedupe import keep_last_by
-    latest = keep_last_by(t.log, ["entity_id"], "event_id").withColumn("why", F.col("event_id") % 13)
-    total = latest.agg(F.count(F.lit(1)).alias("entities"))
-    platforms = with_scalars(marts.tally(latest, "platform", "key"), total).select(
-        F.lit("platform").alias("section"), "key", "count", F.bround(100 * F.col("count") / F.col("entities"), 1).alias("pct"))
-    reasons = marts.tally(latest.filter("platform = 'unknown'"), F.concat(F.lit("reason "), F.col("why").cast("string")), "key") \
-        .orderBy(F.desc("count"), "key").limit(10)
-    return platforms.unionByName(reasons.select(F.lit("reason").alias("section"), "key", "count",
-                                                F.lit(None).cast("double").alias("pct")))
+    latest = keep_last_by(t.log, ["entity_id"], "event_id")
+    return boards.sweep_report(latest, F.concat(F.lit("reason "), (F.col("event_id") % 13).cast("string")))
\ No newline at end of file
