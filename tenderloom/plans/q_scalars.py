@@ -10,8 +10,9 @@ from tenderloom.operators import dedupe, scoring
 from tenderloom.plans.q_market import WORKFLOW, workflow
 from tenderloom.plans.registry import query
 from tenderloom.plans.sqltext import BUDGET, DAYS, tokens
-from tenderloom.plans.tables import AS_OF, Tables
+from tenderloom.plans.tables import AS_OF, DuckDialect, Tables, bid_columns
 from tenderloom.session import scratch_path
+from tenderloom.sources import snapshot
 
 
 @query("stable_ids", """SELECT ordinal, substr(sha1(source_id || '|' || coalesce(external_id, '') || '|' || title || '|' || url), 1, 16)
@@ -435,15 +436,33 @@ def list_union(t: Tables) -> DataFrame:
     return t.bids.select("ordinal", F.array_join(dedupe.list_union("categories", "keywords"), ",").alias("merged"))
 
 
-@query("export_rows", f"""SELECT opportunity_id, title, coalesce(external_id, '') AS external_id, array_to_string(categories, ', ') AS categories,
-    coalesce(strftime(due_date, '%Y-%m-%dT%H:%M:%S'), '') AS due_date, coalesce(CAST({DAYS} AS VARCHAR), '') AS days_until_due,
-    array_to_string(requirements, '; ') AS requirements, CAST(len(documents) AS INTEGER) AS documents,
-    array_to_string(list_transform(documents[1:10], lambda d: d.url), ' | ') AS document_urls, coalesce(CAST(award_amount AS VARCHAR), '') AS award_amount,
-    substr(replace(coalesce(scope, ''), chr(10), ' '), 1, 2000) AS scope, {DETAIL} AS detail_score FROM bids""", "bids")
+def _export_sql() -> str:
+    """Every column of the flat export, from the lists that name them."""
+    have = bid_columns(DuckDialect)
+    blank = "''"
+    text_ = [f"coalesce({c}, '') AS {c}" if c in have else f"'' AS {c}" for c in snapshot.OPTIONAL]
+    numbers = [f"coalesce(CAST({c} AS VARCHAR), '') AS {c}" if c in have else f"{blank} AS {c}" for c in snapshot.NUMBERS]
+    days = [f"coalesce(strftime({c}, '%Y-%m-%d'), '') AS {c}" if c in have else f"{blank} AS {c}" for c in snapshot.DATES]
+    moments = [f"coalesce(strftime({c}, '%Y-%m-%dT%H:%M:%S'), '') AS {c}" if c in have else f"{blank} AS {c}" for c in snapshot.MOMENTS]
+    return f"""SELECT opportunity_id, title, {', '.join([*snapshot.PLAIN, *text_, *numbers, *days, *moments])}, array_to_string(categories, ', ') AS categories,
+      coalesce(CAST({DAYS} AS VARCHAR), '') AS days_until_due, array_to_string(requirements, '; ') AS requirements, CAST(len(documents) AS INTEGER) AS documents,
+      array_to_string(list_transform(documents[1:10], lambda d: d.url), ' | ') AS document_urls, array_to_string(commodity_codes, '; ') AS commodity_codes,
+      coalesce(prior_cycles, 0) AS prior_cycles, coalesce(personalized, false) AS personalized, {DETAIL} AS detail_score,
+      substr(replace(coalesce(scope, ''), chr(10), ' '), 1, 2000) AS scope FROM bids"""
+
+
+@query("export_rows", _export_sql(), "bids")
 def export_rows(t: Tables) -> DataFrame:
-    from tenderloom.sources.snapshot import export_rows as flat
-    return flat(t.bids, AS_OF).select("opportunity_id", "title", "external_id", "categories", "due_date", "days_until_due", "requirements",
-                                      "documents", "document_urls", "award_amount", "scope", "detail_score")
+    """The whole flat export."""
+    return snapshot.export_rows(t.bids, AS_OF)
+
+
+@query("export_csv", f"SELECT * REPLACE (CAST(documents AS VARCHAR) AS documents, CAST(prior_cycles AS VARCHAR) AS prior_cycles, CAST(personalized AS VARCHAR) AS personalized, CAST(detail_score AS VARCHAR) AS detail_score) FROM ({_export_sql()})", "bids")
+def export_csv(t: Tables) -> DataFrame:
+    """The CSV half of a snapshot, written in listing order and read back as text."""
+    path = scratch_path(t.spark, "snapshot-export")
+    snapshot.write_snapshot(t.bids.drop("first_seen_at"), t.bids.groupBy("source_id").agg(F.count(F.lit(1)).alias("count")), path, AS_OF)
+    return snapshot.read_export(t.spark, path)
 
 
 @query("health_status", """SELECT source_id, run_day, CASE WHEN events % 7 = 0 THEN 'degraded' WHEN had_error = 1 AND events % 2 = 0 THEN 'error'

@@ -68,4 +68,9 @@ def write_snapshot(df: DataFrame, health: DataFrame, path: str, as_of: str) -> N
     df.write.mode("overwrite").json(f"{path}/opportunities")
     health.write.mode("overwrite").json(f"{path}/health")
     ordered = df.orderBy(*listing_order())
-    export_rows(ordered, as_of).write.mode("overwrite").option("header", True).csv(f"{path}/export")
+    export_rows(ordered, as_of).write.mode("overwrite").csv(f"{path}/export", header=True, quote='"', escape='"')
+
+
+def read_export(spark: SparkSession, path: str) -> DataFrame:
+    """The flat export of a snapshot folder as text columns, as its readers see it."""
+    return spark.read.csv(f"{path}/export", header=True, multiLine=True, quote='"', escape='"', nullValue="\\N")
