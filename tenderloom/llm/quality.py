@@ -4,11 +4,13 @@ Each rule is a score per document and a ladder of cutoffs fixed beforehand; a
 document whose score is above the cutoff is rejected. Per stratum (by default
 the language) the labelled good documents say how many of them a cutoff would
 reject. A cutoff holds if the exact binomial upper bound on its rate of false
-rejections is at most `risk`: P(X <= k | n, risk) <= delta / tests, which is
-the Clopper-Pearson bound put as a test. A ladder is walked from its most
+rejections is at most the rule's share of `risk`, which the rules split evenly:
+P(X <= k | n, share) <= delta / tests, which is the Clopper-Pearson bound put as
+a test. A ladder is walked from its most
 lenient cutoff and stops at the first that fails (fixed-sequence testing), so
 a ladder counts once; Bonferroni is applied over strata times rules. With
-probability 1 - delta no chosen cutoff in any stratum errs beyond `risk`.
+probability 1 - delta no chosen cutoff in any stratum errs beyond its share, so
+all rules together reject at most `risk` of any stratum's good documents.
 
 Nulls and edges: null text counts as empty; a null language is a stratum of
 its own; a null or twice labelled document takes its lowest label; a stratum
@@ -23,8 +25,8 @@ from pyspark.sql import functions as F
 
 from .common import SPACE, let, or_empty, written
 
-#: Share of good documents that a rule may reject in a stratum, and the error over all strata and rules.
-RISK, DELTA = 0.02, 0.05
+#: Share of a stratum's good documents that the rules may reject together, and the error over all strata and rules.
+RISK, DELTA = 0.08, 0.05
 #: Ladders from lenient to strict.
 LADDERS = {
     "symbol_share": (0.5, 0.4, 0.3, 0.25, 0.2, 0.15, 0.1, 0.05, 0.02),
@@ -115,7 +117,8 @@ def thresholds(scored: DataFrame, labels: DataFrame, stratum: str = "lang", ladd
     tests = scored.agg((F.count_distinct(stratum) + F.max(F.col(stratum).isNull().cast("int"))).alias("_tests"))
     tried = steps.crossJoin(F.broadcast(tests))  # one row by construction
     n, k = F.col("n_good"), F.col("n_rejected")
-    sure = (k < n * F.lit(risk)) & (binomial_cdf(k, n, risk) <= F.lit(delta) / (F.col("_tests") * F.lit(len(ladders))))
+    share = risk / len(ladders)
+    sure = (k < n * F.lit(share)) & (binomial_cdf(k, n, share) <= F.lit(delta) / (F.col("_tests") * F.lit(len(ladders))))
     walk = W.partitionBy("stratum", "rule").orderBy("step").rowsBetween(W.unboundedPreceding, 0)
     passed = tried.withColumn("_ok", F.min(sure.cast("int")).over(walk)).where("_ok = 1")
     return passed.groupBy("stratum", "rule").agg(F.max_by(F.struct("cutoff", "n_good", "n_rejected"), "step").alias("x")).select("stratum", "rule", "x.*")

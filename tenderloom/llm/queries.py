@@ -60,8 +60,8 @@ score AS (
   FROM s, ladder l WHERE NOT base_failed AND doc_id IN (SELECT doc_id FROM good)),
 tally AS (SELECT lang, rule, step, cutoff, count(*) AS n, count(*) FILTER (x > cutoff) AS k FROM score GROUP BY ALL),
 test AS (
-  SELECT *, k < n * {quality.RISK} AND list_sum(list_transform(range(0, k + 1), lambda i: exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1)
-         + i * ln({quality.RISK}) + (n - i) * ln(1 - {quality.RISK}))))
+  SELECT *, k < n * {quality.RISK / len(quality.LADDERS)} AND list_sum(list_transform(range(0, k + 1), lambda i: exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1)
+         + i * ln({quality.RISK / len(quality.LADDERS)}) + (n - i) * ln(1 - {quality.RISK / len(quality.LADDERS)}))))
          <= {quality.DELTA} / ((SELECT count(DISTINCT coalesce(lang, chr(1))) FROM documents) * {len(quality.LADDERS)}) AS ok FROM tally),
 walk AS (SELECT *, bool_and(ok) OVER (PARTITION BY lang, rule ORDER BY step) AS passed FROM test),
 cut AS (SELECT lang, rule, min(cutoff) AS cutoff FROM walk WHERE passed GROUP BY ALL),
