@@ -11,7 +11,8 @@ items inside `article` or `main` that are not links alone are the page's own
 words even where a neighbour has the same sentence; elements that are menus,
 headers, footers, sidebars, notices, adverts, forms or comments by tag, role or
 class never count. Inside `article` or `main` only whole class and id names say
-so, elsewhere their parts do too. A page without a partner is its `article` or
+so, or, on boxes, names that are made of such words alone (`comment-list`,
+`ad-slot`, but not `related-work`); elsewhere their parts do too. A page without a partner is its `article` or
 `main` where it has one. Pages that share nine tenths of their letters both ways
 are copies of one article.
 
@@ -61,11 +62,21 @@ _CLASSES = set(
     "ad ads advert adverts advertisement advertising adbox adsense banner sponsor sponsored promo promotion cookie cookies consent gdpr notice notices "
     "alert newsletter subscribe subscription sidebar aside menu nav navbar navigation breadcrumb breadcrumbs footer masthead topbar comment comments "
     "disqus respond share sharing social related recommended widget popup modal overlay pagination pager toolbar login signup search skip".split())
+#: Inside article or main, a name made of these alone, one of the first kind at least, says what an element is: comment-list, ad-slot.
+_KINDS = set("ad ads advert adverts advertisement comment comments disqus newsletter promo promoted related reply replies respond share sharing sponsor sponsored subscribe".split())
+_PARTS = set("area articles bar block body box button buttons container content count form header inner item items links list main outer panel post posts section slot "
+             "stories thread threads title top unit widget wrap wrapper zone".split())
+_BOXES = set("aside dl div ol section ul".split())
 _CLOSES_P = set("address article aside blockquote div dl fieldset footer form h1 h2 h3 h4 h5 h6 header hr main nav ol p pre section table ul".split())
 _SAME = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 _FENCE = set("article main section div td th li body table ul ol form nav aside header footer blockquote".split())
 
 
+def _says_kind(name: str) -> bool:
+    parts = [x for x in re.split(r"[^a-z]+", name) if x]
+    return any(x in _KINDS for x in parts) and all(x in _KINDS or x in _PARTS for x in parts)
+
+
 def _unwanted(tag: str, attributes: str, inside_own: bool) -> bool:
     if tag in _DROPPED or tag == "header" and not inside_own:
         return True
@@ -75,6 +86,8 @@ def _unwanted(tag: str, attributes: str, inside_own: bool) -> bool:
     names = set(found.get("class", "").split())
     if tag not in _SLUGGED:
         names.add(found.get("id", "").strip())
+    if inside_own and tag in _BOXES and any(_says_kind(name) for name in names):
+        return True
     if tag == "article" or not inside_own:
         names = {x for name in names for x in re.split(r"[^a-z0-9]+", name)}
     if tag == "article":

@@ -131,3 +131,18 @@ def test_copies_are_cut_by_another_page(spark, copies):
         spark.conf.set("spark.sql.shuffle.partitions", old)
         assert got[1] == ("a story that was fetched again and again", 0, 3)
         assert {got[i] for i in range(1, copies + 1)} == {got[1]}
+
+
+@pytest.mark.parametrize("box", ["<section class='comment-list'>{}</section>", "<div id=comments-area>{}</div>", "<div class='ad-slot x'>{}</div>", "<ul class=related-posts>{}</ul>",
+                                 "<div class=reply>{}</div>", "<aside class='share-buttons'>{}</aside>", "<div class=comments_section><h2 class=comments-title>Comments</h2>{}</div>", "<div id=ad-2>{}</div>"])
+def test_boxes_inside_the_article_that_are_no_part_of_it(box):
+    inner = box.format("<li>Not the article</li>")
+    partner = "<main><p>Another text altogether.</p></main>"
+    assert cut(f"<main><p>Own text one.</p>{inner}<p>Own text two.</p></main>", partner)[0] == "Own text one. Own text two."
+    assert cut(f"<article><p>Own text one.</p>{inner}</article>")[0] == "Own text one."
+
+
+@pytest.mark.parametrize("box", ["<section id=related-work>{}</section>", "<div class='comment-on-the-law'>{}</div>", "<div class=advertising-history>{}</div>", "<section class='reply-to-critics'>{}</section>",
+                                 "<p class=comment-list>{}</p>", "<h2 id=comments-section>{}</h2>", "<blockquote class=share-box>{}</blockquote>"])
+def test_boxes_inside_the_article_that_are_its_own(box):
+    assert cut(f"<article><p>Own text one.</p>{box.format('Kept.')}</article>")[0] == "Own text one. Kept."
