@@ -21,8 +21,8 @@ import numpy as np
 from . import common as c
 
 FILE = "byte_bpe_50k.json"
-#: Units and ids that a worker remembers, about 30 MB; past either the later half goes, the early and frequent ones stay.
-ROOM, IDS = 1 << 19, 1 << 21
+#: Units and ids that a worker remembers, about 60 MB; past either the later half goes, the early and frequent ones stay.
+ROOM, IDS = 1 << 20, 1 << 22
 #: Bytes of a unit that is remembered at most, and units encoded in one string.
 LONG, JOINED = 256, 4_000
 #: Bytes of text in one array step.
@@ -52,8 +52,8 @@ class Table:
         self.entry = np.zeros(self.slots, np.int32)
         self.names = np.zeros(self.room, np.uint64)
         self.starts = np.zeros(self.room + 1, np.int64)
-        self.flat = np.zeros(0, "<u4")
-        self.size = 0
+        self.flat = np.zeros(self.most_ids, "<u4")
+        self.size = self.fill = 0
 
     def find(self, keys: np.ndarray) -> np.ndarray:
         """Entry of each key; -1 where it is not there."""
@@ -70,13 +70,13 @@ class Table:
 
     def add(self, keys: np.ndarray, sizes: np.ndarray, ids: np.ndarray) -> None:
         """New and distinct keys with their ids, one run after the other."""
-        keep = min(len(keys), self.room - self.size, int(np.searchsorted(np.cumsum(sizes), self.most_ids - len(self.flat), "right")))
+        keep = min(len(keys), self.room - self.size, int(np.searchsorted(np.cumsum(sizes), self.most_ids - self.fill, "right")))
         keys, sizes, ids = keys[:keep], sizes[:keep], ids[: int(sizes[:keep].sum())]
         entries = np.arange(self.size, self.size + keep, dtype=np.int32)
         self.names[entries] = keys
-        self.starts[self.size + 1: self.size + keep + 1] = len(self.flat) + np.cumsum(sizes)
-        self.flat = np.concatenate([self.flat, ids])
-        self.size += keep
+        self.starts[self.size + 1: self.size + keep + 1] = self.fill + np.cumsum(sizes)
+        self.flat[self.fill: self.fill + len(ids)] = ids
+        self.size, self.fill = self.size + keep, self.fill + len(ids)
         self._place(keys, entries)
 
     def _place(self, keys: np.ndarray, entries: np.ndarray) -> None:
@@ -99,7 +99,7 @@ class Table:
         self.add(names, np.diff(ends), flat)
 
     def full(self) -> bool:
-        return self.size > 0.9 * self.room or len(self.flat) > 0.9 * self.most_ids
+        return self.size > 0.9 * self.room or self.fill > 0.9 * self.most_ids
 
 
 class Coder:
@@ -172,22 +172,22 @@ class Coder:
         start[tail], end[tail] = space, np.minimum(following[1:], stop[row])
         used = np.ones(len(start), bool)
         used[head], used[tail] = plain, plain[row]
-        sizes, runs, ids = self._looked_up(start, end, head, used, data)
+        sizes, gathered = self._looked_up(start, end, head, used, data)
         per_text = np.add.reduceat(sizes, head) if n else np.zeros(0, np.int64)
         if plain.all():
-            return np.append(0, np.cumsum(per_text)), ids[c.spread(runs, sizes)]
+            return np.append(0, np.cumsum(per_text)), gathered
         odd = np.flatnonzero(~plain)
         whole = self._whole([texts[i] for i in odd])
         per_text[odd] = [len(x) for x in whole]
         offsets = np.append(0, np.cumsum(per_text))
         out = np.zeros(int(offsets[-1]), "<u4")
         mine = np.repeat(plain, per_text)
-        out[mine] = ids[c.spread(runs, sizes)]
+        out[mine] = gathered
         out[~mine] = np.concatenate(whole)
         return offsets, out
 
-    def _looked_up(self, start: np.ndarray, end: np.ndarray, head: np.ndarray, used: np.ndarray, data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Size and place of each unit's ids, and the array they lie in; units that are not used have none."""
+    def _looked_up(self, start: np.ndarray, end: np.ndarray, head: np.ndarray, used: np.ndarray, data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """How many ids each unit has, and the ids of all; units that are not used have none."""
         if self.table.full():
             self.table.halve()
         prefix = c.prefix_hash(data)
@@ -203,18 +203,22 @@ class Coder:
         sizes[known] = self.table.starts[at[known] + 1] - runs[known]
         lack = np.flatnonzero(~known & used & (end > start))
         if not len(lack):
-            return sizes, runs, self.table.flat
+            return sizes, self.table.flat[c.spread(runs, sizes)]
         tag = np.where(long[lack], np.uint64(0), key[lack])
         tag[long[lack]] = np.arange(1, int(long[lack].sum()) + 1, dtype=np.uint64)  # long ones are not compared
         both = np.rec.fromarrays([long[lack], tag]) if long[lack].any() else tag
         _, lead, back = np.unique(both, return_index=True, return_inverse=True)
         first = lack[lead]
         new_sizes, new_places, new_ids = self._units(start[first], end[first], data)
-        runs[lack], sizes[lack] = len(self.table.flat) + new_places[back], new_sizes[back]
-        everything = np.concatenate([self.table.flat, new_ids])
+        runs[lack], sizes[lack] = new_places[back], new_sizes[back]
+        new = np.zeros(len(start), bool)
+        new[lack] = True
+        new, at = np.repeat(new, sizes), c.spread(runs, sizes)
+        out = np.empty(len(at), "<u4")
+        out[new], out[~new] = new_ids[at[new]], self.table.flat[at[~new]]
         short = ~long[first]
         self.table.add(key[first][short], new_sizes[short], new_ids[c.spread(new_places[short], new_sizes[short])])
-        return sizes, runs, everything
+        return sizes, out
 
 
 def encoded(batch, path: str | None = None):
