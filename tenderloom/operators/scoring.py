@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tenderloom.functions import text
-from tenderloom.functions.base import filled, filled_number, first_rows, matches, with_scalars
+from tenderloom.functions.base import brought, filled, filled_number, first_rows, matches, with_scalars
 from tenderloom.operators.filters import has_bond
 from tenderloom.session import cut_lineage
 
@@ -39,7 +39,7 @@ def fit_scores(df: DataFrame, tracked: DataFrame, watch_hits: DataFrame, won_off
     own = tracked.select("opportunity_id", F.lit(1).alias("is_tracked"))
     wins = won_offers.select("offer_type").distinct().withColumn("has_won", F.lit(True))
     joined = (df.join(own, "opportunity_id", "left").join(places, "county", "left")
-              .join(watch_hits, "opportunity_id", "left").join(F.broadcast(wins), "offer_type", "left"))
+              .join(watch_hits, "opportunity_id", "left").join(brought(wins), "offer_type", "left"))
     base = with_scalars(joined, table).withColumn("__self", F.coalesce("is_tracked", F.lit(0)))
     # Take the bid itself out of the counts before choosing the modal offer.
     def others(o: Column) -> Column:
