@@ -45,8 +45,14 @@ def to_planes(ids: np.ndarray, planes: int) -> list[bytes]:
     raw = np.ascontiguousarray(ids.astype(">u4")).view(np.uint8).reshape(-1, 4)
     if planes == 4:
         return [x.tobytes() for x in np.ascontiguousarray(raw.T)]
-    # bits of one byte column at a time; a column of zeros has zero planes
-    return [p.tobytes() for k in range(4) for p in (np.packbits(np.unpackbits(raw[:, k][:, None], axis=1).T, axis=1) if raw[:, k].any() else np.zeros((8, -(-len(ids) // 8)), np.uint8))]
+    out: list[bytes] = []
+    for k in range(4):  # one byte column at a time; a column of zeros has zero planes
+        column = np.ascontiguousarray(raw[:, k])
+        if column.any():
+            out += [np.packbits(column & np.uint8(1 << bit)).tobytes() for bit in range(7, -1, -1)]
+        else:
+            out += [bytes(-(-len(ids) // 8))] * 8
+    return out
 
 
 def from_planes(planes: list[bytes | None], n: int) -> np.ndarray:
@@ -57,9 +63,11 @@ def from_planes(planes: list[bytes | None], n: int) -> np.ndarray:
                 raw[:, k] = np.frombuffer(p, np.uint8)
     else:
         for k in range(4):
-            if any(p is not None for p in planes[8 * k: 8 * k + 8]):
-                bits = np.stack([np.unpackbits(np.frombuffer(p, np.uint8), count=n) if p is not None else np.zeros(n, np.uint8) for p in planes[8 * k: 8 * k + 8]])
-                raw[:, k] = np.packbits(bits, axis=0)[0]
+            column = np.zeros(n, np.uint8)
+            for bit, p in zip(range(7, -1, -1), planes[8 * k: 8 * k + 8], strict=True):
+                if p is not None:
+                    column |= np.unpackbits(np.frombuffer(p, np.uint8), count=n) << np.uint8(bit)
+            raw[:, k] = column
     return raw.view(">u4").ravel().astype("<u4")
 
 
