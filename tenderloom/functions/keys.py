@@ -72,8 +72,3 @@ def containment(a: ColumnLike, b: ColumnLike) -> Column:
     a, b = col(a), col(b)
     smaller = F.least(F.size(a), F.size(b))
     return F.when(smaller > 0, F.size(F.array_intersect(a, b)) / smaller).otherwise(F.lit(0.0))
-
-
-def slug(text: ColumnLike) -> Column:
-    """Lower case, with every run of other characters turned into one underscore."""
-    return F.trim(F.regexp_replace(F.lower(col(text)), "[^a-z0-9]+", "_"), F.lit("_"))

@@ -182,13 +182,3 @@ def detail_score() -> Column:
     for present, points in weights:
         total = total + F.when(present, points).otherwise(0)
     return total.cast("int")
-
-
-# Dollar figure, vendor and reference phrases inside award titles.
-TITLE_MONEY = r"\$\s?([\d,]+(?:\.\d{1,2})?)"
-
-
-def title_dollars(title: ColumnLike) -> Column:
-    """Whole dollars of the first figure in a title."""
-    digits = F.regexp_replace(capture(title, TITLE_MONEY), ",", "")
-    return F.floor(none_if_blank(digits).try_cast("double")).cast("long")

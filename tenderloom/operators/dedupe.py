@@ -52,10 +52,6 @@ def richness_rank() -> Column:
     return F.struct(*[(-c).alias(f"r{i}") for i, c in enumerate(richness_fields())], F.col("ordinal"))
 
 
-def keep_first_by(df: DataFrame, by: Sequence[str], order: Sequence[Column]) -> DataFrame:
-    return first_rows(df, by, order)
-
-
 def keep_last_by(df: DataFrame, by: Sequence[str], ordinal: str = "ordinal") -> DataFrame:
     return first_rows(df, by, [F.col(ordinal).desc()])
 
