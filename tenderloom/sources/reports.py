@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from html import unescape
 from html.parser import HTMLParser
 
 from pyspark.sql import Column, DataFrame
@@ -77,11 +78,38 @@ class LettingReader(HTMLParser):
                 self._text[role].append(data)
 
 
+#: A tag that can be read in one way only, and elements whose text is no markup.
+PLAIN_TAG = re.compile(r"""<(/?)([A-Za-z][A-Za-z0-9]*)((?:\s+[A-Za-z][A-Za-z0-9-]*="[^"<>&]*")*)\s*(/?)>""", re.A)
+PLAIN_ATTRIBUTE = re.compile(r"""([A-Za-z][A-Za-z0-9-]*)="([^"]*)\"""", re.A)
+RAW = frozenset("script style textarea title iframe noembed noframes noscript plaintext svg math xmp".split())
+
+
+def read_report(html: str) -> LettingReader:
+    """The reader after a report. Where every `<` begins a plain tag the tags are found at once, which the standard parser
+    does several times slower; any other page goes through that parser."""
+    reader = LettingReader()
+    tags = list(PLAIN_TAG.finditer(html))
+    if len(tags) != html.count("<") or any(t.group(2).lower() in RAW or (t.group(1) and (t.group(3) or t.group(4))) for t in tags):
+        reader.feed(html)
+        return reader
+    at = 0
+    for tag in tags:
+        if at < tag.start():
+            reader.handle_data(unescape(html[at: tag.start()]))
+        at = tag.end()
+        name = tag.group(2).lower()
+        if tag.group(1):
+            reader.handle_endtag(name)
+            continue
+        reader.handle_starttag(name, [(k.lower(), v) for k, v in PLAIN_ATTRIBUTE.findall(tag.group(3))] if tag.group(3) else [])
+        if tag.group(4):
+            reader.handle_endtag(name)
+    return reader
+
+
 def letting_rows(html: str | None) -> Iterator[tuple]:
     """(contract_no, county, project, place, bidder, amount) of every priced bidder of a report."""
-    reader = LettingReader()
-    reader.feed(html or "")
-    for labels, rows in reader.contracts:
+    for labels, rows in read_report(html or "").contracts:
         contract, place = labels.get("contract no") or "", 0
         for bidder, amount in rows:
             found = BID_AMOUNT.search(amount)
@@ -92,17 +120,14 @@ def letting_rows(html: str | None) -> Iterator[tuple]:
             yield contract, labels.get("county") or None, labels.get("fin prj no") or None, place, bidder, float(digits)
 
 
-@F.udtf(returnType="contract_no string, county string, project string, place int, bidder string, amount double", useArrow=True)
-class LettingTable:
-    """The bidders of a letting report as a table, to be joined laterally to the page it was read from."""
-
-    def eval(self, html: str) -> Iterator[tuple]:
-        yield from letting_rows(html)
-
-
 def letting_bids(pages: DataFrame) -> DataFrame:
-    """Pages (with html) and, for each, the priced bidders of its contracts in page order."""
-    return pages.lateralJoin(LettingTable(F.col("html").outer())).drop("html")
+    """Pages (with html) and, for each, the priced bidders of its contracts in page order.
+
+    A page is read into one list and its html left behind before the list is laid out, so no bidder carries the page.
+    """
+    as_list = F.udf(lambda html: list(letting_rows(html)), "array<struct<contract_no:string,county:string,project:string,place:int,bidder:string,amount:double>>", useArrow=True)
+    read = pages.withColumn("__bids", as_list("html")).drop("html")
+    return read.select(*[c for c in read.columns if c != "__bids"], F.inline("__bids"))
 
 
 def letting_awards(pages: DataFrame) -> DataFrame:
