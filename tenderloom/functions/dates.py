@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from tenderloom.functions.base import ColumnLike, col, let, none_if_blank
+from tenderloom.functions.base import ColumnLike, all_of, col, let, none_if_blank
 
 # Zone names and their hours from UTC. Eastern is taken as UTC-5 all year.
 ZONE_HOURS = {
@@ -24,6 +24,9 @@ LAYOUTS = [
     "MMM d yyyy h:mm a", "MMM d yyyy H:mm", "MMM d yyyy",
     "d MMMM yyyy", "d MMM yyyy",
 ]
+# Shapes from which nothing is removed and that one layout alone can read.
+PLAIN_SHAPES = {r"^[0-9]{4}-[0-9]{2}-[0-9]{2}\z": "yyyy-MM-dd", r"^[0-9]{1,2}/[0-9]{1,2}/[0-9]{4}\z": "M/d/yyyy",
+                r"^[0-9]{4}-[0-9]{2}-[0-9]{2}T[0-9]{2}:[0-9]{2}:[0-9]{2}\z": "yyyy-MM-dd'T'HH:mm:ss"}
 BARE_DATE = r"^\s*\d{1,2}[/-]\d{1,2}[/-]\d{2,4}\s*$"
 
 
@@ -49,16 +52,27 @@ def _minutes_east(raw: Column) -> Column:
     return F.coalesce(named[zone] * 60, F.when(digits.startswith("-"), -size).otherwise(size))
 
 
+def _can_be(bare: Column, layout: str) -> Column:
+    """Whether every sign of a layout is there; a parse that fails costs an exception, many times this test."""
+    return all_of([F.contains(bare, F.lit(sign)) for sign in "/-:" if sign in layout])
+
+
 def parse_timestamp(text: ColumnLike) -> Column:
     """A date string as naive Eastern time, or null when it cannot be read."""
     def read(bare: Column) -> Column:
-        return F.coalesce(*[F.try_to_timestamp(bare, F.lit(layout)) for layout in LAYOUTS]).cast("timestamp_ntz")
+        return F.coalesce(*[F.when(_can_be(bare, layout), F.try_to_timestamp(bare, F.lit(layout))) for layout in LAYOUTS]).cast("timestamp_ntz")
 
     def local(raw: Column) -> Column:
         shift = F.coalesce(EASTERN_HOURS * 60 - _minutes_east(raw), F.lit(0))
         return let(_strip(raw), read) + F.make_dt_interval(F.lit(0), F.lit(0), shift.cast("int"))
 
-    return let(none_if_blank(F.trim(col(text))), lambda raw: F.when(raw.isNotNull(), local(raw)))
+    def known(raw: Column) -> Column:
+        out = F
+        for shape, layout in PLAIN_SHAPES.items():
+            out = out.when(raw.rlike(shape), F.try_to_timestamp(raw, F.lit(layout)).cast("timestamp_ntz"))
+        return out.when(raw.isNotNull(), local(raw))
+
+    return let(none_if_blank(F.trim(col(text))), known)
 
 
 def parse_day(text: ColumnLike) -> Column:

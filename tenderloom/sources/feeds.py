@@ -49,7 +49,9 @@ def keyed(payloads: DataFrame, path: str) -> DataFrame:
     """source_id, ordinal, place and r of the values of an object keyed by id, or of a list, at `path`."""
     v = F.try_parse_json("payload")
     values = F.coalesce(F.map_values(F.try_variant_get(v, path, "map<string,variant>")), _list(v, path))
-    each = payloads.select("source_id", "ordinal", F.posexplode(values).alias("place", "r"))
+    # a value of a VARIANT keeps the names of the whole payload, here every id; written and read again it has its own alone
+    own = F.transform(values, lambda x: F.try_parse_json(F.to_json(x)))
+    each = payloads.select("source_id", "ordinal", F.posexplode(own).alias("place", "r"))
     return each.filter(F.try_variant_get("r", "$", "map<string,variant>").isNotNull())
 
 
