@@ -83,8 +83,9 @@ def package_rows(df: DataFrame, texts: DataFrame, limit: int | None = None) -> D
     if limit is not None:
         todo = todo.orderBy(F.col("due_date").asc_nulls_last(), "ordinal").limit(limit)
     wanted = todo.select("package_url").distinct()
-    read = (texts.select(F.col("url").alias("package_url"), "text").dropDuplicates(["package_url"]).join(wanted, "package_url")
-            .select("package_url", package.package_facts("text").alias("facts")))
+    # written: a test of a fact would read the text again for each fact it names, and callers use the rows twice
+    read = cut_lineage(texts.select(F.col("url").alias("package_url"), "text").dropDuplicates(["package_url"]).join(wanted, "package_url")
+                       .select("package_url", package.package_facts("text").alias("facts")))
     said = [F.col(f"facts.{c}").isNotNull() for c in ("estimated_value", "project_location", "licenses", "duration_days", "liquidated_damages", "scope")]
     anything = F.size("facts.requirements") > 0
     for test in said:
