@@ -45,7 +45,15 @@ def _character(point: Column) -> Column:
 
 def unescape(text: ColumnLike) -> Column:
     """Character references decoded once, as the standard library's `html.unescape` does, but for hard blanks; others stay as they are."""
-    names = F.from_json(F.lit(json.dumps(NAMED)), "map<string,string>")
+    # by first letter: a map is searched entry by entry
+    by_letter: dict[str, dict[str, str]] = {}
+    for name, char in NAMED.items():
+        by_letter.setdefault(name[0], {})[name] = char
+    listed = F.from_json(F.lit(json.dumps(by_letter)), "map<string,map<string,string>>")
+
+    def named(name: Column) -> Column:
+        return listed[F.substring(name, 1, 1)][name]
+
     bare = "^(" + "|".join(BARE) + ")"
 
     def number(name: Column) -> Column:
@@ -59,17 +67,20 @@ def unescape(text: ColumnLike) -> Column:
     def decoded(piece: Column) -> Column:
         def known(name: Column) -> Column:
             short = F.regexp_extract(name, bare, 1)
-            whole = F.when(name.isin(*COMMON), lookup_map(COMMON, name)).otherwise(names[name])
+            whole = F.when(name.isin(*COMMON), lookup_map(COMMON, name)).otherwise(named(name))
             return (F.when(name == "", F.concat(F.lit("&"), piece))
                     .when(name.startswith("#"), F.concat(let(number(name), _character), F.substr(piece, F.length(name) + 1)))
                     .when(whole.isNotNull(), F.concat(whole, F.substr(piece, F.length(name) + 1)))
-                    .when(short != "", F.concat(names[short], F.substr(piece, F.length(short) + 1)))
+                    .when(short != "", F.concat(named(short), F.substr(piece, F.length(short) + 1)))
                     .otherwise(F.concat(F.lit("&"), piece)))
 
         return let(F.regexp_extract(piece, REFERENCE, 1), known)
 
-    parts = F.split(col(text), "&")
-    return let(parts, lambda p: F.concat(F.get(p, F.lit(0)), F.array_join(F.transform(F.slice(p, F.lit(2), F.size(p)), decoded), "")))
+    def whole(text: Column) -> Column:
+        parts = let(F.split(text, "&"), lambda p: F.concat(F.get(p, F.lit(0)), F.array_join(F.transform(F.slice(p, F.lit(2), F.size(p)), decoded), "")))
+        return F.when(F.contains(text, F.lit("&")), parts).otherwise(text)
+
+    return let(text, whole)
 
 
 def html_to_text(html: ColumnLike, separator: str = " · ") -> Column:
