@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tenderloom.functions import classify
+from tenderloom.functions.base import numbered
 from tenderloom.plans.q_scalars import _ID_CASES, _TYPE_CASES, CLASSIFIED, classify_sql
 from tenderloom.plans.q_sources import _DISTRICT_CASE, AWARD_TITLE
 from tenderloom.plans.registry import query
@@ -191,9 +192,9 @@ def feed_award_matters(t: Tables) -> DataFrame:
       solicitation_type, {CLASSIFIED}, board AS source_id, NULLIF(amount, 0) AS award_amount, ref AS linked_ref FROM z""", "bids")
 def feed_board_actions(t: Tables) -> DataFrame:
     """A record read newest first: up to the first row before the lookback, at most 100 awards of a board."""
-    from pyspark.sql import Window
     k = F.col("ordinal")
     title = F.concat(F.expr(_TITLE.replace("VARCHAR", "STRING")), F.lit(" ("), "title", F.lit(")"))
-    rows = t.bids.select("source_id", F.row_number().over(Window.partitionBy("source_id").orderBy(k.desc())).alias("place"), k.cast("string").alias("matter"),
+    rows = t.bids.select("ordinal", "source_id", k.cast("string").alias("matter"),
                          F.when(k % 4 == 0, F.concat(F.lit("F"), k.cast("string"))).alias("file_number"), F.when(k % 50 == 3, "").otherwise(iso("posted_date", "M/d/yyyy")).alias("date"), title.alias("title"))
+    rows = numbered(rows, [k.desc()], "place", ["source_id"]).drop("ordinal")
     return shown(feeds.board_actions(rows, "1995-06-17", PORTAL + "/matter?m={}"), "source_id", "award_amount", "linked_ref")
