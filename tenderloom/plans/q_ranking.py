@@ -159,7 +159,9 @@ def user_sort(t: Tables) -> DataFrame:
     """Two sort orders over every row, each with its places."""
     def page(name: str, key, descending: bool) -> DataFrame:
         order = [*filters.user_sort(key, descending), F.col("ordinal").asc()]
-        return numbered(t.bids, order, "place").select(F.lit(name).alias("sort_key"), "place", "ordinal")
+        # a list is written to be numbered: only what orders it and names its rows
+        sorted_by = t.bids.select("ordinal", "title", "due_date", "budget")
+        return numbered(sorted_by, order, "place").select(F.lit(name).alias("sort_key"), "place", "ordinal")
 
     return page("value", text.budget_amount("budget"), True).unionByName(page("due", F.col("due_date"), False))
 
