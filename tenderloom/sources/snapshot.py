@@ -64,8 +64,8 @@ def read_snapshot(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]
 
 
 def write_snapshot(df: DataFrame, health: DataFrame, path: str, as_of: str) -> None:
-    """Full rows and health as JSON lines, and the flat export as CSV in listing order."""
-    df.write.mode("overwrite").json(f"{path}/opportunities")
+    """Full rows (compressed) and health as JSON lines, and the flat export as CSV in listing order."""
+    df.write.mode("overwrite").json(f"{path}/opportunities", compression="gzip")
     health.write.mode("overwrite").json(f"{path}/health")
     ordered = df.orderBy(*listing_order())
     export_rows(ordered, as_of).write.mode("overwrite").csv(f"{path}/export", header=True, quote='"', escape='"')
