@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tenderloom.functions import keys
-from tenderloom.functions.base import none_if_blank
+from tenderloom.functions.base import none_if_blank, shuffled
 from tenderloom.operators.similarity import SET, best_match, with_tokens
 
 
@@ -40,7 +40,7 @@ def link_by_title(awards: DataFrame, solicitations: DataFrame) -> DataFrame:
     left = with_tokens(awards)
     right = with_tokens(solicitations).withColumn("solicitation", F.col("ordinal"))
     best = best_match(left, right, "solicitation")
-    return left.join(best, SET).select("ordinal", "solicitation", "score")
+    return left.join(shuffled(best), SET).select("ordinal", "solicitation", "score")
 
 
 def link_awards(df: DataFrame) -> DataFrame:

@@ -17,6 +17,8 @@ itself:
 5. A match is found at its first shared key only, and goes straight into an
    aggregate (`folded`): what is shuffled after the join is at most one row for
    each asked set and task, never pairs.
+6. Sets, keys and answers meet in shuffles. A broadcast would be chosen by the
+   compressed size of the written sets, which says little of their keys.
 """
 
 from __future__ import annotations
@@ -27,7 +29,7 @@ from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from tenderloom.functions import keys
-from tenderloom.functions.base import brought, first_rows
+from tenderloom.functions.base import brought, first_rows, shuffled
 from tenderloom.session import cut_lineage
 
 # The 0.7 rule in integers, so no float comparison decides a match.
@@ -95,7 +97,7 @@ def _ranked_sets(rows: DataFrame) -> DataFrame:
         *SET, "size", F.xxhash64("word").alias("code"), F.crc32("word").alias("check"))
     counts = words.groupBy("scope_id", "code").agg(F.count(F.lit(1)).alias("n"), F.min("check").alias("low"), F.max("check").alias("high"))
     seen = F.when(F.col("low") == F.col("high"), F.col("n")).otherwise(F.raise_error(F.lit("two words share an id")).cast("long"))
-    ranked = words.join(counts.select("scope_id", "code", seen.alias("seen")), ["scope_id", "code"]).groupBy(*SET).agg(
+    ranked = words.join(shuffled(counts.select("scope_id", "code", seen.alias("seen"))), ["scope_id", "code"]).groupBy(*SET).agg(
         F.max("size").alias("size"), F.array_sort(F.collect_list(F.struct("seen", "code"))).alias("ranked"))
 
     def at_most(n: int) -> Column:
@@ -127,7 +129,7 @@ def _met(small: DataFrame, large: DataFrame, strict: bool, hot: bool) -> DataFra
     alone = F.col("sj") == 0
     # what the two can share at most, given where their first shared words stand
     at_most = F.when(alone, 1 + F.least(smaller - F.col("si"), larger - F.col("li"))).otherwise(2 + F.least(smaller - F.col("sj"), larger - F.col("lj")))
-    candidates = (probe.join(index, ["scope_id", "key", "salt"])
+    candidates = (probe.join(shuffled(index), ["scope_id", "key", "salt"])
                   .filter((smaller < larger) if strict else (smaller <= larger))
                   .filter((alone == (F.col("lj") == 0)) & (at_most >= _needed(smaller))))
 
@@ -155,7 +157,7 @@ def folded(left: DataFrame, right: DataFrame, answers: Sequence[Column], asked:
     both = rows(left, "ask").unionByName(rows(right, "hit"), allowMissingColumns=True)
     # far smaller than the records and read four times, so written once
     hot = Observation()
-    coded = both.drop("set_key").join(_ranked_sets(both), SET)
+    coded = both.drop("set_key").join(shuffled(_ranked_sets(both)), SET)
     coded = cut_lineage(coded.observe(hot, F.max(F.size("codes") - F.col("cool")).alias("words")))
     salted = bool(hot.get["words"])
     lefts, rights = [coded.filter(F.col(x).isNotNull()).select(*SET, F.col(x).alias("row"), "codes", "rare", "cool") for x in ("ask", "hit")]
@@ -212,13 +214,13 @@ def recurrence(bids: DataFrame, archive: DataFrame) -> DataFrame:
                             [F.col("due_date").desc(), F.col("opportunity_id").desc()], n=2)
     dated = F.struct("due_date", F.col("opportunity_id").alias("id"))
     tops = newest_two.groupBy(*SET).agg(F.max(dated).alias("top"), F.min(dated).alias("low"), F.count(F.lit(1)).alias("dated"))
-    sets = (past.groupBy(*SET, "set_key").agg(F.count(F.lit(1)).alias("n")).join(tops, SET, "left")
+    sets = (past.groupBy(*SET, "set_key").agg(F.count(F.lit(1)).alias("n")).join(shuffled(tops), SET, "left")
             .select(*SET, "set_key", "n", F.col("top.due_date").alias("newest"), F.col("top.id").alias("newest_id"),
                     F.when(F.col("dated") == 2, F.col("low.due_date")).alias("second")))
 
     own = past.select(F.col("opportunity_id").alias("own_id"), F.col("scope_id").alias("own_scope"), F.col("set_id").alias("own_set"))
     asking = (current.filter(F.col("set_key") != "").select(*SET, "set_key", "opportunity_id")
-              .join(own, F.col("opportunity_id") == F.col("own_id"), "left").drop("opportunity_id").distinct())
+              .join(shuffled(own), F.col("opportunity_id") == F.col("own_id"), "left").drop("opportunity_id").distinct())
     itself = (F.col("ask.own_scope") == F.col("hit.scope_id")) & (F.col("ask.own_set") == F.col("hit.set_id"))
     cycles = F.sum(F.col("hit.n") - F.when(itself, 1).otherwise(0)).cast("int").alias("prior")
     closed = F.max(F.when(F.col("hit.newest_id") == F.col("ask.own_id"), F.col("hit.second")).otherwise(F.col("hit.newest"))).alias("closed")
@@ -227,7 +229,8 @@ def recurrence(bids: DataFrame, archive: DataFrame) -> DataFrame:
     # an asker outside the archive is found by its set alone
     archived = own.select(F.col("own_id").alias("archived_id")).distinct()
     same = [*[current[c] == found[c] for c in SET], archived["archived_id"].eqNullSafe(found["own_id"])]
-    answered = current.join(archived, current["opportunity_id"] == archived["archived_id"], "left").join(found, same, "left")
+    answered = (current.join(shuffled(archived), current["opportunity_id"] == archived["archived_id"], "left")
+                .join(shuffled(found), same, "left"))
     return answered.select(*[current[c] for c in bids.columns if c not in ("prior_cycles", "last_cycle_closed")],
                            F.coalesce(found["prior"], F.lit(0)).alias("prior_cycles"), found["closed"].cast("date").alias("last_cycle_closed"))
 
@@ -236,4 +239,4 @@ def without_similar(df: DataFrame, others: DataFrame) -> DataFrame:
     """Rows of `df` for which no record of `others` at the same agency is similar."""
     left, right = with_tokens(df), with_tokens(others)
     hits = folded(_distinct_sets(left), _distinct_sets(right), [])
-    return left.join(hits, SET, "left_anti").select(*df.columns)
+    return left.join(shuffled(hits), SET, "left_anti").select(*df.columns)

@@ -100,6 +100,13 @@ def test_recurrence_equals_brute_force(spark):
         assert got[o[0]] == (len(hits), max(dated) if dated else None)
 
 
+def test_sets_and_keys_are_never_broadcast(spark):
+    """The planner takes them for small: it knows the compressed size of the written sets, not the rows of an explode."""
+    _, df = titled(spark, 4, 60)
+    for found in (similarity.recurrence(df, df), linkage.link_by_title(df, df)):
+        assert "BroadcastExchange" not in found._jdf.queryExecution().executedPlan().toString()
+
+
 def test_tokens_drop_boilerplate_years_and_digits(spark):
     df = spark.createDataFrame([("RFP No. 12 Annual Janitorial Services 2024 Citywide at HQ 7",)], "t string")
     assert df.select(keys.significant_tokens("t")).first()[0] == ["janitorial"]
