@@ -18,7 +18,9 @@ packed likewise. Pairs give sums of their words. Parts grow in number with the
 corpus, not in size. Workers map the files into memory and look up each
 stretch's distinct grams in order. Files are written under a temporary name and
 renamed, so a repeated task changes nothing. Pairs have exact keys; longer grams
-go by 64-bit hashes, as words do.
+go by 64-bit hashes, as words do. `fit` and `score` are for a model that is kept and
+some texts beside it: stretches look their grams up in every part. A corpus that
+is learnt from and scored whole goes through `crossfit`.
 
 Nulls and edges: null text is empty and has the end token alone; a null doc_id
 counts as an empty one; with nothing to learn from all tokens are unknown;
@@ -84,7 +86,7 @@ def tokens_of(ends: np.ndarray, data: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return out, offsets
 
 
-def _stretches(batches: Iterator[pa.RecordBatch]):
+def stretches(batches: Iterator[pa.RecordBatch]):
     for batch in batches:
         ends, data = c.as_bytes(batch.column("text"))
         for a, b in c.steps(ends):
@@ -120,9 +122,9 @@ def summed(keys: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return keys[first], np.add.reduceat(n, first) if len(first) else n[:0]
 
 
-def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     tally = _Tally()
-    for *_, tokens, _ in _stretches(batches):
+    for *_, tokens, _ in stretches(batches):
         if tally.add(tokens):
             yield pa.record_batch([pa.array(x) for x in tally.take()], ["h", "n"])
     yield pa.record_batch([pa.array(x.astype(np.int64)) for x in tally.take()], ["h", "n"])
@@ -234,7 +236,7 @@ def _text_packs(words: str, types: int, parts: int, hot: tuple[int, ...], order:
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = c.Sorted.of(words, ["n"], "h")
         tally = _Grams(order, parts, often_of(known, hot, types))
-        for *_, tokens, offsets in _stretches(batches):
+        for *_, tokens, offsets in stretches(batches):
             ids = places(known, tokens).astype(np.uint32)
             if tally.add(np.stack([*contexts(ids, offsets, types, order)[::-1], ids])):
                 yield tally.packs()
@@ -340,7 +342,7 @@ def fit(docs: DataFrame, order: int = ORDER) -> Model:
     spark = docs.sparkSession
     c.bounded_batches(spark)
     source = docs.select("text")
-    counts = c.written(source.mapInArrow(c.task(_word_counts), "h long, n long").groupBy("h").agg(F.sum("n").alias("n")), "lm-words")
+    counts = c.written(source.mapInArrow(c.task(word_counts), "h long, n long").groupBy("h").agg(F.sum("n").alias("n")), "lm-words")
     tokens, types = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
     words = c.sorted_files(counts, "h", ["n"], "lm-word-arrays")
     if types >= 2 ** 32 - 1:
@@ -424,7 +426,7 @@ def _scored(model: Model):
             state["grams", model.grams] = _Files(model, known)
         files = state["grams", model.grams]
         d1, v = model.discounts, model.types
-        for batch, a, b, tokens, offsets in _stretches(batches):
+        for batch, a, b, tokens, offsets in stretches(batches):
             own, back = np.unique(tokens, return_inverse=True)
             n = np.zeros(len(own) + 1, np.int64)  # the last one is the start mark
             which, found = known.find(own)
@@ -474,5 +476,6 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
 
 def cross_scored(docs: DataFrame, text: str = "text", order: int = 2) -> DataFrame:
     """Learn from the rows that are not held out and score them all."""
-    source = docs.select("doc_id", held_out().alias("held_out"), F.col(text).alias("text"))
-    return score(source, fit(source.where(~F.col("held_out")), order))
+    from . import crossfit
+
+    return crossfit.score(docs.select("doc_id", held_out().alias("held_out"), F.col(text).alias("text")), order)

@@ -129,3 +129,14 @@ def test_the_query_learns_triples(spark, monkeypatch):
     df = spark.createDataFrame([(d, t, "x") for d, t in rows], SCHEMA)
     monkeypatch.setattr(queries, "table", lambda *_: df)
     same(queries.op4_kneser_ney(spark, "").collect(), brute_of(rows, 3))
+
+
+def test_blocks_of_few_tokens_and_no_look_ups_of_grams(spark, monkeypatch):
+    from tenderloom.llm import crossfit
+
+    monkeypatch.setattr(ngram, "PART_TOKENS", 500)
+    monkeypatch.setattr(crossfit, "BLOCK_TOKENS", 300)
+    monkeypatch.setattr(ngram, "_Files", None)  # a part is read once, whatever the number of texts
+    rows = fixture()
+    df = spark.createDataFrame([(d, t, "x") for d, t in rows], SCHEMA).repartition(3)
+    same(ngram.cross_scored(df, order=3).collect(), brute_of(rows, 3))
