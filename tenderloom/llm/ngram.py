@@ -141,7 +141,9 @@ def key_of(cols: np.ndarray) -> np.ndarray:
 
 
 def part_of(cols: np.ndarray, parts: int, hot: np.ndarray) -> np.ndarray:
-    return (c.mix(np.where(only_hot(cols[:-1], hot), key_of(cols), key_of(cols[:-1]))) % np.uint64(parts)).astype(np.int32)
+    key, wide = key_of(cols[:-1]), only_hot(cols[:-1], hot)
+    key[wide] = key_of(cols[:, wide])
+    return (c.mix(key) % np.uint64(parts)).astype(np.int32)
 
 
 def only_hot(cols: np.ndarray, hot: np.ndarray) -> np.ndarray:
