@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tenderloom.functions import classify
-from tenderloom.functions.base import numbered
+from tenderloom.functions.base import ColumnLike, brought, numbered
 from tenderloom.plans.q_scalars import _ID_CASES, _TYPE_CASES, CLASSIFIED, classify_sql
 from tenderloom.plans.q_sources import _DISTRICT_CASE, AWARD_TITLE
 from tenderloom.plans.registry import query
@@ -38,7 +38,7 @@ def shown(df: DataFrame, *more: str, lists: tuple[str, ...] = ()) -> DataFrame:
     return df.select(*[c for c in SHOWN if c in df.columns], *[F.array_join(c, "," if c in LISTS else "; ").alias(c) for c in (*LISTS, *lists)], *more)
 
 
-def iso(c: str, layout: str = "yyyy-MM-dd HH:mm:ss") -> Column:
+def iso(c: ColumnLike, layout: str = "yyyy-MM-dd HH:mm:ss") -> Column:
     return F.date_format(c, layout)
 
 
@@ -78,19 +78,33 @@ def feed_sourcing_skips(t: Tables) -> DataFrame:
 
 # ---- executed contracts
 
+def contracts_of(t: Tables) -> DataFrame:
+    """The contracts; suppliers, of whom two numbers are read, are brought to the lines if they are at most a million."""
+    return t.view("contracts", supplier=brought(t.supplier.select("s_suppkey", "s_name", "s_nationkey"), 1_000_000))
+
+
 @query("feed_portal_contracts", """SELECT 'C' || order_key || '-' || line || '-' || part_key || '-' || supplier_key AS contract_id, name, CASE WHEN supplier_key % 4 <> 0 THEN 'Vendor & Sons ' || supplier_key END AS vendor,
     CAST(supplier_key AS VARCHAR) AS vendor_id, start_date, end_date, CASE line % 4 WHEN 0 THEN true WHEN 1 THEN false WHEN 2 THEN true END AS extendable FROM contracts WHERE line % 6 <> 5""", "contracts")
 def feed_portal_contracts(t: Tables) -> DataFrame:
     """Contracts keyed by id, or in a list, with vendors in the same payload."""
-    k = F.col("order_key")
-    cid = F.concat_ws("-", F.concat(F.lit("C"), k.cast("string")), "line", "part_key", "supplier_key")
-    row = F.struct(F.when(F.col("line") % 6 != 5, cid).otherwise(" ").alias("ContractID"), F.concat(F.lit(" "), "name").alias("Name"), F.col("supplier_key").alias("VendorID"),
-                   iso("start_date", "yyyy-MM-dd").alias("StartDate"), iso("end_date", "MM/dd/yyyy").alias("EndDate"),
-                   F.expr("CASE line % 4 WHEN 0 THEN 'Yes' WHEN 1 THEN '0' WHEN 2 THEN 'TRUE' ELSE '' END").alias("IsExtendable"))
-    vendor = F.struct(F.col("supplier_key").alias("VendorID"),
-                      F.when(F.col("supplier_key") % 4 != 0, F.concat(F.lit("Vendor & Sons "), F.col("supplier_key").cast("string"))).otherwise(" ").alias("VendorContactOrganizationName"))
-    grouped = t.contracts.groupBy(F.floor(k / 50).alias("ordinal")).agg(F.collect_list(F.struct(cid.alias("id"), row.alias("r"))).alias("rows"),
-                                                                         F.collect_set(F.struct(F.col("supplier_key").cast("string").alias("id"), vendor.alias("v"))).alias("vendors"))
+    # the shuffle carries the columns alone; ids and texts are made of them once a payload's rows are together
+    told = ["order_key", "line", "part_key", "supplier_key", "name", "start_date", "end_date"]
+    dealt = contracts_of(t).select(F.floor(F.col("order_key") / 50).alias("ordinal"), *told).repartition("ordinal")
+    gathered = dealt.groupBy("ordinal").agg(F.collect_list(F.struct(*told)).alias("c"))
+
+    def contract(c: Column) -> Column:
+        cid = F.concat_ws("-", F.concat(F.lit("C"), c["order_key"].cast("string")), c["line"], c["part_key"], c["supplier_key"])
+        asked = c["line"] % 4
+        row = F.struct(F.when(c["line"] % 6 != 5, cid).otherwise(" ").alias("ContractID"), F.concat(F.lit(" "), c["name"]).alias("Name"), c["supplier_key"].alias("VendorID"),
+                       iso(c["start_date"], "yyyy-MM-dd").alias("StartDate"), iso(c["end_date"], "MM/dd/yyyy").alias("EndDate"),
+                       F.when(asked == 0, "Yes").when(asked == 1, "0").when(asked == 2, "TRUE").otherwise("").alias("IsExtendable"))
+        return F.struct(cid.alias("id"), row.alias("r"))
+
+    def vendor(key: Column) -> Column:
+        name = F.when(key % 4 != 0, F.concat(F.lit("Vendor & Sons "), key.cast("string"))).otherwise(" ")
+        return F.struct(key.cast("string").alias("id"), F.struct(key.alias("VendorID"), name.alias("VendorContactOrganizationName")).alias("v"))
+
+    grouped = gathered.select("ordinal", F.transform("c", contract).alias("rows"), F.transform(F.array_distinct("c.supplier_key"), vendor).alias("vendors"))
     by_id = F.to_json(F.struct(F.map_from_entries("rows").alias("publicContracts"), F.map_from_entries("vendors").alias("vendors")))
     in_list = F.to_json(F.struct(F.col("rows.r").alias("publicContracts"), F.col("vendors.v").alias("vendors")))
     raw = grouped.select(F.lit("feed").alias("source_id"), "ordinal", F.when(F.col("ordinal") % 2 == 0, by_id).otherwise(in_list).alias("payload"))

@@ -12,7 +12,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tenderloom.functions import classify, dates
@@ -22,6 +22,7 @@ from tenderloom.sources import payloads as p
 from tenderloom.sources.pages import html_to_text
 
 NO_TEXTS = "array<string>"
+_ROWS = "array<struct<{}, is_vendor: boolean, place: int>>"
 
 
 # ---- VARIANT helpers --------------------------------------------------------
@@ -45,10 +46,14 @@ def listed(payloads: DataFrame, path: str | None = None) -> DataFrame:
     return each.filter(F.try_variant_get("r", "$", "map<string,variant>").isNotNull())
 
 
+def _values(v: Column, path: str) -> Column:
+    """The values of an object keyed by id, or of a list, at `path`."""
+    return F.coalesce(F.map_values(F.try_variant_get(v, path, "map<string,variant>")), _list(v, path))
+
+
 def keyed(payloads: DataFrame, path: str) -> DataFrame:
     """source_id, ordinal, place and r of the values of an object keyed by id, or of a list, at `path`."""
-    v = F.try_parse_json("payload")
-    values = F.coalesce(F.map_values(F.try_variant_get(v, path, "map<string,variant>")), _list(v, path))
+    values = _values(F.try_parse_json("payload"), path)
     # a value of a VARIANT keeps the names of the whole payload, here every id; written and read again it has its own alone
     own = F.transform(values, lambda x: F.try_parse_json(F.to_json(x)))
     each = payloads.select("source_id", "ordinal", F.posexplode(own).alias("place", "r"))
@@ -68,8 +73,11 @@ def texts(name: str, r: str = "r") -> Column:
 
 def truth(name: str, r: str = "r") -> Column:
     """A yes-or-no field in any spelling; null where it is missing or blank."""
-    text = F.lower(said(name, r))
-    return F.when(text != "", text.isin("1", "true", "yes"))
+    return _truth(said(name, r))
+
+
+def _truth(said: Column) -> Column:
+    return F.when(said != "", F.lower(said).isin("1", "true", "yes"))
 
 
 def _finished(rows: DataFrame, taxonomy: Sequence[classify.Category], more_keywords: str | None = None, about: str = "about") -> DataFrame:
@@ -105,18 +113,37 @@ def sourcing_events(payloads: DataFrame, portal_url: str, taxonomy: Sequence[cla
 
 # ---- executed contracts ---------------------------------------------------------
 
+#: What is read of a contract and of a vendor: their column, and their field's name in the payload.
+CONTRACT_FIELDS = {"contract_id": "ContractID", "name": "Name", "vendor_id": "VendorID", "status_id": "ContractStatusID", "start": "StartDate", "end": "EndDate", "extendable": "IsExtendable"}
+VENDOR_FIELDS = {"vendor_id": "VendorID", "vendor": "VendorContactOrganizationName"}
+
+
 def portal_contracts(payloads: DataFrame, agency: str, portal_url: str) -> DataFrame:
-    """Contracts from an object keyed by id, with their vendor's name from the payload's own vendor list."""
-    rows = keyed(payloads, "$.publicContracts").select(
-        "source_id", "ordinal", said("ContractID").alias("contract_id"), said("Name").alias("name"), none_if_blank(said("VendorID")).alias("vendor_id"),
-        none_if_blank(said("ContractStatusID")).alias("status_id"), dates.parse_day(said("StartDate")).alias("start_date"),
-        dates.parse_day(said("EndDate")).alias("end_date"), truth("IsExtendable").alias("extendable"))
-    vendors = keyed(payloads, "$.vendors").select("source_id", "ordinal", said("VendorID").alias("VendorID"), said("VendorContactOrganizationName").alias("VendorContactOrganizationName"), "place")
-    named = (vendors.filter((F.col("VendorID") != "") & (F.col("VendorContactOrganizationName") != ""))
-             .groupBy("source_id", "ordinal", F.col("VendorID").alias("vendor_id")).agg(F.max_by("VendorContactOrganizationName", "place").alias("vendor")))
-    kept = rows.filter(filled("contract_id") & filled("name"))
-    return kept.join(named, ["source_id", "ordinal", "vendor_id"], "left").select(
-        "contract_id", F.lit(agency).alias("agency"), "name", "source_id", "vendor", "vendor_id", "status_id", "start_date", "end_date", F.lit(portal_url).alias("url"), "extendable")
+    """Contracts from an object keyed by id, with their vendor's name from the payload's own vendor list.
+
+    A payload is parsed once. Contracts and vendors leave it in one list of rows and meet in a window: there is no join,
+    and where the payloads are dealt by their ordinal nothing is shuffled.
+    """
+    columns = [*CONTRACT_FIELDS, "vendor"]
+
+    def read(path: str, fields: dict[str, str]) -> Column:
+        # the fields are taken where the value stands: by itself it would carry the names of the whole payload
+        return F.transform(_values(F.col("v"), path), lambda x, place: F.struct(
+            *[(F.try_variant_get(x, f"$.{fields[c]}", "string") if c in fields else F.lit(None).cast("string")).alias(c) for c in columns], F.lit(path == "$.vendors").alias("is_vendor"), place.alias("place")))
+
+    # a payload without source or ordinal shares them with no other
+    alone = F.when(F.col("source_id").isNull() | F.col("ordinal").isNull(), F.monotonically_increasing_id())
+    parsed = payloads.select("source_id", "ordinal", alone.alias("alone"), F.try_parse_json("payload").alias("v"))
+    lists = [F.coalesce(read(*x), F.array().cast(_ROWS.format(", ".join(f"{c}: string" for c in columns)))) for x in (("$.publicContracts", CONTRACT_FIELDS), ("$.vendors", VENDOR_FIELDS))]
+    found = parsed.select("source_id", "ordinal", "alone", F.inline(F.concat(*lists)))
+    rows = found.select("source_id", "ordinal", "alone", "is_vendor", "place", *[F.trim(or_blank(c)).alias(c) for c in columns])
+    told = F.when(F.col("is_vendor"), (F.col("vendor_id") != "") & (F.col("vendor") != "")).otherwise((F.col("contract_id") != "") & (F.col("name") != ""))
+    same = Window.partitionBy("source_id", "ordinal", "alone", "vendor_id")
+    named = rows.filter(told).withColumn("vendor", F.max_by("vendor", F.when(F.col("is_vendor"), F.col("place"))).over(same)).filter(~F.col("is_vendor"))
+    return named.select(
+        "contract_id", F.lit(agency).alias("agency"), "name", "source_id", F.when(F.col("alone").isNull(), F.col("vendor")).alias("vendor"),
+        none_if_blank("vendor_id").alias("vendor_id"), none_if_blank("status_id").alias("status_id"), dates.parse_day("start").alias("start_date"),
+        dates.parse_day("end").alias("end_date"), F.lit(portal_url).alias("url"), _truth(F.col("extendable")).alias("extendable"))
 
 
 # ---- road-work advertisements -----------------------------------------------------

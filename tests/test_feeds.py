@@ -47,6 +47,26 @@ def test_contracts_keyed_by_id_or_listed(spark):
     assert got == {"12": ("Acme", "7", "2025-01-03", True), "14": (None, "8", "2025-01-03", None)}
 
 
+def test_contracts_meet_their_vendors_without_a_join(spark):
+    """The payloads are read once: the plan shuffles once, on the way to the window, and joins nothing."""
+    plan = feeds.portal_contracts(raw(spark, {"publicContracts": {}}), "County", "u")._jdf.queryExecution().executedPlan().toString()
+    initial = plan.split("Initial Plan")[-1]
+    assert "Join" not in initial and initial.count("Exchange ") == 1 and initial.count("parse_json") + initial.count("parseJson") == 1
+
+
+def test_vendors_of_repeated_and_missing_ordinals(spark):
+    """Payloads of one source and ordinal share their vendors, the last place of a vendor wins; without an ordinal there are none."""
+    def payload(contract, *vendors):
+        return json.dumps({"publicContracts": [{"ContractID": contract, "Name": "Roof", "VendorID": 7}, "7", None, {"Name": "no id"}],
+                           "vendors": [{"VendorID": v, "VendorContactOrganizationName": n} for v, n in vendors]})
+
+    rows = [("s", 1, payload("a", (7, "First"), (7, "Second"), (7, " "))), ("s", 2, payload("b")), ("s", 2, payload("c", (8, "x"), (7, "Shared"))),
+            ("s", None, payload("d", (7, "Nobody's"))), (None, 1, payload("e", (7, "Nobody's"))), ("t", 1, payload("f"))]
+    given = spark.createDataFrame(rows, "source_id string, ordinal int, payload string")
+    got = sorted((r.contract_id, r.vendor, r.vendor_id) for r in feeds.portal_contracts(given, "County", "u").collect())
+    assert got == [("a", "Second", "7"), ("b", "Shared", "7"), ("c", "Shared", "7"), ("d", None, "7"), ("e", None, "7"), ("f", None, "7")]
+
+
 def test_board_actions_stop_at_the_first_old_row(spark):
     rows = [("b", i, str(100 + i), None if i % 2 else f"F{i}", d, t) for i, (d, t) in enumerate([
         ("6/1/2024", "AWARD OF $0 TO ACME SERVICES FOR ROADS"), ("", "Award of RFP No. 449 to BCC Engineering, LLC for $5,000"), ("5/1/2024", "Forward look at Broward"),
