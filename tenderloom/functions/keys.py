@@ -62,9 +62,8 @@ def significant_tokens(title: ColumnLike) -> Column:
     """The distinct words that say what is bought, sorted so equal sets compare equal."""
     without_year = F.regexp_replace(F.lower(or_blank(title)), r"\b(?:19|20)\d{2}\b", " ")
     words = F.regexp_extract_all(without_year, F.lit("[a-z0-9]+"), F.lit(0))
-    noise = F.array(*[F.lit(w) for w in NOISE_WORDS])
-    kept = F.filter(words, lambda w: (F.length(w) > 2) & ~w.rlike("^[0-9]+$"))
-    return F.array_sort(F.array_distinct(F.array_except(kept, noise)))
+    kept = F.filter(words, lambda w: (F.length(w) > 2) & ~w.isin(*NOISE_WORDS) & ~w.rlike("^[0-9]+$"))
+    return F.array_sort(F.array_distinct(kept))
 
 
 def containment(a: ColumnLike, b: ColumnLike) -> Column:

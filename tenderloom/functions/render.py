@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from tenderloom.functions import text
-from tenderloom.functions.base import ColumnLike, blank, col, filled, or_blank
+from tenderloom.functions.base import ColumnLike, blank, col, filled, let, or_blank
 
 
 def _one_decimal(n: Column) -> Column:
@@ -41,8 +41,8 @@ def brief(as_of: str) -> Column:
                    F.replace("offer_type", F.lit("_"), F.lit(" ")))
     tags = F.when(F.size("categories") > 0, F.array_join(F.slice("categories", 1, 3), "/"))
     category = F.concat_ws("; ", offer, tags)
-    desc = F.trim(F.regexp_replace(or_blank("description"), r"\s+", " "))
-    desc = F.when(F.length(desc) > 180, F.concat(F.substring(desc, 1, 177), F.lit("..."))).otherwise(desc)
+    tidy = F.trim(F.regexp_replace(or_blank("description"), r"\s+", " "))
+    desc = let(tidy, lambda d: F.when(F.length(d) > 180, F.concat(F.substring(d, 1, 177), F.lit("..."))).otherwise(d))
     return F.concat_ws(
         " ", head,
         F.when(filled("external_id"), F.concat(F.lit("Ref "), F.col("external_id"), F.lit("."))),
@@ -51,7 +51,7 @@ def brief(as_of: str) -> Column:
         F.when(filled("budget"), F.concat(F.lit("Budget: "), F.col("budget"), F.lit("."))),
         F.when(filled("department"), F.concat(F.lit("Dept: "), F.col("department"), F.lit("."))),
         F.when(filled("contact"), F.concat(F.lit("Contact: "), F.col("contact"), F.lit("."))),
-        F.when((desc != "") & ~F.contains(F.lower("title"), F.lower(desc)), desc))
+        let(desc, lambda d: F.when((d != "") & ~F.contains(F.lower("title"), F.lower(d)), d)))
 
 
 # Fixed value: the request letter. {agency} {ref} {title} {opened} {today} {who} are filled per lead.

@@ -101,13 +101,24 @@ def _follow(links: DataFrame) -> DataFrame:
                     F.coalesce("absorber", "next_absorber").alias("absorber")))
 
 
-def survivor_map(df: DataFrame) -> DataFrame:
-    """For every record, the ordinal of the record it merges into (itself if it survives)."""
-    # Four branches read these narrow keys, so they are written once.
-    keyed = cut_lineage(df.select(
+#: Fields that a survivor inherits where it lacks them.
+INHERITED = ("due_date", "posted_date", "contact", "budget", "categories")
+
+
+def _keyed(df: DataFrame) -> DataFrame:
+    """A record's keys, rank and what it can give. Five branches read these columns, so they are written once."""
+    return cut_lineage(df.select(
         "ordinal", keys.ref_key("county", "external_id").alias("ref_key"),
         keys.title_key("county", "agency", "title").alias("title_key"),
-        richness_rank().alias("rank")))
+        richness_rank().alias("rank"), *INHERITED))
+
+
+def survivor_map(df: DataFrame) -> DataFrame:
+    """For every record, the ordinal of the record it merges into (itself if it survives)."""
+    return _survivors(_keyed(df))
+
+
+def _survivors(keyed: DataFrame) -> DataFrame:
     title_heads = keyed.groupBy("title_key").agg(F.min(F.struct("rank", "ref_key")).alias("head")).select(
         "title_key", F.col("head.rank.ordinal").alias("head_ordinal"), F.col("head.ref_key").alias("head_ref"))
     ref_heads = keyed.filter(F.col("ref_key").isNotNull()).groupBy("ref_key").agg(
@@ -135,8 +146,8 @@ def collapse(df: DataFrame) -> DataFrame:
     Missing due date, posted date, contact and budget come from the richest
     duplicate that has one; categories are unioned in merge order.
     """
-    mapped = df.select("ordinal", "due_date", "posted_date", "contact", "budget", "categories", richness_rank().alias("rank"))
-    members = cut_lineage(mapped.join(survivor_map(df), "ordinal"))
+    keyed = _keyed(df)
+    members = cut_lineage(keyed.select("ordinal", *INHERITED, "rank").join(_survivors(keyed), "ordinal"))
     is_self = F.col("ordinal") == F.col("survivor")
 
     def donated(name: str, present: Column) -> Column:
@@ -209,17 +220,20 @@ def absorb_labels(labels: Column) -> Column:
         return F.size(F.array_except(a, b)) == 0
 
     def step(kept: Column, label: Column) -> Column:
-        w = words(label)
+        w = label["words"]
         # Index of the first kept label that covers this one, or that this one covers.
         hit = F.array_position(
-            F.transform(kept, lambda k: subset(w, words(k)) | subset(words(k), w)), True)
+            F.transform(kept, lambda k: subset(w, k["words"]) | subset(k["words"], w)), True)
         spot = hit.cast("int")
         at = F.get(kept, spot - 1)
-        swapped = F.transform(kept, lambda k, i: F.when((i == spot - 1) & ~subset(w, words(at)), label).otherwise(k))
+        swapped = F.transform(kept, lambda k, i: F.when((i == spot - 1) & ~subset(w, at["words"]), label).otherwise(k))
         return F.when(F.size(w) == 0, kept).when(hit > 0, swapped) \
             .otherwise(F.concat(kept, F.array(label)))
 
-    return F.aggregate(labels, F.array().cast("array<string>"), step)
+    # the words stand beside their label: each pair that is compared would read them again
+    told = F.transform(labels, lambda x: F.struct(x.alias("label"), words(x).alias("words")))
+    kept = F.aggregate(told, F.array().cast("array<struct<label:string,words:array<string>>>"), step)
+    return F.transform(kept, lambda k: k["label"])
 
 
 def list_union(*arrays: Column) -> Column:

@@ -47,14 +47,15 @@ def derive_fields(df: DataFrame, cities: DataFrame | None = None, prose: tuple[s
     """
     blob = F.col("__prose")
     labels = F.coalesce("requirements", F.array().cast("array<string>"))
+    mined = {"budget": text.estimated_value, "pre_bid_meeting": text.pre_bid_meeting, "contact_email": text.contact_email, "contact_phone": text.contact_phone}
+    # found in columns of their own: a test for blanks would search the text again
+    found = {f"__{c}": F.when(blank(c), read(blob)) for c, read in mined.items()}
     out = (df.withColumn("__prose", text.joined_text(*[c for c in prose if c in df.columns]))
-           .withColumn("requirements", absorb_labels(F.array_distinct(F.concat(labels, text.requirement_labels(blob)))))
-           .withColumn("budget", first_filled("budget", text.estimated_value(blob)))
-           .withColumn("pre_bid_meeting", first_filled("pre_bid_meeting", text.pre_bid_meeting(blob)))
+           .withColumns(found | {"__labels": F.array_distinct(F.concat(labels, text.requirement_labels(blob)))})
+           .withColumn("requirements", absorb_labels("__labels"))
            .withColumn("questions_due", F.coalesce("questions_due", text.questions_due(blob)))
-           .withColumn("contact_email", first_filled("contact_email", text.contact_email(blob)))
-           .withColumn("contact_phone", first_filled("contact_phone", text.contact_phone(blob)))
-           .drop("__prose"))
+           .withColumns({c: first_filled(c, f"__{c}") for c in mined})
+           .drop("__prose", "__labels", *found))
     if cities is None:
         return out
     guessed = geo.infer_tiers(out, cities, out="__guess")

@@ -3,7 +3,8 @@
 Each step is a function of the records and the run's inputs. Two steps end in a
 written table: the collapse, whose survivors all later steps read, and the
 mining of prose, so that every pattern runs once for each record however many
-joins read the result. The other steps stay lazy and fuse with what follows.
+joins read the result. The other steps stay lazy and fuse with what follows; the
+narrow rows that details and packages bring are written, as several joins read them.
 """
 
 from __future__ import annotations
@@ -61,12 +62,12 @@ def read_details(df: DataFrame, given: Inputs) -> DataFrame:
     """Merge the second payload into live and awarded records that lack it, fairly over the sources if limited."""
     if given.details is None:
         return df
-    todo = filters.enrichment_candidates(df, "detail_fetched").select("ordinal", "opportunity_id", "source_id", "due_date")
-    known = todo.join(given.details.select("opportunity_id"), "opportunity_id", "left_semi")
+    chosen = filters.enrichment_candidates(df, "detail_fetched").select("ordinal", "opportunity_id", "source_id", "due_date")
     if given.detail_limit is not None:
-        known = ranking.fair_share(known, given.detail_limit)
-    chosen = known.select("opportunity_id")
-    mine = given.details.join(chosen, "opportunity_id", "left_semi").withColumn("read", F.lit(True))
+        known = chosen.join(given.details.select("opportunity_id"), "opportunity_id", "left_semi")
+        chosen = ranking.fair_share(known, given.detail_limit)
+    # written: two joins read it, and every later reading of the records
+    mine = cut_lineage(given.details.join(chosen.select("opportunity_id"), "opportunity_id", "left_semi").withColumn("read", F.lit(True)))
     merged = facts.merge_detail(df, mine.drop("read"), "opportunity_id", tuple(c for c in DETAIL_BLANKS if c in mine.columns))
     return (merged.join(mine.select("opportunity_id", "read"), "opportunity_id", "left")
             .withColumn("detail_fetched", F.coalesce("read", "detail_fetched")).drop("read"))
@@ -82,6 +83,7 @@ def package_rows(df: DataFrame, texts: DataFrame, limit: int | None = None) -> D
     todo = todo.select("ordinal", "package_url", "due_date")
     if limit is not None:
         todo = todo.orderBy(F.col("due_date").asc_nulls_last(), "ordinal").limit(limit)
+    todo = cut_lineage(todo)  # all that comes before it would run for the addresses and for the rows
     wanted = todo.select("package_url").distinct()
     # written: a test of a fact would read the text again for each fact it names, and callers use the rows twice
     read = cut_lineage(texts.select(F.col("url").alias("package_url"), "text").dropDuplicates(["package_url"]).join(wanted, "package_url")
@@ -96,7 +98,7 @@ def package_rows(df: DataFrame, texts: DataFrame, limit: int | None = None) -> D
 def read_packages(df: DataFrame, given: Inputs) -> DataFrame:
     if given.package_texts is None:
         return df
-    rows = package_rows(df, given.package_texts, given.package_limit).select("ordinal", "facts.*", F.lit(True).alias("said"))
+    rows = cut_lineage(package_rows(df, given.package_texts, given.package_limit).select("ordinal", "facts.*", F.lit(True).alias("said")))
     merged = facts.apply_package_facts(df, rows.drop("said"), "ordinal")
     return (merged.join(rows.select("ordinal", "said"), "ordinal", "left")
             .withColumn("package_parsed", F.coalesce("said", "package_parsed")).drop("said"))

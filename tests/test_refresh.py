@@ -125,3 +125,35 @@ def test_digest_counts_and_subject(spark):
     assert digest.subject(none, fresh, due).first()["subject"] == "Daily digest: 1 tabulation requestable, 2 new matches, 1 planned, 1 deadline this week"
     quiet = spark.createDataFrame([(0,) * 5], "protests long, records long, new_matches long, planned long, deadlines long")
     assert digest.subject(quiet).first()["subject"] == "Daily digest: source health"
+
+
+def plan_of(df):
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_what_comes_before_packages_and_details_runs_once(spark):
+    rows = [record(i, documents=[doc(f"https://p/{i}/package.pdf")]) for i in (1, 2)]
+    given = opportunities(spark, rows).withColumn("contact", F.concat(F.lit("marker"), F.col("ordinal").cast("string")))
+    given = given.withColumns({"detail_fetched": F.lit(False), "package_parsed": F.lit(False)})
+    inputs = refresh.Inputs(AS_OF, package_texts=texts(spark, ("https://p/1/package.pdf", PACKAGE)), details=given.select("opportunity_id", F.lit("x@y.gov").alias("contact_email")))
+    packed, read = refresh.read_packages(given, inputs), refresh.read_details(given, inputs)
+    assert plan_of(packed).count("LogicalRDD") == 1 and plan_of(read).count("LogicalRDD") == 1
+    assert "LogicalRDD" not in plan_of(refresh.package_rows(given, inputs.package_texts))
+    assert [r.package_parsed for r in packed.orderBy("ordinal").collect()] == [True, False]
+    assert [(r.detail_fetched, r.contact_email) for r in read.collect()] == [(True, "x@y.gov")] * 2
+
+
+def test_prose_is_searched_where_a_sign_of_the_fact_stands(spark):
+    said = ["Budget of $ 48,000.", "48,000 a year", "PRE-BID CONFERENCE at Hall B", "pre-bid at Hall B", "QUESTIONS due 4/2/2024 10:15 AM", "due 4/2/2024", "mail bids@x.gov.", "none", "", None]
+    bids = opportunities(spark, [record(i, title="", description=x) for i, x in enumerate(said)])
+    got = facts.derive_fields(bids.withColumn("questions_due", F.lit(None).cast("timestamp_ntz"))).orderBy("ordinal").collect()
+    assert [(r.budget, r.pre_bid_meeting, r.contact_email) for r in got] == [
+        ("$48,000", None, None), (None, None, None), (None, "PRE-BID CONFERENCE at Hall B", None), *[(None, None, None)] * 3, (None, None, "bids@x.gov"), *[(None, None, None)] * 3]
+    assert [i for i, r in enumerate(got) if r.questions_due] == [4]
+
+
+def test_words_of_a_label_are_read_once(spark):
+    from tenderloom.operators import dedupe
+    df = spark.createDataFrame([(["Bid bond required", "bid bond", "the", "Living wage", "Living wage for the site"],)], "l array<string>")
+    kept = df.select(dedupe.absorb_labels(F.col("l")).alias("k"))
+    assert plan_of(kept.filter("rand() > -1")).count("regexp_extract_all") <= 1 and kept.first().k == ["Bid bond required", "Living wage for the site"]
